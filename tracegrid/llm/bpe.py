@@ -87,6 +87,12 @@ class Encoder:
         return np.array(self.e.encode_ordinary(head), "<u4").tobytes() + b"".join(map(known.__getitem__, rest))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each process, so that a worker's next task finds its words known."""
+    return Encoder(path)
+
+
 def decode(ids: bytes, path: str) -> bytes:
     """The bytes of the tokens, one after the other."""
     return b"".join(map(vocabulary(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -132,7 +138,7 @@ def _pieces(frames: Iterator[pd.DataFrame], chunk: int, path: str) -> Iterator[p
     The text of a piece ends in other than white space or is encoded pre-token by pre-token, as the last white space of a
     piece would otherwise be matched differently from how it is in the whole text.
     """
-    encode = Encoder(path)
+    encode = encoder(path)
     for frame in frames:
         ids = []
         for text, k, of, at, to in zip(frame["text"], frame["k"], frame["of"], frame["start"], frame["stop"], strict=True):
@@ -150,7 +156,7 @@ def _pieces(frames: Iterator[pd.DataFrame], chunk: int, path: str) -> Iterator[p
 
 def _whole(frames: Iterator[pd.DataFrame], chunk: int, path: str) -> Iterator[pd.DataFrame]:
     """Texts with a stretch in which two chunks agree on no boundary (one pre-token longer than what they share): as one piece."""
-    encode = Encoder(path)
+    encode = encoder(path)
     for frame in frames:
         yield pd.DataFrame({"row_id": frame["row_id"], "ids": [encode("".join(t[:chunk] for t in list(x)[:-1]) + x[-1]) for x in frame["texts"]]})
 
@@ -169,7 +175,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK, ov
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def direct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for f in frames:
             yield pd.DataFrame({"row_id": f["row_id"], "doc_id": f["doc_id"], "ids": [encode(t) for t in f["text"]]})
 

@@ -337,7 +337,7 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     fields = f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, key long, word binary, tf int, " + ", ".join(f"{x} double" for x in sums)
     both = stored(rows.select("row_id", "doc_id", "held_out", "text").mapInPandas(parts, fields))
-    own = both.filter("key is null")
+    heads = both.filter("key is null")
     rare = both.filter("key is not null").select("row_id", "key", "word", "tf")
     hit = rare.drop("word").join(scored, "key")
     known = hit.select("row_id", F.col("tf").cast("long").alias("n_known"), (F.col("tf") * F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))).alias("base"), *((F.col("tf") * F.col(x)).alias(x) for x in lp))
@@ -358,7 +358,7 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     new = rare.join(scored.select(F.col("key").alias("sk")), F.col("key") == F.col("sk"), "left_anti")
     new = new.select("row_id", "word", "tf").mapInPandas(unseen, "row_id long, n_known long, " + ", ".join(f"{x} double" for x in sums))
-    every = own.select("row_id", "doc_id", "held_out", "n_tokens", "n_known", *sums).unionByName(known.unionByName(new), allowMissingColumns=True)
+    every = heads.select("row_id", "doc_id", "held_out", "n_tokens", "n_known", *sums).unionByName(known.unionByName(new), allowMissingColumns=True)
     whole = every.groupBy("row_id").agg(
         F.max(F.struct(F.col("held_out").isNotNull(), "doc_id")).alias("d"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.sum(x).alias(x) for x in sums)
     )

@@ -12,11 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.llm.bpe import encoder
 from tracegrid.llm.common import stored, unit, with_position
 
-TOKENIZER = "byte_bpe_50k.json"
+#: The tokenizer, and its merges as ranks.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 LENGTH = 1024
-REMEMBER = 200_000
 
 
 @functools.cache
@@ -31,48 +32,20 @@ def _specials(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
-@functools.cache
-def _adjacent_space():
-    import re
-
-    return re.compile(r"\s[\s\x1c-\x1f\x85]|[\x1c-\x1f\x85]\s")
-
-
 class Ids:
     """Ids of a text by the tokenizer, as little-endian unsigned 32-bit bytes.
 
-    A single space between two other characters always begins a pre-token of this byte-level vocabulary; texts without
-    adjacent white spaces and special strings fall apart there, and the ids of recurring words are remembered.
+    Texts that hold a special string go through the tokenizer itself; for all others its merges are applied by the encoder of
+    the same vocabulary's ranks, which remembers the ids of recurring words and gives the same ids.
     """
 
-    def __init__(self, path: str):
-        self.t, self.known, self.specials = _tokenizer(path), {}, _specials(path)
-        pieces = [self.t.id_to_token(i) for i in range(self.t.get_vocab_size())]
-        self.starts = np.array([(p or "")[:1] == "Ġ" for p in pieces])  # how this vocabulary writes a space
-
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
+    def __init__(self, path: str, ranks: str):
+        self.path, self.specials, self.plain = path, _specials(path), encoder(ranks)
 
     def __call__(self, text: str) -> bytes:
-        if _adjacent_space().search(text) or any(s in text for s in self.specials):
-            return self.plain(text).tobytes()
-        words = text.split(" ")
-        rest, known = words[1:], self.known
-        new = [w for w in set(rest) if w and w not in known]
-        if new:
-            if len(known) > REMEMBER:
-                known.clear()
-                new = [w for w in set(rest) if w]
-            ids = self.plain(" " + " ".join(new))
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(new):
-                data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-                known.update(zip(new, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-            else:
-                known.update((w, self.plain(" " + w).tobytes()) for w in new)
-        if "" in rest and "" not in known:
-            known[""] = self.plain(" ").tobytes()
-        return self.plain(words[0]).tobytes() + b"".join(map(known.__getitem__, rest))
+        if any(s in text for s in self.specials):
+            return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.plain(text)
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -87,17 +60,17 @@ def cuts(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, longest: int = LENGTH, end_id: int = 0) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, longest: int = LENGTH, end_id: int = 0) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (packed), doc_tokens. `longest` is a power of two.
 
     A document is its tokens and the end id, so a null or empty text is one piece of one token. Repeated rows are packed
     each for itself; a null id is kept; other columns are ignored.
     """
-    path = public_tokenizers.path(tokenizer)
+    path, table = public_tokenizers.path(tokenizer), public_tokenizers.path(ranks)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Ids(path)
+        encode = Ids(path, table)
         for f in frames:
             rows = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
@@ -113,13 +86,13 @@ def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, longest: int = LENGTH
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, longest: int = LENGTH, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, longest: int = LENGTH, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Each piece becomes a sequence of its own, of a power-of-two length, so no sequence crosses documents or is padded.
 
     Sequences are numbered bucket by bucket (equal lengths together, longest first; within a bucket in a shuffle by hash).
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves if asked for.
     """
-    pieces = decompose(docs, tokenizer, longest, end_id)
+    pieces = decompose(docs, tokenizer, ranks, longest, end_id)
     pieces = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop(*([] if keep_ids else ["ids"])))
     pieces = pieces.withColumn("__h", F.xxhash64("doc_id", "start", "ids_crc32"))
     n, of = pieces.count(), pieces.groupBy("length").agg(F.count("*").alias("__n"))

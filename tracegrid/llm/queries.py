@@ -87,3 +87,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jpeg")
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store_texts(table(spark, sf_dir, "documents")))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -94,6 +94,7 @@ def votes(docs: DataFrame, lexicon: list[tuple[str, int]], s: Settings, carry: d
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dict(lexicon))  # bounded by lexicon
+    names = list(carry or {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         which, known = shared.value, {}
@@ -117,7 +118,7 @@ def votes(docs: DataFrame, lexicon: list[tuple[str, int]], s: Settings, carry: d
                 v = [int(x >= 1) for x in n] + [int(x >= 3) for x in n] + [int(len(hit) >= 2), *_pattern_votes(text, words)]
                 bits.append(sum(b << i for i, b in enumerate(v)))
                 found.append(sorted(x for e in hit for x in e))
-            yield pd.DataFrame({"doc_id": f["doc_id"], **{c: f[c] for c in carry or {}}, "bits": bits, "found": found})
+            yield pd.DataFrame({"doc_id": f["doc_id"], **{c: f[c] for c in names}, "bits": bits, "found": found})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     kept = "".join(f", {c} long" for c in carry or {})
