@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.llm.common import connected_components, discard, stored
@@ -16,8 +16,10 @@ from tracegrid.llm.common import connected_components, discard, stored
 #: A pair of similarity s shares no table with probability 1 - (1 - (1 - s^ROWS)^SIDE)^2: 7e-5 at 0.8, 1e-7 at 0.9.
 SIDE, ROWS = 10, 2
 #: Signs in the sketch that is compared before two whole sets are, and how many may differ: a pair of similarity 0.8
-#: differs in 51 of 512 on average; more than 90 has a probability below 1e-7.
-SKETCH, DIFFER = 512, 90
+#: differs in 51 of 512 on average; more than 84 has a probability below 2e-6.
+SKETCH, DIFFER = 512, 84
+#: Leaders of a bucket, and leaders that a node is compared with at once: those with which it shares most buckets.
+LEADERS, FIRST = 3, 6
 REMEMBER = 300_000
 
 
@@ -133,11 +135,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     1. Rows with equal sets become one node. Each node's keys, SIDE * SIDE pairs of entries, put it into buckets; only
        buckets of two nodes or more go on.
-    2. In each bucket all nodes are paired with two leaders, the least by two hashes; so a large group costs a few pairs a
-       node. Pairs are confirmed on whole sets, and components are formed.
+    2. Each bucket has LEADERS leaders, its least nodes by as many hashes. Each node is paired with the FIRST leaders with
+       which it shares most buckets; so a large group costs a few pairs a node. Pairs are confirmed on whole sets, and
+       components are formed.
     3. Buckets that still hold several components are searched in full: each node outside the bucket's largest component
-       against all nodes of other components. What passes sizes and sketches is confirmed on whole sets, and the final
-       components are formed. So every pair that shares a bucket is either compared or already in one component.
+       against all nodes of other components, each pair in the first bucket that it shares only. What passes sizes and
+       sketches is confirmed on whole sets, and the final components are formed. So every pair that shares a bucket is
+       either compared or already in one component, whatever step 2 found.
 
     Null or empty text, or text of white space, has no shingle and is linked with nothing. A null doc_id never names a
     component: such rows keep their own class only if nothing with an id is linked with them (component_id null, kept
@@ -146,8 +150,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = stored(summaries(docs, k))
     nodes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("a").alias("a"), F.first("b").alias("b"))
     nodes = stored(nodes.filter("node is not null"))
-    pairs = [F.xxhash64(F.lit(i * SIDE + j), F.col("a")[i], F.col("b")[j]) for i in range(SIDE) for j in range(SIDE)]
-    keys = nodes.select("node", F.explode(F.array(*pairs)).alias("key"))
+    tables = [F.struct(F.xxhash64(F.lit(i * SIDE + j), F.col("a")[i], F.col("b")[j]).alias("key"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(SIDE) for j in range(SIDE)]
+    keys = nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("node", "t.*")
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     buckets = stored(keys.join(shared, "key"))
     there = buckets.select("node").distinct()
@@ -155,21 +159,27 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = stored(_sets(texts, k).dropDuplicates(["node"]))
     sketch = sets.drop("set")
 
-    first = [F.min_by("node", F.xxhash64(F.lit(r), "node")).alias(f"l{r}") for r in (1, 2)]
-    leaders = buckets.groupBy("key").agg(*first).select("key", F.explode(F.array("l1", "l2")).alias("leader"))
-    star = buckets.join(leaders, "key").filter("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    least = [F.min_by("node", F.xxhash64(F.lit(r), "node")) for r in range(LEADERS)]
+    leaders = buckets.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    star = buckets.join(leaders, "key").select("node", F.explode("leaders").alias("leader")).filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    star = star.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "leader"))).filter(F.col("r") <= FIRST)
+    star = star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     star = star.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
     star = star.filter(_near("x", "y", percent)).select("a", "b")
     links = stored(_confirmed(star, sets, percent))
     found = connected_components(links)
 
-    held = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    held = buckets.join(found, "node", "left").select("key", "i", "j", "node", F.coalesce("component", "node").alias("component"))
     held = stored(held)
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("of")).filter("of > 1")
-    open_ = held.join(mixed.select("key", "main"), "key").join(sketch, "node")
+    entries = nodes.select("node", *(F.col(x)[i].alias(f"{x}{i}") for x in "ab" for i in range(SIDE)))
+    open_ = held.join(mixed.select("key", "main"), "key").join(sketch, "node").join(entries, "node")
     x, y = open_.filter("component != main").alias("x"), open_.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    for side, at in (("a", "i"), ("b", "j")):  # no earlier entry of either collection agrees: this is the first table they share
+        for e in range(SIDE - 1):
+            once = once & ((F.col(f"x.{at}") <= e) | (F.col(f"x.{side}{e}") != F.col(f"y.{side}{e}")))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near("x", "y", percent))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = stored(_confirmed(rest, sets, percent))
