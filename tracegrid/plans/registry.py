@@ -18,3 +18,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def _load() -> None:
+    from tracegrid.plans import anomaly_queries, graph_queries, ranking_queries, span_queries  # noqa: F401
+
+
+_load()
