@@ -1,0 +1,309 @@
+"""The corpus operators against brute force, round trips and held-out accuracy, with nulls, ties, repeats and long texts."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tracegrid.llm import bpe, chat, common, jpeg, lattice, minhash, packing, pii, sharding, simhash, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, __row long, node string, label string"
+WORDS = [a + b for a in ("ba", "ko", "li", "mur", "san") for b in ("ta", "ren", "vo", "xi", "pel", "dun")]
+
+
+def frame(spark, texts, ids=None):
+    """Documents with columns whose names clash with names used inside the operators."""
+    ids = ids or range(len(texts))
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "n", "l") for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd():
+    rng = random.Random(3)
+    base = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(6)]
+    near = [b.replace(b.split()[5], "other", 1) for b in base[:4]]
+    return [None, "", "   \t\n", "one", "Two words", *base, *base[:2], *near, base[0].upper(), "a" * 5000, " ".join(rng.choice(WORDS) for _ in range(9000)), "l'été  à 12€ \n\n x", "<|endoftext|> it's we'll", "\x1c a \x85b  c "]
+
+
+def brute_classes(texts, k):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    of = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+    return {i: (len(sets[i]), of[i], of[i] == i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_minhash_classes(spark, odd, k):
+    rng = random.Random(5)
+    chain, text = [], [rng.choice(WORDS) for _ in range(120)]
+    for _ in range(12):  # each close to the next, the ends far from one another
+        text = [rng.choice(WORDS) if rng.random() < 0.02 else w for w in text]
+        chain.append(" ".join(text))
+    texts = [*odd, *chain]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.classes(frame(spark, texts), k=k).collect()}
+    assert got == brute_classes(texts, k)
+
+
+def test_minhash_nulls_repeats_empty(spark):
+    rows = minhash.classes(frame(spark, ["a b c", "a b c", "a b c", None], [4, 4, None, None])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, False), (-1, 4, False), (4, 4, True), (4, 4, True)]
+    assert minhash.classes(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
+    edges = [(a, b) for a, b in edges if a != b]
+    of = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            of[a] = of[b] = min(of[a], of[b])
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == of
+
+
+def brute_simhash(spark, text):
+    words = [p for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()) for p in re.findall(".{1,12}", w)]
+    pairs = list(zip(words, words[1:], strict=False)) or [(w, None) for w in words]
+    if not pairs:
+        return 0
+    rows = spark.createDataFrame([(a, b, len(a) + len(b or "")) for a, b in pairs], "a string, b string, w int").select(F.xxhash64("a", "b").alias("h"), "w").collect()
+    total = sum(r.w for r in rows)
+    bits = sum(1 << i for i in range(64) if 2 * sum(r.w for r in rows if r.h >> i & 1) > total)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def test_simhash(spark, odd):
+    texts = [*odd, "short"]
+    rows = {r.doc_id: r for r in simhash.compared(frame(spark, texts), every=1).collect()}
+    prints = {i: brute_simhash(spark, t or "") for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        q = len(t) // 4
+        new = t[: len(t) - q] + after[:q]
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert int(r.fingerprint, 16) == prints[i] % (1 << 64)
+        far = lambda a, b: bin((a ^ b) % (1 << 64)).count("1")
+        assert r.near_next == 1 - far(prints[i], prints[(i + 1) % len(texts)]) / 64
+        assert r.n_near == sum(far(prints[i], p) <= simhash.RADIUS for p in prints.values())
+    assert simhash.compared(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_radius_search_is_complete(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    flipped = [b ^ sum(1 << x for x in rng.sample(range(63), rng.randrange(6))) for b in base for _ in range(5)]
+    every = spark.createDataFrame([(x,) for x in [*base, *flipped, base[0]]], "fingerprint long")
+    got = {(r.fingerprint, r.match): r.n for r in simhash.within_radius(spark.createDataFrame([(b,) for b in base], "fingerprint long"), every).collect()}
+    values = [*base, *flipped, base[0]]
+    want = {(b, m): values.count(m) for b in set(base) for m in set(values) if bin(b ^ m).count("1") <= 3}
+    assert got == want
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (64, 20), (40, 3), (7, 2)])
+def test_bpe(spark, odd, chunk, overlap):
+    texts = [*odd, "x  \n\n\n  y " * 30, "\n" * 90 + "z", " " * 70, "ab1!" * 60, "it's 'll " * 20]
+    e = bpe.encoding(public_tokenizers.path(bpe.RANKS))
+    got = {r.doc_id: r for r in bpe.digests(bpe.encode_documents(frame(spark, texts), chunk=chunk, overlap=overlap)).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(e.encode_ordinary(t or ""), "<u4")
+        want = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want, (i, t and t[:30])
+
+
+def test_bpe_decoding_repeats_empty(spark):
+    enc = bpe.encode_documents(frame(spark, ["a b", "a b", None], [1, 1, None]))
+    assert sorted(bytes(r.data) for r in bpe.decode_documents(enc).collect()) == [b"", b"a b", b"a b"]
+    assert bpe.digests(bpe.encode_documents(frame(spark, ["x"]).limit(0))).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", r"a\ ### B: </turn> \\"), (2, 0, "assistant", "early"), (2, 1, None, None), (2, 1, "User", "x: \0"), (3, 0, "system", ""), (3, 1, "user", "q"), (3, 2, "assistant", "é"), (None, 0, "user", "n")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, segments string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.with_probe(table))).collect()}
+    t = r"\### Assistant: </turn> ok"
+    for conv, turns in {1: rows[:2], 3: rows[5:8], None: rows[8:], -7: [(-7, 0, "user", t), (-7, 1, "assistant", t)], 2: [rows[2], rows[3], rows[4]]}.items():
+        learnt = "".join(x[3] or "" for x in turns if x[2] == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in turns).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == want, conv
+    assert (got[1].valid, got[1].complete, got[2].valid, got[3].valid, got[None].complete) == (True, True, False, True, False)
+    assert chat.format_turns(table.limit(0)).count() == 0
+
+
+def test_template_is_reversible():
+    rng = random.Random(4)
+    for _ in range(3000):
+        role = "".join(rng.choice(["\\", "### ", ": ", "</turn>", "U", "0", "\n", "User", "assistant"]) for _ in range(rng.randrange(4)))
+        text = "".join(rng.choice(["\\", "### ", ": ", "</turn>", "a", "#", "<", "/turn>", "\n"]) for _ in range(rng.randrange(9)))
+        written = "".join(s for s, _ in chat.DEFAULT.segments(role or None, text))
+        assert chat.DEFAULT.turn(written) == (role or None, text)
+
+
+def test_lattice_sums_all_segmentations():
+    path = public_tokenizers.path(lattice.DEFAULT.model)
+    x = lattice.Lattice(path, lattice.prior(path), 64)
+
+    def brute(word, first):
+        if not word:
+            return 1.0
+        total, table = 0.0, x.first if first else x.next
+        for k in range(1, len(word) + 1):
+            if word[:k] in table:
+                total += np.exp(table[word[:k]][1]) * brute(word[k:], False)
+        if first:
+            total += np.exp(x.first[""][1]) * brute(word, False)
+        return total
+
+    for w in ("the", "tion", "zebra", "straße"):
+        assert x.forward(w) == pytest.approx(np.log(brute(w, True)) + x.stop, rel=1e-9)
+        # expected counts: every segmentation covers the word once
+        lengths = {i: len(p.lstrip("▁")) for p, (i, _) in lattice.vocabulary(path).items()}
+        assert sum(lengths[i] * c for i, c in x.expected(w)) == pytest.approx(len(w), rel=1e-4)
+
+
+def test_lattice_scores(spark, odd):
+    rng = random.Random(6)
+    texts = [*odd[:13], *(" ".join(rng.choice(WORDS[:8]) for _ in range(40)) for _ in range(30))]
+    got = {r.doc_id: r for r in lattice.score(frame(spark, texts)).collect()}
+    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    counts: dict = {}
+    for i in tokens:
+        for w in tokens[i] if not held[i] else []:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(w in counts for w in t), n)
+        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
+        assert -np.inf < r.score < 0
+    assert got[13].score > 40 * np.log10(1 / 12)  # eight words, known
+    assert lattice.score(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_pii(spark):
+    texts = [
+        "mail bo.x@ex.org, again BO.X@EX.ORG!", "call +1 (212) 555-7713 or +1 212 555 7713 from 10.1.2.3", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "card 4111 1111 1111 1111 and 4111111111111111",
+        "Mrs Smith met Mr. Jones Brown and г-н Петров", None, "", "nothing 12 here 2024-01-01", "bo.x@ex.org", "4111111111111112",
+    ]
+    got = {r.doc_id: r for r in pii.replace(frame(spark, texts)).collect()}
+    for secret in ("bo.x", "BO.X", "555-7713", "10.1.2.3", "04dbebab", "4111 1111 1111", "Smith", "Jones", "Петров"):
+        assert not any(secret in (r.text or "") for r in got.values()), secret
+    assert [got[i].text for i in (5, 6, 7)] == [None, "", texts[7]]
+    mails = re.findall(r"\S+@\S+\w", got[0].text)
+    assert mails[0].upper() == mails[1] and got[8].text == mails[0]  # one entity, one surrogate, in its own capitals
+    digits = lambda s: re.sub(r"\D", "", s)
+    a, b = re.findall(r"\+1[ ()0-9-]+\d", got[1].text)
+    assert digits(a) == digits(b) and "(" in a and "(" not in b
+    c, e = re.findall(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", got[3].text)
+    luhn = lambda s: sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(digits(s)[::-1])) % 10 == 0
+    assert digits(c) == digits(e) and luhn(c) and not luhn(got[9].text)
+    assert got[4].text.split()[1] in pii.NAMES["latin_last"].split() and got[4].text.split()[4] in pii.NAMES["latin_m"].split()
+    assert re.search("[а-я]в$", got[4].text) and [got[i].entities for i in (0, 1, 5, 7)] == [2, 3, 0, 0]
+    assert pii.replace(frame(spark, ["a@b.cd"]), s=pii.Settings(key="other")).first().text != pii.replace(frame(spark, ["a@b.cd"])).first().text
+    assert pii.replace(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    ents = spark.createDataFrame([("name", f"Abc{chr(97 + i // 26)}{chr(97 + i % 26)}", i % 2 == 0) for i in range(300)] + [("ssn", f"{i:09d}", None) for i in range(300)], "kind string, canonical string, female boolean")
+    rows = pii.dictionary(ents).collect()
+    assert len(rows) == 600 == len({(r.kind, r.canonical) for r in rows}) == len({(r.kind, r.surrogate) for r in rows})
+    assert not {r.surrogate for r in rows} & {r.canonical for r in rows}
+
+
+def test_sharding(spark):
+    rows = [(i % 190, f"t{i % 50}" if i % 7 else None, "x", ["a", "b", None, "d"][min(3, i % 9)], 0, 1, "n", "l") for i in range(203)]
+    got = sharding.interleave(spark.createDataFrame(rows, DOCS), 16).collect()
+    size = [sum(r.shard == s for r in got) for s in range(16)]
+    assert len(got) == 203 and max(size) - min(size) <= 1
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(size[s]))
+    for src in ("a", "b", None, "d"):
+        n = [sum(r.shard == s and r.source == src for r in got) for s in range(16)]
+        assert max(n) - min(n) <= 2
+    want = sorted((r[0], len(r[1] or "") + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    again = sharding.interleave(spark.createDataFrame(rows[::-1], DOCS).repartition(5), 16).collect()
+    assert sorted((r.doc_id, r.text_crc32, r.shard, r.slot) for r in again) == sorted((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got)
+    assert sharding.interleave(spark.createDataFrame(rows[:3], DOCS), 16).count() == 3
+    assert sharding.interleave(spark.createDataFrame(rows, DOCS).limit(0), 16).count() == 0
+
+
+def test_positions_over_many_buckets(spark):
+    df = spark.range(5000).withColumn("h", F.xxhash64("id")).withColumn("g", F.col("id") % 3)
+    out = common.with_position(df, ["g"], [common.unit(F.col("h")), "h"], common.unit(F.col("h")), 5000, per_bucket=100).collect()
+    for g in range(3):
+        rows = sorted((r.h % (1 << 64), r.pos) for r in out if r.g == g)
+        assert [p for _, p in rows] == list(range(len(rows)))
+
+
+def test_toxicity(spark):
+    rng = random.Random(8)
+    stems, rows, labels = ["grolk", "zwirb"], [], []
+    for i in range(600):
+        words = [rng.choice(WORDS) for _ in range(40)]
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(40)] = rng.choice(stems) + rng.choice(["a", "en", "ist"])
+        rows.append(" ".join(words))
+        labels.append((i, int(toxic), int(toxic)))
+    rows += [None, "", "GROLKEN grolka zwirba !! ??"]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int, text int")
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, rows), lab).collect()}
+    wrong = sum(got[i].predicted != t for i, t, _ in labels if got[i].held_out)
+    held = sum(got[i].held_out for i in range(600))
+    assert held > 150 and wrong <= 0.02 * held and all(0 <= r.score <= 1 for r in got.values())
+    assert got[600].score == got[601].score < 0.5 and got[602].predicted == 1
+    flipped = spark.createDataFrame([(i, 1 - t if got[i].held_out else t, 0) for i, t, _ in labels], "doc_id long, toxic int, text int")
+    assert {r.doc_id: r.score for r in toxicity.score(frame(spark, rows), flipped).collect()} == {i: r.score for i, r in got.items()}
+    kept = toxicity.clean(frame(spark, rows), lab)
+    assert kept.columns == frame(spark, rows).columns and kept.count() == sum(r.predicted == 0 for r in got.values())
+    assert toxicity.score(frame(spark, rows), lab.limit(0)).filter("score <> 0").count() == 0
+    assert toxicity.score(frame(spark, rows).limit(0), lab).count() == 0
+
+
+def test_packing(spark, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    got = packing.pack(frame(spark, odd), longest=64, keep_ids=True).collect()
+    assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and bin(r.length).count("1") == 1 and r.length <= 64 for r in got)
+    for i, text in enumerate(odd):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        mine = sorted((r.start, r.length, bytes(r.ids), r.ids_crc32, r.doc_tokens) for r in got if r.doc_id == i)
+        assert np.frombuffer(b"".join(m[2] for m in mine), "<u4").tolist() == ids
+        assert all(zlib.crc32(m[2]) == m[3] and m[4] == len(ids) for m in mine)
+    by_length = sorted((r.sequence_id, -r.length) for r in got)
+    assert [x for _, x in by_length] == sorted(x for _, x in by_length)  # a bucket's sequences follow one another
+    assert packing.pack(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_media_round_trip(spark, odd):
+    texts = ["" if t is None else t for t in odd]
+    media = jpeg.store_texts(frame(spark, odd))
+    got = {r.doc_id: r for r in jpeg.features(media).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        full = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+    assert got[0].feature == got[1].feature and got[5].media_sha256 == got[11].media_sha256
+    assert jpeg.store_texts(frame(spark, ["x"]).limit(0)).count() == 0
+    decoded = jpeg.decode_media(media.limit(3).withColumn("media", F.when(F.col("doc_id") != 1, F.col("media")))).collect()
+    assert all((r.rgb is None) == (r.media is None) for r in decoded)
+    ok = next(r for r in decoded if r.rgb is not None)
+    assert len(ok.rgb) == 3 * ok.height * ok.width

@@ -13,8 +13,8 @@ SEED = 20_240_501
 def interleave(docs: DataFrame, shards: int, source: str = "source", seed: int = SEED) -> DataFrame:
     """Put each row into a shard.
 
-    Within each source rows are ranked in a seeded shuffle (by hash); a row's fraction is (rank + 1/2) / rows of its source;
-    all rows are sorted by fraction, so that any run of this order has the mixture; the order is cut into `shards` runs.
+    Within each source rows are ranked in a seeded shuffle (by hash); a row's fraction is (rank + u) / rows of its source, u a
+    hash of the source in [0, 1), which keeps sources of one size from standing in clumps; all rows are sorted by fraction, so that any run of this order has the mixture; the order is cut into `shards` runs.
     Adds to the row's digest: shard, slot (0, 1, ... within the shard). Only ids, sizes and checksums are shuffled.
 
     Nulls: a null source is a source of its own; null text has size 1 and checksum null-safe 0; a null id is hashed as such.
@@ -34,7 +34,7 @@ def interleave(docs: DataFrame, shards: int, source: str = "source", seed: int =
     ranked = with_position(row, ["__source"], [unsigned, *tie], unsigned, n, name="__rank")
     of = row.groupBy(F.col("__source").alias("__s")).agg(F.count("*").alias("__of"))
     ranked = ranked.join(of, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    ranked = stored(ranked.withColumn("__part", (2 * F.col("__rank") + 1) / (2 * F.col("__of"))))
+    ranked = stored(ranked.withColumn("__part", (F.col("__rank") + unit(F.xxhash64(F.lit(seed), F.col("__source")))) / F.col("__of")))
     mixed = with_position(ranked, [], [F.col("__part"), F.col("__source"), *tie], F.col("__part"), n)
     shard = F.expr(f"cast(pos * {shards} div {max(n, 1)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
