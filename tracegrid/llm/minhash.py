@@ -20,6 +20,8 @@ SIDE, ROWS = 10, 2
 SKETCH, DIFFER = 512, 84
 #: Leaders of a bucket, and leaders that a node is compared with at once: those with which it shares most buckets.
 LEADERS, FIRST = 3, 6
+#: Turns of leaders before the buckets that are still mixed are searched in full.
+TURNS = 3
 REMEMBER = 300_000
 
 
@@ -129,6 +131,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("c", common).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
 
 
+def _mixed(buckets: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The buckets' nodes with their components so far; and of the buckets that hold several components the largest one."""
+    if found is None:
+        held = buckets.withColumn("component", F.col("node"))
+    else:
+        held = buckets.join(found, "node", "left").select(*buckets.columns, F.coalesce("component", "node").alias("component"))
+    sizes = held.groupBy("key", "component").agg(F.count("*").alias("c"))
+    return held, sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("of")).filter("of > 1")
+
+
+def _stars(held: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of nodes with leaders of their buckets. In the first turn any node may lead, later the largest component does."""
+    open_ = held.join(mixed.select("key", "main"), "key").select("key", "node", "component", "main")
+    lead = open_ if turn == 0 else open_.filter("component = main")
+    least = [F.min_by("node", F.xxhash64(F.lit(LEADERS * turn + r), "node")) for r in range(LEADERS)]
+    leaders = lead.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    rest = open_ if turn == 0 else open_.filter("component != main")
+    star = rest.join(leaders, "key").select("node", F.explode("leaders").alias("leader")).filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    star = star.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "leader"))).filter(F.col("r") <= FIRST)
+    return star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _spine(found: DataFrame) -> DataFrame:
+    """Links that stand for the components found so far."""
+    return found.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where 100 * intersection >= percent * union of their sets
     of k-word shingles; component_id is the least doc_id reachable.
@@ -137,7 +166,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
        buckets of two nodes or more go on.
     2. Each bucket has LEADERS leaders, its least nodes by as many hashes. Each node is paired with the FIRST leaders with
        which it shares most buckets; so a large group costs a few pairs a node. Pairs are confirmed on whole sets, and
-       components are formed.
+       components are formed. In further turns the nodes outside a bucket's largest component meet new leaders from it.
     3. Buckets that still hold several components are searched in full: each node outside the bucket's largest component
        against all nodes of other components, each pair in the first bucket that it shares only. What passes sizes and
        sketches is confirmed on whole sets, and the final components are formed. So every pair that shares a bucket is
@@ -159,20 +188,16 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = stored(_sets(texts, k).dropDuplicates(["node"]))
     sketch = sets.drop("set")
 
-    least = [F.min_by("node", F.xxhash64(F.lit(r), "node")) for r in range(LEADERS)]
-    leaders = buckets.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
-    star = buckets.join(leaders, "key").select("node", F.explode("leaders").alias("leader")).filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
-    star = star.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "leader"))).filter(F.col("r") <= FIRST)
-    star = star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    star = star.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
-    star = star.filter(_near("x", "y", percent)).select("a", "b")
-    links = stored(_confirmed(star, sets, percent))
-    found = connected_components(links)
+    found = None
+    for turn in range(TURNS):
+        held, mixed = _mixed(buckets, found)
+        star = _stars(held, mixed, turn)
+        star = star.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
+        links = _confirmed(star.filter(_near("x", "y", percent)).select("a", "b"), sets, percent)
+        found = connected_components(links if found is None else _spine(found).union(links))
 
-    held = buckets.join(found, "node", "left").select("key", "i", "j", "node", F.coalesce("component", "node").alias("component"))
+    held, mixed = _mixed(buckets, found)
     held = stored(held)
-    sizes = held.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("of")).filter("of > 1")
     entries = nodes.select("node", *(F.col(x)[i].alias(f"{x}{i}") for x in "ab" for i in range(SIDE)))
     open_ = held.join(mixed.select("key", "main"), "key").join(sketch, "node").join(entries, "node")
     x, y = open_.filter("component != main").alias("x"), open_.alias("y")
@@ -184,10 +209,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = stored(_confirmed(rest, sets, percent))
     if more.limit(1).count():
-        # components found so far stand for their links
-        spine = found.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        found = connected_components(spine.union(more))
-    for t in (buckets, sets, held, links):
+        found = connected_components(_spine(found).union(more))
+    for t in (buckets, sets, held):
         discard(t)
     named = nodes.select(F.col("digest").alias("__digest"), "node").join(found, "node", "left")
     named = named.select("__digest", F.coalesce("component", "node").alias("component_id"))
