@@ -93,20 +93,20 @@ def _next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, next_id, n_chars, text, edited: the last quarter of the code points replaced by the first of the next
+    """k, z (the id, 0 for null; whether it is null), row_id, doc_id, next_id, n_chars, text, edited: the last quarter of the code points replaced by the first of the next
     document. Rows that share a doc_id have the same next document, of which the least text counts."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("z"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     n = rows.groupBy("doc_id").agg(F.max(quarter).alias("need"))
-    need = _next_ids(docs).join(n.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
-    need = stored(need.select(F.col("doc_id").alias("of"), "next_id", "need"))
-    heads = rows.join(need, F.col("doc_id").eqNullSafe(F.col("next_id"))).select("of", "next_id", F.expr("substring(text, 1, need)").alias("head"))
-    heads = heads.groupBy("of").agg(F.min("head").alias("head"), F.first("next_id").alias("next_id"))
-    out = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("of")))
+    need = _next_ids(docs).join(n.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+    need = stored(need.select(F.coalesce("doc_id", F.lit(0)).alias("of_k"), F.col("doc_id").isNull().alias("of_z"), "next_id", F.coalesce("next_id", F.lit(0)).alias("nk"), F.col("next_id").isNull().alias("nz"), "need"))
+    heads = rows.join(need, (F.col("k") == F.col("nk")) & (F.col("z") == F.col("nz"))).select("of_k", "of_z", "next_id", F.expr("substring(text, 1, need)").alias("head"))
+    heads = heads.groupBy("of_k", "of_z").agg(F.min("head").alias("head"), F.first("next_id").alias("next_id"))
+    out = rows.join(heads, (F.col("k") == F.col("of_k")) & (F.col("z") == F.col("of_z")))
     keep = (F.col("n_chars") - quarter).cast("int")
     text = F.concat(F.substring("text", F.lit(1), keep), F.substring("head", F.lit(1), quarter))
-    return out.select("row_id", "doc_id", "next_id", "n_chars", "text", text.alias("edited"))
+    return out.select("k", "z", "row_id", "doc_id", "next_id", "n_chars", "text", text.alias("edited"))
 
 
 def compared(docs: DataFrame, every: int = 100) -> DataFrame:
@@ -117,12 +117,12 @@ def compared(docs: DataFrame, every: int = 100) -> DataFrame:
     next. Repeated rows are returned each. Other columns are ignored; an empty table gives none.
     """
     both = edited(docs)
-    texts = both.select("row_id", "doc_id", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    keys = ["row_id", "doc_id", "next_id", "n_chars", "edited_sha256", "kind"]
-    flat = texts.select(*keys[:5], "x.kind", "x.text")
-    voted = fingerprints(flat, keys, "text")
-    rows = stored(voted)
-    own = rows.groupBy(*keys[:5]).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("efp"))
+    # k and z, the id without null, stay among the keys: rows lie together by them after the join, so nothing is dealt anew
+    keys = ["k", "z", "row_id", "doc_id", "next_id", "n_chars", "edited_sha256"]
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))
+    flat = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, sides.alias("x")).select(*keys, "x.kind", "x.text")
+    voted = fingerprints(flat, [*keys, "kind"], "text")
+    own = voted.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("efp"))
     own = stored(own)
     following = own.groupBy(F.col("doc_id").alias("id")).agg(F.min("fp").alias("nfp"))
     asked = own.filter(F.col("doc_id") % every == 0).select(F.col("fp").alias("fingerprint"))
