@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrid.functions.lineage import cut
+
 
 def reachable(edges: DataFrame, keys: list[str] | None = None, rounds: int = 64) -> DataFrame:
     """keys, source, target, distance for every target that a source reaches, by the shortest way (at least one edge).
@@ -15,26 +17,19 @@ def reachable(edges: DataFrame, keys: list[str] | None = None, rounds: int = 64)
     keys = keys or []
     e = edges.select(*keys, "source", "target").distinct()
     step = e.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("source").alias("__s"), F.col("target").alias("__t"))
-    seen = new = _cut(e.withColumn("distance", F.lit(1)))
+    seen = new = cut(e.withColumn("distance", F.lit(1)))
     for d in range(2, rounds + 1):
         on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("target") == F.col("__s")]
         ahead = new.join(step, on).select(*keys, "source", F.col("__t").alias("target")).distinct()
         old = seen.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("source").alias("__a"), F.col("target").alias("__b"))
         fresh = ahead.join(old, [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("source") == F.col("__a"), F.col("target") == F.col("__b")], "left_anti")
-        new = _cut(fresh.withColumn("distance", F.lit(d)))
+        new = cut(fresh.withColumn("distance", F.lit(d)))
         if new.isEmpty():
             break
-        seen = _cut(seen.unionByName(new))
+        seen = cut(seen.unionByName(new))
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage where the session has a checkpoint folder; else keep the rows in memory and on disk."""
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.persist()
-
-
 def affected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(candidate, service): the candidate itself and everyone who calls it, however far away. edges: source calls target."""
     up = reachable(edges).select(F.col("target").alias("candidate"), F.col("source").alias("service"))
