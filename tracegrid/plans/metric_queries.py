@@ -110,7 +110,7 @@ def jon08(spark, d):
     return w.groupBy("service", "family", "phase").agg(F.count("*").alias("n"), r(F.sum("x"), 3).alias("x"), r(F.sum("y"), 3).alias("y"))
 
 
-@query("met09_robust_line", f"{P}, {PAIRS} SELECT service, family, round(coalesce(regr_slope(y, x), 0), 5) AS slope, round(CASE WHEN regr_slope(y, x) IS NULL THEN avg(y) ELSE regr_intercept(y, x) END, 5) AS intercept FROM pr WHERE phase = 'baseline' GROUP BY 1, 2")
+@query("met09_robust_line", f"{P}, {PAIRS} SELECT service, family, round(CASE WHEN count(DISTINCT x) < 2 THEN 0 ELSE regr_slope(y, x) END, 5) AS slope, round(CASE WHEN count(DISTINCT x) < 2 THEN avg(y) ELSE regr_intercept(y, x) END, 5) AS intercept FROM pr WHERE phase = 'baseline' GROUP BY 1, 2")
 def met09(spark, d):
     """One round is the least-squares line; more rounds are held against numpy in the tests."""
     p = M.workload_pairs(B.points(spark, d)).filter("phase = 'baseline'")
