@@ -16,18 +16,18 @@ def ingest(spans: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return ok.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
 
 
-def linked(spans: DataFrame, keep_ms: int = 600_000) -> DataFrame:
+def linked(spans: DataFrame, delay: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
     """(trace_id, source, target, ts) of calls between services, each child once, whichever of child and parent comes first.
 
-    State of a trace: services of its spans, and children whose parent is still missing. It goes `keep_ms` after the trace's
-    last span. A cap on the number of traces over all partitions does not exist: the time bounds the state.
+    State of a trace: services of its spans, and children whose parent is still missing. It goes once the watermark is `keep_ms`
+    past the trace's last span; spans later than the watermark are dropped. A cap on the number of traces over all partitions does not exist: the time bounds the state.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known, waiting = ({}, [])
+        known, waiting, last = {}, [], 0
         if state.exists:
             ids, services, kids, parents, of, at = state.get
             known, waiting = dict(zip(ids, services, strict=True)), list(zip(kids, parents, of, at, strict=True))
@@ -37,6 +37,7 @@ def linked(spans: DataFrame, keep_ms: int = 600_000) -> DataFrame:
                 if s in known:
                     continue
                 known[s] = v
+                last = max(last, ts.value // 1_000_000)
                 if isinstance(p, str) and p:
                     waiting.append((s, p, v, ts.value // 1000))
         still = []
@@ -47,15 +48,15 @@ def linked(spans: DataFrame, keep_ms: int = 600_000) -> DataFrame:
                 out.append((key[0], known[p], v, pd.Timestamp(at * 1000)))
         columns = list(zip(*still, strict=True)) or [(), (), (), ()]
         state.update((list(known), list(known.values()), *map(list, columns)))
-        state.setTimeoutDuration(keep_ms)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_ms)
         yield pd.DataFrame(out, columns=["trace_id", "source", "target", "ts"])
 
-    return spans.groupBy("trace_id").applyInPandasWithState(
+    return spans.withWatermark("ts", delay).groupBy("trace_id").applyInPandasWithState(
         step,
         "trace_id string, source string, target string, ts timestamp",
         "ids array<string>, services array<string>, kids array<string>, parents array<string>, owners array<string>, at array<bigint>",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
