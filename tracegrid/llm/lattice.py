@@ -26,7 +26,7 @@ class Settings:
     model: str = "piece_bpe_32k.model"
     by: str = "lang"
     classes: int = 8
-    rounds: int = 3
+    rounds: int = 2
     common: int = 60_000
     folds: int = 5
     held: int = 1
@@ -86,78 +86,72 @@ def normal(logs: np.ndarray, path: str, stop: float) -> np.ndarray:
 
 
 class Lattice:
-    """Forward recursion over the segmentations of a word into pieces: a start piece (or the bare mark), then others."""
+    """Forward recursion over the segmentations of a word into pieces: a start piece (or the bare mark), then others.
 
-    def __init__(self, path: str, logs: np.ndarray, longest: int):
+    `logs`: one or several lists of log-probabilities by piece id; the arcs of a word are found once for all of them.
+    """
+
+    def __init__(self, path: str, logs: list[np.ndarray], longest: int):
         v = vocabulary(path)
-        self.first = {p[1:]: (i, logs[i]) for p, (i, _) in v.items() if p.startswith(_START) and np.isfinite(logs[i])}
-        self.next = {p: (i, logs[i]) for p, (i, _) in v.items() if not p.startswith(_START) and not (len(p) == 6 and p.startswith("<0x")) and np.isfinite(logs[i])}
-        self.byte = {int(p[3:5], 16): (i, logs[i]) for p, (i, _) in v.items() if len(p) == 6 and p.startswith("<0x")}
-        self.most, self.stop, self.longest = max(map(len, v)), float(logs[-1]), longest
-
-    def arcs(self, word: str) -> list[list[tuple[int, int, float]]]:
-        """For each place after 0: (place before, piece, log-probability). Code points without a piece are spelt in bytes,
-        which is shown as one arc with the id of the first."""
-        n, out = len(word), [[] for _ in range(len(word) + 1)]
-        for b in range(1, n + 1):
-            into, a = out[b], b - 1
+        byte = lambda p: len(p) == 6 and p.startswith("<0x")
+        self.first = {p[1:]: i for p, (i, _) in v.items() if p.startswith(_START)}
+        self.next = {p: i for p, (i, _) in v.items() if not p.startswith(_START) and not byte(p)}
+        self.byte = {int(p[3:5], 16): i for p, (i, _) in v.items() if byte(p)}
+        self.most, self.longest, self.logs = max(map(len, v)), longest, [x.tolist() for x in logs]
+
+    def arcs(self, word: str, inner: bool = False) -> list[list[tuple[int, tuple[int, ...]]]]:
+        """For each place after 0: (place before, pieces). Place -1 is the word's start, without the bare mark. A code point
+        that is no piece is spelt in bytes, which is one arc of several pieces. inner: not the start of a word."""
+        out, first, after = [[]], self.first, self.next
+        for b in range(1, len(word) + 1):
+            into = []
+            if not inner and (i := first.get(word[:b])) is not None:
+                into.append((-1, (i,)))
             for a in range(max(0, b - self.most), b):
-                piece = word[a:b]
-                if a == 0:
-                    p = self.first.get(piece)
-                    if p:
-                        into.append((-1, *p))
-                p = self.next.get(piece)
-                if p:
-                    into.append((a, *p))
-            if not any(x[0] == b - 1 for x in into):
-                raw = word[b - 1].encode("utf-8", "surrogatepass")
-                into.append((b - 1, self.byte[raw[0]][0], sum(self.byte[x][1] for x in raw)))
+                i = after.get(word[a:b])
+                if i is not None:
+                    into.append((a, (i,)))
+            if not into or into[-1][0] != b - 1:
+                into.append((b - 1, tuple(self.byte[x] for x in word[b - 1].encode("utf-8", "surrogatepass"))))
+            out.append(into)
         return out
 
-    def forward(self, word: str) -> float:
-        """Log of the word's probability, all segmentations together; very long words are cut into parts that follow on."""
-        if len(word) > self.longest:
-            head, rest = word[: self.longest], word[self.longest :]
-            total = self._sum(self.arcs(head))[0][-1]
-            for k in range(0, len(rest), self.longest):
-                part = self.arcs(rest[k : k + self.longest])
-                total += self._sum([[x for x in into if x[0] >= 0] for into in part], inner=True)[0][-1]
-            return total + self.stop
-        return self._sum(self.arcs(word))[0][-1] + self.stop
-
-    def _sum(self, arcs: list, inner: bool = False) -> tuple[list[float], float]:
-        bare = self.first.get("", (0, -20.0))[1]
-        f = [0.0 if inner else bare]
-        exp, log = math.exp, math.log
+    def _parts(self, word: str) -> Iterator[tuple[list, bool]]:
+        """Very long words are cut into parts that follow on."""
+        for k in range(0, len(word) or 1, self.longest):
+            yield self.arcs(word[k : k + self.longest], inner=k > 0), k > 0
+
+    def forward(self, word: str) -> list[float]:
+        """Log of the word's probability, all segmentations together, for each list of logs."""
+        parts = list(self._parts(word))
+        return [sum(self._sum(arcs, logs, inner)[-1] for arcs, inner in parts) + logs[-1] for logs in self.logs]
+
+    def _sum(self, arcs: list, logs: list[float], inner: bool) -> list[float]:
+        f, exp, log = [0.0 if inner else logs[self.first[""]]], math.exp, math.log
         for into in arcs[1:]:
-            best, total = -math.inf, 0.0
-            terms = [(f[a] if a >= 0 else 0.0) + w for a, _, w in into]
-            best = max(terms)
-            total = sum([exp(t - best) for t in terms]) if len(terms) > 1 else 1.0
-            f.append(best + log(total))
-        return f, bare
+            terms = [(f[a] if a >= 0 else 0.0) + (logs[p[0]] if len(p) == 1 else sum([logs[x] for x in p])) for a, p in into]
+            if len(terms) == 1:
+                f.append(terms[0])
+            else:
+                best = max(terms)
+                f.append(best + log(sum([exp(t - best) for t in terms])))
+        return f
 
     def expected(self, word: str) -> list[tuple[int, float]]:
-        """(piece, expected count) over the word's segmentations, by the forward and a backward recursion."""
-        out: list[tuple[int, float]] = []
-        for k in range(0, len(word), self.longest):
-            part = word[k : k + self.longest]
-            arcs = self.arcs(part)
-            if k:
-                arcs = [[x for x in into if x[0] >= 0] for into in arcs]
-            f, _ = self._sum(arcs, inner=bool(k))
-            n, exp = len(part), math.exp
-            back = [0.0] * (n + 1)  # relative to the whole: probability of what follows over the total
-            back[n] = 1.0
-            for b in range(n, 0, -1):
+        """(piece, expected count) over the word's segmentations by the first logs, by a forward and a backward recursion."""
+        out, exp, logs = [], math.exp, self.logs[0]
+        for arcs, inner in self._parts(word):
+            f = self._sum(arcs, logs, inner)
+            back = [0.0] * len(f)  # the share of all paths that pass a place
+            back[-1] = 1.0
+            for b in range(len(f) - 1, 0, -1):
                 if not back[b]:
                     continue
-                for a, i, w in arcs[b]:
-                    before = f[a] if a >= 0 else 0.0
-                    share = back[b] * exp(min(0.0, before + w - f[b]))
+                for a, p in arcs[b]:
+                    w = logs[p[0]] if len(p) == 1 else sum([logs[x] for x in p])
+                    share = back[b] * exp(min(0.0, (f[a] if a >= 0 else 0.0) + w - f[b]))
                     if share > 1e-6:
-                        out.append((i, share))
+                        out += [(i, share) for i in p]
                         if a >= 0:
                             back[a] += share
         return out
@@ -195,7 +189,7 @@ def _piece_counts(words: DataFrame, path: str, logs: np.ndarray, longest: int, k
     cs = [f"c{i}" for i in range(k)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, held = Lattice(path, logs, longest), np.zeros((k, len(logs)))
+        lattice, held = Lattice(path, [logs], longest), np.zeros((k, len(logs)))
         for f in frames:
             weights = np.sqrt(f[cs].to_numpy(float)).T
             at, piece, share = [], [], []
@@ -261,11 +255,12 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         *(F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col(f"c{i}"))), F.lit(0)).alias(f"D{i}") for i in range(k)), *(F.count_if(F.col(f"c{i}") == 1).alias(f"U{i}") for i in range(k)),
     ).first()
     total, distinct = stats["N"], stats["V"]
+    spread = words.repartition(max(1, min(20_000, distinct // 20_000)))  # the recursions cost far more than the bytes tell
     alive = [i for i in range(k) if stats[f"N{i}"]] or [0]
     logs = prior(path)
     own = [logs] * len(alive)
     for _ in range(s.rounds if total else 0):
-        e = _piece_counts(words, path, logs, s.longest, k)
+        e = _piece_counts(spread, path, logs, s.longest, k)
         logs = estimated(e.sum(axis=0), logs, path)
         own = [estimated(e[i], logs, path) for i in alive]
 
@@ -277,9 +272,9 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     base = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
     lp = [f"lp{j}" for j in range(len(alive))]
 
-    def word_logs(word: bytes, counts: list[int], lattices: list[Lattice]) -> list[float]:
-        """Log-probability of the word in each class; one lattice for all classes, or one for each."""
-        subs = [x.forward(word.decode("utf-8", "surrogatepass")) for x in lattices]
+    def word_logs(word: bytes, counts: list[int], lattice: Lattice) -> list[float]:
+        """Log-probability of the word in each class; the lattice has logs for all classes together, or for each."""
+        subs = lattice.forward(word.decode("utf-8", "surrogatepass"))
         out = []
         for c, n, new, e, sub in zip(counts, size, fresh, end, subs * len(alive) if len(subs) == 1 else subs, strict=True):
             inside = math.exp(sub) * new if sub > -700 else 0.0
@@ -288,13 +283,13 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         return out
 
     def table(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = [Lattice(path, logs, s.longest)]  # where a class knows the word, its arc over all of it decides
+        lattice = Lattice(path, [logs], s.longest)  # where a class knows the word, its arc over all of it decides
         for f in frames:
             counts = list(zip(*(f[f"c{i}"] for i in alive), strict=True))
             got = [word_logs(w, c, lattice) if w else [math.log(max(e, 1e-12)) for e in end] for w, c in zip(f["word"], counts, strict=True)]
             yield pd.DataFrame({"key": [_key(w) for w in f["word"]], "n": f["n"], **{x: [g[j] for g in got] for j, x in enumerate(lp)}})
 
-    scored = stored(words.mapInPandas(table, "key long, n long, " + ", ".join(f"{x} double" for x in lp)))
+    scored = stored(spread.mapInPandas(table, "key long, n long, " + ", ".join(f"{x} double" for x in lp)))
     head = scored.orderBy(F.desc("n"), "key").limit(s.common).collect()  # bounded by common
     place = {r["key"]: i for i, r in enumerate(head)}
     values = np.array([[r["n"], base(r["n"]), *(r[x] for x in lp)] for r in head]).reshape(len(head), 2 + len(lp))
@@ -343,7 +338,7 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     known = hit.select("row_id", F.col("tf").cast("long").alias("n_known"), (F.col("tf") * F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))).alias("base"), *((F.col("tf") * F.col(x)).alias(x) for x in lp))
 
     def unseen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, held, zero = [Lattice(path, x, s.longest) for x in own], {}, [0] * len(alive)
+        lattice, held, zero = Lattice(path, own, s.longest), {}, [0] * len(alive)
         for f in frames:
             if len(held) > 50_000:
                 held.clear()
