@@ -142,9 +142,9 @@ def grid(spark, d):
     return M.complete_grid(few.unionByName(p.limit(0)), START, START + 360 * DAY, 30 * DAY)
 
 
-@query("jon10_complete_grid", f"{P}, {GRID} SELECT service, family, slot, state, round(value, 6) AS value FROM gr WHERE (service, family) IN (SELECT (service, family) FROM m)")
+@query("jon10_complete_grid", f"{P}, {GRID} SELECT service, family, slot, state, round(value, 4) AS value FROM gr WHERE (service, family) IN (SELECT (service, family) FROM m)")
 def jon10(spark, d):
-    return grid(spark, d).withColumn("value", r("value"))
+    return grid(spark, d).withColumn("value", r("value", 4))
 
 
 @query("met19_grid_reference", f"""{P}, {GRID}, g AS (SELECT service, family, count(*) FILTER (state = 'OBSERVED') AS n, avg(CAST(state = 'OBSERVED' AS INT)) AS support, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM gr GROUP BY 1, 2)
