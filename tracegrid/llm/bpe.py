@@ -177,7 +177,9 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK, ov
     def direct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for f in frames:
-            yield pd.DataFrame({"row_id": f["row_id"], "doc_id": f["doc_id"], "ids": [encode(t) for t in f["text"]]})
+            for a in range(0, len(f), 1000):  # ids take more room than their text
+                g = f.iloc[a : a + 1000]
+                yield pd.DataFrame({"row_id": g["row_id"], "doc_id": g["doc_id"], "ids": [encode(t) for t in g["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     short = rows.filter(F.length("text") <= chunk).mapInPandas(direct, f"row_id long, doc_id {kind}, ids binary")
