@@ -57,6 +57,33 @@ def test_dependency_overlap(spark):
     assert (r.overlap_median, r.residual_median, r.entries, r.clipped) == (0.8, 20, 1, 0)
 
 
+def test_walks_reach_the_end_of_deep_traces(spark):
+    deep = 24  # spans of one service below the entry; the last two are a client call and another service's server
+    rows = [("n0", None, "a", "SERVER", 0, 100), *((f"n{i}", f"n{i - 1}", "a", "INTERNAL", 0, 100) for i in range(1, deep)), ("c", f"n{deep - 1}", "a", "CLIENT", 10, 50), ("x", "c", "b", "SERVER", 20, 40)]
+    df = spans(spark, rows)
+    below = S.descendants(df).filter("ancestor = 'n0'").collect()
+    assert {r.span_id: r.level for r in below} == {**{f"n{i}": i for i in range(1, deep)}, "c": deep, "x": deep + 1} and len(below) == deep + 1
+    r = S.exclusive_time(df).filter("span_id = 'n0'").first()
+    assert (r.wait_us, r.exclusive_us) == (50, 50)
+    r = next(x for x in S.dependency_overlap(df, ["incident_id"]).collect() if x.service == "a")
+    assert (r.entries, r.overlap_median, r.residual_median) == (1, 0.4, 60)
+
+
+def test_walks_end_on_cyclic_parents(spark):
+    df = spans(spark, [("e", None, "b", "SERVER", 0, 100), ("p", "q", "a", "CLIENT", 10, 20), ("q", "p", "a", "SERVER", 0, 50), ("s", "s", "a", "SERVER", 0, 9), ("k", "q", "b", "SERVER", 12, 5)])
+    assert {(r.ancestor, r.span_id, r.level) for r in S.descendants(df).collect()} == {("p", "q", 1), ("q", "p", 1), ("q", "k", 1), ("p", "k", 2)}
+    assert {r.span_id: r.wait_us for r in S.exclusive_time(df).collect()} == {"e": 0, "q": 20, "s": 0, "k": 0}
+    # a span of two copies with different parents: the entry's walk meets the cycle x, y
+    loop = spans(spark, [("e", None, "a", "SERVER", 0, 100), ("x", "e", "a", "INTERNAL", 0, 9), ("x", "y", "a", "INTERNAL", 0, 9), ("y", "x", "a", "INTERNAL", 0, 9), ("z", "y", "b", "SERVER", 0, 10)])
+    r = S.dependency_overlap(loop, ["incident_id"]).filter("service = 'a'").first()
+    assert (r.entries, r.overlap_median, r.clipped) == (1, 0.1, 0)
+
+
+def test_reachable_beyond_64_services(spark):
+    got = G.reachable(spark.createDataFrame([(i, i + 1) for i in range(70)], "source long, target long")).filter("source = 0").collect()
+    assert {r.target: r.distance for r in got} == {i: i for i in range(1, 71)}
+
+
 def test_failures(spark):
     df = spark.createDataFrame([(0,), (14,), (500,), (None,)], "c int")
     assert [r[0] for r in df.select(S.failed_code(F.col("c"))).collect()] == [False, True, True, False]

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for them, which survives lost executors; else kept in memory and on disk,
-    from where Spark recomputes what is lost."""
+    """A checkpoint where the session has a folder for them, which survives lost executors; else one in the executors' memory
+    and on their disks, which does not. Both cut the plan, so that a loop may have any number of rounds."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir"):
         return df.checkpoint()
-    return df.persist()
+    return df.localCheckpoint()

@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from tracegrid.functions.lineage import cut
 
 
-def reachable(edges: DataFrame, keys: list[str] | None = None, rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, source, target, distance for every target that a source reaches, by the shortest way (at least one edge).
 
     Semi-naive: each round extends only what the last one found, and stops when nothing new appears. A node on a cycle reaches
-    itself. Each round is checkpointed where a checkpoint folder is set, so that the plan does not grow.
+    itself. Each round is cut, so that the plan does not grow; there are as many as the longest shortest way has edges.
     """
     keys = keys or []
     e = edges.select(*keys, "source", "target").distinct()
     step = e.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("source").alias("__s"), F.col("target").alias("__t"))
     seen = new = cut(e.withColumn("distance", F.lit(1)))
-    for d in range(2, rounds + 1):
+    d = 1
+    while True:
+        d += 1
         on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("target") == F.col("__s")]
         ahead = new.join(step, on).select(*keys, "source", F.col("__t").alias("target")).distinct()
         old = seen.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("source").alias("__a"), F.col("target").alias("__b"))
         fresh = ahead.join(old, [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("source") == F.col("__a"), F.col("target") == F.col("__b")], "left_anti")
         new = cut(fresh.withColumn("distance", F.lit(d)))
         if new.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(new))
-    return seen
 
 
 def affected(edges: DataFrame, nodes: DataFrame) -> DataFrame:

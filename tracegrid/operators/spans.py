@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions import stats
+from tracegrid.functions.lineage import cut
 
 TRACE = ["incident_id", "trace_id"]
 
@@ -144,26 +145,31 @@ def service_graph(spans: DataFrame, keys: list[str]) -> DataFrame:
 # ---- interval algebra ------------------------------------------------------------------------------------------------------
 
 
-def descendants(spans: DataFrame, depth: int = 16) -> DataFrame:
-    """(trace_id, ancestor, span_id, level) for levels 1 to depth, by joining one level at a time.
+def descendants(spans: DataFrame) -> DataFrame:
+    """(trace_id, ancestor, span_id, level) for all levels, by joining one level at a time, until a level is empty.
 
-    Stops as soon as a level is empty; each level is checkpointed, so the plan stays short.
+    A span counts once below an ancestor, at its least level, and never below itself; so walks end where parents form a cycle.
+    Each level is cut, so the plan stays short.
     """
-    kid = spans.select(F.col("trace_id").alias("t"), F.col("parent_span_id").alias("p"), F.col("span_id").alias("c"))
-    level = kid.filter("p <> ''").select(F.col("t").alias("trace_id"), F.col("p").alias("ancestor"), F.col("c").alias("span_id"), F.lit(1).alias("level"))
-    out = level
-    for d in range(2, depth + 1):
-        level = level.join(kid, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("p"))).select("trace_id", "ancestor", F.col("c").alias("span_id"), F.lit(d).alias("level"))
-        out = out.unionByName(level)
+    kid = cut(spans.filter("parent_span_id <> ''").select(F.col("trace_id").alias("t"), F.col("parent_span_id").alias("p"), F.col("span_id").alias("c")).distinct())
+    new = cut(kid.filter("p <> c").select(F.col("t").alias("trace_id"), F.col("p").alias("ancestor"), F.col("c").alias("span_id"), F.lit(1).alias("level")))
+    out, d = new, 1
+    while not new.isEmpty():
+        d += 1
+        ahead = new.join(kid, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("p"))).filter("ancestor <> c").select("trace_id", "ancestor", F.col("c").alias("span_id")).distinct()
+        old = out.select(F.col("trace_id").alias("ot"), F.col("ancestor").alias("oa"), F.col("span_id").alias("os"))
+        fresh = ahead.join(old, (F.col("trace_id") == F.col("ot")) & (F.col("ancestor") == F.col("oa")) & (F.col("span_id") == F.col("os")), "left_anti")
+        new = cut(fresh.withColumn("level", F.lit(d)))
+        out = out.unionByName(new)
     return out
 
 
-def exclusive_time(spans: DataFrame, kinds: tuple[str, ...] = ("SERVER",), depth: int = 3) -> DataFrame:
+def exclusive_time(spans: DataFrame, kinds: tuple[str, ...] = ("SERVER",)) -> DataFrame:
     """Each server span's time without the union of its same-service CLIENT descendants, clipped to it: wait_us,
     exclusive_us and their ratio to the duration."""
     server = spans.filter(F.col("kind").isin(*kinds)).withColumn("end_us", F.col("start_us") + F.col("duration_us"))
     client = spans.filter("kind = 'CLIENT'").select(F.col("trace_id").alias("ct"), F.col("span_id").alias("cs"), F.col("service").alias("cv"), F.col("start_us").alias("ca"), (F.col("start_us") + F.col("duration_us")).alias("cb"))
-    below = descendants(spans, depth).select(F.col("trace_id").alias("dt"), F.col("ancestor").alias("da"), F.col("span_id").alias("ds"))
+    below = descendants(spans).select(F.col("trace_id").alias("dt"), F.col("ancestor").alias("da"), F.col("span_id").alias("ds"))
     pairs = server.join(below, (F.col("trace_id") == F.col("dt")) & (F.col("span_id") == F.col("da"))).join(client, (F.col("dt") == F.col("ct")) & (F.col("ds") == F.col("cs")) & (F.col("service") == F.col("cv")) & (F.col("ca") < F.col("end_us")) & (F.col("cb") > F.col("start_us")))
     clipped = pairs.select(F.col("trace_id").alias("wt"), F.col("span_id").alias("ws"), F.greatest("ca", "start_us").alias("a"), F.least("cb", "end_us").alias("b"))
     wait = stats.interval_union(clipped, ["wt", "ws"], "a", "b", "wait_us")
@@ -183,12 +189,12 @@ def operation_evidence(timed: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def window_summary(spans: DataFrame, keys: list[str], seconds: int, depth: int = 3) -> DataFrame:
+def window_summary(spans: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     """Per window and service: counts, rates, duration quantiles (ms) and medians of exclusive and wait time.
 
     Server and UNKNOWN spans count as requests; a service without any is summed up over all its spans.
     """
-    timed = exclusive_time(spans, ("SERVER", "UNKNOWN"), depth).select(F.col("trace_id").alias("xt"), F.col("span_id").alias("xs"), "wait_us", "exclusive_us")
+    timed = exclusive_time(spans, ("SERVER", "UNKNOWN")).select(F.col("trace_id").alias("xt"), F.col("span_id").alias("xs"), "wait_us", "exclusive_us")
     w = spans.withColumn("window_us", F.floor(F.col("start_us") / (seconds * 1_000_000)) * (seconds * 1_000_000)).withColumn("request", F.col("kind").isin("SERVER", "UNKNOWN"))
     w = w.join(timed, (F.col("trace_id") == F.col("xt")) & (F.col("span_id") == F.col("xs")), "left").drop("xt", "xs")
     w = w.withColumn("counts", F.col("request") | ~F.bool_or("request").over(Window.partitionBy(*keys, "window_us", "service")))
@@ -200,29 +206,34 @@ def window_summary(spans: DataFrame, keys: list[str], seconds: int, depth: int =
     )
 
 
-def timing_projection(spans: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
+def timing_projection(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Per service: durations, waits and exclusive times as they are, null where there was no server span; lost parents."""
-    timed = exclusive_time(spans, ("SERVER",), depth)
+    timed = exclusive_time(spans, ("SERVER",))
     t = timed.groupBy(*keys, "service").agg(F.percentile("duration_us", 0.5).alias("duration_median"), F.percentile("duration_us", 0.9).alias("duration_p90"), F.max("duration_us").alias("duration_max"), F.percentile("wait_us", 0.5).alias("wait_median"), F.percentile("exclusive_us", 0.5).alias("exclusive_median"))
     lost = with_parent(spans, ("service",)).groupBy(*keys, "service").agg(F.count("*").alias("spans"), F.count_if((F.coalesce("parent_span_id", F.lit("")) != "") & F.col("parent_found").isNull()).alias("lost_parents"))
     return lost.join(t, [*keys, "service"], "left")
 
 
-def dependency_overlap(spans: DataFrame, keys: list[str], depth: int = 6) -> DataFrame:
+def dependency_overlap(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Per service: entry spans (no parent in the service) against the union of the first spans of other services below them.
 
-    Walks down through the service's own spans and stops at the first of another service; intervals are clipped to the entry.
+    Walks down through the service's own spans, however deep, and stops at the first of another service; intervals are clipped
+    to the entry. A span is walked through once from an entry, so walks end where parents form a cycle.
     """
     end = (F.col("start_us") + F.col("duration_us")).alias("end_us")
     linked = with_parent(spans, ("service",))
-    entry = linked.filter("parent_service is null or parent_service <> service").select(*keys, "trace_id", F.col("span_id").alias("entry"), F.col("service").alias("own"), F.col("start_us").alias("ea"), end.alias("eb"))
+    entry = cut(linked.filter("parent_service is null or parent_service <> service").select(*keys, "trace_id", F.col("span_id").alias("entry"), F.col("service").alias("own"), F.col("start_us").alias("ea"), end.alias("eb")))
     kid = spans.select(F.col("trace_id").alias("t"), F.col("parent_span_id").alias("p"), F.col("span_id").alias("c"), F.col("service").alias("s"), F.col("start_us").alias("a"), (F.col("start_us") + F.col("duration_us")).alias("b"))
+    kid = cut(kid.filter("p <> ''"))
     at, found = entry.withColumn("at", F.col("entry")), None
-    for _ in range(depth):
-        step = at.join(kid, (F.col("trace_id") == F.col("t")) & (F.col("at") == F.col("p")))
+    seen = at.select(F.col("trace_id").alias("vt"), F.col("entry").alias("ve"), F.col("at").alias("va"))
+    while found is None or not at.isEmpty():
+        step = cut(at.join(kid, (F.col("trace_id") == F.col("t")) & (F.col("at") == F.col("p"))))
         hit = step.filter("s <> own").select("trace_id", "entry", "ea", "eb", "a", "b")
         found = hit if found is None else found.unionByName(hit)
-        at = step.filter("s = own").select(*entry.columns, F.col("c").alias("at"))
+        ahead = step.filter("s = own").select(*entry.columns, F.col("c").alias("at")).dropDuplicates(["trace_id", "entry", "at"])
+        at = cut(ahead.join(seen, (F.col("trace_id") == F.col("vt")) & (F.col("entry") == F.col("ve")) & (F.col("at") == F.col("va")), "left_anti"))
+        seen = seen.unionByName(at.select(F.col("trace_id").alias("vt"), F.col("entry").alias("ve"), F.col("at").alias("va")))
     found = found.withColumn("clipped", ((F.col("a") < F.col("ea")) | (F.col("b") > F.col("eb"))).cast("int"))
     inside = found.select(F.col("trace_id").alias("ft"), F.col("entry").alias("fe"), F.greatest("a", "ea").alias("start_us"), F.least("b", "eb").alias("end_us"))
     union = stats.interval_union(inside, ["ft", "fe"])

@@ -149,7 +149,7 @@ per AS (SELECT e.*, CASE WHEN eb > ea THEN coalesce(u.union_us, 0) / CAST(eb - e
 @query("agg10_dependency_overlap", f"""{WITH}, {OVERLAP}, {UNION}, {OVERLAP_BY} SELECT incident_id, own AS service, count(*) AS entries, round(quantile_cont(overlap, 0.5), 6) AS overlap_median, round(quantile_cont(residual_us, 0.5), 3) AS residual_median, round(quantile_cont(residual_us, 0.9), 3) AS residual_p90,
 round(quantile_cont(overlap, 0.75) - quantile_cont(overlap, 0.25), 6) AS overlap_iqr, CAST(coalesce(sum(clipped), 0) AS BIGINT) AS clipped FROM per GROUP BY 1, 2""")
 def agg10(spark, d):
-    o = S.dependency_overlap(B.spans(spark, d), ["incident_id"], depth=2)
+    o = S.dependency_overlap(B.spans(spark, d), ["incident_id"])
     return o.withColumns({"overlap_median": r("overlap_median"), "overlap_iqr": r("overlap_iqr"), "residual_median": r("residual_median", 3), "residual_p90": r("residual_p90", 3)})
 
 
@@ -158,7 +158,7 @@ SELECT c.incident_id, c.service, h.om IS NOT NULL AS comparable, round(CASE WHEN
 FROM (SELECT * FROM g WHERE phase = 'current') c LEFT JOIN (SELECT * FROM g WHERE phase = 'baseline') h USING (incident_id, service)""")
 def agg11(spark, d):
     s = B.spans(spark, d)
-    o = [S.dependency_overlap(s.filter(F.col("phase") == p), ["incident_id"], depth=2) for p in ("current", "baseline")]
+    o = [S.dependency_overlap(s.filter(F.col("phase") == p), ["incident_id"]) for p in ("current", "baseline")]
     return S.overlap_deviation(*o, ["incident_id"]).withColumns({c: r(c) for c in ("overlap_shift", "residual_log_ratio")})
 
 
@@ -213,7 +213,7 @@ def src06(spark, d):
 @query("rec02_descendants", f"""{WITH} SELECT level, count(*) AS n, count(DISTINCT trace_id || ancestor) AS ancestors FROM (SELECT trace_id, parent_span_id AS ancestor, span_id, 1 AS level FROM spans WHERE parent_span_id <> ''
 UNION ALL SELECT b.trace_id, a.parent_span_id, b.span_id, 2 FROM spans a JOIN spans b ON a.trace_id = b.trace_id AND b.parent_span_id = a.span_id WHERE a.parent_span_id <> '') GROUP BY 1""")
 def rec02(spark, d):
-    return S.descendants(B.spans(spark, d), 3).groupBy("level").agg(F.count("*").alias("n"), F.count_distinct(F.concat("trace_id", "ancestor")).alias("ancestors"))
+    return S.descendants(B.spans(spark, d)).groupBy("level").agg(F.count("*").alias("n"), F.count_distinct(F.concat("trace_id", "ancestor")).alias("ancestors"))
 
 
 EVENT = "CASE event_type WHEN 'error' THEN 500 + event_id % 4 WHEN 'click' THEN 0 ELSE 200 + event_id % 300 END"
