@@ -176,6 +176,13 @@ def test_lattice_sums_all_segmentations():
         assert sum(lengths[i] * c for i, c in x.expected(w)) == pytest.approx(len(w), rel=1e-4)
 
 
+def test_lattice_scores_are_estimated_three_times(spark, monkeypatch):
+    calls, count = [], lattice._piece_counts
+    monkeypatch.setattr(lattice, "_piece_counts", lambda *a: calls.append(1) or count(*a))
+    lattice.score(frame(spark, ["some words of a text", "other words"])).count()
+    assert len(calls) == 3
+
+
 def test_lattice_scores(spark, odd):
     rng = random.Random(6)
     texts = [*odd[:13], *(" ".join(rng.choice(WORDS[:8]) for _ in range(40)) for _ in range(30))]

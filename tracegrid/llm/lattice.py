@@ -26,7 +26,7 @@ class Settings:
     model: str = "piece_bpe_32k.model"
     by: str = "lang"
     classes: int = 8
-    rounds: int = 2
+    rounds: int = 3
     common: int = 60_000
     folds: int = 5
     held: int = 1
