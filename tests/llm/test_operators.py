@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import Counter
 import random
 import re
 import zlib
@@ -176,6 +177,58 @@ def test_lattice_sums_all_segmentations():
         assert sum(lengths[i] * c for i, c in x.expected(w)) == pytest.approx(len(w), rel=1e-4)
 
 
+def test_lattice_goes_over_whole_words():
+    path = public_tokenizers.path(lattice.DEFAULT.model)
+    rng = np.random.default_rng(5)
+    logs = [lattice.prior(path), lattice.prior(path) + rng.normal(0, 1, len(lattice.prior(path)))]
+    cut, whole = lattice.Lattice(path, logs, 64), lattice.Lattice(path, logs, 1000)
+    words = ["internationalization" * 11, "x" * 63 + "the" * 40, "the", "ü☃" * 50, "a", "zebra", "\ud800b", "tion" * 16]
+    assert cut.forwards(words) == pytest.approx(whole.forwards(words), rel=1e-9)
+    assert cut.forwards(words) == pytest.approx(np.array([whole.forward(w) for w in words]), rel=1e-9)
+    for w in words[:2]:  # no piece is cut off at the 64th code point
+        f = np.full(len(w) + 1, -np.inf)
+        f[0] = logs[0][cut.first[""]]
+        for b in range(1, len(w) + 1):
+            ways = [f[a] + logs[0][cut.next[w[a:b]]] for a in range(b) if w[a:b] in cut.next] + [logs[0][cut.first[x]] for x in [w[:b]] if x in cut.first]
+            f[b] = np.logaddexp.reduce(ways)
+        assert cut.forward(w)[0] == pytest.approx(f[-1] + logs[0][-1], rel=1e-9)
+    weights = rng.random((2, len(words)))
+    got = cut.counts(words, weights)
+    assert got == pytest.approx(whole.counts(words, weights), rel=1e-6, abs=1e-9)
+    want = np.zeros_like(got)
+    for j, w in enumerate(words):
+        for i, x in cut.expected(w):
+            want[:, i] += x * weights[:, j]
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_lattice_spells_training_words_by_each_class(spark):
+    path, rng = public_tokenizers.path(lattice.DEFAULT.model), random.Random(3)
+    pools = {"de": "der hund katze straße schule zeitung".split(), "en": "the dog cat street nation station".split()}
+    texts = [(i, " ".join(rng.choice(pools["en" if i % 3 else "de"]) for _ in range(9)), "en" if i % 3 else "de") for i in range(40)]
+    got = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+    counts = [Counter(w for i, t, g in texts if g == c and zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.split(), ""]) for c in ("en", "de")]
+    logs, words = lattice.prior(path), sorted({w for c in counts for w in c if w})
+    for _ in range(3):
+        e = np.zeros((2, len(logs)))
+        for w in words:
+            root = np.sqrt([c[w] for c in counts])
+            e[:, -1] += root
+            for i, x in lattice.Lattice(path, [logs], 64).expected(w):
+                e[:, i] += x * root
+        logs = lattice.estimated(e.sum(axis=0), logs, path)
+        own = [lattice.estimated(x, logs, path) for x in e]
+    x = lattice.Lattice(path, own, 64)
+    for i, t, _ in texts[:6]:
+        ways = []
+        for j, c in enumerate(counts):
+            n, end = sum(c.values()), c[""] / sum(c.values())
+            new = min(0.5, (sum(v == 1 for v in c.values()) + 1) / (n + 2))
+            p = [(1 - new) * c[w] / n + (1 - end) * new * np.exp(x.forward(w)[j]) for w in t.split()]
+            ways.append(np.log(c[""] / sum(d[""] for d in counts)) + np.log(p).sum() + np.log(end))
+        assert got[i] == pytest.approx(np.logaddexp.reduce(ways) / np.log(10), rel=1e-6)
+
+
 def test_lattice_scores_are_estimated_three_times(spark, monkeypatch):
     calls, count = [], lattice._piece_counts
     monkeypatch.setattr(lattice, "_piece_counts", lambda *a: calls.append(1) or count(*a))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ class Settings:
     common: int = 60_000
     folds: int = 5
     held: int = 1
-    #: Code points of a word beyond which a piece of a segmentation may not straddle: longer words are cut there.
+    #: Code points of a word up to which its arcs are held, for many words at once. Longer words are gone through one by one.
     longest: int = 64
 
 
@@ -99,61 +100,114 @@ class Lattice:
         self.byte = {int(p[3:5], 16): i for p, (i, _) in v.items() if byte(p)}
         self.most, self.longest, self.logs = max(map(len, v)), longest, [x.tolist() for x in logs]
 
-    def arcs(self, word: str, inner: bool = False) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """For each place after 0: (place before, pieces). Place -1 is the word's start, without the bare mark. A code point
-        that is no piece is spelt in bytes, which is one arc of several pieces. inner: not the start of a word."""
-        out, first, after = [[]], self.first, self.next
+    def _into(self, word: str, b: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The arcs into place b > 0 as (place before, pieces). Place -1 is the word's start, without the bare mark. A code
+        point that is no piece is spelt in bytes, which is one arc of several pieces."""
+        into, after = [], self.next
+        if b <= self.most and (i := self.first.get(word[:b])) is not None:
+            into.append((-1, (i,)))
+        for a in range(max(0, b - self.most), b):
+            i = after.get(word[a:b])
+            if i is not None:
+                into.append((a, (i,)))
+        if not into or into[-1][0] != b - 1:
+            into.append((b - 1, tuple(self.byte[x] for x in word[b - 1].encode("utf-8", "surrogatepass"))))
+        return into
+
+    def _steps(self, word: str) -> Iterator[list[float]]:
+        """For each place from 0, the logs of all ways to it, one for each list of logs; of places only the last are held."""
+        exp, log, held, base = math.exp, math.log, [[x[self.first[""]]] for x in self.logs], 0
+        yield [f[-1] for f in held]
         for b in range(1, len(word) + 1):
-            into = []
-            if not inner and (i := first.get(word[:b])) is not None:
-                into.append((-1, (i,)))
-            for a in range(max(0, b - self.most), b):
-                i = after.get(word[a:b])
-                if i is not None:
-                    into.append((a, (i,)))
-            if not into or into[-1][0] != b - 1:
-                into.append((b - 1, tuple(self.byte[x] for x in word[b - 1].encode("utf-8", "surrogatepass"))))
-            out.append(into)
-        return out
-
-    def _parts(self, word: str) -> Iterator[tuple[list, bool]]:
-        """Very long words are cut into parts that follow on."""
-        for k in range(0, len(word) or 1, self.longest):
-            yield self.arcs(word[k : k + self.longest], inner=k > 0), k > 0
+            into = self._into(word, b)
+            for f, logs in zip(held, self.logs, strict=True):
+                terms = [(f[a - base] if a >= 0 else 0.0) + sum([logs[x] for x in p]) for a, p in into]
+                best = max(terms)
+                f.append(best + log(sum([exp(t - best) for t in terms])))
+            yield [f[-1] for f in held]
+            if len(held[0]) > 64 * self.most:
+                base += len(held[0]) - self.most
+                for f in held:
+                    del f[: -self.most]
 
     def forward(self, word: str) -> list[float]:
         """Log of the word's probability, all segmentations together, for each list of logs."""
-        parts = list(self._parts(word))
-        return [sum(self._sum(arcs, logs, inner)[-1] for arcs, inner in parts) + logs[-1] for logs in self.logs]
-
-    def _sum(self, arcs: list, logs: list[float], inner: bool) -> list[float]:
-        f, exp, log = [0.0 if inner else logs[self.first[""]]], math.exp, math.log
-        for into in arcs[1:]:
-            terms = [(f[a] if a >= 0 else 0.0) + (logs[p[0]] if len(p) == 1 else sum([logs[x] for x in p])) for a, p in into]
-            if len(terms) == 1:
-                f.append(terms[0])
-            else:
-                best = max(terms)
-                f.append(best + log(sum([exp(t - best) for t in terms])))
-        return f
+        for last in self._steps(word):
+            pass
+        return [f + logs[-1] for f, logs in zip(last, self.logs, strict=True)]
 
     def expected(self, word: str) -> list[tuple[int, float]]:
-        """(piece, expected count) over the word's segmentations by the first logs, by a forward and a backward recursion."""
-        out, exp, logs = [], math.exp, self.logs[0]
-        for arcs, inner in self._parts(word):
-            f = self._sum(arcs, logs, inner)
-            back = [0.0] * len(f)  # the share of all paths that pass a place
-            back[-1] = 1.0
-            for b in range(len(f) - 1, 0, -1):
-                if not back[b]:
-                    continue
-                for a, p in arcs[b]:
-                    w = logs[p[0]] if len(p) == 1 else sum([logs[x] for x in p])
-                    share = back[b] * exp(min(0.0, (f[a] if a >= 0 else 0.0) + w - f[b]))
-                    if share > 1e-6:
-                        out += [(i, share) for i in p]
-                        if a >= 0:
-                            back[a] += share
+        """(piece, expected count) over the word's segmentations by the first logs, by a forward and a backward recursion.
+        The arcs are looked for again on the way back, so that a place of a long word takes two numbers."""
+        out, exp, logs = Counter(), math.exp, self.logs[0]
+        f = array("d", (x[0] for x in self._steps(word)))
+        back = array("d", bytes(8 * len(f)))  # the share of all paths that pass a place
+        back[-1] = 1.0
+        for b in range(len(f) - 1, 0, -1):
+            for a, p in self._into(word, b):
+                share = back[b] * exp(min(0.0, (f[a] if a >= 0 else 0.0) + sum([logs[x] for x in p]) - f[b]))
+                for i in p:
+                    out[i] += share
+                if a >= 0:
+                    back[a] += share
+        return list(out.items())
+
+    def _batches(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
+        """Words that are not longer than `longest`, many at once: their numbers, the logs of all ways to their places (words,
+        places from -1, lists of logs), for each place the arcs into it (word in the batch, place before + 1, spelling), and
+        the spellings, which are tuples of pieces."""
+        order = sorted((j for j, w in enumerate(words) if len(w) <= self.longest), key=lambda j: len(words[j]))
+        table = np.array(self.logs).T
+        for k in range(0, len(order), 1000):
+            batch = order[k : k + 1000]
+            places = [([], [], []) for _ in range(len(words[batch[-1]]) + 1)]
+            numbers: dict[tuple[int, ...], int] = {}
+            for j, n in enumerate(batch):
+                for b in range(1, len(words[n]) + 1):
+                    at, before, spelt = places[b]
+                    for a, p in self._into(words[n], b):
+                        at.append(j)
+                        before.append(a + 1)
+                        spelt.append(numbers.setdefault(p, len(numbers)))
+            spellings = list(numbers)
+            weights = np.array([table[p[0]] if len(p) == 1 else table[list(p)].sum(axis=0) for p in spellings]).reshape(len(spellings), len(self.logs))
+            f = np.zeros((len(batch), len(places) + 1, len(self.logs)))
+            f[:, 1] = table[self.first[""]]
+            for b in range(1, len(places)):
+                at, before, spelt = places[b] = [np.array(x) for x in places[b]]
+                starts = np.flatnonzero(np.diff(at, prepend=-1))
+                f[at[starts], b + 1] = np.logaddexp.reduceat(f[at, before] + weights[spelt], starts, axis=0)
+            yield np.array(batch), f, [(*x, weights) for x in places[1:]], spellings
+
+    def forwards(self, words: list[str]) -> np.ndarray:
+        """forward() of each word."""
+        out = np.zeros((len(words), len(self.logs)))
+        for batch, f, _, _ in self._batches(words):
+            out[batch] = f[np.arange(len(batch)), [len(words[j]) + 1 for j in batch]] + np.array(self.logs)[:, -1]
+        for j, w in enumerate(words):
+            if len(w) > self.longest:
+                out[j] = self.forward(w)
+        return out
+
+    def counts(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """Sums of expected() of each word, times its weights (rows of weights, words), as (rows, pieces)."""
+        out = np.zeros((len(weights), len(self.logs[0])))
+        for batch, f, arcs, spellings in self._batches(words):
+            share, mine = np.zeros((len(weights), len(spellings))), weights[:, batch]
+            back = np.zeros(f.shape[:2])
+            back[np.arange(len(batch)), [len(words[j]) + 1 for j in batch]] = 1.0
+            for b in range(len(arcs), 0, -1):
+                at, before, spelt, logs = arcs[b - 1]
+                s = back[at, b + 1] * np.exp(np.minimum(0.0, f[at, before, 0] + logs[spelt, 0] - f[at, b + 1, 0]))
+                np.add.at(back, (at, before), s)
+                for c in range(len(weights)):
+                    share[c] += np.bincount(spelt, s * mine[c, at], len(spellings))
+            for i, p in enumerate(spellings):
+                for x in p:
+                    out[:, x] += share[:, i]
+        for j, w in enumerate(words):
+            for i, x in self.expected(w) if len(w) > self.longest else ():
+                out[:, i] += x * weights[:, j]
         return out
 
 
@@ -192,15 +246,8 @@ def _piece_counts(words: DataFrame, path: str, logs: np.ndarray, longest: int, k
         lattice, held = Lattice(path, [logs], longest), np.zeros((k, len(logs)))
         for f in frames:
             weights = np.sqrt(f[cs].to_numpy(float)).T
-            at, piece, share = [], [], []
-            for j, w in enumerate(f["word"]):
-                for i, x in lattice.expected(w.decode("utf-8", "surrogatepass")):
-                    at.append(j)
-                    piece.append(i)
-                    share.append(x)
-            for c in range(k):
-                held[c] += np.bincount(piece, np.array(share) * weights[c, at], len(logs)) if piece else 0
-                held[c, -1] += weights[c].sum()
+            held += lattice.counts([w.decode("utf-8", "surrogatepass") for w in f["word"]], weights)
+            held[:, -1] += weights.sum(axis=1)
         c, i = np.nonzero(held)
         yield pd.DataFrame({"c": c, "piece": i, "e": held[c, i]})
 
@@ -272,21 +319,21 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     base = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
     lp = [f"lp{j}" for j in range(len(alive))]
 
-    def word_logs(word: bytes, counts: list[int], lattice: Lattice) -> list[float]:
-        """Log-probability of the word in each class; the lattice has logs for all classes together, or for each."""
-        subs = lattice.forward(word.decode("utf-8", "surrogatepass"))
+    def word_logs(counts: list[int], subs: list[float]) -> list[float]:
+        """Log-probability of a word in each class from its counts there and the logs of its segmentations by their scores."""
         out = []
-        for c, n, new, e, sub in zip(counts, size, fresh, end, subs * len(alive) if len(subs) == 1 else subs, strict=True):
+        for c, n, new, e, sub in zip(counts, size, fresh, end, subs, strict=True):
             inside = math.exp(sub) * new if sub > -700 else 0.0
             seen = (1 - new) * c / n
             out.append(math.log(seen + (1 - e) * inside) if seen + inside > 0 else math.log(new) + sub)
         return out
 
     def table(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(path, [logs], s.longest)  # where a class knows the word, its arc over all of it decides
+        lattice = Lattice(path, own, s.longest)
         for f in frames:
-            counts = list(zip(*(f[f"c{i}"] for i in alive), strict=True))
-            got = [word_logs(w, c, lattice) if w else [math.log(max(e, 1e-12)) for e in end] for w, c in zip(f["word"], counts, strict=True)]
+            counts = zip(*(f[f"c{i}"] for i in alive), strict=True)
+            subs = lattice.forwards([w.decode("utf-8", "surrogatepass") for w in f["word"]]).tolist()
+            got = [word_logs(c, sub) if w else [math.log(max(e, 1e-12)) for e in end] for w, c, sub in zip(f["word"], counts, subs, strict=True)]
             yield pd.DataFrame({"key": [_key(w) for w in f["word"]], "n": f["n"], **{x: [g[j] for g in got] for j, x in enumerate(lp)}})
 
     scored = stored(spread.mapInPandas(table, "key long, n long, " + ", ".join(f"{x} double" for x in lp)))
@@ -342,12 +389,10 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         for f in frames:
             if len(held) > 50_000:
                 held.clear()
-            got = []
-            for w in f["word"]:
-                g = held.get(w)
-                if g is None:
-                    g = held[w] = [base(0), *word_logs(w, zero, lattice)]
-                got.append(g)
+            fresh_words = list({w: None for w in f["word"] if w not in held})
+            for w, sub in zip(fresh_words, lattice.forwards([w.decode("utf-8", "surrogatepass") for w in fresh_words]).tolist(), strict=True):
+                held[w] = [base(0), *word_logs(zero, sub)]
+            got = [held[w] for w in f["word"]]
             m = np.array(got).reshape(len(f), len(sums)) * f["tf"].to_numpy()[:, None]
             yield pd.DataFrame({"row_id": f["row_id"], "n_known": 0, **{x: m[:, j] for j, x in enumerate(sums)}})
 
