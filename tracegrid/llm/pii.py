@@ -33,13 +33,14 @@ TYPES = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
+    # after an area code; unseparated after a plus; in groups of two; ten digits without separators
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}[ .-]?[0-9]{6,12}|\+[0-9]{1,3}[ .-][0-9]{1,3}(?:[ .-][0-9]{2}){3,5}|0[1-9](?:[ .-][0-9]{2}){4}|(?:0[1-9]|[2-9][0-9])[0-9]{8})(?![0-9A-Za-z])",
     "name": rf"(?<=\b(?:{_TITLE})\.?[ \x09])(?:{_WORD})(?: {_WORD})?",
 }
 
 
 #: Every entity holds, or follows, one of these.
-MARKS = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|\b(?:(?:sk|pk|ghp|gho|xox[bap])[-_]|AKIA|(?:{_TITLE})\.?[ \x09]\p{{Lu}})"
+MARKS = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|(?<![A-Za-z0-9])(?:(?:sk|pk|ghp|gho|xox[bap])[-_]|AKIA)|\b(?:{_TITLE})\.?[ \x09]\p{{Lu}}"
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,9 @@ def _surrogate(s: Settings) -> Column:
     short = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
     valid = F.pmod(_luhn(F.col("canonical")), F.lit(10)) == 0
     card = F.concat(body, F.pmod(short + F.when(valid, 0).otherwise(1 + F.pmod(number(100), F.lit(9))), F.lit(10)).cast("string"))
-    # a phone's country code, if it has one, stands before the last ten digits
-    phone = F.concat(F.substring("canonical", F.lit(1), F.greatest(n - 10, F.lit(0))), F.substring(F.lit("2345678923456789"), (F.pmod(number(1), F.lit(8)) + 1).cast("int"), F.lit(1)), F.substring(digits, F.lit(2), F.least(n, F.lit(10)) - 1))
+    # a phone of more than ten digits starts with a country code of one to three
+    code = F.when(n <= 10, 0).when(F.col("canonical").rlike("^[17]"), 1).when(F.col("canonical").rlike("^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 2).otherwise(3)
+    phone = F.concat(F.substring("canonical", F.lit(1), code), F.substring(F.lit("2345678923456789"), (F.pmod(number(1), F.lit(8)) + 1).cast("int"), F.lit(1)), F.substring(digits, F.lit(2), n - code - 1))
     cyrillic = F.col("canonical").rlike(r"\p{IsCyrillic}")
     female = F.coalesce("female", F.pmod(number(70), F.lit(2)) == 0)
     two = F.col("canonical").contains(" ")
