@@ -64,6 +64,36 @@ def test_minhash_nulls_repeats_empty(spark):
     assert minhash.classes(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_minhash_edited_group(spark):
+    """One text with ever more edits: some copies are linked with the least edited only, some with none but close to many."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(90)]
+    texts = [" ".join(w if rng.random() > i % 40 / 250 else rng.choice(WORDS) + rng.choice(WORDS) for w in base) for i in range(120)]
+    for k in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.classes(frame(spark, texts), k=k).collect()}
+        assert got == brute_classes(texts, k)
+
+
+def test_minhash_prefixes_find_all_links(spark):
+    """The search by prefixes, by itself, among all pairs."""
+    rng = random.Random(9)
+    sets = [sorted(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(60)]
+    sets += [sorted({*s[: len(s) * 9 // 10], *rng.sample(range(60, 90), 1 + len(s) // 20)}) for s in sets]
+    parity = lambda s: [(x - (1 << 64) if x >> 63 else x) for x in (sum(1 << i for i in s if i // 64 == w) >> 64 * w for w in range(minhash.PARITY // 64))]
+    rows = spark.createDataFrame([(i, s, parity(s)) for i, s in enumerate(sets)], "node long, set array<long>, parity array<long>")
+    alone = rows.select("node", F.col("node").alias("component"))
+    got = {(r.a, r.b) for r in minhash._by_prefixes(minhash._prefixes(rows, 80), alone, 80).collect()}
+    linked = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    assert len(linked) > 20 and linked <= got and len(got) < 4 * len(linked)
+
+
+def test_minhash_wide_ids_on_several_texts(spark):
+    """Ids above 2^53 next to nulls, and one id on two texts."""
+    big = (1 << 53) + 1
+    rows = minhash.classes(frame(spark, ["a b c", "d e f", "d e f", None, "d e f", ""], [big, big, big + 2, None, None, big + 4])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, False), (0, big, False), (big, big, True), (big, big, True), (big + 2, big, False), (big + 4, big + 4, True)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def through_python(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], ids: str | Sequence[str], fields: str) -> DataFrame:
+    """mapInPandas that hands the columns `ids` through as text, so that a null among them does not turn 64-bit numbers into
+    doubles. `run` returns the columns ids and those of `fields`, in this order."""
+    ids = [ids] if isinstance(ids, str) else list(ids)
+    texts = df.select(*(F.col(c).cast("string").alias(c) if c in ids else c for c in df.columns))
+    out = texts.mapInPandas(run, ", ".join([*(f"`{c}` string" for c in ids), fields]))
+    return out.select(*(F.col(c).cast(df.schema[c].dataType).alias(c) if c in ids else c for c in out.columns))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,21 +7,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrid.llm.common import connected_components, discard, stored
+from tracegrid.llm.common import connected_components, discard, stored, through_python
 
 #: Entries of either collection, and minimum hashes in an entry: SIDE * SIDE tables of 2 * ROWS hashes from 2 * SIDE * ROWS.
 #: A pair of similarity s shares no table with probability 1 - (1 - (1 - s^ROWS)^SIDE)^2: 7e-5 at 0.8, 1e-7 at 0.9.
 SIDE, ROWS = 10, 2
-#: Signs in the sketch that is compared before two whole sets are, and how many may differ: a pair of similarity 0.8
-#: differs in 51 of 512 on average; more than 84 has a probability below 2e-6.
-SKETCH, DIFFER = 512, 84
-#: Leaders of a bucket, and leaders that a node is compared with at once: those with which it shares most buckets.
-LEADERS, FIRST = 3, 6
-#: Turns of leaders before the buckets that are still mixed are searched in full.
-TURNS = 3
+#: Leaders of a bucket, and leaders that a node is compared with at once: those with which it shares most buckets. A bucket's
+#: nodes are dealt into LEADERS parts by a hash; a part's leader is the node with most company, counted over all its buckets: in
+#: a group of edited copies that is the least edited one, from which the others are least far.
+LEADERS, FIRST = 3, 3
+#: Turns of leaders before the nodes of buckets that are still mixed are searched by prefixes.
+TURNS = 2
+#: Entries (of 2 * SIDE) that a node must share with a leader to be compared with it: 12.8 on average at 0.8, 5 at 0.5. Pairs
+#: with fewer wait for the search by prefixes, so this loses nothing.
+AGREE = 8
+#: Bits of the parities that are compared before two whole sets are: see _by_prefixes.
+PARITY = 1024
 REMEMBER = 300_000
 
 
@@ -94,41 +98,37 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), _signed(entry[:SIDE]), _signed(entry[SIDE:])))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "a", "b"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, a array<long>, b array<long>")
+    return through_python(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id", "n_shingles long, digest binary, a array<long>, b array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, n, set and sketch of whole texts."""
-    seeds, longs = _seeds(SKETCH, 12), [f"s{i}" for i in range(SKETCH // 64)]
+def _sets(reps: DataFrame, k: int) -> DataFrame:
+    """node, set and parity of the texts whose set has the node's digest; a doc_id may stand on several texts.
+
+    A set's parity: bit i tells whether an odd number of its hashes is i modulo PARITY.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for f in frames:
-            rows = []
-            for doc, text in zip(f["node"], f["text"], strict=True):
+            nodes, sets, parities = [], [], []
+            for node, digest, text in zip(f["node"], f["digest"], f["text"], strict=True):
                 s = shingles(text, k, words)
-                sign = np.packbits((_minima(s, seeds) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-                rows.append((doc, len(s), s.view(np.int64), *sign.tolist()))
-            yield pd.DataFrame(rows, columns=["node", "n", "set", *longs])
-
-    kind = docs.schema["node"].dataType.simpleString()
-    return docs.mapInPandas(run, f"node {kind}, n long, set array<long>, " + ", ".join(f"{x} long" for x in longs))
-
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:
+                    nodes.append(node)
+                    sets.append(s.view(np.int64))
+                    odd = np.bincount((s % np.uint64(PARITY)).view(np.int64), minlength=PARITY) & 1
+                    parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pd.DataFrame({"node": nodes, "set": sets, "parity": parities})
 
-def _near(x: str, y: str, percent: int) -> Column:
-    """May two sketched sets be linked? Their sizes allow it and their sketches differ little."""
-    c = lambda s, n: F.col(f"{s}.{n}")
-    differ = sum((F.bit_count(c(x, f"s{i}").bitwiseXOR(c(y, f"s{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(c(x, "s0").bitwiseXOR(c(y, "s0"))))
-    return (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (differ <= DIFFER)
+    return reps.mapInPandas(run, "node long, set array<long>, parity array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough."""
-    one = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("set").alias(f"set{x}"))
+    one = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
     both = pairs.join(one("b"), "b").join(one("a"), "a")
-    common = F.size(F.array_intersect("seta", "setb"))
-    return both.withColumn("c", common).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
+    both = both.withColumn("c", F.size(F.array_intersect("seta", "setb")))
+    return both.filter(F.col("c") * 100 >= (F.size("seta") + F.size("setb") - F.col("c")) * percent).select("a", "b")
 
 
 def _mixed(buckets: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -138,19 +138,24 @@ def _mixed(buckets: DataFrame, found: DataFrame | None) -> tuple[DataFrame, Data
     else:
         held = buckets.join(found, "node", "left").select(*buckets.columns, F.coalesce("component", "node").alias("component"))
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("c"))
-    return held, sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("of")).filter("of > 1")
+    return held, sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("of")).filter("of > 1").select("key", "main")
 
 
-def _stars(held: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
+def _stars(held: DataFrame, mixed: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of nodes with leaders of their buckets. In the first turn any node may lead, later the largest component does."""
-    open_ = held.join(mixed.select("key", "main"), "key").select("key", "node", "component", "main")
+    open_ = held.join(mixed, "key")
     lead = open_ if turn == 0 else open_.filter("component = main")
-    least = [F.min_by("node", F.xxhash64(F.lit(LEADERS * turn + r), "node")) for r in range(LEADERS)]
-    leaders = lead.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(LEADERS))
+    first = [F.max_by("node", F.when(part == r, F.struct("company", "node"))) for r in range(LEADERS)]
+    leaders = lead.groupBy("key").agg(F.array_compact(F.array(*first)).alias("leaders"))
     rest = open_ if turn == 0 else open_.filter("component != main")
     star = rest.join(leaders, "key").select("node", F.explode("leaders").alias("leader")).filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "leader"))).filter(F.col("r") <= FIRST)
-    return star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    one = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.concat("a", "b").alias(f"e{x}"))
+    same = sum((F.col("ea")[i] == F.col("eb")[i]).cast("int") for i in range(2 * SIDE))
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.join(one("b"), "b").join(one("a"), "a").filter(fit & (same >= AGREE)).select("a", "b")
 
 
 def _spine(found: DataFrame) -> DataFrame:
@@ -158,62 +163,94 @@ def _spine(found: DataFrame) -> DataFrame:
     return found.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
+def _prefixes(open_: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, parity, pos: the shingles of each set that a linked set of another node could share first, rarest first.
+
+    Two linked sets of n and m <= n shingles share `need` = percent * (n + m) / (100 + percent) at least. In one order of
+    all shingles, the first that they share has less than n - need + 1 before it; m is percent of n at least. The order is by
+    the number of nodes that hold a shingle; those that one node holds alone come first and are only counted.
+    """
+    held = open_.select("node", F.size("set").alias("n"), F.explode("set").alias("key"))
+    often = held.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = held.join(often, "key")
+    mine = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(mine)
+    placed = shared.withColumn("pos", (alone + F.row_number().over(mine.orderBy("df", "key")) - 1).cast("int"))
+    placed = placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    return placed.join(open_.select("node", "parity"), "node").select("key", "node", "n", "parity", "pos")
+
+
+def _by_prefixes(prefixes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be linked: all that are linked are among them.
+
+    A set meets the sets that are not larger than itself at the shingles of both prefixes, if what follows there is enough
+    for both. The smaller set's prefix is shorter, as its partner is at least as large. Where a component holds most of the
+    nodes of a shingle, its nodes meet those of the others only. Each bit in which the parities of two sets differ stands for
+    a shingle that only one of them has, so a pair with too many such bits can't be linked.
+    """
+    held, mixed = _mixed(prefixes, found)
+    held = stored(held.join(mixed, "key"))
+    need = lambda n, m: F.ceil((n + m) * percent / (100 + percent))
+    small = held.filter(F.col("pos") <= F.col("n") - need(F.col("n"), F.col("n")))
+    main = F.col("component") == F.col("main")
+    c = lambda x: F.col(x)
+    other = (c("x.component") != c("y.component")) & ((c("y.n") < c("x.n")) | ((c("y.n") == c("x.n")) & (c("y.node") < c("x.node")))) & (c("y.n") * 100 >= c("x.n") * percent)
+    enough = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need(c("x.n"), c("y.n"))
+    differ = sum(F.bit_count(c("x.parity")[i].bitwiseXOR(c("y.parity")[i])) for i in range(PARITY // 64))
+    enough = enough & (differ <= c("x.n") + c("y.n") - 2 * need(c("x.n"), c("y.n")))
+    meet = lambda x, y: x.alias("x").join(y.alias("y"), (c("x.key") == c("y.key")) & other & enough).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return meet(held.filter(~main), small).union(meet(held.filter(main), small.filter(~main))).distinct()
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where 100 * intersection >= percent * union of their sets
     of k-word shingles; component_id is the least doc_id reachable.
 
     1. Rows with equal sets become one node. Each node's keys, SIDE * SIDE pairs of entries, put it into buckets; only
        buckets of two nodes or more go on.
-    2. Each bucket has LEADERS leaders, its least nodes by as many hashes. Each node is paired with the FIRST leaders with
+    2. Each bucket has LEADERS leaders. Each node is paired with the FIRST leaders with
        which it shares most buckets; so a large group costs a few pairs a node. Pairs are confirmed on whole sets, and
        components are formed. In further turns the nodes outside a bucket's largest component meet new leaders from it.
-    3. Buckets that still hold several components are searched in full: each node outside the bucket's largest component
-       against all nodes of other components, each pair in the first bucket that it shares only. What passes sizes and
-       sketches is confirmed on whole sets, and the final components are formed. So every pair that shares a bucket is
-       either compared or already in one component, whatever step 2 found.
+    3. The nodes of buckets that still hold several components are compared wherever the rarest shingles of two of them
+       agree (see _prefixes); this finds every link between two of these nodes and leaves out pairs that are close but not
+       close enough. What remains is confirmed on whole sets, and the final components are formed. So every linked pair that
+       shares a bucket is found or already in one component, whatever step 2 found.
 
     Null or empty text, or text of white space, has no shingle and is linked with nothing. A null doc_id never names a
-    component: such rows keep their own class only if nothing with an id is linked with them (component_id null, kept
-    false). Repeated rows are in one class; each row is returned. Other columns are ignored. An empty table gives none.
+    component: such rows take the class of an equal set that has an id, else component_id is null and kept false. Repeated
+    rows are in one class; each row is returned. A doc_id on several texts is as many nodes. Other columns are ignored. An
+    empty table gives none.
     """
     rows = stored(summaries(docs, k))
-    nodes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("a").alias("a"), F.first("b").alias("b"))
-    nodes = stored(nodes.filter("node is not null"))
-    tables = [F.struct(F.xxhash64(F.lit(i * SIDE + j), F.col("a")[i], F.col("b")[j]).alias("key"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(SIDE) for j in range(SIDE)]
-    keys = nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("node", "t.*")
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    buckets = stored(keys.join(shared, "key"))
-    there = buckets.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(there, "node")
-    sets = stored(_sets(texts, k).dropDuplicates(["node"]))
-    sketch = sets.drop("set")
+    nodes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    nodes = stored(nodes.filter("doc is not null").withColumn("node", F.monotonically_increasing_id()))
+    tables = [F.xxhash64(F.lit(i * SIDE + j), F.col("a")[i], F.col("b")[j]) for i in range(SIDE) for j in range(SIDE)]
+    keys = nodes.select("node", F.explode(F.array(*tables)).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = stored(keys.join(shared, "key"))
+    company = sized.groupBy("node").agg(F.sum("size").alias("company"))
+    buckets = stored(sized.join(company, "node").select("key", "node", "company"))
+    there = nodes.join(buckets.select("node").distinct(), "node").select("node", "doc", "digest")
+    reps = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(there, F.col("doc_id") == F.col("doc")).select("node", "digest", "text")
+    sets = stored(_sets(reps, k).dropDuplicates(["node"]))
 
     found = None
     for turn in range(TURNS):
         held, mixed = _mixed(buckets, found)
-        star = _stars(held, mixed, turn)
-        star = star.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
-        links = _confirmed(star.filter(_near("x", "y", percent)).select("a", "b"), sets, percent)
+        links = _confirmed(_stars(held, mixed, nodes, turn, percent), sets, percent)
         found = connected_components(links if found is None else _spine(found).union(links))
 
     held, mixed = _mixed(buckets, found)
-    held = stored(held)
-    entries = nodes.select("node", *(F.col(x)[i].alias(f"{x}{i}") for x in "ab" for i in range(SIDE)))
-    open_ = held.join(mixed.select("key", "main"), "key").join(sketch, "node").join(entries, "node")
-    x, y = open_.filter("component != main").alias("x"), open_.alias("y")
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    for side, at in (("a", "i"), ("b", "j")):  # no earlier entry of either collection agrees: this is the first table they share
-        for e in range(SIDE - 1):
-            once = once & ((F.col(f"x.{at}") <= e) | (F.col(f"x.{side}{e}") != F.col(f"y.{side}{e}")))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _near("x", "y", percent))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = stored(_confirmed(rest, sets, percent))
+    open_ = sets.join(held.join(mixed, "key").select("node").distinct(), "node", "left_semi")
+    prefixes = stored(_prefixes(open_, percent))
+    more = stored(_confirmed(_by_prefixes(prefixes, found, percent), sets, percent))
     if more.limit(1).count():
         found = connected_components(_spine(found).union(more))
-    for t in (buckets, sets, held):
+    for t in (sized, buckets, sets, prefixes):
         discard(t)
-    named = nodes.select(F.col("digest").alias("__digest"), "node").join(found, "node", "left")
-    named = named.select("__digest", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.select("digest", "node", "doc").join(found, "node", "left").select("digest", "doc", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "component").select(F.col("digest").alias("__digest"), "component_id")
     out = rows.join(named, F.col("digest") == F.col("__digest"), "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
