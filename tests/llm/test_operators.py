@@ -259,6 +259,34 @@ def test_lattice_spells_training_words_by_each_class(spark):
         assert got[i] == pytest.approx(np.logaddexp.reduce(ways) / np.log(10), rel=1e-6)
 
 
+def test_lattice_many_words_at_once():
+    """Forward sums and expected counts of many words in arrays are those of one word at a time."""
+    path, rng = public_tokenizers.path(lattice.DEFAULT.model), random.Random(6)
+    logs = lattice.prior(path)
+    other = np.random.default_rng(2).normal(0, 1, len(logs)) + logs
+    words = ["", "a", "l'été", "\0x", "日本", "é" * 30, "a" * 300, "\ud800b", *("".join(rng.choice("abcdehinostñ,&") for _ in range(rng.randrange(1, 25))) for _ in range(400))]
+    x = lattice.Lattice(path, [logs, other], 256)
+    assert np.allclose(x.forwards(words), [x.forward(w) for w in words], rtol=1e-12)
+    weights = np.array([[1.0] * len(words), [float(i % 3) for i in range(len(words))]])
+    want = np.zeros((2, len(logs)))
+    for j, w in enumerate(words):
+        for i, c in x.expected(w):
+            want[:, i] += c * weights[:, j]
+    assert np.allclose(x.counts(words, weights), want, rtol=1e-9, atol=1e-12)
+    keys = np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64)
+    assert (lattice._Index(keys[:3000], np.arange(3000)).find(keys) == [*range(3000), *[-1] * 2000]).all()
+
+
+def test_lattice_rare_words_are_joined(spark, odd):
+    """No word, or all, may be broadcast: the scores are the same; ids are exact and repeated rows are scored each."""
+    big = (1 << 53) + 1
+    table = frame(spark, [*odd, *odd], [None, *(big + i for i in range(len(odd) * 2 - 2)), big])
+    rows = lambda common: sorted(map(tuple, lattice.score(table, lattice.Settings(common=common)).collect()), key=str)
+    joined, shared = rows(0), rows(1000)
+    assert [r[0] for r in joined] == [r[0] for r in shared] and {r[0] for r in joined} == {None, *(big + i for i in range(len(odd) * 2 - 2))}
+    assert np.allclose([r[5:] for r in joined], [r[5:] for r in shared]) and [r[:5] for r in joined] == [r[:5] for r in shared]
+
+
 def test_lattice_scores_are_estimated_three_times(spark, monkeypatch):
     calls, count = [], lattice._piece_counts
     monkeypatch.setattr(lattice, "_piece_counts", lambda *a: calls.append(1) or count(*a))

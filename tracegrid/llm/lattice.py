@@ -22,17 +22,17 @@ from tracegrid.llm.common import stored
 @dataclass(frozen=True)
 class Settings:
     """`model`: the public vocabulary. `classes`: mixture components at most, one for each common value of `by`.
-    `rounds`: re-estimations of the piece scores. `common`: words whose scores are broadcast; all others are joined."""
+    `rounds`: re-estimations of the piece scores. `common`: words whose scores are broadcast at most; all others are joined."""
 
     model: str = "piece_bpe_32k.model"
     by: str = "lang"
     classes: int = 8
     rounds: int = 3
-    common: int = 60_000
+    common: int = 500_000
     folds: int = 5
     held: int = 1
     #: Code points of a word up to which its arcs are held, for many words at once. Longer words are gone through one by one.
-    longest: int = 64
+    longest: int = 256
 
 
 DEFAULT = Settings()
@@ -99,6 +99,9 @@ class Lattice:
         self.next = {p: i for p, (i, _) in v.items() if not p.startswith(_START) and not byte(p)}
         self.byte = {int(p[3:5], 16): i for p, (i, _) in v.items() if byte(p)}
         self.most, self.longest, self.logs = max(map(len, v)), longest, [x.tolist() for x in logs]
+        self.table = np.vstack([np.array(logs).T, np.full((1, len(logs)), -np.inf)])  # the last row, -1: no piece
+        index = lambda d: _Index(np.array([_hash(p) for p in d], np.uint64), np.array(list(d.values())))
+        self.starts, self.others = index({p: i for p, i in self.first.items() if p}), index(self.next)
 
     def _into(self, word: str, b: int) -> list[tuple[int, tuple[int, ...]]]:
         """The arcs into place b > 0 as (place before, pieces). Place -1 is the word's start, without the bare mark. A code
@@ -152,38 +155,48 @@ class Lattice:
                     back[a] += share
         return list(out.items())
 
-    def _batches(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
-        """Words that are not longer than `longest`, many at once: their numbers, the logs of all ways to their places (words,
-        places from -1, lists of logs), for each place the arcs into it (word in the batch, place before + 1, spelling), and
-        the spellings, which are tuples of pieces."""
-        order = sorted((j for j, w in enumerate(words) if len(w) <= self.longest), key=lambda j: len(words[j]))
-        table = np.array(self.logs).T
-        for k in range(0, len(order), 1000):
-            batch = order[k : k + 1000]
-            places = [([], [], []) for _ in range(len(words[batch[-1]]) + 1)]
-            numbers: dict[tuple[int, ...], int] = {}
-            for j, n in enumerate(batch):
-                for b in range(1, len(words[n]) + 1):
-                    at, before, spelt = places[b]
-                    for a, p in self._into(words[n], b):
-                        at.append(j)
-                        before.append(a + 1)
-                        spelt.append(numbers.setdefault(p, len(numbers)))
-            spellings = list(numbers)
-            weights = np.array([table[p[0]] if len(p) == 1 else table[list(p)].sum(axis=0) for p in spellings]).reshape(len(spellings), len(self.logs))
-            f = np.zeros((len(batch), len(places) + 1, len(self.logs)))
-            f[:, 1] = table[self.first[""]]
-            for b in range(1, len(places)):
-                at, before, spelt = places[b] = [np.array(x) for x in places[b]]
-                starts = np.flatnonzero(np.diff(at, prepend=-1))
-                f[at[starts], b + 1] = np.logaddexp.reduceat(f[at, before] + weights[spelt], starts, axis=0)
-            yield np.array(batch), f, [(*x, weights) for x in places[1:]], spellings
+    def _batches(self, words: list[str]) -> Iterator[tuple]:
+        """Words that are not longer than `longest`, many at once, as (places, words) arrays: their numbers and lengths, the
+        code points, the pieces of word[:b] at b - 1, and for each length l from 1 the pieces of word[a : a + l] at a. -1: no piece."""
+        order = sorted((j for j, w in enumerate(words) if 0 < len(w) <= self.longest), key=lambda j: len(words[j]))
+        while order:
+            most = len(words[order[min(len(order), 10_000) - 1]])
+            many = min(10_000, max(1, 2_000_000 // (most * min(most, self.most))))
+            batch, order = order[:many], order[many:]
+            width = len(words[batch[-1]])
+            points = np.frombuffer("".join(words[j].ljust(width, "\0") for j in batch).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(batch), width).T
+            h, start, after = np.zeros(points.shape, np.uint64), np.full(points.shape, -1), []
+            for n in range(1, min(width, self.most) + 1):
+                h = h[: width - n + 1] * _STEP + points[n - 1 :] + np.uint64(1)
+                start[n - 1] = self.starts.find(h[0])
+                after.append(self.others.find(h))
+            yield np.array(batch), np.array([len(words[j]) for j in batch]), points, start, after
+
+    def _recursion(self, points: np.ndarray, start: np.ndarray, after: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of all ways to each place (places from 0, words, lists of logs), and of the spelling in bytes of the code
+        points that are no piece, else -inf."""
+        table = self.table
+        spelt = np.full((*points.shape, len(self.logs)), -np.inf)
+        none = after[0] < 0
+        if none.any():
+            which, at = np.unique(points[none], return_inverse=True)
+            spelt[none] = np.array([table[[self.byte[x] for x in chr(p).encode("utf-8", "surrogatepass")]].sum(axis=0) for p in which.tolist()])[at]
+        f = np.empty((len(points) + 1, points.shape[1], len(self.logs)))
+        f[0] = table[self.first[""]]
+        for b in range(1, len(f)):
+            terms = [table[start[b - 1]], f[b - 1] + spelt[b - 1]]
+            terms += [f[b - n] + table[x[b - n]] for n, x in enumerate(after[:b], 1) if (x[b - n] >= 0).any()]
+            best = np.maximum.reduce(terms)
+            f[b] = best + np.log(sum(np.exp(t - best) for t in terms))
+        return f, spelt
 
     def forwards(self, words: list[str]) -> np.ndarray:
         """forward() of each word."""
-        out = np.zeros((len(words), len(self.logs)))
-        for batch, f, _, _ in self._batches(words):
-            out[batch] = f[np.arange(len(batch)), [len(words[j]) + 1 for j in batch]] + np.array(self.logs)[:, -1]
+        stop = np.array([x[-1] for x in self.logs])
+        out = np.full((len(words), len(self.logs)), self.table[self.first[""]] + stop)
+        for batch, size, *arcs in self._batches(words):
+            f, _ = self._recursion(*arcs)
+            out[batch] = f[size, np.arange(len(batch))] + stop
         for j, w in enumerate(words):
             if len(w) > self.longest:
                 out[j] = self.forward(w)
@@ -191,48 +204,116 @@ class Lattice:
 
     def counts(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Sums of expected() of each word, times its weights (rows of weights, words), as (rows, pieces)."""
-        out = np.zeros((len(weights), len(self.logs[0])))
-        for batch, f, arcs, spellings in self._batches(words):
-            share, mine = np.zeros((len(weights), len(spellings))), weights[:, batch]
-            back = np.zeros(f.shape[:2])
-            back[np.arange(len(batch)), [len(words[j]) + 1 for j in batch]] = 1.0
-            for b in range(len(arcs), 0, -1):
-                at, before, spelt, logs = arcs[b - 1]
-                s = back[at, b + 1] * np.exp(np.minimum(0.0, f[at, before, 0] + logs[spelt, 0] - f[at, b + 1, 0]))
-                np.add.at(back, (at, before), s)
-                for c in range(len(weights)):
-                    share[c] += np.bincount(spelt, s * mine[c, at], len(spellings))
-            for i, p in enumerate(spellings):
-                for x in p:
-                    out[:, x] += share[:, i]
+        logs = self.table[:, 0]
+        out = np.zeros((len(weights), len(logs)))  # the last column gathers what is no piece
+        for batch, size, points, start, after in self._batches(words):
+            f, spelt = (x[..., 0] for x in self._recursion(points, start, after))
+            mine, back = weights[:, batch], np.zeros(f.shape)  # back: the share of all paths that pass a place
+            back[size, np.arange(len(batch))] = 1.0
+            for b in range(len(points), 0, -1):
+                share = lambda a, log, b=b: back[b] * np.exp(np.minimum(0.0, a + log - f[b]))
+                firsts = share(0.0, logs[start[b - 1]])
+                in_bytes = share(f[b - 1], spelt[b - 1])
+                back[b - 1] += in_bytes
+                taken = [(start[b - 1], firsts)]
+                for n, x in enumerate(after[:b], 1):
+                    if (x[b - n] >= 0).any():
+                        s = share(f[b - n], logs[x[b - n]])
+                        back[b - n] += s
+                        taken.append((x[b - n], s))
+                at, by = np.concatenate([x for x, _ in taken]), np.concatenate([s for _, s in taken])
+                for c, m in enumerate(mine):
+                    out[c] += np.bincount(np.where(at < 0, len(logs) - 1, at), by * np.tile(m, len(taken)), len(logs))
+                for j in np.flatnonzero(in_bytes):
+                    for x in chr(points[b - 1, j]).encode("utf-8", "surrogatepass"):
+                        out[:, self.byte[x]] += in_bytes[j] * mine[:, j]
         for j, w in enumerate(words):
             for i, x in self.expected(w) if len(w) > self.longest else ():
                 out[:, i] += x * weights[:, j]
+        return out[:, :-1]
+
+
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _hash(piece: str) -> int:
+    """The hash that Lattice._batches builds up code point by code point."""
+    h = 0
+    for c in piece:
+        h = (h * int(_STEP) + ord(c) + 1) % (1 << 64)
+    return h
+
+
+class _Index:
+    """Numbers of 64-bit keys, found for many keys at once: places by some bits of the key, taken ones passed over."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        bits = max(10, int(len(keys)).bit_length() + 3)
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.numbers, self.turns = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1), 0
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            self.turns += 1
+            free = left[self.numbers[at[left]] < 0]
+            self.keys[at[free]], self.numbers[at[free]] = keys[free], numbers[free]  # of several keys for a place the last stays
+            left = left[self.numbers[at[left]] != numbers[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 where there is none."""
+        at = self._place(keys)
+        out = np.where(self.keys[at] == keys, self.numbers[at], -1)
+        left = np.nonzero((out < 0) & (self.numbers[at] >= 0))
+        for _ in range(self.turns):
+            if not len(left[0]):
+                break
+            at[left] = (at[left] + 1) & self.mask
+            k, a = keys[left], at[left]
+            out[left] = np.where(self.keys[a] == k, self.numbers[a], -1)
+            go = (out[left] < 0) & (self.numbers[a] >= 0)
+            left = tuple(x[go] for x in left)
         return out
 
 
 def _key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def word_counts(train: DataFrame, cls: str) -> DataFrame:
-    """(cls, word, c) over whole texts, counted batch by batch before anything is shuffled; the end of a text is word ''."""
-    kind = train.schema[cls].dataType.simpleString()
+class _Keys(dict):
+    """Word to the unsigned form of its key; forgets all once it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_counts(rows: DataFrame, k: int) -> DataFrame:
+    """(word, t, n, c0, ...): how often each word of `rows` (text, held_out, k) occurs, how often in the texts that are learnt
+    from, and how often in those of each class there. Counted batch by batch before anything is shuffled. A text's end is word ''."""
+    cs = [f"c{i}" for i in range(k)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
-        put = lambda: pd.DataFrame([(k, w, n) for k, c in held.items() for w, n in c.items()], columns=[cls, "word", "c"])
+        put = lambda: pd.DataFrame([(w, j, c) for j, ws in held.items() for w, c in ws.items()], columns=["word", "k", "c"])
         for f in frames:
-            for k, text in zip(f[cls], f["text"], strict=True):
-                c = held.setdefault(k, Counter())
+            for j, aside, text in zip(f["k"], f["held_out"], f["text"], strict=True):
+                c = held.setdefault(-1 if aside else j, Counter())
                 c.update(text.encode("utf-8", "surrogatepass").lower().split())
                 c[b""] += 1
-            if sum(map(len, held.values())) > 200_000:
+            if sum(map(len, held.values())) > 400_000:
                 yield put()
                 held.clear()
         yield put()
 
-    return train.select(cls, "text").mapInPandas(run, f"{cls} {kind}, word binary, c long").groupBy(cls, "word").agg(F.sum("c").alias("c"))
+    found = rows.select("text", "held_out", "k").mapInPandas(run, "word binary, k int, c long")
+    of = lambda x: F.coalesce(F.sum(F.when(x, F.col("c"))), F.lit(0))
+    return found.groupBy("word").agg(F.sum("c").alias("t"), of(F.col("k") >= 0).alias("n"), *(of(F.col("k") == i).alias(c) for i, c in enumerate(cs)))
 
 
 def _piece_counts(words: DataFrame, path: str, logs: np.ndarray, longest: int, k: int) -> np.ndarray:
@@ -251,7 +332,7 @@ def _piece_counts(words: DataFrame, path: str, logs: np.ndarray, longest: int, k
         c, i = np.nonzero(held)
         yield pd.DataFrame({"c": c, "piece": i, "e": held[c, i]})
 
-    got = words.filter(F.octet_length("word") > 0).select("word", *cs).mapInPandas(run, "c int, piece int, e double").groupBy("c", "piece").agg(F.sum("e").alias("e"))
+    got = words.filter("octet_length(word) > 0 and n > 0").select("word", *cs).mapInPandas(run, "c int, piece int, e double").groupBy("c", "piece").agg(F.sum("e").alias("e"))
     out = np.zeros((k, len(logs)))
     for r in got.collect():  # one row for each class and piece of the vocabulary at most
         out[r["c"], r["piece"]] = r["e"]
@@ -282,32 +363,28 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     word's probability is the sum over all paths, a text's is the product over its words and its end, summed over the
     classes by their share of the texts: log10 of that is `score`. The class of a scored text is not looked at.
 
-    The common words' scores are broadcast (bounded by `common`); the other words of all texts are joined with the table of
-    training words, which is as large as the corpus makes it.
+    The common words' scores are broadcast (at most `common` words); the other words of all texts are joined with the table
+    of words, which is as large as the corpus makes it. Each distinct word is scored once.
 
     Null or empty text is one end token. Without training texts counts are 0 and base_score is log10(0.5 / 0.5) a token. A
     null class is a class. A null id is not held out. Repeated rows are scored each. Other columns are ignored.
     """
     path = public_tokenizers.path(s.model)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(s.by).cast("string"), F.lit("")).alias("cls"), held_out(F.col("doc_id"), s).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    most = [r["cls"] for r in train.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(s.classes - 1).collect()]
+    most = [r["cls"] for r in rows.filter(~F.col("held_out")).groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(s.classes - 1).collect()]
     where = F.array_position(F.array(*map(F.lit, most)), F.col("cls")) if most else F.lit(0)
-    counted = word_counts(train.select("text", F.when(where > 0, (where - 1).cast("int")).otherwise(len(most)).alias("k")), "k")
     k = len(most) + 1
-    words = counted.groupBy("word").agg(F.sum("c").alias("n"), *(F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(k)))
-    words = stored(words)
+    words = stored(word_counts(rows.select("text", "held_out", F.when(where > 0, (where - 1).cast("int")).otherwise(len(most)).alias("k")), k))
     stats = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"N{i}") for i in range(k)),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count_if(F.col("n") > 0).alias("V"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"N{i}") for i in range(k)),
         *(F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col(f"c{i}"))), F.lit(0)).alias(f"D{i}") for i in range(k)), *(F.count_if(F.col(f"c{i}") == 1).alias(f"U{i}") for i in range(k)),
     ).first()
     total, distinct = stats["N"], stats["V"]
-    spread = words.repartition(max(1, min(20_000, distinct // 20_000)))  # the recursions cost far more than the bytes tell
     alive = [i for i in range(k) if stats[f"N{i}"]] or [0]
     logs = prior(path)
     own = [logs] * len(alive)
     for _ in range(s.rounds if total else 0):
-        e = _piece_counts(spread, path, logs, s.longest, k)
+        e = _piece_counts(words, path, logs, s.longest, k)
         logs = estimated(e.sum(axis=0), logs, path)
         own = [estimated(e[i], logs, path) for i in alive]
 
@@ -316,93 +393,63 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     texts = max(1, sum(stats[f"D{i}"] for i in alive))
     share = [math.log(max(stats[f"D{i}"], 1e-9) / texts) for i in alive]
     end = [stats[f"D{i}"] / n if stats[f"D{i}"] else 0.5 for i, n in zip(alive, size, strict=True)]
-    base = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
     lp = [f"lp{j}" for j in range(len(alive))]
-
-    def word_logs(counts: list[int], subs: list[float]) -> list[float]:
-        """Log-probability of a word in each class from its counts there and the logs of its segmentations by their scores."""
-        out = []
-        for c, n, new, e, sub in zip(counts, size, fresh, end, subs, strict=True):
-            inside = math.exp(sub) * new if sub > -700 else 0.0
-            seen = (1 - new) * c / n
-            out.append(math.log(seen + (1 - e) * inside) if seen + inside > 0 else math.log(new) + sub)
-        return out
+    octave = F.floor(F.log2("t") * 8)
 
     def table(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(path, own, s.longest)
+        """A word's log-probability in each class: from its counts there, and from its segmentations for the share of new words."""
+        lattice, new, ends = Lattice(path, own, s.longest), np.array(fresh), np.array(end)
         for f in frames:
-            counts = zip(*(f[f"c{i}"] for i in alive), strict=True)
-            subs = lattice.forwards([w.decode("utf-8", "surrogatepass") for w in f["word"]]).tolist()
-            got = [word_logs(c, sub) if w else [math.log(max(e, 1e-12)) for e in end] for w, c, sub in zip(f["word"], counts, subs, strict=True)]
-            yield pd.DataFrame({"key": [_key(w) for w in f["word"]], "n": f["n"], **{x: [g[j] for g in got] for j, x in enumerate(lp)}})
-
-    scored = stored(spread.mapInPandas(table, "key long, n long, " + ", ".join(f"{x} double" for x in lp)))
-    head = scored.orderBy(F.desc("n"), "key").limit(s.common).collect()  # bounded by common
-    place = {r["key"]: i for i, r in enumerate(head)}
-    values = np.array([[r["n"], base(r["n"]), *(r[x] for x in lp)] for r in head]).reshape(len(head), 2 + len(lp))
-    shared = docs.sparkSession.sparkContext.broadcast((place, values))
-    ends = [math.log(max(e, 1e-12)) for e in end]
-    n_end = sum(stats[f"D{i}"] for i in range(k))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+            seen = f[[f"c{i}" for i in alive]].to_numpy(float) / size * (1 - new)
+            subs = np.log(new * (1 - ends)) + lattice.forwards([w.decode("utf-8", "surrogatepass") for w in f["word"]])
+            with np.errstate(divide="ignore"):
+                got = np.logaddexp(np.log(seen), subs)
+            got[[not w for w in f["word"]]] = np.log(np.maximum(ends, 1e-12))
+            yield pd.DataFrame({"key": [_key(w) for w in f["word"]], "n": f["n"], "octave": f["octave"], **{x: got[:, j] for j, x in enumerate(lp)}})
+
+    scored = stored(words.withColumn("octave", octave).mapInPandas(table, "key long, n long, octave long, " + ", ".join(f"{x} double" for x in lp)))
+    rarest, room = 0, s.common  # the octave from which on words are common
+    for r in words.groupBy(octave.alias("octave")).count().orderBy(F.desc("octave")).collect():  # eight rows for each doubling of the largest count
+        room -= r["count"]
+        if room < 0:
+            rarest = r["octave"] + 1
+            break
+    head = scored.filter(F.col("octave") >= rarest).drop("octave").toArrow()  # bounded by common
+    base = lambda c: F.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+    values = np.column_stack([head["n"].to_numpy() > 0, np.log10((head["n"].to_numpy() + 0.5) / (total + 0.5 * (distinct + 1))), *(head[x].to_numpy() for x in lp)])
+    shared = docs.sparkSession.sparkContext.broadcast((head["key"].to_numpy().view(np.uint64), values))
     sums = ["base", *lp]
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each text: a row with its own columns and the sums over its common words, and a row for each other word."""
-        place, values = shared.value
-        keys: dict[bytes, int] = {}
-        cols = ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "key", "word", "tf", *sums]
+        keys, values = shared.value
+        index, words = _Index(keys, np.arange(len(keys))), _Keys()
         for f in frames:
-            out = []
-            for row, doc, held, text in zip(f["row_id"], f["doc_id"], f["held_out"], f["text"], strict=True):
-                c = Counter(text.encode("utf-8", "surrogatepass").lower().split())
-                if len(keys) > 300_000:
-                    keys.clear()
-                at, tf, known = [], [], 0
-                for w, n in c.items():
-                    key = keys.get(w)
-                    if key is None:
-                        key = keys[w] = _key(w)
-                    i = place.get(key)
-                    if i is None:
-                        out.append((row, None, None, 0, 0, key, w, n, *([0.0] * len(sums))))
-                    else:
-                        at.append(i)
-                        tf.append(n)
-                        known += n
-                v = np.array(tf, float) @ values[at, 1:] if at else np.zeros(1 + len(lp))
-                v = v + [base(n_end), *ends]
-                out.append((row, doc, held, sum(c.values()) + 1, known + (n_end > 0), None, None, None, *v.tolist()))
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=cols)
-                    out = []
-            yield pd.DataFrame(out, columns=cols)
-
-    fields = f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, key long, word binary, tf int, " + ", ".join(f"{x} double" for x in sums)
-    both = stored(rows.select("row_id", "doc_id", "held_out", "text").mapInPandas(parts, fields))
-    heads = both.filter("key is null")
-    rare = both.filter("key is not null").select("row_id", "key", "word", "tf")
-    hit = rare.drop("word").join(scored, "key")
-    known = hit.select("row_id", F.col("tf").cast("long").alias("n_known"), (F.col("tf") * F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))).alias("base"), *((F.col("tf") * F.col(x)).alias(x) for x in lp))
-
-    def unseen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, held, zero = Lattice(path, own, s.longest), {}, [0] * len(alive)
-        for f in frames:
-            if len(held) > 50_000:
-                held.clear()
-            fresh_words = list({w: None for w in f["word"] if w not in held})
-            for w, sub in zip(fresh_words, lattice.forwards([w.decode("utf-8", "surrogatepass") for w in fresh_words]).tolist(), strict=True):
-                held[w] = [base(0), *word_logs(zero, sub)]
-            got = [held[w] for w in f["word"]]
-            m = np.array(got).reshape(len(f), len(sums)) * f["tf"].to_numpy()[:, None]
-            yield pd.DataFrame({"row_id": f["row_id"], "n_known": 0, **{x: m[:, j] for j, x in enumerate(sums)}})
-
-    new = rare.join(scored.select(F.col("key").alias("sk")), F.col("key") == F.col("sk"), "left_anti")
-    new = new.select("row_id", "word", "tf").mapInPandas(unseen, "row_id long, n_known long, " + ", ".join(f"{x} double" for x in sums))
-    every = heads.select("row_id", "doc_id", "held_out", "n_tokens", "n_known", *sums).unionByName(known.unionByName(new), allowMissingColumns=True)
-    whole = every.groupBy("row_id").agg(
-        F.max(F.struct(F.col("held_out").isNotNull(), "doc_id")).alias("d"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.sum(x).alias(x) for x in sums)
-    )
+            counted = [Counter(text.encode("utf-8", "surrogatepass").lower().split()) for text in f["text"]]
+            for c in counted:
+                c[b""] = 1
+            held = np.array([len(c) for c in counted])
+            key = np.fromiter((words[w] for c in counted for w in c), np.uint64, held.sum())
+            tf = np.fromiter((n for c in counted for n in c.values()), np.int64, held.sum())
+            doc = np.repeat(np.arange(len(f)), held)
+            at = index.find(key)
+            common = at >= 0
+            added = [np.bincount(doc[common], tf[common] * values[at[common], j], len(f)) for j in range(values.shape[1])]
+            nothing = np.zeros(len(f), np.int64)
+            yield pd.DataFrame({"row_id": f["row_id"], "doc_id": f["doc_id"], "held_out": f["held_out"], "n_tokens": np.bincount(doc, tf, len(f)).astype(np.int64), "n_known": added[0].astype(np.int64), "key": nothing, "tf": nothing, **dict(zip(sums, added[1:], strict=True))})
+            rare = ~common
+            row, zero = f["row_id"].to_numpy()[doc[rare]], np.zeros(rare.sum())
+            yield pd.DataFrame({"row_id": row, "doc_id": None, "held_out": None, "n_tokens": zero.astype(np.int64), "n_known": zero.astype(np.int64), "key": key[rare].view(np.int64), "tf": tf[rare], **dict.fromkeys(sums, zero)})
+
+    fields = "row_id long, doc_id string, held_out boolean, n_tokens long, n_known long, key long, tf long, " + ", ".join(f"{x} double" for x in sums)
+    both = stored(rows.select("row_id", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(parts, fields))
+    heads = both.filter("held_out is not null")
+    hit = both.filter("held_out is null").select("row_id", "key", "tf").join(scored, "key")
+    rare = hit.select("row_id", F.when(F.col("n") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * base(F.col("n"))).alias("base"), *((F.col("tf") * F.col(x)).alias(x) for x in lp))
+    every = heads.select("row_id", "doc_id", "held_out", "n_tokens", "n_known", *sums).unionByName(rare, allowMissingColumns=True)
+    whole = every.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.sum(x).alias(x) for x in sums))
     paths = [F.col(x) + F.lit(p) for x, p in zip(lp, share, strict=True)]
     best = F.greatest(*paths) if len(paths) > 1 else paths[0]
     summed = best + F.log(sum((F.exp(p - best) for p in paths[1:]), F.exp(paths[0] - best)))
-    return whole.select(F.col("d.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (summed / math.log(10)).alias("score"))
+    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return whole.select(doc_id, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (summed / math.log(10)).alias("score"))
