@@ -134,6 +134,15 @@ def test_simhash(spark, odd):
     assert simhash.compared(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_simhash_repeats_and_null_ids(spark):
+    big = (1 << 53) + 1
+    rows = sorted(map(tuple, simhash.compared(frame(spark, ["one two three four", "one two three four", None, "five six seven eight", ""], [big, big, None, big + 1, None])).collect()), key=str)
+    assert len(rows) == 5 and [r[0] for r in rows].count(big) == 2 and [r[0] for r in rows].count(None) == 2
+    of = {r[0]: r for r in rows}
+    assert of[big][2] == hashlib.sha256(b"one two three five").hexdigest() and of[big + 1][2] == hashlib.sha256(b"five six seven ").hexdigest()
+    assert len({r for r in rows if r[0] == big}) == 1
+
+
 def test_radius_search_is_complete(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(63) for _ in range(40)]

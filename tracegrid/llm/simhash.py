@@ -31,8 +31,8 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and `fingerprint` (64 bits) of the texts; `keys` identify a row. Null or empty text, or white space: 0.
 
     Each term adds its weight, its length in code points, to the bits that its hash sets; a bit of the fingerprint is set
-    if it got more than half of all weight. Two of the 64 sums of a row share a long (32 bits each, so a row may weigh up
-    to 2^32), and a row's terms are summed up where the row is read: only 33 longs a row are shuffled.
+    if it got more than half of all weight. Two of the 64 sums of a row share a long (31 bits each; a text, of 2^31 bytes at
+    most, weighs less), and a row's terms are summed up where the row is read: only 33 longs a row are shuffled.
     """
     pieces, terms = _terms(F.col(text))
     t = rows.select(*keys, pieces.alias("pieces")).select(*keys, F.explode_outer(terms).alias("t")).select(*keys, F.col("t.h").alias("h"), F.col("t.w").cast("long").alias("w"))
@@ -96,16 +96,18 @@ def edited(docs: DataFrame) -> DataFrame:
     """k, z (the id, 0 for null; whether it is null), row_id, doc_id, next_id, n_chars, text, edited: the last quarter of the code points replaced by the first of the next
     document. Rows that share a doc_id have the same next document, of which the least text counts."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("z"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    quarter = F.floor(F.length("text") / 4).cast("int")
     n = rows.groupBy("doc_id").agg(F.max(quarter).alias("need"))
     need = _next_ids(docs).join(n.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
     need = stored(need.select(F.coalesce("doc_id", F.lit(0)).alias("of_k"), F.col("doc_id").isNull().alias("of_z"), "next_id", F.coalesce("next_id", F.lit(0)).alias("nk"), F.col("next_id").isNull().alias("nz"), "need"))
-    heads = rows.join(need, (F.col("k") == F.col("nk")) & (F.col("z") == F.col("nz"))).select("of_k", "of_z", "next_id", F.expr("substring(text, 1, need)").alias("head"))
-    heads = heads.groupBy("of_k", "of_z").agg(F.min("head").alias("head"), F.first("next_id").alias("next_id"))
-    out = rows.join(heads, (F.col("k") == F.col("of_k")) & (F.col("z") == F.col("of_z")))
+    # The texts are dealt by their ids once for both joins: the first asks for the same columns as the second (row_id and doc_id
+    # settle ties between equal heads), so that Spark uses one exchange for both. Only the heads are dealt out besides.
+    head = F.struct(F.expr("substring(text, 1, need)").alias("head"), "row_id", "doc_id")
+    heads = rows.join(need, (F.col("k") == F.col("nk")) & (F.col("z") == F.col("nz"))).select("of_k", "of_z", "next_id", head.alias("h"))
+    heads = heads.groupBy("of_k", "of_z").agg(F.min("h").alias("h"), F.first("next_id").alias("next_id"))
+    out = rows.join(heads, (F.col("k") == F.col("of_k")) & (F.col("z") == F.col("of_z"))).withColumn("n_chars", F.length("text").cast("long"))
     keep = (F.col("n_chars") - quarter).cast("int")
-    text = F.concat(F.substring("text", F.lit(1), keep), F.substring("head", F.lit(1), quarter))
+    text = F.concat(F.substring("text", F.lit(1), keep), F.substring("h.head", F.lit(1), quarter))
     return out.select("k", "z", "row_id", "doc_id", "next_id", "n_chars", "text", text.alias("edited"))
 
 
