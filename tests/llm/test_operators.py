@@ -364,6 +364,37 @@ def test_pii_in_every_form(spark):
     assert [r.entities for r in pii.replace(frame(spark, clean)).collect()] == [0] * 4
 
 
+def test_pii_formats(spark):
+    valid = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97 == 1
+    texts = ["ghp_AbCdEfGhIjKlMnOpQrSt", "ghp_aBcDeFgHiJkLmNoPqRsT", "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "Bo.X-1@mail.ex.org", "ABCDEF01" * 4, "ghp_AbCdEfGhIjKlMnOpQrSt " + "word " * 30_000 + "ghp_AbCdEfGhIjKlMnOpQrSt"]
+    got = [r.text for r in pii.replace(frame(spark, texts)).orderBy("doc_id").collect()]
+    shape = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
+    assert got[0] != got[1] and [shape(x) for x in got[:4]] == [shape(x) for x in texts[:4]]
+    assert valid(got[2]) and not valid(got[3]) and valid(texts[2]) and not valid(texts[3])
+    assert re.fullmatch(r"[a-z]{2}\.[a-z]-[0-9]@[a-z]{4}\.[a-z]{2}\.example", got[4]) and re.fullmatch("[0-9A-F]{32}", got[5])
+    assert got[6] == f"{got[0]} " + "word " * 30_000 + got[0]
+
+
+def test_pii_persons(spark):
+    texts = ["Mr John Smith came. Smith left. Mrs John Smith too, and John Smith and Mr Smith. Smithers stays.", "Mr John Smith", "Frau Adler, Adler und Herr Adler", "Smith alone"]
+    got = [r.text for r in pii.replace(frame(spark, texts)).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr (\w+) ([\w-]+) came\. ([\w-]+) left\. Mrs (\w+) ([\w-]+) too, and (\w+) ([\w-]+) and Mr ([\w-]+)\. Smithers stays\.", got[0])
+    assert m and m[1] in pii.NAMES["latin_m"].split() and m[4] in pii.NAMES["latin_f"].split() and m[2] == m[3] == m[7] == m[8] and m[6] == m[1]
+    assert got[1] == f"Mr {m[1]} {m[2]}" and got[3] == texts[3] and "Adler" not in got[2]
+    f = re.fullmatch(r"Frau ([\w-]+), ([\w-]+) und Herr ([\w-]+)", got[2])
+    assert f and f[1] == f[2] != f[3]
+
+
+def test_pii_keeps_columns_and_repeats(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "Mr Kern, bo@ex.org", 7, "own", 3), (big, "Mr Kern, bo@ex.org", 7, "own", 3), (None, None, None, None, None), (None, "clean", 1, "x", 2)]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string, __row long, entities string, doc long"))
+    assert got.columns == ["doc_id", "text", "__row", "entities", "doc", "entities_", "kinds"]
+    out = sorted(map(tuple, got.select("doc_id", "__row", "entities", "doc", "entities_").collect()), key=str)
+    assert out == sorted([(big, 7, "own", 3, 2)] * 2 + [(None, None, None, None, 0), (None, 1, "x", 2, 0)], key=str)
+    assert len({r.text for r in got.filter("doc_id is not null").collect()}) == 1
+
+
 def test_surrogates_are_distinct(spark):
     ents = spark.createDataFrame([("name", f"Abc{chr(97 + i // 26)}{chr(97 + i % 26)}", i % 2 == 0) for i in range(300)] + [("ssn", f"{i:09d}", None) for i in range(300)], "kind string, canonical string, female boolean")
     rows = pii.dictionary(ents).collect()

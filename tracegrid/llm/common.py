@@ -47,6 +47,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores behind it as it takes to be none of the taken ones (capitals aside)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def through_python(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], ids: str | Sequence[str], fields: str) -> DataFrame:
     """mapInPandas that hands the columns `ids` through as text, so that a null among them does not turn 64-bit numbers into
     doubles. `run` returns the columns ids and those of `fields`, in this order."""
