@@ -184,6 +184,23 @@ def test_chat(spark):
     assert chat.format_turns(table.limit(0)).count() == 0
 
 
+def test_wide_ids_next_to_null(spark):
+    """Ids above 2^53 stay exact where a null id stands beside them; repeated rows stay."""
+    ids = [(1 << 53) + 1, (1 << 53) + 3, (1 << 53) + 3, None]
+    docs = frame(spark, ["a b", "c d e", "c d e", "f"], ids).coalesce(1)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    key = lambda r: str(r.doc_id)
+    for rows in (bpe.digests(bpe.encode_documents(docs)), toxicity.score(docs, labels), packing.decompose(docs).filter("start = 0"), jpeg.features(jpeg.store_texts(docs)), sharding.interleave(docs, 2)):
+        assert sorted((r.doc_id for r in rows.collect()), key=str) == sorted(ids, key=str)
+    decoded = {(r.doc_id, bytes(r.data)) for r in bpe.decode_documents(bpe.encode_documents(docs)).collect()}
+    assert decoded == {(ids[0], b"a b"), (ids[1], b"c d e"), (None, b"f")}
+    turns = spark.createDataFrame([(i, i, "user", "x") for i in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    made = chat.format_turns(turns)
+    assert sorted(((r.conv_id, r.turn) for r in made.collect()), key=str) == sorted(zip(ids, ids, strict=True), key=str)
+    assert {r.conv_id: r.n_turns for r in chat.read_back(made).collect()} == {ids[0]: 1, ids[1]: 2, None: 1}
+    assert sorted(rows.collect(), key=key)
+
+
 def test_template_is_reversible():
     rng = random.Random(4)
     for _ in range(3000):

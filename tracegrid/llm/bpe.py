@@ -13,6 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrid.llm.common import through_python
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points of a chunk, and of what two neighbouring chunks share.
 CHUNK, OVERLAP = 16_384, 512
@@ -181,8 +183,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK, ov
                 g = f.iloc[a : a + 1000]
                 yield pd.DataFrame({"row_id": g["row_id"], "doc_id": g["doc_id"], "ids": [encode(t) for t in g["text"]]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    short = rows.filter(F.length("text") <= chunk).mapInPandas(direct, f"row_id long, doc_id {kind}, ids binary")
+    short = through_python(rows.filter(F.length("text") <= chunk), direct, "doc_id", "row_id long, ids binary")
     long = rows.filter(F.length("text") > chunk)
     cut = long.select("row_id", "text").mapInPandas(lambda f: _chunks(f, chunk, overlap), "row_id long, k int, of int, text string")
     marks = cut.repartition("row_id", "k").mapInPandas(lambda f: _marks(f, chunk, overlap), "row_id long, k int, of int, text string, head array<int>, tail array<int>")
@@ -200,7 +201,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK, ov
     good = parts.filter("not broken").select("row_id", F.aggregate("p.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
     whole = parts.filter("broken").select("row_id", F.col("t.text").alias("texts")).mapInPandas(lambda f: _whole(f, chunk, path), "row_id long, ids binary")
     named = good.unionByName(whole).join(long.select("row_id", "doc_id"), "row_id")
-    return short.unionByName(named.select("row_id", "doc_id", "ids"))
+    return short.select("row_id", "doc_id", "ids").unionByName(named.select("row_id", "doc_id", "ids"))
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -211,8 +212,7 @@ def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
         for f in frames:
             yield f.assign(data=[decode(x, path) for x in f["ids"]])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(run, f"row_id long, doc_id {kind}, ids binary, data binary")
+    return through_python(encoded, run, "doc_id", "row_id long, ids binary, data binary")
 
 
 def digests(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -224,5 +224,4 @@ def digests(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": [len(x) // 4 for x in f["ids"]], "ids_sha256": [hexed(x) for x in f["ids"]], "decoded_sha256": [hexed(decode(x, path)) for x in f["ids"]]})
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return through_python(encoded, run, "doc_id", "n_tokens long, ids_sha256 string, decoded_sha256 string")

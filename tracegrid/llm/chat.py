@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.llm.common import through_python
+
 
 @dataclass(frozen=True)
 class Template:
@@ -86,7 +88,6 @@ def format_turns(conversations: DataFrame, template: Template = DEFAULT) -> Data
     Null text is empty; a null role is no role of the template. A null conv_id is a conversation of its own. Repeated rows
     are turns of their own. Empty tables give no rows. Other columns are ignored.
     """
-    kinds = {k: conversations.schema[k].dataType.simpleString() for k in _KEYS}
     rows = conversations.select("conv_id", "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -104,7 +105,7 @@ def format_turns(conversations: DataFrame, template: Template = DEFAULT) -> Data
             frame["segments"] = [[{"text": t, "loss": y} for t, y in s] for s in frame["segments"]]
             yield frame
 
-    return rows.mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, complete boolean")
+    return through_python(rows, run, _KEYS, "role string, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, complete boolean")
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
@@ -113,7 +114,6 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     Takes the rows as format_turns() leaves them: each conversation together and in order. Checksums are carried on from
     turn to turn, so a conversation's length does not matter.
     """
-    kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "complete"]
@@ -140,7 +140,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
         if open_ is not None:
             yield pd.DataFrame([close(open_)], columns=cols)
 
-    return formatted.select("conv_id", "segments", "valid", "complete").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, complete boolean")
+    return through_python(formatted.select("conv_id", "segments", "valid", "complete"), run, "conv_id", "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, complete boolean")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

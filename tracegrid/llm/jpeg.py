@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.llm.common import stored
+from tracegrid.llm.common import stored, through_python
 
 BLOCK = 64
 
@@ -412,8 +412,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 full = [r + bytes(-len(r) % BLOCK or (BLOCK if not r else 0)) for r in raw]
                 yield pd.DataFrame({"doc_id": g["doc_id"], "n_bytes": [len(r) for r in raw], "payload_bytes": [len(r) for r in full], "media": [encode_payload(r) for r in full]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, media binary"))
+    return stored(through_python(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id", "n_bytes long, payload_bytes long, media binary"))
 
 
 def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
@@ -450,5 +449,4 @@ def features(media: DataFrame) -> DataFrame:
                 rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(d.rgb())))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return through_python(media, run, "doc_id", "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

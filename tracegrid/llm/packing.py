@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.llm.bpe import encoder
-from tracegrid.llm.common import stored, unit, with_position
+from tracegrid.llm.common import stored, through_python, unit, with_position
 
 #: The tokenizer, and its merges as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -82,8 +82,7 @@ def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, l
                     rows = []
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+    return through_python(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id", "start long, length long, ids binary, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, longest: int = LENGTH, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

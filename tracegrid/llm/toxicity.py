@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.llm.common import stored
+from tracegrid.llm.common import stored, through_python
 
 
 @dataclass(frozen=True)
@@ -120,9 +120,8 @@ def votes(docs: DataFrame, lexicon: list[tuple[str, int]], s: Settings, carry: d
                 found.append(sorted(x for e in hit for x in e))
             yield pd.DataFrame({"doc_id": f["doc_id"], **{c: f[c] for c in names}, "bits": bits, "found": found})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    kept = "".join(f", {c} long" for c in carry or {})
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(v.alias(c) for c, v in (carry or {}).items())).mapInPandas(run, f"doc_id {kind}{kept}, bits long, found array<string>")
+    kept = "".join(f"{c} long, " for c in carry or {})
+    return through_python(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(v.alias(c) for c, v in (carry or {}).items())), run, "doc_id", f"{kept}bits long, found array<string>")
 
 
 def label_model(counts: list[tuple[int, int | None, int]], voters: int, steps: int) -> dict[int, float]:
