@@ -162,16 +162,30 @@ def test_robust_line_against_numpy(spark):
     y = 2 * x + 1 + rng.normal(0, 0.1, 80)
     y[:6] += 40
     w = np.ones(80)
-    for k in range(8):
+    for k in range(9):  # least squares, then eight times re-weighted; scaled by the median distance from the median
         if k:
             res = y - b[1] - b[0] * x
-            w = np.minimum(1, 1.345 / np.maximum(np.abs(res) / max(1.4826 * np.median(np.abs(res)), 1e-9), 1e-12))
+            w = np.minimum(1, 1.345 / np.maximum(np.abs(res) / max(1.4826 * np.median(np.abs(res - np.median(res))), 1e-9), 1e-12))
         b = np.linalg.lstsq(np.c_[x, np.ones(80)] * w[:, None], y * w, rcond=None)[0]
     rows = spark.createDataFrame([("k", float(a), float(c)) for a, c in zip(x, y, strict=True)], "k string, x double, y double")
     r = M.robust_line(rows, ["k"]).first()
     assert (r.slope, r.intercept) == (pytest.approx(b[0], rel=1e-6), pytest.approx(b[1], rel=1e-4)) and abs(r.slope - 2) < 0.05
 
 
+def test_constant_line(spark):
+    rows = spark.createDataFrame([("k", 3.0, float(y)) for y in (1, 2, 6)], "k string, x double, y double")
+    b = np.linalg.lstsq(np.c_[np.ones(3), np.full(3, 3.0)], np.array([1.0, 2, 6]), rcond=None)[0]
+    r = M.robust_line(rows, ["k"], rounds=0).first()
+    assert (r.intercept, r.slope) == (pytest.approx(b[0]), pytest.approx(b[1]))
+
+
+def test_accounting_of_invalid_copies(spark):
+    """An invalid copy does not take the place of the valid span."""
+    rows = spark.createDataFrame([("t", "s", " ", 1), ("t", "s", "a", 2), ("t", "s", "a", 3)], "trace_id string, span_id string, service string, start_us long")
+    r = S.accounting(rows, ["trace_id"]).first()
+    assert (r.accepted, r.duplicate, r.ignored) == (1, 1, 1)
+
+
 def test_frontier(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
     shift = lambda rows: spark.createDataFrame(rows, "service string, channel string, delta double")

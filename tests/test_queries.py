@@ -8,8 +8,8 @@ from tests import oracle
 from tracegrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
-#: Checked in test_golden.py against brute force; here only that they give rows.
-SLOW = {"met10_conditioned_residuals", "lrn04_out_of_fold"}
+#: Not run here: it takes minutes.
+SLOW = {"lrn04_out_of_fold"}
 
 
 @pytest.fixture(scope="module")

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for them, which survives lost executors; else one in the executors' memory
-    and on their disks, which does not. Both cut the plan, so that a loop may have any number of rounds."""
+    """A checkpoint in the session's folder for them (spark.checkpoint.dir), which survives lost executors and lets a loop have
+    any number of rounds. Only a local session without such a folder, as in tests, gets one of its own; a cluster must name it."""
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.localCheckpoint()
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or _own_dir())
+    return df.checkpoint()

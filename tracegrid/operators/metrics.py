@@ -39,8 +39,10 @@ def service_key(entity: Column) -> Column:
 
 
 def infrastructure(entity: Column) -> Column:
-    """Databases and caches, which are no candidates."""
-    return entity.isin("redis", "rabbitmq", "mongodb", "mysql") | entity.rlike("-(mongo|mysql|db)$")
+    """Databases, caches and proxies, which are no candidates: by name once it is in small letters with single dashes."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(entity)), "[_-]+", "-"), "^-|-$", "")
+    # fixed values: names that are infrastructure, and ends of such names
+    return name.isin("redis", "rabbitmq", "queue", "session", "istio-proxy") | name.rlike("-(mongo|mysql|db)$")
 
 
 def converted(points: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def scale_floor() -> Column:
 
 def channel_shift(points: DataFrame, keys: list[str] = SERIES, threshold: float = 3.5, least: tuple[int, int] = (30, 10)) -> DataFrame:
     """Per series with enough points: shift of the median, of the 90 % quantile and of the IQR in robust units of the baseline;
-    share, first and largest of the residuals above the threshold, and their longest run."""
+    share and longest run of the residuals above the threshold; the largest residual. Places (of the first above the threshold,
+    0 without one, and of the largest) are fractions of the last place."""
     base = points.filter("phase = 'baseline'")
     b = stats.robust_stats(base, keys, "value", scale_floor())
     q = base.groupBy(*keys).agg(F.count("*").alias("n0"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("q0"))
@@ -77,10 +80,13 @@ def channel_shift(points: DataFrame, keys: list[str] = SERIES, threshold: float
         F.first("n0").alias("n0"), F.count("*").alias("n1"), F.first("scale").alias("scale"), ((F.percentile("value", 0.5) - F.first("median")) / F.first("scale")).alias("location"),
         ((F.percentile("value", 0.9) - F.first("q0")[2]) / F.first("scale")).alias("p90_shift"), ((F.percentile("value", 0.75) - F.percentile("value", 0.25) - F.first("q0")[1] + F.first("q0")[0]) / F.first("scale")).alias("iqr_shift"),
         F.avg(F.col("on").cast("double")).alias("persistence"), F.min(F.when(F.col("on"), F.col("idx"))).alias("first"), F.max(F.abs("residual")).alias("peak"),
+        F.max_by("idx", F.struct(F.abs("residual"), -F.col("idx"))).alias("peak_at"),
     )
     runs = stats.longest_run(cur, keys, "idx", "on")
     out = g.join(runs, keys).filter((F.col("n0") >= least[0]) & (F.col("n1") >= least[1]))
-    return out.withColumn("first_fraction", F.col("first") / F.col("n1")).withColumn("run_fraction", F.col("longest_run") / F.col("n1")).drop("first", "longest_run")
+    last = F.greatest(F.lit(1), F.col("n1") - 1)
+    out = out.withColumn("first_fraction", F.coalesce(F.col("first") / last, F.lit(0.0))).withColumn("peak_fraction", F.col("peak_at") / last).withColumn("abs_location", F.abs("location"))
+    return out.withColumn("run_fraction", F.col("longest_run") / F.col("n1")).drop("first", "peak_at", "longest_run")
 
 
 def rolling_shift(points: DataFrame, seconds: int, keys: list[str] = SERIES, threshold: float = 3.5) -> DataFrame:
@@ -184,35 +190,52 @@ def workload_pairs(points: DataFrame, traffic: str = "traffic_rate") -> DataFram
 
 
 def robust_line(pairs: DataFrame, keys: list[str], rounds: int = 8, limit: float = 1.345) -> DataFrame:
-    """Slope and intercept of y on x for all groups at once by Huber re-weighting, a fixed number of rounds.
+    """Slope and intercept of y on x for all groups at once: least squares, then `rounds` times re-weighted after Huber.
 
     Each round is one aggregation of weighted sums; a row weighs the square of its Huber weight, as design and response are
-    both multiplied by it. Residuals are scaled by 1.4826 times their median absolute value.
+    both multiplied by it. Residuals are scaled by 1.4826 times their median distance from their median. Where x is constant,
+    the line is the one of least coefficients through the mean.
     """
     fit = None
-    for _ in range(rounds):
+    for _ in range(rounds + 1):
         p = pairs.select(*keys, "x", "y")
         if fit is None:
             p = p.withColumn("w", F.lit(1.0))
         else:
             p = p.join(fit, keys).withColumn("r", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
-            s = p.groupBy(*keys).agg(F.greatest(F.percentile(F.abs("r"), 0.5) * stats.MAD, F.lit(1e-9)).alias("s"))
+            centred = p.join(p.groupBy(*keys).agg(F.percentile("r", 0.5).alias("c")), keys)
+            s = centred.groupBy(*keys).agg(F.greatest(F.percentile(F.abs(F.col("r") - F.col("c")), 0.5) * stats.MAD, F.lit(1e-9)).alias("s"))
             p = p.drop("slope", "intercept").join(s, keys).withColumn("w", F.pow(F.least(F.lit(1.0), limit / F.greatest(F.abs("r") / F.col("s"), F.lit(1e-12))), 2))
         g = p.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"))
         det = F.col("w") * F.col("xx") - F.col("x") * F.col("x")
-        slope = F.when(det > 1e-9, (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / det).otherwise(0.0)
+        mean_x, mean_y = F.col("x") / F.col("w"), F.col("y") / F.col("w")
+        slope = F.when(det > 1e-12 * F.col("w") * F.col("xx"), (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / det).otherwise(mean_x * mean_y / (1 + mean_x * mean_x))
         fit = cut(g.withColumn("slope", slope).select(*keys, "slope", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("w")).alias("intercept")))
     return fit
 
 
 def conditioned_residuals(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Deviation of the current y from the line that the baseline has on x: location, 90 % quantile and peak in robust units."""
-    base = pairs.filter("phase = 'baseline'")
+    """Deviation of the current y from the line that the baseline has on x: location (of the median), 90 % quantile, peak and
+    persistence in robust units. Groups have `least` rows in all, in the baseline and in the current phase. An x or y that is
+    never negative in the baseline, and whose 90 % quantile there is above four medians, is taken as log(1 + value)."""
+    least, phase = (40, 30, 10), F.col("phase")
+    of = lambda c, p, q: F.percentile(F.when(p, F.col(c)), q)
+    skew = lambda c: (F.min(F.when(phase == "baseline", F.col(c))) >= 0) & (of(c, phase == "baseline", 0.9) > 4 * F.greatest(of(c, phase == "baseline", 0.5), F.lit(1e-9)))
+    g = pairs.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_if(phase == "baseline").alias("__n0"), F.count_if(phase == "current").alias("__n1"), skew("x").alias("__x"), skew("y").alias("__y"))
+    g = g.filter((F.col("__n") >= least[0]) & (F.col("__n0") >= least[1]) & (F.col("__n1") >= least[2]))
+    pairs = pairs.join(g, keys).withColumns({c: F.when(F.col(f"__{c}"), F.log1p(c)).otherwise(F.col(c)) for c in "xy"}).select(*keys, "phase", "x", "y")
+    base = pairs.filter(phase == "baseline")
     fit = robust_line(base, keys)
     res = lambda df: df.join(fit, keys).withColumn("r", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
-    b = stats.robust_stats(res(base), keys, "r", 1e-6)
+    b = stats.robust_stats(res(base), keys, "r", scale_floor())
     c = res(pairs.filter("phase = 'current'")).join(b, keys).withColumn("z", F.abs((F.col("r") - F.col("median")) / F.col("scale")))
-    return c.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("z", 0.5).alias("location"), F.percentile("z", 0.9).alias("p90"), F.max("z").alias("peak"), F.avg((F.col("z") >= 3.5).cast("double")).alias("persistence"))
+    return c.groupBy(*keys).agg(F.count("*").alias("n"), (F.abs(F.percentile("r", 0.5) - F.first("median")) / F.first("scale")).alias("location"), F.percentile("z", 0.9).alias("p90"), F.max("z").alias("peak"), F.avg((F.col("z") >= 3.5).cast("double")).alias("persistence"))
+
+
+def strongest_residual(conditioned: DataFrame, keys: list[str]) -> DataFrame:
+    """Per keys the row with the largest peak; of equal ones the first by family."""
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("peak"), "family"))
+    return conditioned.withColumn("__k", best).filter("__k = 1").drop("__k")
 
 
 def in_segments(points: DataFrame, segments: DataFrame) -> DataFrame:

@@ -76,10 +76,10 @@ def merge_partial(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 
 def accounting(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, accepted (distinct valid spans), duplicate, ignored (invalid)."""
+    """keys, accepted (distinct valid spans), duplicate (valid copies of one), ignored (invalid, whatever they are copies of)."""
     ok = (F.trim("trace_id") != "") & (F.trim("span_id") != "") & (F.trim("service") != "")
     ok = F.coalesce(ok, F.lit(False))
-    first = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("start_us", "service")) == 1
+    first = F.row_number().over(Window.partitionBy("trace_id", "span_id", "__ok").orderBy("start_us", "service")) == 1
     marked = spans.withColumn("__ok", ok).withColumn("__first", first)
     return marked.groupBy(*keys).agg(F.count_if(F.col("__ok") & F.col("__first")).alias("accepted"), F.count_if(F.col("__ok") & ~F.col("__first")).alias("duplicate"), F.count_if(~F.col("__ok")).alias("ignored"))
 

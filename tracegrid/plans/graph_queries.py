@@ -133,13 +133,13 @@ def gra09(spark, d):
     return G.invalid_edges(worn, p.select(F.col("source").alias("service")).distinct())
 
 
-@query("gra10_branch_isolation", f"""WITH {B.SPANS}, g AS (SELECT DISTINCT c.incident_id, c.phase, p.service AS source, c.service AS target FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service <> c.service AND c.duration_us % 13 = 0),
+@query("gra10_branch_isolation", f"""WITH {B.SPANS}, g AS (SELECT DISTINCT c.incident_id, c.phase, p.service AS source, c.service AS target FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service <> c.service),
 j AS (SELECT incident_id, e.source AS es, o.source AS os FROM (SELECT * FROM g WHERE phase = 'baseline') e FULL JOIN (SELECT * FROM g WHERE phase = 'current') o USING (incident_id, source, target))
 SELECT incident_id, count(*) FILTER (es IS NULL) AS unexpected, count(*) FILTER (os IS NULL) AS missing, count(*) AS edges FROM j GROUP BY 1""")
 def gra10(spark, d):
     from tracegrid.operators import spans as S
 
-    linked = S.with_parent(B.spans(spark, d), ("service",)).filter("parent_service <> service and duration_us % 13 = 0")
+    linked = S.with_parent(B.spans(spark, d), ("service",)).filter("parent_service <> service")
     g = linked.select("incident_id", "phase", F.col("parent_service").alias("source"), F.col("service").alias("target"))
     return G.branch_isolation(g.filter("phase = 'baseline'"), g.filter("phase = 'current'"), ["incident_id"])
 

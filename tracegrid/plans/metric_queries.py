@@ -19,21 +19,21 @@ def r(c, n=6):
     return F.round(c, n)
 
 
-WIDE = "wide AS (SELECT ts AS time, max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"orders_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"pay_service_mem\", max(value) FILTER (service = 'svc-3' AND family = 'network') AS \"cart-db_net\" FROM points GROUP BY 1)"
+WIDE = "wide AS (SELECT ts AS time, max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"orders_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"pay_service_mem\", max(value) FILTER (service = 'svc-3' AND family = 'network') AS \"cart-db_net\", max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"Istio_Proxy_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"mysql_mem\" FROM points GROUP BY 1)"
 
 
 def wide(spark, d):
     p = B.points(spark, d)
     pick = lambda s, f: F.max(F.when((F.col("service") == s) & (F.col("family") == f), F.col("value")))
-    return p.groupBy(F.col("ts").cast("string").alias("time")).agg(pick("svc-1", "cpu").alias("orders_cpu"), pick("svc-2", "memory").alias("pay_service_mem"), pick("svc-3", "network").alias("cart-db_net"))
+    return p.groupBy(F.col("ts").cast("string").alias("time")).agg(pick("svc-1", "cpu").alias("orders_cpu"), pick("svc-2", "memory").alias("pay_service_mem"), pick("svc-3", "network").alias("cart-db_net"), pick("svc-1", "cpu").alias("Istio_Proxy_cpu"), pick("svc-2", "memory").alias("mysql_mem"))
 
 
-@query("src09_wide_read", f"{P}, {WIDE} SELECT CAST(time AS DOUBLE) AS time, metric, value FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\" INTO NAME metric VALUE value)")
+@query("src09_wide_read", f"{P}, {WIDE} SELECT CAST(time AS DOUBLE) AS time, metric, value FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\", \"Istio_Proxy_cpu\", \"mysql_mem\" INTO NAME metric VALUE value)")
 def src09(spark, d):
     return M.long_points(wide(spark, d))
 
 
-@query("prj07_metric_parse", f"{P}, {WIDE} SELECT * FROM (VALUES ('orders_cpu', 'orders', 'cpu', 'orders', false), ('pay_service_mem', 'pay_service', 'memory', 'pay', false), ('cart-db_net', 'cart-db', 'network', 'cartdb', true)) v(metric, entity, family, service_key, infrastructure) JOIN (SELECT metric, count(*) AS n FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\" INTO NAME metric VALUE value) GROUP BY 1) USING (metric)")
+@query("prj07_metric_parse", f"{P}, {WIDE} SELECT * FROM (VALUES ('orders_cpu', 'orders', 'cpu', 'orders', false), ('pay_service_mem', 'pay_service', 'memory', 'pay', false), ('cart-db_net', 'cart-db', 'network', 'cartdb', true), ('Istio_Proxy_cpu', 'Istio_Proxy', 'cpu', 'istioproxy', true), ('mysql_mem', 'mysql', 'memory', 'mysql', false)) v(metric, entity, family, service_key, infrastructure) JOIN (SELECT metric, count(*) AS n FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\", \"Istio_Proxy_cpu\", \"mysql_mem\" INTO NAME metric VALUE value) GROUP BY 1) USING (metric)")
 def prj07(spark, d):
     """Entity, family, service key and the infrastructure predicate of metric columns (PRJ-08 to PRJ-10)."""
     long = M.long_points(wide(spark, d)).groupBy("metric").agg(F.count("*").alias("n"))
@@ -63,12 +63,12 @@ cu AS (SELECT *, (value - med) / scale AS residual, row_number() OVER (PARTITION
 
 @query("met02_channel_shift", f"""{P}, {SHIFT}, rn AS (SELECT service, family, max(len) AS run FROM (SELECT service, family, idx - k AS g, count(*) AS len FROM (SELECT *, row_number() OVER (PARTITION BY service, family ORDER BY idx) AS k FROM cu WHERE abs(residual) >= 1.0) GROUP BY 1, 2, 3) GROUP BY 1, 2),
 g AS (SELECT service, family, min(n0) AS n0, count(*) AS n1, min(scale) AS scale, (quantile_cont(value, 0.5) - min(med)) / min(scale) AS location, (quantile_cont(value, 0.9) - min(q9)) / min(scale) AS p90_shift, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25) - min(q3) + min(q1)) / min(scale) AS iqr_shift,
-avg(CAST(abs(residual) >= 1.0 AS INT)) AS persistence, max(abs(residual)) AS peak, min(idx) FILTER (abs(residual) >= 1.0) AS first FROM cu GROUP BY 1, 2)
-SELECT service, family, n0, n1, round(scale, 6) AS scale, round(location, 5) AS location, round(p90_shift, 5) AS p90_shift, round(iqr_shift, 5) AS iqr_shift, round(persistence, 6) AS persistence, round(peak, 5) AS peak, round(first / CAST(n1 AS DOUBLE), 6) AS first_fraction, round(coalesce(run, 0) / CAST(n1 AS DOUBLE), 6) AS run_fraction FROM g LEFT JOIN rn USING (service, family) WHERE n0 >= 30 AND n1 >= 10""")
+avg(CAST(abs(residual) >= 1.0 AS INT)) AS persistence, max(abs(residual)) AS peak, arg_max(idx, (abs(residual), -idx)) AS peak_at, min(idx) FILTER (abs(residual) >= 1.0) AS first FROM cu GROUP BY 1, 2)
+SELECT service, family, n0, n1, round(scale, 6) AS scale, round(location, 5) AS location, round(abs(location), 5) AS abs_location, round(peak_at / greatest(1, n1 - 1)::DOUBLE, 6) AS peak_fraction, round(p90_shift, 5) AS p90_shift, round(iqr_shift, 5) AS iqr_shift, round(persistence, 6) AS persistence, round(peak, 5) AS peak, round(coalesce(first / greatest(1, n1 - 1)::DOUBLE, 0), 6) AS first_fraction, round(coalesce(run, 0) / CAST(n1 AS DOUBLE), 6) AS run_fraction FROM g LEFT JOIN rn USING (service, family) WHERE n0 >= 30 AND n1 >= 10""")
 def met02(spark, d):
     s = M.channel_shift(B.points(spark, d), threshold=1.0)
-    five = ("location", "p90_shift", "iqr_shift", "peak")
-    return s.withColumns({c: r(c, 5) for c in five} | {c: r(c) for c in ("scale", "persistence", "first_fraction", "run_fraction")})
+    five = ("location", "abs_location", "p90_shift", "iqr_shift", "peak")
+    return s.withColumns({c: r(c, 5) for c in five} | {c: r(c) for c in ("scale", "persistence", "first_fraction", "peak_fraction", "run_fraction")})
 
 
 @query("met03_rolling_shift", f"""{P}, {SHIFT}, ro AS (SELECT service, family, abs(quantile_cont(residual, 0.5) OVER (PARTITION BY service, family ORDER BY ts RANGE BETWEEN {60 * DAY - 1} PRECEDING AND CURRENT ROW)) AS rolled FROM cu)
@@ -110,16 +110,35 @@ def jon08(spark, d):
     return w.groupBy("service", "family", "phase").agg(F.count("*").alias("n"), r(F.sum("x"), 3).alias("x"), r(F.sum("y"), 3).alias("y"))
 
 
-@query("met09_robust_line", f"{P}, {PAIRS} SELECT service, family, round(CASE WHEN count(DISTINCT x) < 2 THEN 0 ELSE regr_slope(y, x) END, 5) AS slope, round(CASE WHEN count(DISTINCT x) < 2 THEN avg(y) ELSE regr_intercept(y, x) END, 5) AS intercept FROM pr WHERE phase = 'baseline' GROUP BY 1, 2")
+def _fits(rounds: int = 8) -> str:
+    """CTEs fit0 (least squares) to fit8 (Huber re-weighted) over pb (service, family, x, y)."""
+    fit = """fit{i} AS MATERIALIZED (SELECT service, family, b, (y - b * x) / w AS a FROM (SELECT *, CASE WHEN w * xx - x * x > 1e-12::DOUBLE * w * xx THEN (w * xy - x * y) / (w * xx - x * x) ELSE (x / w) * (y / w) / (1 + (x / w) * (x / w)) END AS b
+  FROM (SELECT service, family, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM {rows} GROUP BY 1, 2)))"""
+    out = [fit.format(i=0, rows="(SELECT *, 1.0::DOUBLE AS w FROM pb)")]
+    for i in range(1, rounds + 1):
+        out.append(f"""r{i} AS MATERIALIZED (SELECT pb.*, y - a - b * x AS r FROM pb JOIN fit{i - 1} USING (service, family)), c{i} AS MATERIALIZED (SELECT service, family, quantile_cont(r, 0.5) AS c FROM r{i} GROUP BY 1, 2),
+s{i} AS MATERIALIZED (SELECT service, family, greatest(1.4826::DOUBLE * quantile_cont(abs(r - c), 0.5), 1e-9::DOUBLE) AS s FROM r{i} JOIN c{i} USING (service, family) GROUP BY 1, 2)""")
+        out.append(fit.format(i=i, rows=f"(SELECT x, y, service, family, pow(CASE WHEN abs(r) <= 1.345::DOUBLE * s THEN 1.0::DOUBLE ELSE 1.345::DOUBLE * s / abs(r) END, 2) AS w FROM r{i} JOIN s{i} USING (service, family))"))
+    return ", ".join(out)
+
+
+@query("met09_robust_line", f"{P}, {PAIRS}, pb AS MATERIALIZED (SELECT service, family, x, y FROM pr WHERE phase = 'baseline'), {_fits()} SELECT service, family, round(b, 4) AS slope, round(a, 4) AS intercept FROM fit8")
 def met09(spark, d):
-    """One round is the least-squares line; more rounds are held against numpy in the tests."""
     p = M.workload_pairs(B.points(spark, d)).filter("phase = 'baseline'")
-    return M.robust_line(p, ["service", "family"], rounds=1).withColumns({"slope": r("slope", 5), "intercept": r("intercept", 5)})
+    return M.robust_line(p, ["service", "family"]).withColumns({"slope": r("slope", 4), "intercept": r("intercept", 4)})
 
 
-@query("met10_conditioned_residuals")
+@query("met10_conditioned_residuals", f"""{P}, {PAIRS}, k AS (SELECT service, family, min(x) FILTER (phase = 'baseline') >= 0 AND quantile_cont(x, 0.9) FILTER (phase = 'baseline') > 4 * greatest(quantile_cont(x, 0.5) FILTER (phase = 'baseline'), 1e-9) AS lx,
+  min(y) FILTER (phase = 'baseline') >= 0 AND quantile_cont(y, 0.9) FILTER (phase = 'baseline') > 4 * greatest(quantile_cont(y, 0.5) FILTER (phase = 'baseline'), 1e-9) AS ly
+  FROM pr GROUP BY 1, 2 HAVING count(*) >= 40 AND count(*) FILTER (phase = 'baseline') >= 30 AND count(*) FILTER (phase = 'current') >= 10),
+t AS MATERIALIZED (SELECT service, family, phase, CASE WHEN lx THEN ln(1 + x) ELSE x END AS x, CASE WHEN ly THEN ln(1 + y) ELSE y END AS y FROM pr JOIN k USING (service, family)), pb AS MATERIALIZED (SELECT service, family, x, y FROM t WHERE phase = 'baseline'), {_fits()},
+e AS MATERIALIZED (SELECT t.*, y - a - b * x AS r FROM t JOIN fit8 USING (service, family)), ce AS (SELECT service, family, quantile_cont(r, 0.5) AS c FROM e WHERE phase = 'baseline' GROUP BY 1, 2),
+se AS (SELECT service, family, c, greatest(1.4826::DOUBLE * quantile_cont(abs(r - c), 0.5), greatest(1.0, abs(c)) * 1e-6) AS s FROM e JOIN ce USING (service, family) WHERE phase = 'baseline' GROUP BY 1, 2, 3)
+SELECT service, family, count(*) AS n, round(abs(quantile_cont(r, 0.5) - min(c)) / min(s), 4) AS location, round(quantile_cont(abs(r - c) / s, 0.9), 4) AS p90, round(max(abs(r - c) / s), 4) AS peak, round(avg(CAST(abs(r - c) / s >= 3.5 AS INT)), 6) AS persistence
+FROM e JOIN se USING (service, family) WHERE phase = 'current' GROUP BY 1, 2""")
 def met10(spark, d):
-    return M.conditioned_residuals(M.workload_pairs(B.points(spark, d)), ["service", "family"])
+    out = M.conditioned_residuals(M.workload_pairs(B.points(spark, d)), ["service", "family"])
+    return out.withColumns({c: r(c, 4) for c in ("location", "p90", "peak")} | {"persistence": r("persistence")})
 
 
 @query("met17_temporal_shape", f"""{P}, {SHIFT}, f AS (SELECT *, (ts - {START}) / CAST({730 * DAY} AS DOUBLE) AS f FROM cu)
@@ -132,14 +151,12 @@ def met17(spark, d):
     return t.withColumns({"early": r("early", 5), "late": r("late", 5), "first": r("first")})
 
 
-GRID = f"""sl AS (SELECT range AS slot FROM range({START}, {START + 360 * DAY}, {30 * DAY})), se AS (SELECT DISTINCT service, family FROM points), m AS (SELECT service, family, CAST(floor((ts - {START}) / {30 * DAY}.0) AS BIGINT) * {30 * DAY} + {START} AS slot, avg(value) AS value FROM points WHERE ts % 7 <> 0 OR family = 'cpu' GROUP BY 1, 2, 3),
+GRID = f"""sl AS (SELECT range AS slot FROM range({START}, {START + 360 * DAY}, {30 * DAY})), se AS (SELECT DISTINCT service, family FROM points), m AS (SELECT service, family, CAST(floor((ts - {START}) / {30 * DAY}.0) AS BIGINT) * {30 * DAY} + {START} AS slot, avg(value) AS value FROM points GROUP BY 1, 2, 3),
 gr AS (SELECT service, family, slot, CASE WHEN m.value IS NULL THEN 'MISSING' ELSE 'OBSERVED' END AS state, m.value FROM se CROSS JOIN sl LEFT JOIN m USING (service, family, slot))"""
 
 
 def grid(spark, d):
-    p = B.points(spark, d)
-    few = p.filter("ts % 7 <> 0 or family = 'cpu'")
-    return M.complete_grid(few.unionByName(p.limit(0)), START, START + 360 * DAY, 30 * DAY)
+    return M.complete_grid(B.points(spark, d), START, START + 360 * DAY, 30 * DAY)
 
 
 @query("jon10_complete_grid", f"{P}, {GRID} SELECT service, family, slot, state, round(value, 4) AS value FROM gr WHERE (service, family) IN (SELECT (service, family) FROM m)")

@@ -45,7 +45,7 @@ def agg01(spark, d):
 
 
 @query("agg02_accounting", f"""{WITH}, s AS (SELECT incident_id, trace_id, span_id, CASE WHEN duration_us % 11 = 0 THEN ' ' ELSE service END AS service, start_us FROM spans UNION ALL SELECT incident_id, trace_id, span_id, service, start_us FROM spans WHERE duration_us % 3 = 0),
-m AS (SELECT *, trim(service) <> '' AS ok, row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_us, service) = 1 AS one FROM s)
+m AS (SELECT *, trim(service) <> '' AS ok, row_number() OVER (PARTITION BY trace_id, span_id, trim(service) <> '' ORDER BY start_us, service) = 1 AS one FROM s)
 SELECT incident_id, count(*) FILTER (ok AND one) AS accepted, count(*) FILTER (ok AND NOT one) AS duplicate, count(*) FILTER (NOT ok) AS ignored FROM m GROUP BY 1""")
 def agg02(spark, d):
     s = B.spans(spark, d)
@@ -101,11 +101,11 @@ def agg06(spark, d):
     return S.exclusive_time(B.spans(spark, d)).groupBy("incident_id", "service").agg(F.count("*").alias("n"), F.sum("wait_us").alias("wait_us"), F.sum("exclusive_us").alias("exclusive_us"), r(F.avg("exclusive_ratio")).alias("ratio"))
 
 
-REFS = "refs AS (SELECT incident_id, service, operation, trace_id, CASE WHEN duration_us % 5 = 0 THEN 'gone' ELSE span_id END AS span_id FROM spans WHERE kind = 'SERVER' AND phase = 'current' AND duration_us % 2 = 0)"
+REFS = "refs AS (SELECT incident_id, service, operation, trace_id, CASE WHEN duration_us % 5 = 0 THEN 'gone' ELSE span_id END AS span_id FROM spans WHERE kind = 'SERVER' AND phase = 'current')"
 
 
 def refs(spark, d):
-    s = B.spans(spark, d).filter("kind = 'SERVER' and phase = 'current' and duration_us % 2 = 0")
+    s = B.spans(spark, d).filter("kind = 'SERVER' and phase = 'current'")
     return s.select("incident_id", "service", "operation", "trace_id", F.when(F.col("duration_us") % 5 == 0, "gone").otherwise(F.col("span_id")).alias("span_id"))
 
 
