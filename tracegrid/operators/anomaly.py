@@ -76,9 +76,12 @@ def sliding_quantile(df: DataFrame, keys: list[str], order: str, value: str, wid
     return F.when(F.row_number().over(w) >= wide, F.percentile(value, q).over(w.rowsBetween(1 - wide, 0)))
 
 
-def scale_features(res: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
-    """For each window length: the largest rolling median and 90 % quantile of the residuals, and the largest z of the
-    window's known failures against the baseline's."""
+CHANNELS = [f"{k}_{n}" for n in SCALES for k in ("loc", "tail", "err")]
+
+
+def rolling_features(res: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
+    """Adds for each window length, where the window is full: the median and the 90 % quantile of the window's residuals, and
+    the z of its known failures against the baseline's."""
     w = Window.partitionBy(*keys).orderBy("idx")
     out = res
     for n in SCALES:
@@ -87,8 +90,12 @@ def scale_features(res: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
         known, bad = F.count("failed").over(f), F.sum(F.col("failed").cast("int")).over(f)
         out = out.withColumn("__k", known).withColumn("__b", bad).withColumn("__full", F.row_number().over(w) >= n)
         out = out.withColumn(f"err_{n}", F.when(F.col("__full") & (F.col("__k") > 0), stats.two_proportion_z("base_errors", "base_samples", "__b", "__k"))).drop("__k", "__b", "__full")
-    names = [f"{k}_{n}" for n in SCALES for k in ("loc", "tail", "err")]
-    return out.groupBy(*keys).agg(*(F.max(c).alias(c) for c in names))
+    return out
+
+
+def scale_features(res: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
+    """For each window length the largest of each of rolling_features()."""
+    return rolling_features(res, keys).groupBy(*keys).agg(*(F.max(c).alias(c) for c in CHANNELS))
 
 
 def cusum_peak(res: DataFrame, keys: list[str] = OPERATION, slack: float = SLACK) -> DataFrame:
@@ -97,19 +104,22 @@ def cusum_peak(res: DataFrame, keys: list[str] = OPERATION, slack: float = SLACK
 
 def verdicts(obs: DataFrame, keys: list[str] = OPERATION, location: float = 2.0, tail: float = 4.0, error: float = 3.0, cusum: float = 8.0) -> DataFrame:
     """The second detector for each operation: channels over their thresholds, the largest as score, its name (of equal
-    ones the last by name), whether it fires, and onset, persistence and longest run of residuals above `location`."""
+    ones the last by name), whether it fires, and persistence and longest run of residuals above `location`. The onset is the
+    first place at which any channel reaches its threshold, also as a fraction of the last place."""
     res = residuals(obs, keys)
-    f = scale_features(res, keys).join(cusum_peak(res, keys), keys)
     limits = {"loc": location, "tail": tail, "err": error}
     channels = [F.struct((F.coalesce(F.col(f"{k}_{n}"), F.lit(0.0)) / limits[k]).alias("v"), F.lit(f"{k}_{n}").alias("name")) for k in limits for n in SCALES]
     channels.append(F.struct((F.col("cusum") / cusum).alias("v"), F.lit("cusum").alias("name")))
     best = F.array_max(F.array(*channels))
-    hit = res.withColumn("__on", F.col("residual") >= location)
-    shape = hit.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.when(F.col("__on"), F.col("idx"))).alias("onset"), F.avg(F.col("__on").cast("int")).alias("persistence"), F.max("base_samples").alias("base_samples"))
-    runs = stats.longest_run(hit, keys, "idx", "__on")
-    out = f.withColumn("__best", best).join(shape, keys).join(runs, keys)
+    rows = stats.cusum(rolling_features(res, keys), keys, "idx", "residual", SLACK).withColumn("__on", F.col("residual") >= location)
+    reached = F.greatest(*(F.coalesce(F.col(f"{k}_{n}") / limits[k], F.lit(0.0)) for k in limits for n in SCALES), F.col("cusum") / cusum) >= 1
+    f = rows.groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in [*CHANNELS, "cusum"]), F.count("*").alias("n"), F.min(F.when(reached, F.col("idx"))).alias("onset"), F.avg(F.col("__on").cast("int")).alias("persistence"), F.max("base_samples").alias("base_samples")
+    )
+    runs = stats.longest_run(res.withColumn("__on", F.col("residual") >= location), keys, "idx", "__on")
+    out = f.withColumn("__best", best).join(runs, keys)
     fit = (F.col("base_samples") >= LEAST_BASELINE) & (F.col("n") >= LEAST_CURRENT)
-    return out.select(*keys, "n", F.when(fit, F.col("__best.v")).otherwise(0.0).alias("score"), F.col("__best.name").alias("channel"), (fit & (F.col("__best.v") >= 1)).alias("anomalous"), "onset", (F.col("onset") / F.col("n")).alias("onset_fraction"), "persistence", "longest_run")
+    return out.select(*keys, "n", F.when(fit, F.col("__best.v")).otherwise(0.0).alias("score"), F.col("__best.name").alias("channel"), (fit & (F.col("__best.v") >= 1)).alias("anomalous"), "onset", (F.col("onset") / F.greatest(F.lit(1), F.col("n") - 1)).alias("onset_fraction"), "persistence", "longest_run")
 
 
 def service_winner(verdict: DataFrame) -> DataFrame:

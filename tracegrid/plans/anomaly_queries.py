@@ -108,9 +108,11 @@ VERDICT = f"""ch AS (SELECT {KEYS}, CAST(v AS DOUBLE) / (CASE WHEN name LIKE 'lo
   {' UNION ALL '.join(f"SELECT {KEYS}, coalesce({c}_{n}, 0) AS v, '{c}_{n}' AS name FROM sc" for n in A.SCALES for c in ('loc', 'tail', 'err'))} UNION ALL SELECT {KEYS}, cusum, 'cusum' FROM cs)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY v DESC, name DESC) AS k FROM ch) WHERE k = 1),
 runs AS (SELECT {KEYS}, max(len) AS longest_run FROM (SELECT {KEYS}, idx - q AS g, count(*) AS len FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY idx) AS q FROM res WHERE residual >= 2.0) GROUP BY ALL) GROUP BY ALL),
-shape AS (SELECT {KEYS}, count(*) AS n, min(idx) FILTER (residual >= 2.0) AS onset, avg(CAST(residual >= 2.0 AS INT)) AS persistence, max(bs) AS bs FROM res GROUP BY ALL),
-vd AS (SELECT {KEYS}, n, CASE WHEN bs >= 30 AND n >= 10 THEN v ELSE 0 END AS score, name AS channel, bs >= 30 AND n >= 10 AND v >= 1 AS anomalous, onset, onset / CAST(n AS DOUBLE) AS onset_fraction, persistence, coalesce(longest_run, 0) AS longest_run
-  FROM best JOIN shape USING ({KEYS}) LEFT JOIN runs USING ({KEYS}))"""
+ons AS (SELECT {KEYS}, min(idx) AS onset FROM (SELECT {KEYS}, idx FROM wz WHERE {' OR '.join(f"{c}_{n} >= {t}" for n in A.SCALES for c, t in (('loc', 2.0), ('tail', 4.0), ('err', 3.0)))}
+  UNION ALL SELECT {KEYS}, idx FROM (SELECT *, pre - least(0, min(pre) OVER ({PART} ROWS UNBOUNDED PRECEDING)) AS s FROM p) WHERE s >= 8.0) GROUP BY ALL),
+shape AS (SELECT {KEYS}, count(*) AS n, avg(CAST(residual >= 2.0 AS INT)) AS persistence, max(bs) AS bs FROM res GROUP BY ALL),
+vd AS (SELECT {KEYS}, n, CASE WHEN bs >= 30 AND n >= 10 THEN v ELSE 0 END AS score, name AS channel, bs >= 30 AND n >= 10 AND v >= 1 AS anomalous, onset, onset / greatest(1, n - 1)::DOUBLE AS onset_fraction, persistence, coalesce(longest_run, 0) AS longest_run
+  FROM best JOIN shape USING ({KEYS}) LEFT JOIN runs USING ({KEYS}) LEFT JOIN ons USING ({KEYS}))"""
 
 
 @query("ano12_verdicts", f"{WITH}, {BASE}, {RES}, {_scales()}, {CUSUM}, {VERDICT} SELECT {KEYS}, n, round(score, 5) AS score, channel, anomalous, onset, round(onset_fraction, 6) AS onset_fraction, round(persistence, 6) AS persistence, longest_run FROM vd")
