@@ -31,81 +31,108 @@ def reachable(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
         seen = cut(seen.unionByName(new))
 
 
-def affected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(candidate, service): the candidate itself and everyone who calls it, however far away. edges: source calls target."""
-    up = reachable(edges).select(F.col("target").alias("candidate"), F.col("source").alias("service"))
-    return nodes.select(F.col("service").alias("candidate"), "service").union(up).distinct()
+def _beside(df: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of `one`, which has a row for each value of the keys: one row in all where there are none."""
+    return df.join(one, keys, "left") if keys else df.crossJoin(F.broadcast(one))
 
 
-def closures(edges: DataFrame, itself_on_cycle: bool = False) -> DataFrame:
-    """(service, other, direction): ancestors call the service, descendants are called by it; itself only if asked for."""
-    r = reachable(edges)
-    both = r.select(F.col("target").alias("service"), F.col("source").alias("other"), F.lit("ancestor").alias("direction")).union(r.select("source", "target", F.lit("descendant")))
+def affected(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, candidate, service): the candidate itself and everyone who calls it, however far away. edges: source calls target.
+
+    Here and below, keys (as incident_id) are columns of all inputs and name independent graphs.
+    """
+    keys = keys or []
+    up = reachable(edges, keys).select(*keys, F.col("target").alias("candidate"), F.col("source").alias("service"))
+    return nodes.select(*keys, F.col("service").alias("candidate"), "service").union(up).distinct()
+
+
+def closures(edges: DataFrame, keys: list[str] | None = None, itself_on_cycle: bool = False) -> DataFrame:
+    """(keys, service, other, direction, distance): ancestors call the service, descendants are called by it; itself only if
+    asked for."""
+    keys = keys or []
+    r = reachable(edges, keys)
+    way = lambda a, b, name: F.struct(F.col(a).alias("service"), F.col(b).alias("other"), F.lit(name).alias("direction"))
+    ways = F.array(way("target", "source", "ancestor"), way("source", "target", "descendant"))
+    both = r.select(*keys, "distance", F.explode(ways).alias("w")).select(*keys, "w.*", "distance")
     return both if itself_on_cycle else both.filter("service <> other")
 
 
-def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def degrees(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """In and out degree and sizes of both closures, each over the other nodes."""
-    n = nodes.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("__n"))
-    ins = edges.groupBy(F.col("target").alias("__i")).agg(F.count_distinct("source").alias("in_degree"))
-    outs = edges.groupBy(F.col("source").alias("__o")).agg(F.count_distinct("target").alias("out_degree"))
-    c = closures(edges).groupBy(F.col("service").alias("__c")).agg(F.count_if(F.col("direction") == "ancestor").alias("ancestors"), F.count_if(F.col("direction") == "descendant").alias("descendants"))
-    j = nodes.join(ins, F.col("service") == F.col("__i"), "left").join(outs, F.col("service") == F.col("__o"), "left").join(c, F.col("service") == F.col("__c"), "left").crossJoin(F.broadcast(n))  # one row
+    keys = keys or []
+    at = [*keys, "service"]
+    n = nodes.groupBy(*keys).agg(F.greatest(F.lit(1), F.count("*") - 1).alias("__n"))
+    ins = edges.groupBy(*keys, F.col("target").alias("service")).agg(F.count_distinct("source").alias("in_degree"))
+    outs = edges.groupBy(*keys, F.col("source").alias("service")).agg(F.count_distinct("target").alias("out_degree"))
+    c = closures(edges, keys).groupBy(*at).agg(F.count_if(F.col("direction") == "ancestor").alias("ancestors"), F.count_if(F.col("direction") == "descendant").alias("descendants"))
+    j = _beside(nodes.select(*at).join(ins, at, "left").join(outs, at, "left").join(c, at, "left"), n, keys)
     zero = {x: F.coalesce(x, F.lit(0)) for x in ("in_degree", "out_degree", "ancestors", "descendants")}
-    return j.select("service", *(v.alias(k) for k, v in zero.items()), *((v / F.col("__n")).alias(f"{k}_ratio") for k, v in zero.items()))
+    return j.select(*at, *(v.alias(k) for k, v in zero.items()), *((v / F.col("__n")).alias(f"{k}_ratio") for k, v in zero.items()))
 
 
-def topology_fit(edges: DataFrame, scores: DataFrame) -> DataFrame:
+def topology_fit(edges: DataFrame, scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """For each candidate: precision, recall and F1 of its affected set among the ready services against those observed.
 
-    scores: service, ready, anomalous.
+    scores: keys, service, ready, anomalous (ranking.observed_services() gives those of the primary signal).
     """
-    a = affected(edges, scores.select("service"))
-    s = scores.select(F.col("service").alias("__s"), "ready", "anomalous")
-    total = scores.agg(F.count_if(F.col("anomalous") & F.col("ready")).alias("__obs"))
-    g = a.join(s, F.col("service") == F.col("__s")).groupBy("candidate").agg(F.count_if("ready").alias("predicted"), F.count_if(F.col("ready") & F.col("anomalous")).alias("hit"))
-    g = g.crossJoin(F.broadcast(total))  # one row
+    keys = keys or []
+    s = scores.select(*keys, "service", "ready", "anomalous")
+    total = s.groupBy(*keys).agg(F.count_if(F.col("anomalous") & F.col("ready")).alias("__obs"))
+    a = affected(edges, s, keys).join(s, [*keys, "service"])
+    g = _beside(a.groupBy(*keys, "candidate").agg(F.count_if("ready").alias("predicted"), F.count_if(F.col("ready") & F.col("anomalous")).alias("hit")), total, keys)
     p = F.when(F.col("predicted") > 0, F.col("hit") / F.col("predicted")).otherwise(0.0)
     r = F.when(F.col("__obs") > 0, F.col("hit") / F.col("__obs")).otherwise(0.0)
-    return g.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).select("candidate", "predicted", "hit", "precision", "recall", "f1")
+    return g.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).select(*keys, "candidate", "predicted", "hit", "precision", "recall", "f1")
 
 
-def distance_weight(edges: DataFrame, scores: DataFrame) -> DataFrame:
+def distance_weight(edges: DataFrame, scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sum of 1 / shortest distance from each service to the anomalous ones, up and down, over their number."""
-    hot = scores.filter("anomalous").select(F.col("service").alias("__h"))
-    n = scores.agg(F.greatest(F.lit(1), F.count_if("anomalous")).alias("__n"))
-    r = reachable(edges)
-    both = r.select(F.col("source").alias("service"), F.col("target").alias("other"), "distance", F.lit("down").alias("way")).union(r.select("target", "source", "distance", F.lit("up"))).filter("service <> other")
-    w = both.join(hot, F.col("other") == F.col("__h")).groupBy(F.col("service").alias("__v")).agg(F.sum(F.when(F.col("way") == "up", 1 / F.col("distance"))).alias("u"), F.sum(F.when(F.col("way") == "down", 1 / F.col("distance"))).alias("d"))
-    j = scores.select("service").join(w, F.col("service") == F.col("__v"), "left").crossJoin(F.broadcast(n))  # one row
-    return j.select("service", (F.coalesce("u", F.lit(0.0)) / F.col("__n")).alias("up_weight"), (F.coalesce("d", F.lit(0.0)) / F.col("__n")).alias("down_weight"))
-
-
-def neighbourhood(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """For each service, of those that call it and that it calls, however far: shares that are anomalous, mean severities,
-    and its own severity less theirs. scores: service, severity, anomalous."""
-    c = closures(edges).join(scores.select(F.col("service").alias("__o"), "severity", "anomalous"), F.col("other") == F.col("__o"))
-    up, down = F.col("direction") == "ancestor", F.col("direction") == "descendant"
-    g = c.groupBy(F.col("service").alias("__v")).agg(
-        F.avg(F.when(up, F.col("anomalous").cast("int"))).alias("up_ratio"), F.avg(F.when(down, F.col("anomalous").cast("int"))).alias("down_ratio"),
-        F.avg(F.when(up, F.col("severity"))).alias("up_mean"), F.avg(F.when(down, F.col("severity"))).alias("down_mean"), F.avg("severity").alias("around"),
+    keys = keys or []
+    at = [*keys, "service"]
+    n = scores.groupBy(*keys).agg(F.greatest(F.lit(1), F.count_if("anomalous")).alias("__n"))
+    hot = scores.filter("anomalous").select(*keys, F.col("service").alias("other"))
+    w = closures(edges, keys).join(hot, [*keys, "other"]).groupBy(*at).agg(F.sum(F.when(F.col("direction") == "ancestor", 1 / F.col("distance"))).alias("u"), F.sum(F.when(F.col("direction") == "descendant", 1 / F.col("distance"))).alias("d"))
+    j = _beside(scores.select(*at).join(w, at, "left"), n, keys)
+    return j.select(*at, (F.coalesce("u", F.lit(0.0)) / F.col("__n")).alias("up_weight"), (F.coalesce("d", F.lit(0.0)) / F.col("__n")).alias("down_weight"))
+
+
+def neighbourhood(edges: DataFrame, scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """For each service, of those that call it and that it calls, however far: shares that are anomalous, mean severities, its
+    own severity less theirs; and how well the anomalous services are its neighbours: precision, recall, F1, and the Jaccard
+    index of the two sets. A service on both sides counts once around it. scores: keys, service, severity, anomalous."""
+    keys = keys or []
+    at = [*keys, "service"]
+    n = scores.groupBy(*keys).agg(F.count_if("anomalous").alias("__hot"))
+    ways = closures(edges, keys).groupBy(*at, "other").agg(F.bool_or(F.col("direction") == "ancestor").alias("up"), F.bool_or(F.col("direction") == "descendant").alias("down"))
+    c = ways.join(scores.select(*keys, F.col("service").alias("other"), "severity", "anomalous"), [*keys, "other"])
+    up, down, hot = F.col("up"), F.col("down"), F.col("anomalous")
+    g = c.groupBy(*at).agg(
+        F.avg(F.when(up, hot.cast("int"))).alias("up_ratio"), F.avg(F.when(down, hot.cast("int"))).alias("down_ratio"), F.avg(F.when(up, F.col("severity"))).alias("up_mean"),
+        F.avg(F.when(down, F.col("severity"))).alias("down_mean"), F.avg("severity").alias("around"), F.count("*").alias("__all"), F.count_if(hot).alias("__hit"),
     )
+    j = _beside(scores.select(*at, "severity").join(g, at, "left"), n, keys)
+    hit, size, all_hot = F.coalesce("__hit", F.lit(0)), F.coalesce("__all", F.lit(0)), F.col("__hot")
+    p, q = hit / F.greatest(F.lit(1), all_hot), hit / F.greatest(F.lit(1), size)
     zero = [F.coalesce(x, F.lit(0.0)).alias(x) for x in ("up_ratio", "down_ratio", "up_mean", "down_mean")]
-    return scores.join(g, F.col("service") == F.col("__v"), "left").select("service", *zero, (F.col("severity") - F.coalesce("around", F.lit(0.0))).alias("contrast"))
+    fit = [p.alias("precision"), q.alias("recall"), (2 * p * q / F.greatest(p + q, F.lit(1e-9))).alias("f1"), (hit / F.greatest(F.lit(1), all_hot + size - hit)).alias("overlap")]
+    return j.select(*at, *zero, (F.col("severity") - F.coalesce("around", F.lit(0.0))).alias("contrast"), *fit)
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
+def on_cycle(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Services that reach themselves."""
-    return reachable(edges).filter("source = target").select(F.col("source").alias("service")).distinct()
+    keys = keys or []
+    return reachable(edges, keys).filter("source = target").select(*keys, F.col("source").alias("service")).distinct()
 
 
-def invalid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """source, target, reason for edges to itself, repeated edges and edges with an unknown end."""
-    known = nodes.select(F.col("service").alias("__k"))
-    one = edges.select("source", "target")
+def invalid_edges(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, source, target, reason for edges to itself, repeated edges and edges with an unknown end."""
+    ends = [*(keys or []), "source", "target"]
+    known = lambda end: nodes.select(*(keys or []), F.col("service").alias(end))
+    one = edges.select(*ends)
     self_ = one.filter("source = target").withColumn("reason", F.lit("self"))
-    twice = one.groupBy("source", "target").agg(F.count("*").alias("n")).filter("n > 1").select("source", "target", F.lit("duplicate").alias("reason"))
-    lost = one.join(known, F.col("source") == F.col("__k"), "left_anti").union(one.join(known, F.col("target") == F.col("__k"), "left_anti")).distinct().withColumn("reason", F.lit("unknown"))
+    twice = one.groupBy(*ends).agg(F.count("*").alias("n")).filter("n > 1").select(*ends, F.lit("duplicate").alias("reason"))
+    lost = [one.join(known(end), [*(keys or []), end], "left_anti").select(*ends) for end in ("source", "target")]
+    lost = lost[0].union(lost[1]).distinct().withColumn("reason", F.lit("unknown"))
     return self_.distinct().union(twice).union(lost)
 
 
@@ -117,37 +144,45 @@ def branch_isolation(expected: DataFrame, observed: DataFrame, keys: list[str])
     return j.groupBy(*keys).agg(F.count_if(F.col("__e").isNull()).alias("unexpected"), F.count_if(F.col("__o").isNull()).alias("missing"), F.count("*").alias("edges"))
 
 
-def red_frontier(edges: DataFrame, shifts: DataFrame, threshold: float = 3.0, share: float = 0.5) -> DataFrame:
+def red_frontier(edges: DataFrame, shifts: DataFrame, threshold: float = 3.0, share: float = 0.5, keys: list[str] | None = None) -> DataFrame:
     """Anomalous services without a callee that is anomalous in the same channel at least `share` as much.
 
-    shifts: service, channel, delta. Returns service, channel, delta, frontier.
+    shifts: keys, service, channel, delta. Returns keys, service, channel, delta, frontier.
     """
+    keys = keys or []
     hot = shifts.filter(F.col("delta") >= threshold)
-    child = hot.select(F.col("service").alias("__c"), F.col("channel").alias("__ch"), F.col("delta").alias("__d"))
-    held = hot.join(edges.select("source", "target"), F.col("service") == F.col("source")).join(child, (F.col("target") == F.col("__c")) & (F.col("channel") == F.col("__ch")) & (F.col("__d") >= share * F.col("delta")) & (F.col("target") != F.col("service")))
-    held = held.select(F.col("service").alias("__v"), F.col("channel").alias("__vc")).distinct()
-    j = hot.join(held, (F.col("service") == F.col("__v")) & (F.col("channel") == F.col("__vc")), "left")
-    return j.select("service", "channel", "delta", F.col("__v").isNull().alias("frontier"))
+    child = hot.select(*keys, F.col("service").alias("target"), "channel", F.col("delta").alias("__d"))
+    calls = edges.filter("source <> target").select(*keys, F.col("source").alias("service"), "target").distinct()
+    held = hot.join(calls, [*keys, "service"]).join(child, [*keys, "target", "channel"]).filter(F.col("__d") >= share * F.col("delta"))
+    held = held.select(*keys, "service", "channel", F.lit(True).alias("__held")).distinct()
+    j = hot.join(held, [*keys, "service", "channel"], "left")
+    return j.select(*keys, "service", "channel", "delta", F.col("__held").isNull().alias("frontier"))
 
 
-def tiered_order(ranking: DataFrame, frontier: DataFrame, edges: DataFrame) -> DataFrame:
+def tiered_order(ranking: DataFrame, frontier: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Re-order a ranking (incident_id, service, rank): frontier services first, then other anomalous ones, then the rest, each
-    by the original rank. Abstains (original order) where there is nothing to go by: no edges, a cycle, no frontier."""
-    f = frontier.groupBy(F.col("service").alias("__f")).agg(F.bool_or("frontier").alias("front"))
-    cyclic, none = not on_cycle(edges).isEmpty(), edges.isEmpty()
-    reason = "no_edges" if none else "cyclic" if cyclic else None
-    j = ranking.join(f, F.col("service") == F.col("__f"), "left")
+    by the original rank. Abstains (original order) where there is nothing to go by: no edges, a cycle, no frontier.
+
+    frontier and edges are of one graph for all incidents, or of one for each value of the keys (["incident_id"]).
+    """
+    keys = keys or []
+    f = frontier.groupBy(*keys, "service").agg(F.bool_or("frontier").alias("front"))
+    some = edges.groupBy(*keys).agg((F.count("*") > 0).alias("__some"))
+    cyclic = on_cycle(edges, keys).groupBy(*keys).agg((F.count("*") > 0).alias("__cyclic"))
+    j = _beside(_beside(ranking.join(f, [*keys, "service"], "left"), some, keys), cyclic, keys)
     w = Window.partitionBy("incident_id")
-    any_front = F.max(F.coalesce(F.col("front"), F.lit(False)).cast("int")).over(w) == 1
-    why = F.lit(reason) if reason else F.when(~any_front, "no_frontier")
-    tier = F.when(why.isNotNull(), 0).when(F.col("front"), 0).when(F.col("__f").isNotNull(), 1).otherwise(2)
-    out = j.withColumn("abstained", why).withColumn("__tier", tier)
+    no = F.lit(False)
+    any_front = F.max(F.coalesce("front", no).cast("int")).over(w) == 1
+    why = F.when(~F.coalesce("__some", no), "no_edges").when(F.coalesce("__cyclic", no), "cyclic").when(~any_front, "no_frontier")
+    out = j.withColumn("abstained", why)
+    tier = F.when(F.col("abstained").isNotNull() | F.col("front"), 0).when(F.col("front").isNotNull(), 1).otherwise(2)
+    out = out.withColumn("__tier", tier)
     return out.withColumn("new_rank", F.row_number().over(w.orderBy("__tier", "rank", "service"))).select("incident_id", "service", "rank", "new_rank", "abstained")
 
 
-def edge_set(edges: DataFrame) -> DataFrame:
+def edge_set(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Distinct edges without blanks and loops."""
-    return edges.filter("trim(source) <> '' and trim(target) <> '' and source <> target").select("source", "target").distinct()
+    return edges.filter("trim(source) <> '' and trim(target) <> '' and source <> target").select(*(keys or []), "source", "target").distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:

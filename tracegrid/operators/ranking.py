@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracegrid.functions import stats
 
 INCIDENT = ["incident_id"]
+OPERATION = ["incident_id", "service", "operation"]
 
 
 def ranked(df: DataFrame, score: str | Column, keys: list[str] = INCIDENT, name: str = "rank") -> DataFrame:
@@ -20,12 +21,13 @@ def evidence_rankings(features: DataFrame) -> DataFrame:
     """Long table (incident_id, ranker, service, score, rank) of the four rankers over candidates.
 
     features: incident_id, service, candidate, severity, local_strength, primary_strength, f1. max_severity ranks by
-    severity, topology_consistency by F1 (then primary strength), local_evidence by local strength, hybrid by F1 * local.
+    severity, topology_consistency by F1 (then primary strength), local_evidence by local strength, hybrid by F1 * local; at nine
+    decimals, so that sums in another order don't change ties.
     """
     c = features.filter("candidate")
     rankers = {"max_severity": ("severity", F.lit(0.0)), "topology_consistency": ("f1", F.col("primary_strength")), "local_evidence": ("local_strength", F.lit(0.0)), "hybrid": (F.col("f1") * F.col("local_strength"), F.lit(0.0))}
     rows = F.array(*(F.struct(F.lit(k).alias("ranker"), (F.col(s) if isinstance(s, str) else s).cast("double").alias("score"), t.cast("double").alias("tie")) for k, (s, t) in rankers.items()))
-    long = c.select("incident_id", "service", F.explode(rows).alias("r")).select("incident_id", "service", "r.*")
+    long = c.select("incident_id", "service", F.explode(rows).alias("r")).select("incident_id", "service", "r.ranker", *(F.round(f"r.{c}", 9).alias(c) for c in ("score", "tie")))
     w = Window.partitionBy("incident_id", "ranker").orderBy(F.desc("score"), F.desc("tie"), "service")
     return long.withColumn("rank", F.row_number().over(w).cast("long")).drop("tie")
 
@@ -43,20 +45,32 @@ def primary_signal(ops: DataFrame) -> DataFrame:
     return g.select("incident_id", F.when(F.col("e"), "error").when(F.col("l"), "latency").otherwise("none").alias("signal"), F.when(~F.col("r"), "not_ready").when(F.col("e") | F.col("l"), "ready").otherwise("no_anomaly").alias("state"))
 
 
-def service_features(ops: DataFrame, fits: DataFrame, latency_threshold: float, error_threshold: float) -> DataFrame:
-    """Per incident and service: strengths of its worst ready operations, whether it is a candidate (anomalous in the primary
-    signal), and how well the services that it affects match those observed. fits: candidate, f1."""
-    sig = primary_signal(ops).select("incident_id", "signal")
+def observed_services(ops: DataFrame) -> DataFrame:
+    """Per incident and service: ready (an operation is), and anomalous in the incident's primary signal."""
     ready = F.col("state") == "ready"
-    g = ops.groupBy("incident_id", "service").agg(
-        F.max("severity").alias("severity"), F.max(F.when(ready, F.col("latency_z")).otherwise(0.0)).alias("lz"), F.max(F.when(ready, F.col("error_z")).otherwise(0.0)).alias("ez"),
-        F.bool_or(ready & F.col("error_anomalous")).alias("ea"), F.bool_or(ready & F.col("latency_anomalous")).alias("la"),
-    )
-    ls, es = stats.bounded_strength("lz", latency_threshold), stats.bounded_strength("ez", error_threshold)
-    j = g.join(sig, "incident_id").join(fits.select(F.col("candidate").alias("__c"), "f1"), F.col("service") == F.col("__c"), "left")
-    primary = F.when(F.col("signal") == "error", es).when(F.col("signal") == "latency", ls).otherwise(0.0)
-    candidate = F.when(F.col("signal") == "error", F.col("ea")).when(F.col("signal") == "latency", F.col("la")).otherwise(False)
-    return j.select("incident_id", "service", "severity", candidate.alias("candidate"), primary.alias("primary_strength"), F.greatest(ls, es).alias("local_strength"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    g = ops.groupBy("incident_id", "service").agg(F.bool_or(ready).alias("ready"), F.bool_or(ready & F.col("error_anomalous")).alias("__e"), F.bool_or(ready & F.col("latency_anomalous")).alias("__l"))
+    j = g.join(primary_signal(ops).select("incident_id", "signal"), "incident_id")
+    on = F.when(F.col("signal") == "error", F.col("__e")).when(F.col("signal") == "latency", F.col("__l")).otherwise(False)
+    return j.select("incident_id", "service", "signal", "ready", on.alias("anomalous"))
+
+
+def service_features(ops: DataFrame, fits: DataFrame, evidence: DataFrame, latency_threshold: float, error_threshold: float) -> DataFrame:
+    """Per incident and service: strengths of its worst ready operations, whether it is a candidate (anomalous in the primary
+    signal), and how well the services that it affects match those observed.
+
+    fits: incident_id, candidate, f1. evidence: incident_id, service, operation, coverage, median_exclusive_ratio
+    (spans.operation_evidence). The local strength is that of the errors or, if latency is the signal, the largest product of an
+    operation's latency strength, median exclusive ratio and trace coverage, which is 0 without traces.
+    """
+    seen = observed_services(ops).withColumnRenamed("anomalous", "candidate")
+    e = evidence.select(*OPERATION, (F.col("coverage") * F.col("median_exclusive_ratio")).alias("__own"))
+    z = lambda c: F.when(F.col("state") == "ready", F.col(c)).otherwise(0.0)
+    traced = stats.bounded_strength(z("latency_z"), latency_threshold) * F.coalesce("__own", F.lit(0.0))
+    g = ops.join(e, OPERATION, "left").groupBy("incident_id", "service").agg(F.max(z("severity")).alias("severity"), F.max(z("latency_z")).alias("__lz"), F.max(z("error_z")).alias("__ez"), F.max(traced).alias("__traced"))
+    ls, es = stats.bounded_strength("__lz", latency_threshold), stats.bounded_strength("__ez", error_threshold)
+    j = g.join(seen, ["incident_id", "service"]).join(fits.select("incident_id", F.col("candidate").alias("service"), "f1"), ["incident_id", "service"], "left")
+    by = lambda error, latency: F.when(F.col("signal") == "error", error).when(F.col("signal") == "latency", latency).otherwise(0.0)
+    return j.select("incident_id", "service", "severity", "candidate", by(es, ls).alias("primary_strength"), by(es, F.col("__traced")).alias("local_strength"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
 def rank_percentile(rank: str, keys: list[str] = INCIDENT) -> Column:

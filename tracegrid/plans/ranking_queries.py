@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tracegrid.operators import anomaly as A
 from tracegrid.operators import evaluation as E
 from tracegrid.operators import ranking as R
+from tracegrid.plans.anomaly_queries import BASE, CUR, OPS
 from tracegrid.plans.registry import query
+from tracegrid.plans.span_queries import TIMED
 from tracegrid.sources import bindings as B
 
 C = f"WITH {B.CAND}"
@@ -119,19 +121,36 @@ def rnk19(spark, d):
     return R.column_ranking(native)
 
 
-@query("rnk02_05_evidence_rankings")
+DIAGNOSIS = f"""WITH RECURSIVE {B.SPANS}, {TIMED},
+obs AS (SELECT incident_id, trace_id || '/' || span_id AS sample_id, service, operation, trace_id, span_id, start_us AS ts_us, duration_us / 1000.0::DOUBLE AS latency_ms, error AS failed, phase FROM spans WHERE kind = 'SERVER'), {BASE}, {CUR}, {OPS},
+ev AS (SELECT c.incident_id, c.service, c.operation, count(t.trace_id) / CAST(count(*) AS DOUBLE) * coalesce(quantile_cont(t.exclusive_ratio, 0.5), 0) AS own FROM cr c LEFT JOIN timed t ON t.trace_id = c.trace_id AND t.span_id = c.span_id GROUP BY 1, 2, 3),
+sv AS (SELECT incident_id, service, bool_or(state = 'ready') AS ready, max(severity) AS severity, max(latency_z) AS lz, max(error_z) AS ez, bool_or(latency_anomalous) AS la, bool_or(error_anomalous) AS ea, max((1 - exp(-latency_z / 2.0)) * coalesce(own, 0)) AS traced FROM ops LEFT JOIN ev USING (incident_id, service, operation) GROUP BY 1, 2),
+sg AS (SELECT incident_id, CASE WHEN bool_or(ea) THEN 'error' WHEN bool_or(la) THEN 'latency' ELSE 'none' END AS signal FROM sv GROUP BY 1),
+fe AS (SELECT *, CASE signal WHEN 'error' THEN ea WHEN 'latency' THEN la ELSE false END AS observed FROM sv JOIN sg USING (incident_id)),
+calls2 AS (SELECT DISTINCT c.incident_id, p.service AS source, c.service AS target FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service <> c.service),
+up AS (SELECT incident_id, target AS candidate, source AS service FROM calls2 UNION SELECT u.incident_id, u.candidate, g.source FROM up u JOIN calls2 g ON g.incident_id = u.incident_id AND g.target = u.service),
+aff AS (SELECT incident_id, service AS candidate, service FROM sv UNION SELECT * FROM up),
+ft AS (SELECT a.incident_id, a.candidate AS service, count(*) FILTER (ready) AS predicted, count(*) FILTER (observed) AS hit FROM aff a JOIN fe USING (incident_id, service) GROUP BY 1, 2),
+ob AS (SELECT incident_id, count(*) FILTER (observed) AS n FROM fe GROUP BY 1),
+f2 AS (SELECT *, CASE WHEN predicted > 0 AND n > 0 AND hit > 0 THEN 2 * (hit / CAST(predicted AS DOUBLE)) * (hit / CAST(n AS DOUBLE)) / (hit / CAST(predicted AS DOUBLE) + hit / CAST(n AS DOUBLE)) ELSE 0 END AS f1,
+  CASE signal WHEN 'error' THEN 1 - exp(-ez / 3.0) WHEN 'latency' THEN 1 - exp(-lz / 2.0) ELSE 0 END AS strength, CASE signal WHEN 'error' THEN 1 - exp(-ez / 3.0) WHEN 'latency' THEN traced ELSE 0 END AS own FROM fe JOIN ft USING (incident_id, service) JOIN ob USING (incident_id) WHERE observed)"""
+RANKERS = {"max_severity": ("severity", "0"), "topology_consistency": ("f1", "strength"), "local_evidence": ("own", "0"), "hybrid": ("f1 * own", "0")}
+
+
+@query("rnk02_05_evidence_rankings", f"{DIAGNOSIS}, lg AS (" + " UNION ALL ".join(f"SELECT incident_id, service, '{k}' AS ranker, round({s}, 9) AS score, round({t}, 9) AS tie FROM f2" for k, (s, t) in RANKERS.items()) + ") SELECT incident_id, service, ranker, round(score, 6) AS score, row_number() OVER (PARTITION BY incident_id, ranker ORDER BY score DESC, tie DESC, service) AS rank FROM lg")
 def rnk02(spark, d):
-    """The whole diagnosis of derived traces: server spans, baseline, anomalies, topology fit, features, four rankings."""
+    """The whole diagnosis of derived traces: server spans, baseline, anomalies, topology fit, local evidence, four rankings."""
     from tracegrid.operators import graph as G
     from tracegrid.operators import spans as S
 
-    s = B.spans(spark, d).filter("incident_id = 'inc-0'")
-    o = s.filter("kind = 'SERVER'").select("incident_id", F.xxhash64("trace_id", "span_id").alias("sample_id"), "service", "operation", F.col("start_us").alias("ts_us"), (F.col("duration_us") / 1000).alias("latency_ms"), F.col("error").alias("failed"), "phase")
-    ops = A.operation_anomalies(o)
-    services = A.service_anomalies(ops).select("service", "ready", "anomalous")
-    edges = S.service_graph(s, ["incident_id"]).select("source", "target")
-    features = R.service_features(ops, G.topology_fit(edges, services), A.LATENCY_Z, A.ERROR_Z)
-    return R.evidence_rankings(features).withColumn("score", r("score"))
+    s = B.spans(spark, d)
+    o = s.filter("kind = 'SERVER'").select("incident_id", F.concat_ws("/", "trace_id", "span_id").alias("sample_id"), "service", "operation", "trace_id", "span_id", F.col("start_us").alias("ts_us"), (F.col("duration_us") / 1000).alias("latency_ms"), F.col("error").alias("failed"), "phase")
+    ops = A.operation_anomalies(o, latency_z=2.0)
+    refs = A.last_n(o.filter("phase = 'current'"), A.OPERATION, A.KEEP_CURRENT).select(*A.OPERATION, "trace_id", "span_id")
+    evidence = S.operation_evidence(S.exclusive_time(s.join(refs.select("trace_id").distinct(), "trace_id", "left_semi")), refs)
+    edges = S.service_graph(s, ["incident_id"]).select("incident_id", "source", "target")
+    fits = G.topology_fit(edges, R.observed_services(ops), ["incident_id"])
+    return R.evidence_rankings(R.service_features(ops, fits, evidence, 2.0, A.ERROR_Z)).withColumn("score", r("score"))
 
 
 @query("jon16_same_candidates", f"{C} SELECT incident_id, service, 'a' AS side FROM cand WHERE score_b < 5")

@@ -102,30 +102,29 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- service graphs ----------------------------------------------------------------------------------------------------
 
 PAIRS = """pairs AS (
-  SELECT 'v-' || (c_nationkey % 12) AS source, 'v-' || (s_nationkey % 12) AS target, count(*) AS observations
+  SELECT 'day-' || CAST(epoch_us(o_orderdate) // 86400000000 AS VARCHAR) AS incident_id, 'v-' || c_nationkey AS source, 'v-' || s_nationkey AS target,
+         count(*) AS observations, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS load
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  GROUP BY 1, 2),
-edges AS (
-  SELECT source, target, observations FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY observations DESC, target) AS k FROM pairs WHERE source <> target)
-  WHERE k <= 2)"""
+  GROUP BY 1, 2, 3),
+edges AS (SELECT * FROM pairs WHERE source <> target)"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incident_id, source, target, observations, load: an incident is a day of orders, whose graph has all calls of the day."""
+    day = F.floor(micros("o_orderdate") / 86_400_000_000).cast("string")
     return (
         read(spark, sf_dir, "lineitem")
         .join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.concat(F.lit("v-"), F.col("c_nationkey") % 12).alias("source"), F.concat(F.lit("v-"), F.col("s_nationkey") % 12).alias("target"))
-        .agg(F.count("*").alias("observations"))
+        .groupBy(F.concat(F.lit("day-"), day).alias("incident_id"), F.concat(F.lit("v-"), "c_nationkey").alias("source"), F.concat(F.lit("v-"), "s_nationkey").alias("target"))
+        .agg(F.count("*").alias("observations"), F.sum(F.col("l_quantity").cast("long")).alias("load"))
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each service's two most frequent callees: a graph with cycles."""
-    w = Window.partitionBy("source").orderBy(F.desc("observations"), "target")
-    return pairs(spark, sf_dir).filter("source <> target").withColumn("k", F.row_number().over(w)).filter("k <= 2").drop("k")
+    """All pairs of different services: graphs with cycles."""
+    return pairs(spark, sf_dir).filter("source <> target")
 
 
 # ---- metric points ------------------------------------------------------------------------------------------------------
