@@ -90,6 +90,13 @@ def longest_run(df: DataFrame, keys: list[str], order: str, flag: str, name: str
     return every.select(*keys, F.coalesce(name, F.lit(0)).alias(name))
 
 
+def ordinal_percentile(partition: list[str], value: str, name: str) -> Column:
+    """0-based position by value, then name, over n - 1; 0 of one row."""
+    w = Window.partitionBy(*partition)
+    n = F.count("*").over(w)
+    return F.when(n > 1, (F.row_number().over(w.orderBy(value, name)) - 1) / (n - 1)).otherwise(0.0)
+
+
 def cusum(df: DataFrame, keys: list[str], order: str, value: str, slack: float, name: str = "cusum") -> DataFrame:
     """Adds S_i = max(0, S_(i-1) + max(0, x_i) - slack), from prefix sums less their least so far."""
     by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
