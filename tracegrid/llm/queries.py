@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import bpe, chat, jpeg, lattice, minhash, packing, pii, sharding, simhash, toxicity
+from tracegrid.llm import bpe, chat, jpeg, lattice, merkle, minhash, packing, pii, sharding, simhash, toxicity
 from tracegrid.llm.common import table
 
 QUERIES: dict = {}
@@ -89,6 +89,49 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store_texts(table(spark, sf_dir, "documents")))
 
 
+def _crc32(data: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a list of byte values."""
+    bits = "list_reduce([{}] || range(8), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {data}, lambda c, x: xor(c >> 8, {bits.format('xor(c, x) & 255')})), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_UP = "list_transform(range(0, (len(l) + 7) // 8), lambda i: sha256(array_to_string(l[i * 8 + 1:i * 8 + 8], '')))"
+_RUN = "l[{p} - {p} % 8 + 1:{p} - {p} % 8 + 8]"
+_LEFT, _RIGHT = "array_to_string(l[{p} - {p} % 8 + 1:{p}], '')", "array_to_string(l[{p} + 2:{p} - {p} % 8 + 8], '')"
+
+
+def _climb(name: str, start: str) -> str:
+    """DuckDB: from (doc_id, tree, k, p, h, proof) upwards in the levels of `tree`, to the only node of the last."""
+    left, right = _LEFT.format(p="p"), _RIGHT.format(p="p")
+    return f"""{name} AS ({start} UNION ALL SELECT c.doc_id, c.tree, c.k + 1, p // 8, sha256({left} || h || {right}), proof || {left} || {right} FROM {name} c JOIN lv ON lv.tree = c.tree AND lv.k = c.k WHERE len(l) > 1)"""
+
+
+OP11_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 3 = 0
+    THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS tampered FROM documents),
+r AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+low AS (SELECT tree, 0 AS k, list(leaf ORDER BY p) AS l FROM r GROUP BY 1 UNION ALL SELECT tree, k + 1, {_UP} FROM low WHERE len(l) > 1),
+high AS (SELECT -1 AS tree, 0 AS k, list(l[1] ORDER BY tree) AS l FROM low WHERE len(l) = 1 UNION ALL SELECT tree, k + 1, {_UP} FROM high WHERE len(l) > 1),
+lv AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+{_climb("one", "SELECT doc_id, tree, 0 AS k, p, tampered AS h, '' AS proof FROM r")},
+{_climb("two", "SELECT doc_id, -1 AS tree, 0 AS k, one.tree AS p, h, proof FROM one JOIN low ON low.tree = one.tree AND low.k = one.k WHERE len(low.l) = 1")},
+top AS (SELECT l[1] AS root FROM high WHERE len(l) = 1)
+SELECT r.doc_id, r.leaf, low.l[1] AS subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM two JOIN high ON high.k = two.k AND len(high.l) = 1 JOIN r ON r.doc_id = two.doc_id JOIN low ON low.tree = r.tree AND len(low.l) = 1, top"""
+
+
+@query("op11_merkle", OP11_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
