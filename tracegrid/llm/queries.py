@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import bpe, chat, jpeg, lattice, merkle, minhash, packing, pii, sharding, simhash, toxicity
+from tracegrid.llm import bpe, chat, jpeg, language, lattice, merkle, minhash, packing, pii, sharding, simhash, spelling, toxicity
 from tracegrid.llm.common import table
 
 QUERIES: dict = {}
@@ -132,6 +132,30 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-zÀ-ÿ]+')) AS w FROM d) GROUP BY 1, 2),
+e AS (SELECT *, hex(encode(doc_id || ':' || w)) AS x FROM r),
+h AS (SELECT w, n, {_crc32("list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)")} AS h FROM e),
+v AS (SELECT w, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS w, n FROM h) WHERE length(w) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+g AS (SELECT w, n, i, left(w, i) || chr(0) || substr(w, i + 2) AS hole, left(w, i) || substr(w, i + 2) AS short FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM v)),
+p AS (SELECT a.w, b.w AS near, b.n AS m FROM g a JOIN g b ON a.hole = b.hole AND a.w <> b.w UNION SELECT g.w, v.w, v.n FROM g JOIN v ON v.w = g.short UNION SELECT v.w, g.w, g.n FROM g JOIN v ON v.w = g.short),
+b AS (SELECT w, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, encode(near))) AS near FROM p GROUP BY 1),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN b ON b.w = v.w),
+up AS (SELECT w, w AS root FROM f WHERE form IS NULL UNION ALL SELECT f.w, up.root FROM f JOIN up ON f.form = up.w)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN up ON up.w = f.w"""
+
+
+@query("op12_spelling", OP12_SQL)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language")
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
