@@ -16,7 +16,8 @@ FANOUT = 8
 #: Leaves of a block. A node is kept once for each block below it, so that no more leaves than these climb through one row.
 BLOCK = FANOUT**3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-_HEX = 64
+#: Bytes of a hash. Hashes are kept as bytes and are text only where they are hashed or returned.
+_SIZE = 32
 
 
 def field(c: Column) -> Column:
@@ -26,7 +27,16 @@ def field(c: Column) -> Column:
 
 
 def leaf(columns: list[Column]) -> Column:
-    return F.sha2(F.concat(*map(field, columns)), 256)
+    return F.unhex(F.sha2(F.concat(*map(field, columns)), 256))
+
+
+def text(hashes: Column) -> Column:
+    """Hashes, one after the other, as lower-case hex digits."""
+    return F.lower(F.hex(hashes))
+
+
+def parent(hashes: Column) -> Column:
+    return F.unhex(F.sha2(text(hashes), 256))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -39,7 +49,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def placed(leaves: DataFrame) -> DataFrame:
-    """Adds to stored leaves: row (unique), tree (rank of the lang, null first), trees, pos (in the tree, by doc_id), n (leaves of
+    """Adds to stored leaves: tree (rank of the lang, null first), trees, pos (in the tree, by doc_id), n (leaves of
     the tree), block.
 
     Leaves are dealt out in ranges of (lang, doc_id, leaf) and sorted there; a leaf's position is that in its range on top of
@@ -57,13 +67,14 @@ def placed(leaves: DataFrame) -> DataFrame:
     known = parts.join(langs, F.col("lang").eqNullSafe(F.col("l"))).select("l", F.col("part").alias("p"), "first", "before", "n", "tree", "base", "trees")
     pos = F.col("before") + F.col("row") - F.col("first")
     j = rows.join(known, F.col("lang").eqNullSafe(F.col("l")) & (F.col("part") == F.col("p")))
-    out = stored(j.select(*leaves.columns, "row", "tree", "trees", pos.alias("pos"), "n", (F.col("base") + F.floor(pos / BLOCK)).alias("block")))
+    out = stored(j.select(*leaves.columns, "tree", "trees", pos.alias("pos"), "n", (F.col("base") + F.floor(pos / BLOCK)).alias("block")))
     discard(rows)
     return out
 
 
 def _linked(nodes: DataFrame, level: int, top: bool) -> DataFrame:
-    """Adds to nodes (tree, trees, pos, n) of one level: id, up (the parent's id, null for the root), place among its children."""
+    """Adds to nodes (tree, trees, pos, n, hash) of one level: id, up (the parent's id, null for the root), place among its
+    children, and its hash as subroot or root where it is one."""
     at = lambda tree, k, pos: F.concat_ws("/", tree, F.lit(str(k)), pos.cast("string"))
     tree = F.lit("top") if top else F.col("tree").cast("string")
     step = lambda c: F.floor(c / FANOUT)
@@ -72,40 +83,43 @@ def _linked(nodes: DataFrame, level: int, top: bool) -> DataFrame:
     if not top:
         joined = (F.col("n") == 1) & (F.col("trees") > 1)
         up, place = up.when(joined, at(F.lit("top"), 1, step(F.col("tree")))), place.when(joined, F.col("tree") % FANOUT)
-    return nodes.withColumns({"id": at(tree, level, F.col("pos")), "up": up, "place": place.cast("int"), "subroot": F.lit(None).cast("string") if top else F.when(F.col("n") == 1, F.col("hash"))})
+    subroot = F.lit(None).cast("binary") if top else F.when(F.col("n") == 1, F.col("hash"))
+    return nodes.withColumns({"id": at(tree, level, F.col("pos")), "up": up, "place": place.cast("int"), "subroot": subroot, "root": F.when(up.isNull(), F.col("hash"))})
 
 
-def _level(kids: DataFrame) -> DataFrame:
-    """The parents of nodes (tree, trees, pos, hash, n, low, high) of which there are several in their tree; run: the children's
-    hashes, one after the other; low and high: the blocks below."""
+def _level(kids: DataFrame, *more: str) -> DataFrame:
+    """The parents of nodes (tree, trees, pos, hash, n, low, high) of which there are several in their tree; kids: the children's
+    pos, hash and more columns, in order; run: their hashes, one after the other; low and high: the blocks below."""
     g = kids.filter("n > 1").groupBy("tree", F.floor(F.col("pos") / FANOUT).alias("at")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("c"), F.first("n").alias("m"), F.first("trees").alias("trees"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sort_array(F.collect_list(F.struct("pos", "hash", *more))).alias("kids"), F.first("n").alias("m"), F.first("trees").alias("trees"), F.min("low").alias("low"), F.max("high").alias("high"),
     )
-    run = F.array_join("c.hash", "")
-    return g.select("tree", "trees", F.col("at").alias("pos"), F.sha2(run, 256).alias("hash"), F.ceil(F.col("m") / FANOUT).alias("n"), "low", "high", run.alias("run"))
+    g = g.withColumn("run", F.aggregate("kids", F.lit(b""), lambda a, k: F.concat(a, k["hash"])))
+    return g.select("tree", "trees", F.col("at").alias("pos"), parent(F.col("run")).alias("hash"), F.ceil(F.col("m") / FANOUT).alias("n"), "low", "high", "run", "kids")
 
 
 _NODE = ["id", "up", "place", "run", "subroot", "root", "low", "high"]
+_LINK = ["tree", "trees", "pos", "hash", "n", "low", "high"]
 
 
 def levels(leaves: DataFrame) -> list[DataFrame]:
-    """The built levels as stored rows linked to their parents (id, up, place, run, subroot, root, low, high), the trees of the
-    strata first, then that over their roots. As many as the logarithm of the leaves."""
-    of = lambda df: df.withColumn("root", F.when(F.col("up").isNull(), F.col("hash")))
-    fields = ["tree", "trees", "pos", "hash", "n", "low", "high"]
-    kids = leaves.select("tree", "trees", "pos", F.col("leaf").alias("hash"), "n", F.col("block").alias("low"), F.col("block").alias("high"))
-    roots, built = [kids.filter("n = 1")], []
+    """The levels as stored rows linked to their parents (id, up, place, run, subroot, root, low, high): runs of leaves (and the
+    lone leaf of a stratum) with their `kids`, the further levels of the strata's trees, and those of the tree over their roots.
+    As many as the logarithm of the leaves."""
+    own = leaves.select("tree", "trees", "pos", F.col("leaf").alias("hash"), "n", F.col("block").alias("low"), F.col("block").alias("high"), "doc_id", "tampered")
+    alone = own.filter("n = 1").select(*_LINK, F.col("hash").alias("run"), F.array(F.struct("pos", "hash", "doc_id", "tampered")).alias("kids"))
+    first = stored(_linked(_level(own, "doc_id", "tampered"), 1, False).unionByName(_linked(alone, 0, False)))
+    roots, built = [first.filter("n = 1").select(*_LINK)], [first]
+    kids = first.filter("n > 1").select(*_LINK)
     size = leaves.agg(F.max("n").alias("n"), F.max("trees").alias("trees")).first()
-    for top, most in ((False, size["n"] or 0), (True, size["trees"] or 0)):
+    for top, level, most in ((False, 1, -(-(size["n"] or 0) // FANOUT)), (True, 0, size["trees"] or 0)):
         if top:
             every = reduce(DataFrame.unionByName, roots)
             kids = every.select(F.lit(-1).cast("long").alias("tree"), "trees", F.col("tree").alias("pos"), "hash", F.col("trees").alias("n"), "low", "high")
-        level = 0
         while most > 1:
             level, most = level + 1, -(-most // FANOUT)
-            kids = stored(of(_linked(_level(kids), level, top)))
+            kids = stored(_linked(_level(kids).drop("kids"), level, top))
             built.append(kids.select(*_NODE))
-            kids = kids.select(*fields)
+            kids = kids.select(*_LINK)
             roots.append(kids.filter("n = 1"))
     return built
 
@@ -122,25 +136,31 @@ def _whole(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Siblings to the left and to the right of a run's child, in SQL.
+_LEFT, _RIGHT = f"substr(n.run, 1, {_SIZE} * c.place)", f"substr(n.run, {_SIZE} * c.place + {_SIZE + 1})"
 CLIMB = f"""
-WITH RECURSIVE climb(row, block, up, place, folded, level, siblings, doc_id, leaf, subroot, root) AS (
-  SELECT row, block, up, place, coalesce(tampered, leaf), 0, X'', doc_id, leaf, subroot, root FROM {{leaves}}
+WITH RECURSIVE climb(id, block, up, place, folded, level, siblings, subroot, root) AS (
+  SELECT id, block, up, place, folded, 0, X'', subroot, root FROM {{start}}
   UNION ALL
-  SELECT c.row, c.block, n.up, n.place,
-    sha2(concat(substr(n.run, 1, {_HEX} * c.place), c.folded, substr(n.run, {_HEX} * c.place + {_HEX + 1})), 256),
-    c.level + 1, unhex(concat(substr(n.run, 1, {_HEX} * c.place), substr(n.run, {_HEX} * c.place + {_HEX + 1}))), NULL, NULL, n.subroot, n.root
+  SELECT c.id, c.block, n.up, n.place, transform(c.folded, h -> unhex(sha2(lower(hex(concat({_LEFT}, h, {_RIGHT}))), 256))),
+    c.level + 1, concat({_LEFT}, {_RIGHT}), n.subroot, n.root
   FROM climb c JOIN {{nodes}} n ON n.block = c.block AND n.id = c.up)
-SELECT * FROM climb
+SELECT id, level, siblings, subroot, root, CASE WHEN root IS NOT NULL THEN folded END AS folded FROM climb
 """
 
 
+def _around(run: Column, i: Column) -> tuple[Column, Column]:
+    return F.substring(run, 1, i * _SIZE), F.substring(run, i * _SIZE + _SIZE + 1, F.octet_length(run))
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for every row of docs (doc_id, source, lang, n_chars, text).
 
     Leaves ascend by doc_id in the tree of their lang; eight nodes make one of the next level, and the trees' roots, by lang,
     make the root. The levels are stored, each node with its parent's id. A recursive query takes every leaf up: in each step
     it meets its parent's row, appends the siblings found there and folds its own hash (the tampered one, if any) with them.
-    A node above many leaves has a row for each block of them, so that no key is hot in this join.
+    The leaves of a run go up side by side, each with its own hash, as they share all siblings but each other. A node above
+    many leaves has a row for each block of them, so that no key is hot in this join.
 
     A null id comes first, a null lang has a tree of its own that comes first. Rows of one id are ordered by their leaf; equal
     rows have equal values but for their places. Null and empty texts differ. An empty table gives an empty result. Other
@@ -150,18 +170,29 @@ def manifest(docs: DataFrame) -> DataFrame:
     hashed = stored(digests(docs))
     leaves = placed(hashed)
     discard(hashed)
-    built = levels(leaves)
-    start = _linked(leaves.withColumn("hash", F.col("leaf")), 0, False).withColumn("root", F.when(F.col("up").isNull(), F.col("leaf")))
-    if not built:
-        nodes = start.limit(0).select("id", "up", "place", F.lit("").alias("run"), "subroot", "root", "block")
-    else:
-        nodes = reduce(DataFrame.unionByName, built).withColumn("block", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    first, *built = levels(leaves)
+    own = lambda k: F.coalesce(k["tampered"], k["hash"])
+
+    def fold(k: Column, i: Column) -> Column:
+        left, right = _around(F.col("run"), i)
+        return parent(F.concat(left, own(k), right))
+
+    alone = F.col("id").contains("/0/")  # the lone leaf of a tree
+    folded = F.when(alone, F.transform("kids", own)).otherwise(F.transform("kids", fold))
+    start = first.select("id", F.col("low").alias("block"), "up", "place", folded.alias("folded"), "subroot", "root")
+    nodes = reduce(DataFrame.unionByName, built) if built else first.select(*_NODE).limit(0)
+    nodes = nodes.withColumn("block", F.explode(F.sequence("low", "high"))).drop("low", "high")
     with _whole(spark):
-        climbed = spark.sql(CLIMB, leaves=start.select("row", "block", "up", "place", "tampered", "doc_id", "leaf", "subroot", "root"), nodes=nodes)
-        steps = F.sort_array(F.collect_list(F.struct("level", "siblings")))
-        g = climbed.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"), F.max("subroot").alias("subroot"), F.max("root").alias("root"), F.max_by("folded", "level").alias("folded_root"), steps.alias("steps"))
-        proof = F.array_join(F.transform("steps", lambda s: F.lower(F.hex(s["siblings"]))), "")
-        out = stored(g.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
-    for t in [leaves, *built]:
+        climbed = spark.sql(CLIMB, start=start, nodes=nodes)
+        every = climbed.unionByName(first.select("id", "run", "kids"), allowMissingColumns=True)
+        steps = F.sort_array(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "siblings"))))
+        some = lambda c: F.first(c, ignorenulls=True).alias(c)
+        g = every.groupBy("id").agg(steps.alias("steps"), *(some(c) for c in ("subroot", "root", "folded", "run", "kids")))
+        g = g.withColumn("above", F.aggregate("steps", F.lit(b""), lambda a, s: F.concat(a, s["siblings"])))
+        leaf = g.select("subroot", "root", "run", "above", "folded", F.posexplode("kids").alias("i", "k"))
+        proof = F.concat(*_around(F.col("run"), F.col("i")), F.col("above"))
+        out = leaf.select("k.doc_id", F.col("k.hash").alias("leaf"), "subroot", "root", F.unhex(F.sha2(text(proof), 256)).alias("proof_sha256"), F.get("folded", F.col("i")).alias("folded_root"))
+        out = stored(out)
+    for t in [leaves, first, *built]:
         discard(t)
-    return out
+    return out.select("doc_id", *(text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), (F.col("folded_root") == F.col("root")).alias("verified"))
