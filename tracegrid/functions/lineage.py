@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -13,13 +13,19 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder for them (spark.checkpoint.dir), which survives lost executors and lets a loop have
-    any number of rounds. Only a local session without such a folder, as in tests, gets one of its own; a cluster must name it."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, which driver and executors share (spark.checkpoint.dir). Only a local session without
+    one, as in tests, gets a folder of its own; a cluster must name it."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         found = context.getConf().get("spark.checkpoint.dir")
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or _own_dir())
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's folder for them, which survives lost executors and lets a loop have any number of rounds."""
+    folder(df.sparkSession)
     return df.checkpoint()

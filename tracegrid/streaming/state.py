@@ -40,15 +40,15 @@ class LifeCycle(StatefulProcessor):
         self.operations = handle.getMapState("operations", "service string, operation string", _OPERATION)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now, last = timerValues.getCurrentWatermarkInMs() * 1000, None
+        now, first = timerValues.getCurrentWatermarkInMs() * 1000, None
         for f in rows:
             f = f.assign(ts=(f["ts"].astype("datetime64[us]").astype("int64")))
             f = f[f["ts"] > now]  # later than the watermark allows
             if len(f):
                 self.waiting.appendList([self._plain(r) for r in f[_NAMES].itertuples(index=False)])
-                last = max(last or 0, int(f["ts"].max()))
-        if last is not None:
-            self.handle.registerTimer(last // 1000 + 1)
+                first = min(first or int(f["ts"].min()), int(f["ts"].min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         yield from self._take(now)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -72,6 +72,7 @@ class LifeCycle(StatefulProcessor):
         rest = [tuple(r) for r in rows if r[0] > now]
         if rest:
             self.waiting.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
         else:
             self.waiting.clear()
         state, cycle, seq = self.phase.get() if self.phase.exists() else ("empty", 0, 0)
@@ -143,14 +144,14 @@ def life_cycle(samples: DataFrame, controls: DataFrame, delay: str = "1 minute",
     samples: ts, id, service, operation, latency_ms, failed. Operations are dealt out to shards, of which each gets every control:
     the state of a shard holds the life cycle and its operations' samples, at most the last 1000 while collecting, then a
     baseline that no sample moves and the last 20. Samples before the first start, without names or of negative latency count
-    nowhere; a freeze while nothing is collected does nothing. Emits (RESULT) the operations that a batch has touched once
+    nowhere; a freeze while nothing is collected does nothing, and so do other kinds than CONTROLS, which only let time go on. Emits (RESULT) the operations that a batch has touched once
     the baseline is frozen; of an operation the row of largest seq holds.
 
     The session needs the RocksDB state store (STORE). Output mode update.
     """
     shard = F.pmod(F.xxhash64(F.trim("service"), F.trim("operation")), F.lit(shards)).cast("int")
     s = samples.select(shard.alias("shard"), "ts", F.lit("sample").alias("kind"), F.col("id").cast("string").alias("id"), "service", "operation", F.col("latency_ms").cast("double").alias("latency_ms"), "failed")
-    c = controls.filter(F.col("kind").isin(*CONTROLS)).select(
+    c = controls.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ts", "kind", F.lit("").alias("id"), F.lit("").alias("service"), F.lit("").alias("operation"), F.lit(0.0).alias("latency_ms"), F.lit(False).alias("failed"),
     )
     both = s.unionByName(c).withWatermark("ts", delay)
