@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions import stats
-from tracegrid.operators.metrics import SERIES, robust_line
+from tracegrid.operators.metrics import SERIES, huber_line
 
 # Trace signals of which only a rise counts; of the others (rates of spans and requests) any change does.
 RISING = ("error_rate", "latency_median_us", "latency_p90_us", "latency_p99_us", "exclusive_median_us", "downstream_wait_ratio")
@@ -17,12 +17,12 @@ CHANNELS = ("request_rate", "error_ratio", "latency_p95")
 def workload_baseline(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """keys, slope, intercept, residual_median, residual_iqr, samples of healthy points (keys, x the load, value).
 
-    A robust line on x where x varies and there are four points or more, else the median. The scale of residuals is their IQR, at
+    A robust line on x, estimated jointly with its scale, where x varies and there are four points or more, else the median. The scale of residuals is their IQR, at
     least 1 % of their median and of the median value, and 1e-9.
     """
     g = points.groupBy(*keys).agg(F.count("*").alias("samples"), (F.min("x") < F.max("x")).alias("__varies"), F.percentile("value", 0.5).alias("__median"))
     varied = points.join(g.filter("__varies and samples >= 4").select(*keys), keys, "left_semi")
-    fit = robust_line(varied.withColumn("y", F.col("value")), keys, limit=1.35) if not varied.isEmpty() else points.select(*keys, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept")).limit(0)
+    fit = huber_line(varied.withColumn("y", F.col("value")), keys).drop("sigma") if not varied.isEmpty() else points.select(*keys, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept")).limit(0)
     f = g.join(fit, keys, "left").select(*keys, "samples", "__median", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("intercept", "__median").alias("intercept"))
     res = points.join(f, keys).withColumn("__r", F.col("value") - F.col("intercept") - F.col("slope") * F.col("x"))
     q = res.groupBy(*keys).agg(F.percentile("__r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions import stats
 from tracegrid.functions.lineage import cut
-from tracegrid.operators.metrics import infrastructure, service_key
+from tracegrid.operators.metrics import infrastructure, normalized, service_key
 
 INCIDENT = ["incident_id"]
 # Roles of data that no model may be chosen by.
@@ -21,11 +21,6 @@ SOURCES = ("profile_constant", "measured_interval_mean")
 # ---- names ---------------------------------------------------------------------------------------------------------------
 
 
-def normalized(entity: Column) -> Column:
-    """Small letters, runs of '_' and '-' as one '-', none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(entity)), "[_-]+", "-"), "^-|-$", "")
-
-
 def root_name(value: Column, dataset: Column) -> Column:
     """A labelled root in small letters with dashes; one family of datasets calls its front end otherwise."""
     name = F.replace(F.lower(F.trim(value)), F.lit("_"), F.lit("-"))

@@ -33,14 +33,19 @@ def parsed_metric(metric: Column) -> tuple[Column, Column]:
     return F.when(entity != "", entity), family
 
 
+def normalized(entity: Column) -> Column:
+    """Small letters, runs of '_' and '-' as one '-', no blanks or dashes at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(entity)), "[_-]+", "-"), "^-|-$", "")
+
+
 def service_key(entity: Column) -> Column:
-    """Lower case, '_' as '-', runs of '-' as one, without a last 'service', without '-'."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(entity), "[_-]+", "-"), "-?service$", ""), "-", "")
+    """The normalized name without a last 'service' and without '-'."""
+    return F.regexp_replace(F.regexp_replace(normalized(entity), "-?service$", ""), "-", "")
 
 
 def infrastructure(entity: Column) -> Column:
     """Databases, caches and proxies, which are no candidates: by name once it is in small letters with single dashes."""
-    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(entity)), "[_-]+", "-"), "^-|-$", "")
+    name = normalized(entity)
     # fixed values: names that are infrastructure, and ends of such names
     return name.isin("redis", "rabbitmq", "queue", "session", "istio-proxy") | name.rlike("-(mongo|mysql|db)$")
 
@@ -214,6 +219,50 @@ def robust_line(pairs: DataFrame, keys: list[str], rounds: int = 8, limit: float
     return fit
 
 
+def huber_line(points: DataFrame, keys: list[str], epsilon: float = 1.35, rounds: int = 60) -> DataFrame:
+    """keys, slope, intercept, sigma that together minimise n sigma + sum of sigma h((y - intercept - slope x) / sigma), h being the
+    square up to epsilon and a line of the same slope beyond: line and scale are estimated jointly, for all groups at once.
+
+    Given which points lie within epsilon sigma, and on which side the others are, the minimum has a closed form in the sums of
+    those points and in numbers and signs of the others. Each round is one aggregation of these sums; a group is done when a
+    round gives what the round before gave, which then is the minimum, as the function is convex. Steps are halved where that
+    takes long. Groups need at least two different x. points: keys, x, y.
+    """
+    means = points.groupBy(*keys).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"), F.coalesce(F.nullif(F.stddev_pop("x"), F.lit(0.0)), F.lit(1.0)).alias("__dx"), F.coalesce(F.nullif(F.stddev_pop("y"), F.lit(0.0)), F.lit(1.0)).alias("__dy"))
+    unit = cut(points.select(*keys, "x", "y").join(means, keys).select(*keys, ((F.col("x") - F.col("__mx")) / F.col("__dx")).alias("x"), ((F.col("y") - F.col("__my")) / F.col("__dy")).alias("y")))
+    fit = unit.select(*keys).distinct().select(*keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1e300).alias("s"), F.lit(False).alias("done"))
+    for k in range(rounds):
+        r = F.col("y") - F.col("a") * F.col("x") - F.col("b")
+        p = unit.join(fit.filter("not done"), keys).withColumn("__in", F.abs(r) <= epsilon * F.col("s")).withColumn("__sign", F.when(F.col("__in"), 0.0).otherwise(F.signum(r)))
+        inner = lambda c: F.coalesce(F.sum(F.when(F.col("__in"), c)), F.lit(0.0))
+        x, y = F.col("x"), F.col("y")
+        g = p.groupBy(*keys, "a", "b", "s").agg(F.count("*").alias("total"), inner(F.lit(1.0)).alias("n"), inner(x).alias("sx"), inner(y).alias("sy"), inner(x * x).alias("xx"), inner(x * y).alias("xy"), inner(y * y).alias("yy"), F.sum("__sign").alias("signs"), F.sum(F.col("__sign") * x).alias("signs_x"))
+        det = F.col("n") * F.col("xx") - F.col("sx") * F.col("sx")
+        solve = lambda u, v: ((F.col("n") * u - F.col("sx") * v) / F.col("det"), (F.col("xx") * v - F.col("sx") * u) / F.col("det"))
+        g = g.withColumn("det", F.when(det > 1e-12, det))
+        a0, b0 = solve(F.col("xy"), F.col("sy"))
+        a1, b1 = solve(epsilon * F.col("signs_x"), epsilon * F.col("signs"))
+        g = g.withColumns({"a0": a0, "b0": b0, "a1": a1, "b1": b1})
+        rest = F.greatest(F.col("yy") - F.col("a0") * F.col("xy") - F.col("b0") * F.col("sy"), F.lit(1e-24))
+        moved = F.col("a1") * F.col("a1") * F.col("xx") + 2 * F.col("a1") * F.col("b1") * F.col("sx") + F.col("b1") * F.col("b1") * F.col("n")
+        room = F.col("total") - epsilon * epsilon * (F.col("total") - F.col("n")) - moved
+        # too many points outside: a larger scale takes them in
+        new = F.when(room > 1e-9, F.sqrt(rest / room)).otherwise(2 * F.col("s"))
+        g = g.withColumn("t", F.coalesce(new, 2 * F.col("s")))
+        share = 1.0 if k < 20 else 0.5
+        mix = lambda old, c: F.col(old) + share * (c - F.col(old)) if k else c
+        line = lambda c, d, old: F.when(room > 1e-9, F.coalesce(F.col(c) + F.col("t") * F.col(d), F.col(old))).otherwise(F.col(old))
+        step = g.withColumns({"a2": mix("a", line("a0", "a1", "a")), "b2": mix("b", line("b0", "b1", "b")), "s2": mix("s", F.col("t"))})
+        close = lambda u, v: F.abs(F.col(u) - F.col(v)) <= 1e-13 + 1e-12 * F.abs(F.col(v))
+        step = step.select(*keys, F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("s2").alias("s"), (close("a", "a2") & close("b", "b2") & close("s", "s2")).alias("done"))
+        fit = cut(step.unionByName(fit.filter("done")))
+        if fit.filter("not done").isEmpty():
+            break
+    out = fit.join(means, keys)
+    slope = F.col("a") * F.col("__dy") / F.col("__dx")
+    return out.select(*keys, slope.alias("slope"), (F.col("__my") + F.col("b") * F.col("__dy") - slope * F.col("__mx")).alias("intercept"), (F.col("s") * F.col("__dy")).alias("sigma"))
+
+
 def conditioned_residuals(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Deviation of the current y from the line that the baseline has on x: location (of the median), 90 % quantile, peak and
     persistence in robust units. Groups have `least` rows in all, in the baseline and in the current phase. An x or y that is
@@ -252,9 +301,23 @@ def disappearance(expected: Column, seen: Column, missing_edges: Column) -> Colu
     return F.when(expected >= 1, 0.45 * drop + 0.35 * missing_edges + F.when(seen == 0, 0.2).otherwise(0.0)).otherwise(0.0)
 
 
-def temporal_shape(residuals: DataFrame, start: int, end: int, threshold: float = 3.0, keys: list[str] = SERIES) -> DataFrame:
-    """Where in the window deviations stand: 90 % quantiles of the first and the last third, trend, time of the first one."""
+def temporal_shape(residuals: DataFrame, spans: DataFrame, services: DataFrame, start: int, end: int, threshold: float = 3.0) -> DataFrame:
+    """Per service of `services`: where in the window deviations and errors stand.
+
+    residuals: service, family, ts, residual; spans: service, ts, error; only those from start to end count. The first third of
+    the window is early, the last is late. A service's early (late) value is the largest over its families of the 90 % quantile
+    of the absolute residuals there, 0 without any; first_fraction is where the first residual of the threshold stands, 1
+    without one. The same for errors: their share of the early and the late spans, and where the first one stands.
+    """
     f = (F.col("ts") - start) / (end - start)
-    r = residuals.withColumn("f", f).withColumn("a", F.abs("residual"))
-    g = r.groupBy(*keys).agg(F.percentile(F.when(F.col("f") <= 1 / 3, F.col("a")), 0.9).alias("early"), F.percentile(F.when(F.col("f") >= 2 / 3, F.col("a")), 0.9).alias("late"), F.min(F.when(F.col("a") >= threshold, F.col("f"))).alias("first"))
-    return g.withColumn("trend", F.coalesce("late", F.lit(0.0)) - F.coalesce("early", F.lit(0.0)))
+    inside = lambda df: df.filter(F.col("ts").between(start, end)).withColumn("__f", f)
+    early, late = F.col("__f") <= 1 / 3, F.col("__f") >= 2 / 3
+    a = F.abs("residual")
+    g = inside(residuals).groupBy("service", "family").agg(F.percentile(F.when(early, a), 0.9).alias("e"), F.percentile(F.when(late, a), 0.9).alias("l"), F.min(F.when(a >= threshold, F.col("__f"))).alias("o"))
+    m = g.groupBy("service").agg(F.max("e").alias("e"), F.max("l").alias("l"), F.min("o").alias("o"))
+    bad = F.col("error").cast("double")
+    s = inside(spans).groupBy("service").agg(F.avg(F.when(early, bad)).alias("x"), F.avg(F.when(late, bad)).alias("y"), F.min(F.when(F.col("error"), F.col("__f"))).alias("p"))
+    j = services.select("service").distinct().join(m, "service", "left").join(s, "service", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    shape = lambda k, one, two, first: [zero(one).alias(f"{k}_early"), zero(two).alias(f"{k}_late"), (zero(two) - zero(one)).alias(f"{k}_trend"), F.coalesce(first, F.lit(1.0)).alias(f"{k}_first_fraction"), F.col(first).isNotNull().cast("double").alias(f"{k}_observed")]
+    return j.select("service", *shape("metric", "e", "l", "o"), *shape("error", "x", "y", "p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +99,17 @@ def validate(spans: DataFrame, per_trace: int, keys: list[str]) -> DataFrame:
     return t.groupBy(*keys).agg(F.count("*").alias("traces"), F.count_if(F.col("n") > per_trace).alias("over_cap"), F.sum(F.col("n") - F.col("d")).alias("duplicates"), F.sum("bad").alias("invalid"))
 
 
+def trace_keys(spans: DataFrame) -> list[str]:
+    """What a trace is known by: its id, within an incident where rows have one."""
+    return [c for c in TRACE if c in spans.columns]
+
+
 def with_parent(spans: DataFrame, columns: tuple[str, ...] = ("service", "operation", "kind", "start_us", "duration_us")) -> DataFrame:
     """Each span and its parent's columns as parent_*; null where the parent is not there. One shuffle on the trace."""
-    p = spans.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"), *(F.col(c).alias(f"parent_{c}") for c in columns), F.lit(True).alias("parent_found"))
-    return spans.join(p, (F.col("trace_id") == F.col("__t")) & (F.col("parent_span_id") == F.col("__s")), "left").drop("__t", "__s")
+    keys = trace_keys(spans)
+    p = spans.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("span_id").alias("__s"), *(F.col(c).alias(f"parent_{c}") for c in columns), F.lit(True).alias("parent_found"))
+    same = [F.col(k) == F.col(f"__{k}") if k == "trace_id" else F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return spans.join(p, [*same, F.col("parent_span_id") == F.col("__s")], "left").drop("__s", *(f"__{k}" for k in keys))
 
 
 def calls_other_service(spans: DataFrame) -> DataFrame:
@@ -164,16 +173,49 @@ def descendants(spans: DataFrame) -> DataFrame:
     return out
 
 
+def client_ancestors(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(trace keys, span_id, a, b): the CLIENT spans (from a to b) of its own service below each span of the given kinds.
+
+    Every CLIENT span climbs from parent to parent and leaves a row where it meets such a span of its service; a level is one join
+    and one checkpoint, and what climbs is a row for each CLIENT span that has not come to its root. A climb ends where it comes
+    back to its span, or to one that it has marked (at levels 1, 2, 4, ...), so cyclic parents end it.
+    """
+    keys = trace_keys(spans)
+    up = [F.col(k).alias(f"__{k}") for k in keys]
+    link = cut(spans.select(*up, F.col("span_id").alias("s"), F.col("parent_span_id").alias("p"), F.col("service").alias("v"), F.col("kind").isin(*kinds).alias("server")).distinct())
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    at = spans.filter("kind = 'CLIENT'").filter(named("parent_span_id")).select(*keys, F.col("span_id").alias("origin"), F.col("service").alias("own"), F.col("start_us").alias("a"), (F.col("start_us") + F.col("duration_us")).alias("b"), F.col("parent_span_id").alias("at"), F.lit(None).cast("string").alias("mark"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    found, level = [], 0
+    while True:
+        level += 1
+        step = cut(at.join(link, [*same, F.col("at") == F.col("s")]).drop(*(f"__{k}" for k in keys)))
+        if step.isEmpty():
+            break
+        found.append(step.filter(F.col("server") & (F.col("v") == F.col("own"))).select(*keys, F.col("s").alias("span_id"), "a", "b"))
+        if len(found) == 16:  # keeps the plan short
+            found = [cut(_union(found))]
+        on = step.filter(named("p")).filter((F.col("p") != F.col("origin")) & (F.col("mark").isNull() | (F.col("p") != F.col("mark"))))
+        mark = F.col("s") if level & (level - 1) == 0 else F.col("mark")
+        at = on.select(*keys, "origin", "own", "a", "b", F.col("p").alias("at"), mark.alias("mark"))
+    return _union(found) if found else at.select(*keys, F.col("at").alias("span_id"), "a", "b").limit(0)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def exclusive_time(spans: DataFrame, kinds: tuple[str, ...] = ("SERVER",)) -> DataFrame:
     """Each server span's time without the union of its same-service CLIENT descendants, clipped to it: wait_us,
     exclusive_us and their ratio to the duration."""
+    keys = trace_keys(spans)
     server = spans.filter(F.col("kind").isin(*kinds)).withColumn("end_us", F.col("start_us") + F.col("duration_us"))
-    client = spans.filter("kind = 'CLIENT'").select(F.col("trace_id").alias("ct"), F.col("span_id").alias("cs"), F.col("service").alias("cv"), F.col("start_us").alias("ca"), (F.col("start_us") + F.col("duration_us")).alias("cb"))
-    below = descendants(spans).select(F.col("trace_id").alias("dt"), F.col("ancestor").alias("da"), F.col("span_id").alias("ds"))
-    pairs = server.join(below, (F.col("trace_id") == F.col("dt")) & (F.col("span_id") == F.col("da"))).join(client, (F.col("dt") == F.col("ct")) & (F.col("ds") == F.col("cs")) & (F.col("service") == F.col("cv")) & (F.col("ca") < F.col("end_us")) & (F.col("cb") > F.col("start_us")))
-    clipped = pairs.select(F.col("trace_id").alias("wt"), F.col("span_id").alias("ws"), F.greatest("ca", "start_us").alias("a"), F.least("cb", "end_us").alias("b"))
-    wait = stats.interval_union(clipped, ["wt", "ws"], "a", "b", "wait_us")
-    out = server.join(wait, (F.col("trace_id") == F.col("wt")) & (F.col("span_id") == F.col("ws")), "left").drop("wt", "ws", "end_us")
+    below = client_ancestors(spans, kinds).withColumnsRenamed({k: f"__{k}" for k in keys} | {"span_id": "ws", "a": "ca", "b": "cb"})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    pairs = server.join(below, [*same, F.col("span_id") == F.col("ws"), F.col("ca") < F.col("end_us"), F.col("cb") > F.col("start_us")])
+    clipped = pairs.select(*(f"__{k}" for k in keys), "ws", F.greatest("ca", "start_us").alias("a"), F.least("cb", "end_us").alias("b"))
+    wait = stats.interval_union(clipped, [*(f"__{k}" for k in keys), "ws"], "a", "b", "wait_us")
+    out = server.join(wait, [*same, F.col("span_id") == F.col("ws")], "left").drop("ws", "end_us", *(f"__{k}" for k in keys))
     out = out.withColumn("wait_us", F.coalesce("wait_us", F.lit(0))).withColumn("exclusive_us", F.greatest(F.lit(0), F.col("duration_us") - F.col("wait_us")))
     return out.withColumn("exclusive_ratio", F.when(F.col("duration_us") > 0, F.least(F.lit(1.0), F.col("exclusive_us") / F.col("duration_us"))).otherwise(0.0))
 
@@ -190,22 +232,49 @@ def operation_evidence(timed: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def window_summary(spans: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Per window and service: counts, rates, duration quantiles (ms) and medians of exclusive and wait time.
+    """Per window and service of the keys: span_rate and request_rate (a second), error_rate, latency_median_us, latency_p90_us,
+    latency_p99_us, exclusive_median_us, downstream_wait_ratio, last_seen_delta_s, trace_coverage, span_count, request_count.
 
-    Server and UNKNOWN spans count as requests; a service without any is summed up over all its spans.
+    Requests are SERVER and UNKNOWN spans; errors and latencies are theirs, or those of all spans where a service has none.
+    Exclusive time and the share of the duration that is waited for calls (the median over requests) look at the window's spans
+    alone. last_seen_delta_s is the time from the latest start to the window's end. A service that is silent in a window
+    in which its keys have spans has a row of zeros, last seen a whole window ago.
     """
-    timed = exclusive_time(spans, ("SERVER", "UNKNOWN")).select(F.col("trace_id").alias("xt"), F.col("span_id").alias("xs"), "wait_us", "exclusive_us")
-    w = spans.withColumn("window_us", F.floor(F.col("start_us") / (seconds * 1_000_000)) * (seconds * 1_000_000)).withColumn("request", F.col("kind").isin("SERVER", "UNKNOWN"))
-    w = w.join(timed, (F.col("trace_id") == F.col("xt")) & (F.col("span_id") == F.col("xs")), "left").drop("xt", "xs")
-    w = w.withColumn("counts", F.col("request") | ~F.bool_or("request").over(Window.partitionBy(*keys, "window_us", "service")))
-    only = lambda c: F.when(F.col("counts"), F.col(c))
-    return w.groupBy(*keys, "window_us", "service").agg(
-        F.count("*").alias("spans"), F.count_if("request").alias("requests"), (F.count("*") / seconds).alias("span_rate"), (F.count_if("counts") / seconds).alias("request_rate"),
-        F.avg(only("error").cast("int")).alias("error_rate"), *((F.percentile(only("duration_us"), q) / 1000).alias(f"latency_p{int(q * 100)}") for q in (0.5, 0.9, 0.99)),
-        F.coalesce(F.percentile("exclusive_us", 0.5) / 1000, F.lit(0.0)).alias("exclusive_p50"), F.coalesce(F.percentile("wait_us", 0.5) / 1000, F.lit(0.0)).alias("wait_p50"), F.max(F.col("start_us") + F.col("duration_us")).alias("last_seen"),
+    size = seconds * 1_000_000
+    requests = ("SERVER", "UNKNOWN")
+    w = spans.withColumn("window_us", F.floor(F.col("start_us") / size) * size)
+    # a trace of the window alone
+    own = w.withColumn("trace_id", F.concat_ws("@", "trace_id", F.col("window_us").cast("string")))
+    timed = exclusive_time(own, requests)
+    t = timed.groupBy(*keys, "window_us", "service").agg(F.percentile("exclusive_us", 0.5).alias("exclusive"), F.percentile(F.col("wait_us") / F.greatest("duration_us", F.lit(1)), 0.5).alias("waited"))
+    of = w.withColumn("request", F.col("kind").isin(*requests))
+    q = lambda c, p: F.percentile(F.when(p, F.col(c)), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    error = F.coalesce("error", F.lit(False)).cast("int")
+    g = of.groupBy(*keys, "window_us", "service").agg(
+        F.count("*").alias("span_count"), F.count_if("request").alias("request_count"), F.avg(F.when(F.col("request"), error)).alias("er"), F.avg(error).alias("ea"),
+        q("duration_us", F.col("request")).alias("qr"), q("duration_us", F.lit(True)).alias("qa"), F.max("start_us").alias("last"),
+    )
+    names, windows = w.select(*keys, "service").distinct(), w.select(*keys, "window_us").distinct()
+    grid = names.join(windows, keys) if keys else names.crossJoin(windows)  # what comes out: services times windows
+    j = grid.join(g, [*keys, "window_us", "service"], "left").join(t, [*keys, "window_us", "service"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    quantile = lambda i: zero(F.when(F.col("request_count") > 0, F.col("qr")[i]).otherwise(F.col("qa")[i]))
+    delta = F.greatest(F.lit(0.0), (F.col("window_us") + size - F.coalesce("last", "window_us")) / 1_000_000)
+    count = lambda c: F.coalesce(c, F.lit(0))
+    return j.select(
+        *keys, "window_us", "service", (count("span_count") / seconds).alias("span_rate"), (count("request_count") / seconds).alias("request_rate"), zero(F.coalesce("er", "ea")).alias("error_rate"),
+        quantile(0).alias("latency_median_us"), quantile(1).alias("latency_p90_us"), quantile(2).alias("latency_p99_us"), zero(F.col("exclusive")).alias("exclusive_median_us"), zero(F.col("waited")).alias("downstream_wait_ratio"),
+        delta.alias("last_seen_delta_s"), F.col("span_count").isNotNull().cast("double").alias("trace_coverage"), count("span_count").alias("span_count"), count("request_count").alias("request_count"),
     )
 
 
+def window_edges(spans: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """keys, window_us, source, target, calls between different services whose callee starts in the window."""
+    size = seconds * 1_000_000
+    g = service_graph(spans.withColumn("window_us", F.floor(F.col("start_us") / size) * size), [*keys, "window_us"])
+    return g.select(*keys, "window_us", "source", "target", F.col("observations").alias("calls"))
+
+
 def timing_projection(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Per service: durations, waits and exclusive times as they are, null where there was no server span; lost parents."""
     timed = exclusive_time(spans, ("SERVER",))

@@ -19,21 +19,21 @@ def r(c, n=6):
     return F.round(c, n)
 
 
-WIDE = "wide AS (SELECT ts AS time, max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"orders_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"pay_service_mem\", max(value) FILTER (service = 'svc-3' AND family = 'network') AS \"cart-db_net\", max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"Istio_Proxy_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"mysql_mem\" FROM points GROUP BY 1)"
+WIDE = "wide AS (SELECT ts AS time, max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"orders_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"pay_service_mem\", max(value) FILTER (service = 'svc-3' AND family = 'network') AS \"cart-db_net\", max(value) FILTER (service = 'svc-1' AND family = 'cpu') AS \"Istio_Proxy_cpu\", max(value) FILTER (service = 'svc-2' AND family = 'memory') AS \"mysql_mem\", max(value) FILTER (service = 'svc-5' AND family = 'network') AS \" Cart-Service-_socket\" FROM points GROUP BY 1)"
 
 
 def wide(spark, d):
     p = B.points(spark, d)
     pick = lambda s, f: F.max(F.when((F.col("service") == s) & (F.col("family") == f), F.col("value")))
-    return p.groupBy(F.col("ts").cast("string").alias("time")).agg(pick("svc-1", "cpu").alias("orders_cpu"), pick("svc-2", "memory").alias("pay_service_mem"), pick("svc-3", "network").alias("cart-db_net"), pick("svc-1", "cpu").alias("Istio_Proxy_cpu"), pick("svc-2", "memory").alias("mysql_mem"))
+    return p.groupBy(F.col("ts").cast("string").alias("time")).agg(pick("svc-1", "cpu").alias("orders_cpu"), pick("svc-2", "memory").alias("pay_service_mem"), pick("svc-3", "network").alias("cart-db_net"), pick("svc-1", "cpu").alias("Istio_Proxy_cpu"), pick("svc-2", "memory").alias("mysql_mem"), pick("svc-5", "network").alias(" Cart-Service-_socket"))
 
 
-@query("src09_wide_read", f"{P}, {WIDE} SELECT CAST(time AS DOUBLE) AS time, metric, value FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\", \"Istio_Proxy_cpu\", \"mysql_mem\" INTO NAME metric VALUE value)")
+@query("src09_wide_read", f"{P}, {WIDE} SELECT CAST(time AS DOUBLE) AS time, metric, value FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\", \"Istio_Proxy_cpu\", \"mysql_mem\", \" Cart-Service-_socket\" INTO NAME metric VALUE value)")
 def src09(spark, d):
     return M.long_points(wide(spark, d))
 
 
-@query("prj07_metric_parse", f"{P}, {WIDE} SELECT * FROM (VALUES ('orders_cpu', 'orders', 'cpu', 'orders', false), ('pay_service_mem', 'pay_service', 'memory', 'pay', false), ('cart-db_net', 'cart-db', 'network', 'cartdb', true), ('Istio_Proxy_cpu', 'Istio_Proxy', 'cpu', 'istioproxy', true), ('mysql_mem', 'mysql', 'memory', 'mysql', false)) v(metric, entity, family, service_key, infrastructure) JOIN (SELECT metric, count(*) AS n FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\", \"Istio_Proxy_cpu\", \"mysql_mem\" INTO NAME metric VALUE value) GROUP BY 1) USING (metric)")
+@query("prj07_metric_parse", f"{P}, {WIDE} SELECT * FROM (VALUES ('orders_cpu', 'orders', 'cpu', 'orders', false), ('pay_service_mem', 'pay_service', 'memory', 'pay', false), (' Cart-Service-_socket', ' Cart-Service-', 'sockets', 'cart', false), ('cart-db_net', 'cart-db', 'network', 'cartdb', true), ('Istio_Proxy_cpu', 'Istio_Proxy', 'cpu', 'istioproxy', true), ('mysql_mem', 'mysql', 'memory', 'mysql', false)) v(metric, entity, family, service_key, infrastructure) JOIN (SELECT metric, count(*) AS n FROM (UNPIVOT wide ON \"orders_cpu\", \"pay_service_mem\", \"cart-db_net\", \"Istio_Proxy_cpu\", \"mysql_mem\", \" Cart-Service-_socket\" INTO NAME metric VALUE value) GROUP BY 1) USING (metric)")
 def prj07(spark, d):
     """Entity, family, service key and the infrastructure predicate of metric columns (PRJ-08 to PRJ-10)."""
     long = M.long_points(wide(spark, d)).groupBy("metric").agg(F.count("*").alias("n"))
@@ -141,14 +141,28 @@ def met10(spark, d):
     return out.withColumns({c: r(c, 4) for c in ("location", "p90", "peak")} | {"persistence": r("persistence")})
 
 
-@query("met17_temporal_shape", f"""{P}, {SHIFT}, f AS (SELECT *, (ts - {START}) / CAST({730 * DAY} AS DOUBLE) AS f FROM cu)
-SELECT service, family, round(quantile_cont(CASE WHEN f <= 1/3.0::DOUBLE THEN abs(residual) END, 0.9), 5) AS early, round(quantile_cont(CASE WHEN f >= 2/3.0::DOUBLE THEN abs(residual) END, 0.9), 5) AS late, round(min(f) FILTER (abs(residual) >= 1.5), 6) AS first FROM f GROUP BY 1, 2""")
+END = START + 730 * DAY
+CALLS = "calls AS (SELECT 'svc-' || (l_suppkey % 10) AS service, CAST(epoch_us(l_shipdate) // 1000000 AS BIGINT) AS ts, l_returnflag = 'R' AS error FROM lineitem)"
+
+
+@query("met17_temporal_shape", f"""{P}, {SHIFT}, {CALLS}, f AS (SELECT service, family, abs(residual) AS a, (ts - {START}) / CAST({END - START} AS DOUBLE) AS f FROM (SELECT points.*, (value - med) / scale AS residual FROM points JOIN b1 USING (service, family) JOIN b2 USING (service, family)) WHERE ts BETWEEN {START} AND {END}),
+g AS (SELECT service, family, quantile_cont(a, 0.9) FILTER (f <= 1/3.0::DOUBLE) AS e, quantile_cont(a, 0.9) FILTER (f >= 2/3.0::DOUBLE) AS l, min(f) FILTER (a >= 1.5) AS o FROM f GROUP BY 1, 2),
+m AS (SELECT service, coalesce(max(e), 0) AS e, coalesce(max(l), 0) AS l, min(o) AS o FROM g GROUP BY 1),
+k AS (SELECT service, error, (ts - {START}) / CAST({END - START} AS DOUBLE) AS f FROM calls WHERE ts BETWEEN {START} AND {END}),
+x AS (SELECT service, coalesce(avg(CAST(error AS INT)) FILTER (f <= 1/3.0::DOUBLE), 0) AS x, coalesce(avg(CAST(error AS INT)) FILTER (f >= 2/3.0::DOUBLE), 0) AS y, min(f) FILTER (error) AS p FROM k GROUP BY 1),
+sv AS (SELECT DISTINCT service FROM points UNION SELECT 'svc-silent')
+SELECT service, round(coalesce(e, 0), 5) AS metric_early, round(coalesce(l, 0), 5) AS metric_late, round(coalesce(l, 0) - coalesce(e, 0), 5) + 0 AS metric_trend, round(coalesce(o, 1), 6) AS metric_first_fraction, CASE WHEN o IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS metric_observed,
+round(coalesce(x, 0), 6) AS error_early, round(coalesce(y, 0), 6) AS error_late, round(coalesce(y, 0) - coalesce(x, 0), 6) + 0 AS error_trend, round(coalesce(p, 1), 6) AS error_first_fraction, CASE WHEN p IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS error_observed
+FROM sv LEFT JOIN m USING (service) LEFT JOIN x USING (service)""")
 def met17(spark, d):
+    """Points and calls from before and after the window are in the rows and count nowhere; one service has neither."""
     p = B.points(spark, d)
     b = stats.robust_stats(p.filter("phase = 'baseline'"), M.SERIES, "value", M.scale_floor())
-    res = p.filter("phase = 'current'").join(b, M.SERIES).withColumn("residual", (F.col("value") - F.col("median")) / F.col("scale"))
-    t = M.temporal_shape(res, START, START + 730 * DAY, 1.5).drop("trend")
-    return t.withColumns({"early": r("early", 5), "late": r("late", 5), "first": r("first")})
+    res = p.join(b, M.SERIES).withColumn("residual", (F.col("value") - F.col("median")) / F.col("scale"))
+    calls = B.read(spark, d, "lineitem").select(F.concat(F.lit("svc-"), F.col("l_suppkey") % 10).alias("service"), (B.micros("l_shipdate") / 1_000_000).cast("long").alias("ts"), (F.col("l_returnflag") == "R").alias("error"))
+    services = p.select("service").distinct().unionByName(spark.range(1).select(F.lit("svc-silent").alias("service")))
+    t = M.temporal_shape(res, calls, services, START, END, 1.5)
+    return t.withColumns({c: r(c, 5) + 0.0 for c in ("metric_early", "metric_late", "metric_trend")} | {c: r(c) + 0.0 for c in ("metric_first_fraction", "error_early", "error_late", "error_trend", "error_first_fraction")})
 
 
 GRID = f"""sl AS (SELECT range AS slot FROM range({START}, {START + 360 * DAY}, {30 * DAY})), se AS (SELECT DISTINCT service, family FROM points), m AS (SELECT service, family, CAST(floor((ts - {START}) / {30 * DAY}.0) AS BIGINT) * {30 * DAY} + {START} AS slot, avg(value) AS value FROM points GROUP BY 1, 2, 3),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracegrid.operators import boosting as G
 from tracegrid.operators import learn as L
 from tracegrid.operators import spans as S
 from tracegrid.plans.registry import query
@@ -123,3 +124,24 @@ def lrn04(spark, d):
 def lrn08(spark, d):
     m = L.masked_copies(B.cand(spark, d), ["score_a"])
     return m.agg(F.count("*").alias("n"), F.count_distinct("incident_id").alias("incidents"), F.round(F.sum("score_a"), 2).alias("total"))
+
+
+SCORES = ["score_a", "score_b"]
+
+
+@query("lrn01_listwise_ranker")
+def lrn01_listwise(spark, d):
+    """Boosted trees on two folds, the third scored and ranked; the tests hold gradients, histograms and splits against loops."""
+    from tracegrid.operators.ranking import ranked
+
+    c = labelled(spark, d)
+    forest = G.fit(c.filter("fold <> 0"), SCORES, G.Setting(depth=2, eta=0.3, rounds=4))
+    return ranked(G.score(c.filter("fold = 0"), SCORES, forest), "model_score").select("incident_id", "service", "model_score", "rank")
+
+
+@query("lrn07_nested")
+def lrn07(spark, d):
+    """Out-of-fold scores of all incidents, each by a forest whose setting was chosen without its fold."""
+    settings = {"shallow": G.Setting(depth=1, eta=0.3, rounds=2), "deep": G.Setting(depth=2, eta=0.3, rounds=2)}
+    n = G.nested(labelled(spark, d).drop("fold"), SCORES, "incident_id", settings, outer=3, inner=2)
+    return n.predictions.select("incident_id", "service", "fold", "model_score")

@@ -118,17 +118,27 @@ def agg07(spark, d):
 
 
 MONTH = 2_592_000
-SUMMARY = f"""w AS (SELECT s.*, CAST(floor(s.start_us / {MONTH}000000.0) AS BIGINT) * {MONTH}000000 AS window_us, s.kind IN ('SERVER', 'UNKNOWN') AS request, t.wait_us, t.exclusive_us FROM spans s LEFT JOIN timed t ON t.trace_id = s.trace_id AND t.span_id = s.span_id),
-x AS (SELECT *, request OR NOT bool_or(request) OVER (PARTITION BY incident_id, window_us, service) AS counts FROM w)"""
-
-
-@query("agg08_window_summary", f"""{WITH}, {TIMED}, {SUMMARY} SELECT incident_id, window_us, service, count(*) AS spans, count(*) FILTER (request) AS requests, round(count(*) / {MONTH}.0, 12) AS span_rate, round(count(*) FILTER (counts) / {MONTH}.0, 12) AS request_rate,
-round(avg(CASE WHEN counts THEN CAST(error AS INT) END), 6) AS error_rate, round(quantile_cont(CASE WHEN counts THEN CAST(duration_us AS DOUBLE) END, 0.5) / 1000, 5) AS latency_p50, round(quantile_cont(CASE WHEN counts THEN CAST(duration_us AS DOUBLE) END, 0.9) / 1000, 5) AS latency_p90,
-round(quantile_cont(CASE WHEN counts THEN CAST(duration_us AS DOUBLE) END, 0.99) / 1000, 5) AS latency_p99, round(coalesce(quantile_cont(CAST(exclusive_us AS DOUBLE), 0.5) / 1000, 0), 5) AS exclusive_p50, round(coalesce(quantile_cont(CAST(wait_us AS DOUBLE), 0.5) / 1000, 0), 5) AS wait_p50, max(start_us + duration_us) AS last_seen FROM x GROUP BY 1, 2, 3""")
+_W = f"CAST(floor(start_us / {MONTH}000000.0) AS BIGINT) * {MONTH}000000"
+WINDOWED = f"ws AS (SELECT * REPLACE (trace_id || '@' || ({_W}) AS trace_id), {_W} AS window_us FROM spans)"
+SUMMARY = f"""g AS (SELECT incident_id, window_us, service, count(*) AS n, count(*) FILTER (kind IN ('SERVER', 'UNKNOWN')) AS k, max(start_us) AS last, avg(CAST(error AS INT)) AS ea, avg(CAST(error AS INT)) FILTER (kind IN ('SERVER', 'UNKNOWN')) AS er,
+  quantile_cont(CAST(duration_us AS DOUBLE), [0.5, 0.9, 0.99]) AS qa, quantile_cont(CAST(duration_us AS DOUBLE), [0.5, 0.9, 0.99]) FILTER (kind IN ('SERVER', 'UNKNOWN')) AS qr FROM ws GROUP BY 1, 2, 3),
+x AS (SELECT incident_id, window_us, service, quantile_cont(CAST(exclusive_us AS DOUBLE), 0.5) AS e, quantile_cont(wait_us / CAST(greatest(duration_us, 1) AS DOUBLE), 0.5) AS w FROM timed GROUP BY 1, 2, 3),
+grid AS (SELECT * FROM (SELECT DISTINCT incident_id, service FROM ws) JOIN (SELECT DISTINCT incident_id, window_us FROM ws) USING (incident_id))"""
+
+
+@query("agg08_window_summary", f"""{WITH}, {WINDOWED}, {TIMED.replace("spans", "ws")}, {SUMMARY} SELECT incident_id, window_us, service, round(coalesce(n, 0) / {MONTH}.0, 12) AS span_rate, round(coalesce(k, 0) / {MONTH}.0, 12) AS request_rate, round(coalesce(er, ea, 0), 6) AS error_rate,
+round(coalesce(CASE WHEN k > 0 THEN qr[1] ELSE qa[1] END, 0), 3) AS latency_median_us, round(coalesce(CASE WHEN k > 0 THEN qr[2] ELSE qa[2] END, 0), 3) AS latency_p90_us, round(coalesce(CASE WHEN k > 0 THEN qr[3] ELSE qa[3] END, 0), 3) AS latency_p99_us,
+round(coalesce(e, 0), 3) AS exclusive_median_us, round(coalesce(w, 0), 6) AS downstream_wait_ratio, round((window_us + {MONTH}000000 - coalesce(last, window_us)) / 1000000.0::DOUBLE, 3) AS last_seen_delta_s, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS trace_coverage,
+coalesce(n, 0) AS span_count, coalesce(k, 0) AS request_count FROM grid LEFT JOIN g USING (incident_id, window_us, service) LEFT JOIN x USING (incident_id, window_us, service)""")
 def agg08(spark, d):
     s = S.window_summary(B.spans(spark, d), ["incident_id"], MONTH)
-    fine = {c: r(c, 5) for c in ("latency_p50", "latency_p90", "latency_p99", "exclusive_p50", "wait_p50")}
-    return s.withColumns(fine | {c: r(c, 12) for c in ("span_rate", "request_rate")} | {"error_rate": r("error_rate")})
+    fine = {c: r(c, 3) for c in ("latency_median_us", "latency_p90_us", "latency_p99_us", "exclusive_median_us", "last_seen_delta_s")}
+    return s.withColumns(fine | {c: r(c, 12) for c in ("span_rate", "request_rate")} | {c: r(c) for c in ("error_rate", "downstream_wait_ratio")})
+
+
+@query("agg08_window_edges", f"""{WITH}, g AS (SELECT c.incident_id, {_W.replace("start_us", "c.start_us")} AS window_us, p.service AS source, c.service AS target FROM {LINK} WHERE p.service <> c.service) SELECT *, count(*) AS calls FROM g GROUP BY ALL""")
+def agg08_edges(spark, d):
+    return S.window_edges(B.spans(spark, d), ["incident_id"], MONTH)
 
 
 @query("agg09_timing_projection", f"""{WITH}, {TIMED}, a AS (SELECT incident_id, service, round(quantile_cont(CAST(duration_us AS DOUBLE), 0.5), 3) AS duration_median, round(quantile_cont(CAST(duration_us AS DOUBLE), 0.9), 3) AS duration_p90, max(duration_us) AS duration_max, round(quantile_cont(CAST(wait_us AS DOUBLE), 0.5), 3) AS wait_median, round(quantile_cont(CAST(exclusive_us AS DOUBLE), 0.5), 3) AS exclusive_median FROM timed GROUP BY 1, 2),
