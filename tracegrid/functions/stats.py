@@ -135,3 +135,41 @@ def wilson(successes: str | Column, n: str | Column, z: float = 1.95996398454005
     p = s / n
     mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(0.0)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], name: str = "quantiles", buckets: int = 256) -> DataFrame:
+    """keys and an array of linearly interpolated quantiles, as percentile() gives them, without a group's values in one task.
+
+    Equal values are counted first, in each task and then over all. Places that cut a group's distinct values into about
+    `buckets` parts come from a sketch, so that a part of a group, not the group, is what one task sorts; the counts of the parts
+    before it say which ranks it holds. The result doesn't depend on how good the places are. Nulls are left out; a group of
+    nulls alone has no row. df is read twice.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    at = [i / buckets for i in range(1, buckets)]
+    places = counts.groupBy(*keys).agg(F.percentile_approx("__v", at, 4 * buckets).alias("__places")).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.array_distinct("__places").alias("__places"))
+    same = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}{i}")) for i, k in enumerate(keys)]
+    b = counts.join(places, same("__k")) if keys else counts.crossJoin(places)  # one row of places where there are no keys
+    b = b.withColumn("__b", F.size(F.filter("__places", lambda x: x < F.col("__v")))).drop("__places", *(f"__k{i}" for i in range(len(keys))))
+    sizes = b.groupBy(*keys, "__b").agg(F.sum("__c").alias("__s"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__s").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__s").over(whole))  # buckets rows a group
+    # the two ranks, counted from 0, between which each quantile lies; only parts that hold one are sorted
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.floor((F.col("__n") - 1) * q + side).alias("rank"), F.lit(side).alias("side")) for i, q in enumerate(quantiles) for side in (0, 1)))
+    asked = sizes.withColumn("__r", F.explode(ranks)).withColumn("__rank", F.least(F.col("__r.rank"), F.col("__n") - 1))
+    asked = asked.filter((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__s")))
+    held = asked.groupBy(*keys, "__b", "__before", "__n").agg(F.collect_list(F.struct("__r.i", "__r.side", "__rank")).alias("__asked"))
+    held = held.select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)), F.col("__b").alias("__hb"), "__before", "__n", "__asked")
+    part = b.join(held, [*same("__h"), F.col("__b") == F.col("__hb")])
+    up = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    part = part.withColumn("__to", F.col("__before") + F.sum("__c").over(up)).withColumn("__from", F.col("__to") - F.col("__c"))
+    hit = part.withColumn("__a", F.explode("__asked")).filter((F.col("__a.__rank") >= F.col("__from")) & (F.col("__a.__rank") < F.col("__to")))
+    pick = lambda i, side: F.max(F.when((F.col("__a.i") == i) & (F.col("__a.side") == side), F.col("__v")))
+    g = hit.groupBy(*keys).agg(F.max("__n").alias("__n"), *(pick(i, side).alias(f"__q{i}{side}") for i in range(len(quantiles)) for side in (0, 1)))
+
+    def between(i: int, q: float) -> Column:
+        w = (F.col("__n") - 1) * q - F.floor((F.col("__n") - 1) * q)
+        low, high = F.col(f"__q{i}0"), F.col(f"__q{i}1")
+        return F.when(w == 0, low).otherwise((1 - w) * low + w * high)
+
+    return g.select(*keys, F.array(*(between(i, q) for i, q in enumerate(quantiles))).alias(name))

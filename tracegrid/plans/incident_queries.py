@@ -243,6 +243,51 @@ def met12(spark, d):
     return s.withColumns({c: r(c) for c in ("shift", "persistence")})
 
 
+def _joint(rounds: int = 20, eps: float = 1.35) -> str:
+    """CTEs of the joint fit of line and scale over ld (service, family, phase, x, value): lf has slope and intercept where the load
+    varies, bs the baseline with its residuals' median and scale."""
+    e, e2 = f"{eps}::DOUBLE", f"{eps * eps!r}::DOUBLE"
+    out = ["""lb AS MATERIALIZED (SELECT * FROM ld WHERE phase = 'baseline'),
+lm AS MATERIALIZED (SELECT service, family, avg(x) AS mx, avg(value) AS my, coalesce(nullif(stddev_pop(x), 0), 1) AS dx, coalesce(nullif(stddev_pop(value), 0), 1) AS dy FROM lb GROUP BY 1, 2 HAVING min(x) < max(x) AND count(*) >= 4),
+lu AS MATERIALIZED (SELECT service, family, (x - mx) / dx AS x, (value - my) / dy AS y FROM lb JOIN lm USING (service, family)),
+j0 AS (SELECT service, family, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1e300::DOUBLE AS s FROM lm)"""]
+    for i in range(1, rounds + 1):
+        out.append(f"""q{i} AS MATERIALIZED (SELECT service, family, any_value(a) AS pa, any_value(b) AS pb, any_value(s) AS ps, count(*) AS t, count(*) FILTER (k) AS n, coalesce(sum(x) FILTER (k), 0) AS sx, coalesce(sum(y) FILTER (k), 0) AS sy, coalesce(sum(x * x) FILTER (k), 0) AS xx,
+  coalesce(sum(x * y) FILTER (k), 0) AS xy, coalesce(sum(y * y) FILTER (k), 0) AS yy, {e} * sum(CASE WHEN k THEN 0 ELSE sign(r) END) AS u, {e} * sum(CASE WHEN k THEN 0 ELSE sign(r) * x END) AS v FROM (SELECT *, y - a * x - b AS r, abs(y - a * x - b) <= {e} * s AS k FROM lu JOIN j{i - 1} USING (service, family)) GROUP BY 1, 2),
+w{i} AS (SELECT *, (n * xy - sx * sy) / d AS a0, (xx * sy - sx * xy) / d AS b0, (n * v - sx * u) / d AS a1, (xx * u - sx * v) / d AS b1 FROM (SELECT *, n * xx - sx * sx AS d FROM q{i})),
+j{i} AS MATERIALIZED (SELECT service, family, a0 + z * a1 AS a, b0 + z * b1 AS b, z AS s FROM (SELECT *, sqrt(greatest(yy - a0 * xy - b0 * sy, 1e-24) / (t - {e2} * (t - n) - (a1 * a1 * xx + 2 * a1 * b1 * sx + b1 * b1 * n))) AS z FROM w{i}))""")
+    out.append(f"""lf AS (SELECT service, family, a * dy / dx AS slope, my + b * dy - a * dy / dx * mx AS intercept FROM j{rounds} JOIN lm USING (service, family)),
+lg AS (SELECT service, family, count(*) AS samples, quantile_cont(value, 0.5) AS med FROM lb GROUP BY 1, 2),
+lp AS MATERIALIZED (SELECT service, family, samples, med, coalesce(slope, 0) AS slope, coalesce(intercept, med) AS intercept FROM lg LEFT JOIN lf USING (service, family)),
+bs AS MATERIALIZED (SELECT service, family, samples, slope, intercept, q[2] AS residual_median, greatest(q[3] - q[1], 0.01 * abs(q[2]), 0.01 * abs(med), 1e-9) AS residual_iqr
+  FROM (SELECT service, family, any_value(samples) AS samples, any_value(slope) AS slope, any_value(intercept) AS intercept, any_value(med) AS med, quantile_cont(value - intercept - slope * x, [0.25, 0.5, 0.75]) AS q FROM lb JOIN lp USING (service, family) GROUP BY 1, 2))""")
+    return ",\n".join(out)
+
+
+#: Points of the other families under the traffic of their service at the time.
+LOAD = f"ld AS MATERIALIZED (SELECT a.service, a.family, a.ts, a.phase, b.value AS x, a.value FROM points a JOIN points b ON a.service = b.service AND a.ts = b.ts WHERE a.family <> 'traffic_rate' AND b.family = 'traffic_rate'), {_joint()}"
+
+
+def under_load(spark, d):
+    return M.workload_pairs(B.points(spark, d)).withColumnRenamed("y", "value")
+
+
+def fitted_under_load(spark, d):
+    return D.workload_baseline(under_load(spark, d).filter("phase = 'baseline'"))
+
+
+@query("met11_varied_load", f"{P}, {LOAD} SELECT service, family, samples, round(slope, 5) AS slope, round(intercept, 4) AS intercept, round(residual_median, 4) + 0 AS residual_median, round(residual_iqr, 4) AS residual_iqr FROM bs")
+def met11_varied(spark, d):
+    """The line on a load that varies; tests/test_joint_fit.py holds it against a minimiser of its own."""
+    return fitted_under_load(spark, d).withColumns({c: r(c, 4) + 0.0 for c in ("intercept", "residual_median", "residual_iqr")} | {"slope": r("slope", 5)})
+
+
+@query("met12_varied_load", f"{P}, {LOAD}, z AS (SELECT service, family, abs((value - intercept - slope * x - residual_median) / residual_iqr) AS z FROM ld JOIN bs USING (service, family) WHERE phase = 'current') SELECT service, family, round(quantile_cont(z, 0.9), 4) AS shift, round(avg(CASE WHEN z >= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS persistence FROM z GROUP BY 1, 2")
+def met12_varied(spark, d):
+    s = D.metric_residual_shift(under_load(spark, d).filter("phase = 'current'"), fitted_under_load(spark, d))
+    return s.withColumns({"shift": r("shift", 4), "persistence": r("persistence")})
+
+
 SIGNALS = {"cpu": "error_rate", "memory": "span_rate", "network": "latency_p90_us", "traffic_rate": "request_rate"}
 NAME = "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNALS.items()) + " END"
 
@@ -258,6 +303,17 @@ def met13(spark, d):
     return D.trace_signal_shift(named.filter("phase = 'current'"), base, ["service"]).select("service", "signal", "ts", r("shift").alias("shift"))
 
 
+@query("met13_varied_load", f"{P}, {LOAD}, z AS (SELECT service, {NAME} AS signal, ts, (value - intercept - slope * x - residual_median) / residual_iqr AS z FROM ld LEFT JOIN bs USING (service, family) WHERE phase = 'current') SELECT service, signal, ts, round(coalesce(CASE WHEN signal IN ('error_rate', 'latency_p90_us') THEN CASE WHEN z IS NULL THEN NULL ELSE greatest(0, z) END ELSE abs(z) END, 0), 4) AS shift FROM z")
+def met13_varied(spark, d):
+    p = under_load(spark, d)
+    signal = F.col("family")
+    for k, v in SIGNALS.items():
+        signal = F.when(F.col("family") == k, v).otherwise(signal)
+    named = p.withColumn("signal", signal)
+    base = D.workload_baseline(named.filter("phase = 'baseline'"), ["service", "signal"])
+    return D.trace_signal_shift(named.filter("phase = 'current'"), base, ["service"]).select("service", "signal", "ts", r("shift", 4).alias("shift"))
+
+
 @query("met16_iqr_shifts", f"""{P}, b AS (SELECT service, family, quantile_cont(value, 0.5) AS m, greatest(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 0.01 * abs(quantile_cont(value, 0.5)), 1e-9) AS iqr FROM points WHERE phase = 'baseline' AND NOT (service = 'svc-2' AND family = 'cpu') GROUP BY 1, 2),
 z AS (SELECT service, family, abs((value - m) / iqr) AS z FROM points JOIN b USING (service, family) WHERE phase = 'current'), g AS (SELECT service, family, quantile_cont(z, 0.9) AS s, avg(CASE WHEN z >= 3 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM z GROUP BY 1, 2),
 gr AS (SELECT service, family, s IS NOT NULL AS has, coalesce(s, 0) AS s, coalesce(p, 0) AS p FROM (SELECT DISTINCT service FROM points) CROSS JOIN (SELECT DISTINCT family FROM points) LEFT JOIN g USING (service, family))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracegrid.functions import stats
 from tracegrid.operators import boosting as G
 from tracegrid.operators import learn as L
 from tracegrid.operators import spans as S
@@ -145,3 +146,10 @@ def lrn07(spark, d):
     settings = {"shallow": G.Setting(depth=1, eta=0.3, rounds=2), "deep": G.Setting(depth=2, eta=0.3, rounds=2)}
     n = G.nested(labelled(spark, d).drop("fold"), SCORES, "incident_id", settings, outer=3, inner=2)
     return n.predictions.select("incident_id", "service", "fold", "model_score")
+
+
+@query("fun_exact_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, d):
+    """Three groups of a third of the rows each."""
+    q = stats.exact_quantiles(B.read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.9, 0.99])
+    return q.select("l_returnflag", *(F.round(F.col("quantiles")[i], 4).alias(n) for i, n in enumerate(("median", "p90", "p99"))))
