@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tracegrid.operators import graph as G
 from tracegrid.operators import metrics as M
 from tracegrid.operators import spans as S
 
@@ -101,3 +102,14 @@ def test_service_key(spark):
     names = ["cart-service-", " Cart_Service ", "cartservice", "orders", "service", "--a__b--"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r.k for r in df.select(M.service_key(df.n).alias("k")).collect()] == ["cart", "cart", "cart", "orders", "", "ab"]
+
+
+def test_small_graphs_in_a_task_equal_large_ones_by_joins(spark):
+    rng = random.Random(8)
+    rows = [(f"g{g}", rng.randrange(12), rng.randrange(12)) for g in range(6) for _ in range(14)] + [("chain", i, i + 1) for i in range(25)]
+    e = spark.createDataFrame(rows, "incident_id string, source long, target long")
+    key = ["incident_id"]
+    got = {small: sorted(tuple(r) for r in G.reachable(e, key, small).collect()) for small in (0, 12, 1000)}
+    assert got[0] == got[12] == got[1000] and ("chain", 0, 25, 25) in got[0]
+    holes = e.unionByName(spark.createDataFrame([(None, 1, 2), (None, 2, 3)], e.schema))
+    assert G.reachable(holes, key).filter("incident_id is not null").count() == len(got[0])

@@ -2,20 +2,70 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracegrid.functions.lineage import cut
 
 
-def reachable(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+#: Edges up to which a graph is walked by one task.
+SMALL = 2_000
+
+
+def _same(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+
+
+def _walked(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """All targets of all sources of one graph, level by level from each source."""
+    out: dict = {}
+    for s, t in zip(frame["source"], frame["target"], strict=True):
+        out.setdefault(s, []).append(t)
+    rows = []
+    for s in out:
+        seen, level, d = set(), [s], 0
+        while level:
+            d += 1
+            level = [t for t in dict.fromkeys(t for x in level for t in out.get(x, ())) if t not in seen]
+            seen.update(level)
+            rows += [(s, t, d) for t in level]
+    got = pd.DataFrame(rows, columns=["source", "target", "distance"])
+    for i, k in enumerate(keys):
+        got.insert(i, k, [frame[k].iloc[0]] * len(got))
+    return got
+
+
+def reachable(edges: DataFrame, keys: list[str] | None = None, small: int = SMALL) -> DataFrame:
     """keys, source, target, distance for every target that a source reaches, by the shortest way (at least one edge).
 
-    Semi-naive: each round extends only what the last one found, and stops when nothing new appears. A node on a cycle reaches
-    itself. Each round is cut, so that the plan does not grow; there are as many as the longest shortest way has edges.
+    Graphs of at most `small` edges, which are counted first, are walked by a task each; larger ones, and a graph without keys, by
+    joins (_joined), whatever their size. A node on a cycle reaches itself.
     """
     keys = keys or []
     e = edges.select(*keys, "source", "target").distinct()
+    if not keys:
+        return _joined(e, keys)
+    e = cut(e)
+    null = F.col("source").isNull() | F.col("target").isNull()
+    sizes = e.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_if(null).alias("__null"))
+    fits = (F.col("__n") <= small) & (F.col("__null") == 0)
+    for k in keys:
+        fits = fits & F.col(k).isNotNull()
+    sizes = cut(sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), fits.alias("__fits")))
+    schema = T.StructType([*e.schema.fields, T.StructField("distance", T.IntegerType())])
+    of = lambda fit: e.join(sizes.filter(fit), _same(keys), "left_semi")
+    walked = of(F.col("__fits")).groupBy(*keys).applyInPandas(lambda f: _walked(f, keys), schema)
+    return walked if sizes.filter("not __fits").isEmpty() else walked.unionByName(_joined(of(~F.col("__fits")), keys))
+
+
+def _joined(e: DataFrame, keys: list[str]) -> DataFrame:
+    """reachable() of distinct edges by joins.
+
+    Semi-naive: each round extends only what the last one found, and stops when nothing new appears. Each round is cut, so that
+    the plan does not grow; there are as many as the longest shortest way has edges.
+    """
     step = e.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("source").alias("__s"), F.col("target").alias("__t"))
     seen = new = cut(e.withColumn("distance", F.lit(1)))
     d = 1
