@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session without one, as in tests, gets a
+    folder of its own; a cluster must name it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or _own_dir()).rstrip("/")
 
 
