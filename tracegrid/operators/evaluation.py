@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracegrid.functions import stats
+from tracegrid.functions.lineage import cut
 
 CUTS = (1, 2, 3, 5, 10)
 
@@ -80,6 +84,39 @@ def interval(replicates: DataFrame, value: str = "mean", level: float = 0.95) ->
     return r.agg(F.avg(value).alias("mean"), F.max(F.when(F.col("__k") == at[0], F.col(value))).alias("low"), F.max(F.when(F.col("__k") == at[1], F.col(value))).alias("high"))
 
 
+def paired_bootstrap(pairs: DataFrame, replicates: int, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """Two rankings of the same incidents, resampled by incident: a row a metric (ac1, mrr) with difference (first less second),
+    low and high, the ends of the central interval of the replicates' differences.
+
+    pairs: incident_id, rank_a, rank_b (null or below 1: a miss), a row an incident. Draw j of replicate b is the incident at a
+    hash of (seed, b, j), incidents being in the order of their ranks. Only the distinct pairs of ranks are put in order, not
+    the incidents: a pair owns as many places as it has incidents, and a draw finds the pair that owns its place in the one of
+    equal ranges of places it falls into. The cost is replicates * incidents rows, summed up in tasks before they are shuffled.
+    Without incidents there are no rows.
+    """
+    hit = lambda c: F.when(F.col(c) == 1, 1.0).otherwise(0.0)
+    inverse = lambda c: F.when(F.col(c) > 0, 1 / F.col(c)).otherwise(0.0)
+    own = cut(pairs.groupBy("rank_a", "rank_b").agg(F.count("*").alias("__c")))
+    n, distinct = own.agg(F.sum("__c"), F.count("*")).first()
+    if not n:
+        return pairs.sparkSession.createDataFrame([], "metric string, difference double, low double, high double")
+    upto = Window.orderBy(F.col("rank_a").asc_nulls_last(), F.col("rank_b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # distinct pairs of ranks
+    own = own.select((F.sum("__c").over(upto) - F.col("__c")).alias("__from"), "__c", (hit("rank_a") - hit("rank_b")).alias("ac1"), (inverse("rank_a") - inverse("rank_b")).alias("mrr"))
+    wide = -(-n // max(4096, 4 * distinct))
+    own = own.withColumn("__to", F.col("__from") + F.col("__c")).withColumn("__at", F.explode(F.sequence(F.floor(F.col("__from") / wide), F.floor((F.col("__to") - 1) / wide))))
+    b, j = F.floor(F.col("id") / n), F.col("id") % n
+    draws = pairs.sparkSession.range(replicates * n).select(b.alias("replicate"), F.floor(stats.hash_fraction(F.lit(str(seed)), b.cast("string"), j.cast("string")) * n).alias("__k"))
+    # how often each place is drawn doesn't matter, only how often a replicate draws a pair
+    drawn = draws.withColumn("__at", F.floor(F.col("__k") / wide)).join(own, "__at").filter((F.col("__k") >= F.col("__from")) & (F.col("__k") < F.col("__to")))
+    means = cut(drawn.groupBy("replicate").agg(F.avg("ac1").alias("ac1"), F.avg("mrr").alias("mrr")))
+    out = None
+    for metric in ("ac1", "mrr"):
+        whole = own.dropDuplicates(["__from"]).agg((F.sum(F.col(metric) * F.col("__c")) / F.sum("__c")).alias("difference"))
+        one = interval(means.select(metric), metric, level).crossJoin(F.broadcast(whole)).select(F.lit(metric).alias("metric"), "difference", "low", "high")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def seed_variance(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     return runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("runs"))
 
@@ -255,13 +292,46 @@ def hash_split(id_: Column, namespace: str) -> Column:
     return stats.digest_mod(F.concat(F.lit(namespace + ":"), id_), 5)
 
 
-def grouped_folds(df: DataFrame, cluster: str, folds: int, seed: int) -> DataFrame:
-    """Whole clusters to folds in a hash order, one after the other: equal to giving each to the emptiest fold where clusters
-    are of one size."""
-    c = df.select(cluster).distinct()
-    h = stats.hash_fraction(F.lit(str(seed)), F.col(cluster).cast("string"))
-    c = c.withColumn("fold", (F.row_number().over(Window.orderBy(h, cluster)) - 1) % folds)
-    return df.join(c, cluster)
+def _dealer(cluster: str, loads: list[int]):
+    """A task's part of grouped_folds: the clusters of one block in order, the folds having these loads before it."""
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["__h", cluster], na_position="first")
+        heap = [(x, f) for f, x in enumerate(loads)]
+        heapq.heapify(heap)
+        folds = []
+        for n in frame["__n"]:
+            x, f = heap[0]
+            folds.append(f)
+            heapq.heapreplace(heap, (x + int(n), f))
+        return frame.assign(fold=folds)
+
+    return deal
+
+
+def grouped_folds(df: DataFrame, cluster: str, folds: int, seed: int, block: int = 1_000_000) -> DataFrame:
+    """df with `fold`: whole clusters in a hash order, each to the fold that has least rows so far, the first of equal ones.
+
+    As each choice depends on those before it, clusters go through in order, in blocks of about `block`: ranges of the hash,
+    each one task. From block to block only the folds' loads are carried, so memory is bounded, and a lost block is dealt again
+    from them. The result doesn't depend on the block. Rows whose cluster is null form one cluster.
+    """
+    h = stats.hash_fraction(F.lit(str(seed)), F.coalesce(F.col(cluster).cast("string"), F.lit("")))
+    c = cut(df.groupBy(cluster).agg(F.count("*").alias("__n")).withColumn("__h", h))
+    blocks = max(1, -(-c.count() // block))
+    schema = T.StructType([*c.schema.fields, T.StructField("__b", T.LongType()), T.StructField("fold", T.IntegerType())])
+    c = c.withColumn("__b", F.floor(F.col("__h") * blocks))
+    loads, dealt = [0] * folds, None
+    for b in range(blocks):
+        one = c.filter(F.col("__b") == b).groupBy("__b").applyInPandas(_dealer(cluster, list(loads)), schema).select(F.col(cluster).alias("__c"), "fold", "__n")
+        if blocks > 1:
+            one = cut(one)
+            for fold, n in one.groupBy("fold").agg(F.sum("__n")).collect():  # a row a fold
+                loads[fold] += n
+        dealt = one if dealt is None else dealt.unionByName(one)
+        if b % 16 == 15:
+            dealt = cut(dealt)
+    return df.join(dealt.drop("__n"), F.col(cluster).eqNullSafe(F.col("__c"))).drop("__c")
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:

@@ -283,42 +283,71 @@ def timing_projection(spans: DataFrame, keys: list[str]) -> DataFrame:
     return lost.join(t, [*keys, "service"], "left")
 
 
-def dependency_overlap(spans: DataFrame, keys: list[str]) -> DataFrame:
+def dependency_overlap(spans: DataFrame, keys: list[str], services: DataFrame | None = None) -> DataFrame:
     """Per service: entry spans (no parent in the service) against the union of the first spans of other services below them.
 
     Walks down through the service's own spans, however deep, and stops at the first of another service; intervals are clipped
     to the entry. A span is walked through once from an entry, so walks end where parents form a cycle.
+
+    Columns: entries; boundaries, the entries with a span of another service below; missing_parents, those whose parent is not
+    there; clipped, the spans that reach out of their entry; median, p90 and IQR of the share of the entry that is covered
+    (overlap_*), median and p90 of the time that is not (residual_*). services (keys, service) asks for a row for each of them,
+    zeros where it has no entry; without it, services with entries have one.
     """
-    end = (F.col("start_us") + F.col("duration_us")).alias("end_us")
+    trace, end = F.struct(*trace_keys(spans)), F.col("start_us") + F.col("duration_us")
     linked = with_parent(spans, ("service",))
-    entry = cut(linked.filter("parent_service is null or parent_service <> service").select(*keys, "trace_id", F.col("span_id").alias("entry"), F.col("service").alias("own"), F.col("start_us").alias("ea"), end.alias("eb")))
-    kid = spans.select(F.col("trace_id").alias("t"), F.col("parent_span_id").alias("p"), F.col("span_id").alias("c"), F.col("service").alias("s"), F.col("start_us").alias("a"), (F.col("start_us") + F.col("duration_us")).alias("b"))
-    kid = cut(kid.filter("p <> ''"))
-    at, found = entry.withColumn("at", F.col("entry")), None
-    seen = at.select(F.col("trace_id").alias("vt"), F.col("entry").alias("ve"), F.col("at").alias("va"))
+    lost = (F.coalesce("parent_span_id", F.lit("")) != "") & F.col("parent_found").isNull()
+    entry = cut(linked.filter("parent_service is null or parent_service <> service").select(*keys, trace.alias("trace"), F.col("span_id").alias("entry"), F.col("service").alias("own"), F.col("start_us").alias("ea"), end.alias("eb"), lost.alias("lost")))
+    kid = cut(spans.filter("parent_span_id <> ''").select(trace.alias("t"), F.col("parent_span_id").alias("p"), F.col("span_id").alias("c"), F.col("service").alias("s"), F.col("start_us").alias("a"), end.alias("b")))
+    at = entry.select("trace", "entry", "own", "ea", "eb", F.col("entry").alias("at"))
+    visited = lambda df: df.select(F.col("trace").alias("vt"), F.col("entry").alias("ve"), F.col("at").alias("va"))
+    found, seen, level = None, visited(at), 0
     while found is None or not at.isEmpty():
-        step = cut(at.join(kid, (F.col("trace_id") == F.col("t")) & (F.col("at") == F.col("p"))))
-        hit = step.filter("s <> own").select("trace_id", "entry", "ea", "eb", "a", "b")
+        level += 1
+        step = cut(at.join(kid, (F.col("trace") == F.col("t")) & (F.col("at") == F.col("p"))))
+        hit = step.filter("s <> own").select("trace", "entry", "ea", "eb", "a", "b")
         found = hit if found is None else found.unionByName(hit)
-        ahead = step.filter("s = own").select(*entry.columns, F.col("c").alias("at")).dropDuplicates(["trace_id", "entry", "at"])
-        at = cut(ahead.join(seen, (F.col("trace_id") == F.col("vt")) & (F.col("entry") == F.col("ve")) & (F.col("at") == F.col("va")), "left_anti"))
-        seen = seen.unionByName(at.select(F.col("trace_id").alias("vt"), F.col("entry").alias("ve"), F.col("at").alias("va")))
-    found = found.withColumn("clipped", ((F.col("a") < F.col("ea")) | (F.col("b") > F.col("eb"))).cast("int"))
-    inside = found.select(F.col("trace_id").alias("ft"), F.col("entry").alias("fe"), F.greatest("a", "ea").alias("start_us"), F.least("b", "eb").alias("end_us"))
-    union = stats.interval_union(inside, ["ft", "fe"])
-    clips = found.groupBy(F.col("trace_id").alias("gt"), F.col("entry").alias("ge")).agg(F.sum("clipped").alias("clipped"))
-    per = entry.join(union, (F.col("trace_id") == F.col("ft")) & (F.col("entry") == F.col("fe")), "left").join(clips, (F.col("trace_id") == F.col("gt")) & (F.col("entry") == F.col("ge")), "left")
-    long = F.col("eb") - F.col("ea")
-    per = per.withColumn("overlap", F.when(long > 0, F.coalesce("union_us", F.lit(0)) / long).otherwise(0.0)).withColumn("residual_us", long - F.coalesce("union_us", F.lit(0)))
-    return per.groupBy(*keys, F.col("own").alias("service")).agg(F.count("*").alias("entries"), F.percentile("overlap", 0.5).alias("overlap_median"), F.percentile("residual_us", 0.5).alias("residual_median"), F.percentile("residual_us", 0.9).alias("residual_p90"), (F.percentile("overlap", 0.75) - F.percentile("overlap", 0.25)).alias("overlap_iqr"), F.coalesce(F.sum("clipped"), F.lit(0)).alias("clipped"))
+        ahead = step.filter("s = own").select("trace", "entry", "own", "ea", "eb", F.col("c").alias("at")).dropDuplicates(["trace", "entry", "at"])
+        at = cut(ahead.join(seen, (F.col("trace") == F.col("vt")) & (F.col("entry") == F.col("ve")) & (F.col("at") == F.col("va")), "left_anti"))
+        seen = seen.unionByName(visited(at))
+        if level % 16 == 0:  # keeps the unions short
+            found, seen = cut(found), cut(seen)
+    inside = found.select("trace", "entry", F.greatest("a", "ea").alias("start_us"), F.least("b", "eb").alias("end_us"))
+    union = stats.interval_union(inside, ["trace", "entry"])
+    out = (F.col("a") < F.col("ea")) | (F.col("b") > F.col("eb"))
+    below = found.groupBy("trace", "entry").agg(F.count_if(out).alias("clipped"))
+    per = entry.join(union, ["trace", "entry"], "left").join(below, ["trace", "entry"], "left")
+    long, covered = F.col("eb") - F.col("ea"), F.coalesce("union_us", F.lit(0))
+    per = per.withColumn("overlap", F.least(long, covered) / F.greatest(long, F.lit(1))).withColumn("residual", F.greatest(F.lit(0), long - covered))
+    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias(f"q_{c}")
+    g = per.groupBy(*keys, F.col("own").alias("service")).agg(F.count("*").alias("entries"), F.count("clipped").alias("boundaries"), F.count_if("lost").alias("missing_parents"), F.coalesce(F.sum("clipped"), F.lit(0)).alias("clipped"), q("overlap"), q("residual"))
+    if services is not None:
+        g = services.select(*keys, "service").distinct().join(g, [*keys, "service"], "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "boundaries", "missing_parents", "clipped")]
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    o, w = F.col("q_overlap"), F.col("q_residual")
+    return g.select(*keys, "service", *counts, zero(o[1], "overlap_median"), zero(o[3], "overlap_p90"), zero(o[2] - o[0], "overlap_iqr"), zero(w[1], "residual_median"), zero(w[3], "residual_p90"))
 
 
 def overlap_deviation(current: DataFrame, healthy: DataFrame, keys: list[str]) -> DataFrame:
-    """Differences of dependency_overlap() from the healthy one, scaled by max(0.01, IQR); 0 where they do not compare."""
-    h = healthy.select(*(F.col(k).alias(f"h_{k}") for k in [*keys, "service"]), F.col("overlap_median").alias("h_overlap"), F.col("residual_median").alias("h_residual"), F.greatest(F.lit(0.01), F.col("overlap_iqr")).alias("h_scale"))
-    j = current.join(h, [F.col(k) == F.col(f"h_{k}") for k in [*keys, "service"]], "left")
-    both = F.col("h_overlap").isNotNull()
-    return j.select(*keys, "service", both.alias("comparable"), F.when(both, (F.col("overlap_median") - F.col("h_overlap")) / F.col("h_scale")).otherwise(0.0).alias("overlap_shift"), F.when(both, F.log1p("residual_median") - F.log1p("h_residual")).otherwise(0.0).alias("residual_log_ratio"))
+    """dependency_overlap() of now against the healthy one, a row for each row of current.
+
+    comparable: both have entries. Shifts of the overlap are differences over max(0.01, healthy IQR), log ratios of the residual
+    are differences of log1p; 0 where they do not compare. Beside them the overlap itself, the shares of entries with a
+    boundary and without their parent, and whether there are entries now and in the healthy period.
+    """
+    fields = ("overlap_median", "overlap_p90", "residual_median", "residual_p90")
+    h = healthy.filter("entries > 0").select(*(F.col(k).alias(f"h_{k}") for k in [*keys, "service"]), *(F.col(c).alias(f"h_{c}") for c in fields), F.greatest(F.lit(0.01), F.col("overlap_iqr")).alias("h_scale"))
+    j = current.join(h, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in [*keys, "service"]], "left")
+    seen, normal = F.col("entries") > 0, F.col("h_scale").isNotNull()
+    both = seen & normal
+    shift = lambda c: F.when(both, (F.col(c) - F.col(f"h_{c}")) / F.col("h_scale")).otherwise(0.0)
+    ratio = lambda c: F.when(both, F.log1p(c) - F.log1p(f"h_{c}")).otherwise(0.0)
+    share = lambda c: F.col(c) / F.greatest(F.lit(1), F.col("entries"))
+    return j.select(
+        *keys, "service", both.alias("comparable"), "overlap_median", shift("overlap_median").alias("overlap_shift"), shift("overlap_p90").alias("overlap_p90_shift"), ratio("residual_median").alias("residual_log_ratio"),
+        ratio("residual_p90").alias("residual_p90_log_ratio"), share("boundaries").alias("boundary_support"), seen.alias("entry_observed"), share("missing_parents").alias("missing_parent_ratio"), normal.alias("healthy_observed"),
+    )
 
 
 # ---- topologies --------------------------------------------------------------------------------------------------------------

@@ -200,10 +200,18 @@ def eva08(spark, d):
     return E.bootstrap(t, "unit", "hit", REPLICATES).withColumn("mean", r("mean", 9))
 
 
-@query("eva07_interval")
+PAIRED = f"""p AS (SELECT rank_a, rank_b, row_number() OVER (ORDER BY rank_a, rank_b) - 1 AS k, CASE WHEN rank_a = 1 THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN rank_b = 1 THEN 1 ELSE 0 END AS ac1, 1.0::DOUBLE / rank_a - 1.0::DOUBLE / rank_b AS mrr FROM both2 WHERE is_root),
+dr AS (SELECT b, CAST(floor({frac("'7'", 'CAST(b AS VARCHAR)', 'CAST(j AS VARCHAR)')} * m) AS BIGINT) AS k FROM (SELECT count(*) AS m FROM p), range({REPLICATES}) x(b), LATERAL (SELECT unnest(range(m)) AS j) y),
+rp AS (SELECT b, avg(ac1) AS ac1, avg(mrr) AS mrr FROM dr JOIN p USING (k) GROUP BY 1), ls AS (SELECT list(ac1 ORDER BY ac1) AS a, list(mrr ORDER BY mrr) AS m FROM rp)"""
+_LOW, _HIGH = round((REPLICATES - 1) * 0.025) + 1, round((REPLICATES - 1) * 0.975) + 1
+
+
+@query("eva07_interval", f"""{C}, {BOTH}, {PAIRED} SELECT 'ac1' AS metric, (SELECT round(avg(ac1), 9) FROM p) AS difference, round(a[{_LOW}], 9) AS low, round(a[{_HIGH}], 9) AS high FROM ls
+UNION ALL SELECT 'mrr', (SELECT round(avg(mrr), 9) FROM p), round(m[{_LOW}], 9), round(m[{_HIGH}], 9) FROM ls""")
 def eva07(spark, d):
-    t = ranks(spark, d).withColumn("unit", F.concat("dataset", "system")).withColumn("hit", (F.col("truth_rank") == 1).cast("int"))
-    return E.interval(E.bootstrap(t, "unit", "hit", REPLICATES))
+    """The first score's ranking less the second's, resampled by incident."""
+    p = both(spark, d).filter("is_root").select("incident_id", "rank_a", "rank_b")
+    return E.paired_bootstrap(p, REPLICATES).withColumns({c: r(c, 9) for c in ("difference", "low", "high")})
 
 
 @query("eva09_seed_variance", f"{C}, {BOTH}, {TRUTH}, g AS (SELECT dataset, system, avg(CASE WHEN truth_rank = 1 THEN 1.0::DOUBLE ELSE 0 END) AS v FROM tr GROUP BY 1, 2) SELECT dataset, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS runs FROM g GROUP BY 1")
@@ -366,7 +374,10 @@ def spl02(spark, d):
     return B.cand(spark, d).select("incident_id").distinct().select("incident_id", E.hash_split(F.col("incident_id"), "ns").alias("fold"))
 
 
-@query("spl03_grouped_folds", f"{C}, c AS (SELECT cl, (row_number() OVER (ORDER BY {frac("'2'", 'cl')}, cl) - 1) % 5 AS fold FROM (SELECT DISTINCT dataset || system AS cl FROM cand)) SELECT cl AS cluster, fold, count(*) AS n FROM cand JOIN c ON cl = dataset || system GROUP BY 1, 2")
+@query("spl03_grouped_folds", f"""{C.replace("WITH ", "WITH RECURSIVE ", 1)}, c AS (SELECT cl, n, row_number() OVER (ORDER BY {frac("'2'", 'cl')}, cl) AS k FROM (SELECT dataset || system AS cl, count(*) AS n FROM cand GROUP BY 1)),
+dealt AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS cl, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS fold, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads
+  UNION ALL SELECT k, cl, n, f - 1, list_transform(loads, lambda x, i: CASE WHEN i = f THEN x + n ELSE x END) FROM (SELECT c.*, loads, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS f FROM dealt JOIN c ON c.k = dealt.k + 1))
+SELECT cl AS cluster, fold, n FROM dealt WHERE k > 0""")
 def spl03(spark, d):
     c = B.cand(spark, d).withColumn("cluster", F.concat("dataset", "system"))
     return E.grouped_folds(c, "cluster", 5, 2).groupBy("cluster", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))

@@ -148,28 +148,42 @@ def agg09(spark, d):
     return t.withColumns({c: r(c, 3) for c in ("duration_median", "duration_p90", "wait_median", "exclusive_median")})
 
 
-OVERLAP = """entry AS (SELECT c.incident_id, c.trace_id, c.span_id, c.service AS own, c.start_us AS ea, c.start_us + c.duration_us AS eb, c.phase FROM spans c LEFT JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service IS NULL OR p.service <> c.service),
+OVERLAP = """entry AS (SELECT c.incident_id, c.trace_id, c.span_id, c.service AS own, c.start_us AS ea, c.start_us + c.duration_us AS eb, c.phase, coalesce(c.parent_span_id, '') <> '' AND p.span_id IS NULL AS lost FROM spans c LEFT JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service IS NULL OR p.service <> c.service),
 hits AS (SELECT e.trace_id, e.span_id, ea, eb, k.start_us AS s, k.start_us + k.duration_us AS t FROM entry e JOIN spans k ON k.trace_id = e.trace_id AND k.parent_span_id = e.span_id AND k.service <> e.own
   UNION ALL SELECT e.trace_id, e.span_id, ea, eb, k2.start_us, k2.start_us + k2.duration_us FROM entry e JOIN spans k ON k.trace_id = e.trace_id AND k.parent_span_id = e.span_id AND k.service = e.own JOIN spans k2 ON k2.trace_id = k.trace_id AND k2.parent_span_id = k.span_id AND k2.service <> e.own),
 iv AS (SELECT trace_id AS k1, span_id AS k2, greatest(s, ea) AS a, least(t, eb) AS b FROM hits)"""
 OVERLAP_BY = """cl AS (SELECT trace_id, span_id, sum(CASE WHEN s < ea OR t > eb THEN 1 ELSE 0 END) AS clipped FROM hits GROUP BY 1, 2),
-per AS (SELECT e.*, CASE WHEN eb > ea THEN coalesce(u.union_us, 0) / CAST(eb - ea AS DOUBLE) ELSE 0.0 END AS overlap, CAST(eb - ea - coalesce(u.union_us, 0) AS DOUBLE) AS residual_us, clipped FROM entry e LEFT JOIN un u ON u.k1 = e.trace_id AND u.k2 = e.span_id LEFT JOIN cl ON cl.trace_id = e.trace_id AND cl.span_id = e.span_id)"""
+per AS (SELECT e.*, least(eb - ea, coalesce(u.union_us, 0)) / CAST(greatest(eb - ea, 1) AS DOUBLE) AS overlap, CAST(greatest(0, eb - ea - coalesce(u.union_us, 0)) AS DOUBLE) AS residual_us, clipped FROM entry e LEFT JOIN un u ON u.k1 = e.trace_id AND u.k2 = e.span_id LEFT JOIN cl ON cl.trace_id = e.trace_id AND cl.span_id = e.span_id)"""
+OVERLAP_OF = "count(*) AS n, count(clipped) AS bo, count(*) FILTER (lost) AS mp, CAST(coalesce(sum(clipped), 0) AS BIGINT) AS cl, quantile_cont(overlap, [0.25, 0.5, 0.75, 0.9]) AS o, quantile_cont(residual_us, [0.5, 0.9]) AS w"
 
 
-@query("agg10_dependency_overlap", f"""{WITH}, {OVERLAP}, {UNION}, {OVERLAP_BY} SELECT incident_id, own AS service, count(*) AS entries, round(quantile_cont(overlap, 0.5), 6) AS overlap_median, round(quantile_cont(residual_us, 0.5), 3) AS residual_median, round(quantile_cont(residual_us, 0.9), 3) AS residual_p90,
-round(quantile_cont(overlap, 0.75) - quantile_cont(overlap, 0.25), 6) AS overlap_iqr, CAST(coalesce(sum(clipped), 0) AS BIGINT) AS clipped FROM per GROUP BY 1, 2""")
+@query("agg10_dependency_overlap", f"""{WITH}, {OVERLAP}, {UNION}, {OVERLAP_BY}, g AS (SELECT incident_id, own AS service, {OVERLAP_OF} FROM per GROUP BY 1, 2)
+SELECT incident_id, service, n AS entries, bo AS boundaries, mp AS missing_parents, cl AS clipped, round(o[2], 6) AS overlap_median, round(o[4], 6) AS overlap_p90, round(o[3] - o[1], 6) AS overlap_iqr, round(w[1], 3) AS residual_median, round(w[2], 3) AS residual_p90 FROM g""")
 def agg10(spark, d):
     o = S.dependency_overlap(B.spans(spark, d), ["incident_id"])
-    return o.withColumns({"overlap_median": r("overlap_median"), "overlap_iqr": r("overlap_iqr"), "residual_median": r("residual_median", 3), "residual_p90": r("residual_p90", 3)})
+    return o.withColumns({c: r(c) for c in ("overlap_median", "overlap_p90", "overlap_iqr")} | {c: r(c, 3) for c in ("residual_median", "residual_p90")})
 
 
-@query("agg11_overlap_deviation", f"""{WITH}, {OVERLAP}, {UNION}, {OVERLAP_BY}, g AS (SELECT incident_id, phase, own AS service, quantile_cont(overlap, 0.5) AS om, quantile_cont(residual_us, 0.5) AS rm, quantile_cont(overlap, 0.75) - quantile_cont(overlap, 0.25) AS iqr FROM per GROUP BY 1, 2, 3)
-SELECT c.incident_id, c.service, h.om IS NOT NULL AS comparable, round(CASE WHEN h.om IS NOT NULL THEN (c.om - h.om) / greatest(0.01, h.iqr) ELSE 0 END, 6) AS overlap_shift, round(CASE WHEN h.om IS NOT NULL THEN ln(1 + c.rm) - ln(1 + h.rm) ELSE 0 END, 6) AS residual_log_ratio
-FROM (SELECT * FROM g WHERE phase = 'current') c LEFT JOIN (SELECT * FROM g WHERE phase = 'baseline') h USING (incident_id, service)""")
+def thinned(spark, d):
+    """Spans of which every thirteenth call has lost its CLIENT span, and 'n-5' its healthy period."""
+    gone = (F.col("kind") == "CLIENT") & (F.col("duration_us") % 13 == 0)
+    return B.spans(spark, d).filter(~gone & ~((F.col("service") == "n-5") & (F.col("phase") == "baseline")))
+
+
+THIN = "all_spans AS (SELECT * FROM spans), thin AS (SELECT * FROM all_spans WHERE NOT (kind = 'CLIENT' AND duration_us % 13 = 0) AND NOT (service = 'n-5' AND phase = 'baseline'))"
+
+
+@query("agg11_overlap_deviation", f"""{WITH}, {THIN}, {OVERLAP.replace("spans", "thin")}, {UNION}, {OVERLAP_BY}, g AS (SELECT incident_id, phase, own AS service, {OVERLAP_OF} FROM per GROUP BY 1, 2, 3),
+j AS (SELECT x.incident_id, x.service, c.n > 0 AS seen, h.n > 0 AS normal, c.n, c.bo, c.mp, c.o, c.w, h.o AS ho, h.w AS hw, greatest(0.01, h.o[3] - h.o[1]) AS sc FROM (SELECT DISTINCT incident_id, service FROM spans) x
+  LEFT JOIN g c ON c.incident_id = x.incident_id AND c.service = x.service AND c.phase = 'current' LEFT JOIN g h ON h.incident_id = x.incident_id AND h.service = x.service AND h.phase = 'baseline')
+SELECT incident_id, service, coalesce(seen AND normal, false) AS comparable, round(coalesce(o[2], 0), 6) AS overlap_median, round(coalesce((o[2] - ho[2]) / sc, 0), 6) AS overlap_shift, round(coalesce((o[4] - ho[4]) / sc, 0), 6) AS overlap_p90_shift, round(coalesce(ln(1 + w[1]) - ln(1 + hw[1]), 0), 6) AS residual_log_ratio,
+round(coalesce(ln(1 + w[2]) - ln(1 + hw[2]), 0), 6) AS residual_p90_log_ratio, round(coalesce(bo / CAST(n AS DOUBLE), 0), 6) AS boundary_support, coalesce(seen, false) AS entry_observed, round(coalesce(mp / CAST(n AS DOUBLE), 0), 6) AS missing_parent_ratio, coalesce(normal, false) AS healthy_observed FROM j""")
 def agg11(spark, d):
-    s = B.spans(spark, d)
-    o = [S.dependency_overlap(s.filter(F.col("phase") == p), ["incident_id"]) for p in ("current", "baseline")]
-    return S.overlap_deviation(*o, ["incident_id"]).withColumns({c: r(c) for c in ("overlap_shift", "residual_log_ratio")})
+    services = B.spans(spark, d).select("incident_id", "service").distinct()
+    s = thinned(spark, d)
+    o = [S.dependency_overlap(s.filter(F.col("phase") == p), ["incident_id"], services) for p in ("current", "baseline")]
+    v = S.overlap_deviation(*o, ["incident_id"])
+    return v.withColumns({c: r(c) for c in ("overlap_median", "overlap_shift", "overlap_p90_shift", "residual_log_ratio", "residual_p90_log_ratio", "boundary_support", "missing_parent_ratio")})
 
 
 @query("agg12_active_topology", f"""{WITH}, {TIMED}, {REFS}, hit AS (SELECT q.*, t.trace_id IS NOT NULL AS ok FROM refs q LEFT JOIN timed t ON t.trace_id = q.trace_id AND t.span_id = q.span_id),
