@@ -32,22 +32,23 @@ def workload_baseline(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 
 def _residuals(points: DataFrame, baseline: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     predicted = F.col("intercept") + F.col("slope") * F.col("x") + F.col("residual_median")
-    return points.join(baseline, keys, how).withColumn("residual", (F.col("value") - predicted) / F.col("residual_iqr"))
+    return points.join(baseline, keys, how).withColumn("predicted", predicted).withColumn("residual", (F.col("value") - F.col("predicted")) / F.col("residual_iqr"))
 
 
-def metric_residual_shift(points: DataFrame, baseline: DataFrame, keys: list[str] = SERIES, threshold: float = 3.0) -> DataFrame:
+def metric_residual_shift(points: DataFrame, baseline: DataFrame, keys: list[str] = SERIES, threshold: float = 3.0, group: list[str] | None = None) -> DataFrame:
     """keys, shift (90 % quantile of the absolute residuals), persistence (share at or above the threshold) of current points (keys,
-    x, value) that have a baseline; the others are not available and have no row."""
+    x, value) that have a baseline; the others are not available and have no row. group: other columns of the points to have rows
+    of, where many (as incidents) share a baseline."""
     a = F.abs("residual")
-    return _residuals(points, baseline, keys).groupBy(*keys).agg(F.percentile(a, 0.9).alias("shift"), F.avg((a >= threshold).cast("double")).alias("persistence"))
+    return _residuals(points, baseline, keys).groupBy(*(group or keys)).agg(F.percentile(a, 0.9).alias("shift"), F.avg((a >= threshold).cast("double")).alias("persistence"))
 
 
 def trace_signal_shift(signals: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """signals (keys, signal, x, value) with `shift`: the residual, one-sided for those that only count if they rise; 0 without a
-    baseline."""
+    baseline; and `predicted`, the value at that load, null without one."""
     r = F.col("residual")
     shift = F.when(F.col("signal").isin(*RISING), F.greatest(F.lit(0.0), r)).otherwise(F.abs(r))
-    return _residuals(signals, baseline, [*keys, "signal"], "left").select(*signals.columns, F.coalesce(shift, F.lit(0.0)).alias("shift"))
+    return _residuals(signals, baseline, [*keys, "signal"], "left").select(*signals.columns, F.coalesce(shift, F.lit(0.0)).alias("shift"), "predicted")
 
 
 def iqr_baseline(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tracegrid.plans import anomaly_queries, evidence_queries, graph_queries, incident_queries, metric_queries, ranking_queries, source_queries, span_queries, stream_queries  # noqa: F401
+    from tracegrid.plans import anomaly_queries, evidence_queries, graph_queries, incident_queries, metric_queries, ranking_queries, source_queries, span_queries, stream_queries, vector_queries  # noqa: F401
 
 
 _load()
