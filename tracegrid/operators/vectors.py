@@ -80,8 +80,10 @@ def candidate_vectors(incidents: DataFrame, services: DataFrame, points: DataFra
     at = ["incident_id", "service"]
     who = services.select(*at).filter("service is not null").distinct().join(about, "incident_id")
     edges = cut(_edges(about, observed, healthy.edges, by))
-    raw = cut(_scored(_local(who, summary, healthy, by).join(_metrics(about, points, healthy, by), at, "left"), edges))
-    around, far = _around(raw, edges)
+    # rows of candidates, cut step by step: each step reads the one before several times
+    local = cut(_local(who, summary, healthy, by).join(_metrics(about, points, healthy, by), at, "left"))
+    raw = cut(_scored(local, edges))
+    around, far = (cut(x) for x in _around(raw, edges))
     totals = raw.groupBy("incident_id").agg(F.count("*").alias("candidates"), F.count_if("affected").alias("hot"))
     topology = edges.select("incident_id").distinct().withColumn("topology", F.lit(1.0))
     rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("max_metric", "service")) - 1

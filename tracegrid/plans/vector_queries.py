@@ -33,19 +33,19 @@ def month(micros) -> F.Column:
 
 
 def months(spark, d) -> Months:
-    s = B.spans(spark, d).withColumn("environment", F.lit(HEALTHY)).withColumn("window_us", month(F.col("start_us")))
+    s = cut(B.spans(spark, d).withColumn("environment", F.lit(HEALTHY)).withColumn("window_us", month(F.col("start_us"))))
     root = (F.col("span_id") == "r").cast("int")
-    windows = cut(s.groupBy("window_us").agg((F.sum(root) / MONTH).alias("load"), (F.max("phase") == "current").alias("late")))
+    windows = cut(s.groupBy("environment", "window_us").agg((F.sum(root) / MONTH).alias("load"), (F.max("phase") == "current").alias("late")))
     line = B.read(spark, d, "lineitem").join(B.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     points = line.groupBy(F.concat(F.lit("n-"), F.col("s_nationkey") % 12).alias("service"), F.element_at(F.array(*map(F.lit, V.FAMILIES)), F.col("l_linenumber") % 4 + 1).alias("family"), B.micros("l_shipdate").alias("ts"))
     points = points.agg(F.avg(F.col("l_quantity").cast("double")).alias("value")).withColumn("window_us", month(F.col("ts")))
-    return Months(windows, cut(S.window_summary(s, ["environment"], MONTH)), cut(S.window_edges(s, ["environment"], MONTH)), points, s)
+    return Months(windows, cut(S.window_summary(s, ["environment"], MONTH)), cut(S.window_edges(s, ["environment"], MONTH)), cut(points), s)
 
 
 def healthy(m: Months) -> V.Healthy:
     before = m.windows.filter("not late").select("window_us", F.col("load").alias("x"))
     lines = lambda df, kind: D.workload_baseline(df.join(before, "window_us").select("service", kind, "x", "value"), ["service", kind]).withColumn("environment", F.lit(HEALTHY))
-    edges = S.expected_edges(m.spans.join(before, "window_us", "left_semi"), ["environment"], MONTH)
+    edges = cut(S.expected_edges(m.spans.join(before, "window_us", "left_semi"), ["environment"], MONTH))
     return V.Healthy(cut(lines(m.points, "family")), cut(lines(V.melted(m.summary, ["window_us", "service"]), "signal")), edges)
 
 
@@ -55,7 +55,7 @@ def inputs(spark, d) -> tuple:
     name = lambda df: df.withColumn("incident_id", F.concat(F.lit("w-"), "window_us"))
     late = m.windows.filter("late").select("window_us")
     of = lambda df: name(df.join(late, "window_us"))
-    about = name(m.windows.filter("late")).select("incident_id", F.lit(HEALTHY).alias("environment"), F.col("window_us").alias("start_us"), (F.col("window_us") + MONTH * 1_000_000).alias("end_us"), "load", F.lit(True).alias("traces_collected"))
+    about = name(m.windows.filter("late")).select("incident_id", "environment", F.col("window_us").alias("start_us"), (F.col("window_us") + MONTH * 1_000_000).alias("end_us"), "load", F.lit(True).alias("traces_collected"))
     return about, of(m.summary).select("incident_id", "service"), of(m.points), of(m.summary), of(m.edges), healthy(m)
 
 
