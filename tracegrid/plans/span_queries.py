@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracegrid.functions.lineage import cut
 from tracegrid.operators import spans as S
 from tracegrid.plans.registry import query
 from tracegrid.sources import bindings as B
@@ -12,6 +13,9 @@ WITH = f"WITH {B.SPANS}"
 LINK = "spans c LEFT JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id"
 
 
+OVERLAP_COLUMNS = ["incident_id", "trace_id", "span_id", "parent_span_id", "service", "start_us", "duration_us"]
+
+
 def r(c, n: int = 6):
     return F.round(c, n)
 
@@ -160,14 +164,14 @@ OVERLAP_OF = "count(*) AS n, count(clipped) AS bo, count(*) FILTER (lost) AS mp,
 @query("agg10_dependency_overlap", f"""{WITH}, {OVERLAP}, {UNION}, {OVERLAP_BY}, g AS (SELECT incident_id, own AS service, {OVERLAP_OF} FROM per GROUP BY 1, 2)
 SELECT incident_id, service, n AS entries, bo AS boundaries, mp AS missing_parents, cl AS clipped, round(o[2], 6) AS overlap_median, round(o[4], 6) AS overlap_p90, round(o[3] - o[1], 6) AS overlap_iqr, round(w[1], 3) AS residual_median, round(w[2], 3) AS residual_p90 FROM g""")
 def agg10(spark, d):
-    o = S.dependency_overlap(B.spans(spark, d), ["incident_id"])
+    o = S.dependency_overlap(cut(B.spans(spark, d).select(*OVERLAP_COLUMNS)), ["incident_id"])
     return o.withColumns({c: r(c) for c in ("overlap_median", "overlap_p90", "overlap_iqr")} | {c: r(c, 3) for c in ("residual_median", "residual_p90")})
 
 
-def thinned(spark, d):
+def thinned(spans):
     """Spans of which every thirteenth call has lost its CLIENT span, and 'n-5' its healthy period."""
     gone = (F.col("kind") == "CLIENT") & (F.col("duration_us") % 13 == 0)
-    return B.spans(spark, d).filter(~gone & ~((F.col("service") == "n-5") & (F.col("phase") == "baseline")))
+    return spans.filter(~gone & ~((F.col("service") == "n-5") & (F.col("phase") == "baseline")))
 
 
 THIN = "all_spans AS (SELECT * FROM spans), thin AS (SELECT * FROM all_spans WHERE NOT (kind = 'CLIENT' AND duration_us % 13 = 0) AND NOT (service = 'n-5' AND phase = 'baseline'))"
@@ -179,9 +183,12 @@ j AS (SELECT x.incident_id, x.service, c.n > 0 AS seen, h.n > 0 AS normal, c.n,
 SELECT incident_id, service, coalesce(seen AND normal, false) AS comparable, round(coalesce(o[2], 0), 6) AS overlap_median, round(coalesce((o[2] - ho[2]) / sc, 0), 6) AS overlap_shift, round(coalesce((o[4] - ho[4]) / sc, 0), 6) AS overlap_p90_shift, round(coalesce(ln(1 + w[1]) - ln(1 + hw[1]), 0), 6) AS residual_log_ratio,
 round(coalesce(ln(1 + w[2]) - ln(1 + hw[2]), 0), 6) AS residual_p90_log_ratio, round(coalesce(bo / CAST(n AS DOUBLE), 0), 6) AS boundary_support, coalesce(seen, false) AS entry_observed, round(coalesce(mp / CAST(n AS DOUBLE), 0), 6) AS missing_parent_ratio, coalesce(normal, false) AS healthy_observed FROM j""")
 def agg11(spark, d):
-    services = B.spans(spark, d).select("incident_id", "service").distinct()
-    s = thinned(spark, d)
-    o = [S.dependency_overlap(s.filter(F.col("phase") == p), ["incident_id"], services) for p in ("current", "baseline")]
+    every = cut(B.spans(spark, d).select(*OVERLAP_COLUMNS, "kind", "phase"))
+    services = every.select("incident_id", "service").distinct().withColumn("phase", F.explode(F.array(F.lit("current"), F.lit("baseline"))))
+    # both phases in one walk, a trace of each phase alone
+    both = S.dependency_overlap(thinned(every).withColumn("trace_id", F.concat_ws("@", "trace_id", "phase")), ["incident_id", "phase"], services)
+    both = cut(both)
+    o = [both.filter(F.col("phase") == p).drop("phase") for p in ("current", "baseline")]
     v = S.overlap_deviation(*o, ["incident_id"])
     return v.withColumns({c: r(c) for c in ("overlap_median", "overlap_shift", "overlap_p90_shift", "residual_log_ratio", "residual_p90_log_ratio", "boundary_support", "missing_parent_ratio")})
 
