@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,8 +18,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: What a control can ask for.
 CONTROLS = ("start", "freeze", "reset")
 RESULT = "service string, operation string, seq long, at long, cycle int, state string, baseline_samples long, current_samples long, latency_z double, error_z double, latency_anomalous boolean, error_anomalous boolean, severity double"
-_ROW = "ts long, kind string, id string, service string, operation string, latency_ms double, failed boolean"
-_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_ARROW = pa.schema([("ts", pa.int64()), ("kind", pa.string()), ("id", pa.string()), ("service", pa.string()), ("operation", pa.string()), ("latency_ms", pa.float64()), ("failed", pa.bool_())])
+_NAMES = _ARROW.names
+#: Rows of a piece that waits on.
+_PIECE = 50_000
 _OPERATION = "latency array<double>, failed array<boolean>, samples long, errors long, log_median double, scale double"
 
 
@@ -29,23 +32,24 @@ def _median(x: list[float] | np.ndarray) -> float:
 class LifeCycle(StatefulProcessor):
     """Per shard: the state of the detector, and samples and baselines of the shard's operations.
 
-    Rows wait until the watermark has passed them and are then taken in order of time (controls before samples of the same
-    time, then by id), so the order of arrival makes no difference.
+    Rows wait, a frame in a piece, until the watermark has passed them and are then taken in order of time (controls before samples
+    of the same time, then by id), so the order of arrival makes no difference. Between two controls of the life cycle an
+    operation's samples are taken in one go: only its last ones stay, and a sample costs the same however many are kept.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
+        self.waiting = handle.getListState("waiting", "least long, rows binary")
         self.phase = handle.getValueState("phase", "state string, cycle int, seq long")
         self.operations = handle.getMapState("operations", "service string, operation string", _OPERATION)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now, first = timerValues.getCurrentWatermarkInMs() * 1000, None
         for f in rows:
-            f = f.assign(ts=(f["ts"].astype("datetime64[us]").astype("int64")))
+            f = f[_NAMES].assign(ts=(f["ts"].astype("datetime64[us]").astype("int64")))
             f = f[f["ts"] > now]  # later than the watermark allows
             if len(f):
-                self.waiting.appendList([self._plain(r) for r in f[_NAMES].itertuples(index=False)])
+                self._wait(f)
                 first = min(first or int(f["ts"].min()), int(f["ts"].min()))
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
@@ -57,24 +61,27 @@ class LifeCycle(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _plain(r: Any) -> tuple:
-        text = lambda x: x if isinstance(x, str) else None
-        return (int(r[0]), text(r[1]), text(r[2]), text(r[3]), text(r[4]), None if r[5] is None or r[5] != r[5] else float(r[5]), bool(r[6]) if r[6] is not None and r[6] == r[6] else None)
+    def _wait(self, f: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(f, _ARROW, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        self.waiting.appendValue((int(f["ts"].min()), sink.getvalue().to_pybytes()))
 
     def _take(self, now: int) -> Iterator[pd.DataFrame]:
         if not self.waiting.exists():
             return
-        rows = list(self.waiting.get())
-        due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1] == "sample", r[2] or ""))
-        if not due:
+        pieces = [(int(p[0]), p[1]) for p in self.waiting.get()]
+        if min(p[0] for p in pieces) > now:
             return
-        rest = [tuple(r) for r in rows if r[0] > now]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
-        else:
-            self.waiting.clear()
+        rows = pa.concat_tables([pa.ipc.open_stream(bytes(p[1])).read_all() for p in pieces]).to_pandas()
+        rest, due = rows[rows["ts"] > now], rows[rows["ts"] <= now]
+        self.waiting.clear()
+        for i in range(0, len(rest), _PIECE):
+            self._wait(rest.iloc[i : i + _PIECE])
+        if len(rest):
+            self.handle.registerTimer(int(rest["ts"].min()) // 1000 + 1)
+        due = due.assign(later=due["kind"] == "sample", id=due["id"].fillna("")).sort_values(["ts", "later", "id"], kind="stable")
         state, cycle, seq = self.phase.get() if self.phase.exists() else ("empty", 0, 0)
         held: dict[tuple, list] = {}
         touched: dict[tuple, tuple[int, int]] = {}
@@ -88,8 +95,29 @@ class LifeCycle(StatefulProcessor):
                 held[k] = [list(v[0]), list(v[1]), *v[2:]] if v is not None else [[], [], None, None, None, None]
             return held[k]
 
-        for ts, kind, _, service, operation, latency, failed in due:
-            seq += 1
+        ts, latency = due["ts"].to_numpy(), due["latency_ms"].to_numpy(dtype=float)
+        failed = (due["failed"] == True).to_numpy(dtype=bool)  # noqa: E712  (null is not failed)
+        names = pd.MultiIndex.from_arrays([due["service"].fillna("").str.strip(), due["operation"].fillna("").str.strip()])
+        codes, operations = pd.factorize(names)
+        named = np.array([bool(k[0]) and bool(k[1]) for k in operations], dtype=bool)
+        counts = due["later"].to_numpy(dtype=bool) & named[codes] & (latency >= 0)
+        kinds, at = due["kind"].to_numpy(), np.flatnonzero(due["kind"].isin(CONTROLS).to_numpy())
+        start = 0
+        for stop in [*at.tolist(), len(due)]:
+            take = start + np.flatnonzero(counts[start:stop]) if state != "empty" else np.empty(0, dtype=int)
+            if len(take):
+                most = A.KEEP_CURRENT if state == "frozen" else A.KEEP_BASELINE
+                take = take[np.argsort(codes[take], kind="stable")]
+                cuts = np.flatnonzero(np.diff(codes[take])) + 1
+                for group in np.split(take, cuts):
+                    k, last = tuple(operations[codes[group[0]]]), group[-most:]
+                    v = get(k)
+                    v[0], v[1] = [*v[0], *latency[last].tolist()][-most:], [*v[1], *failed[last].tolist()][-most:]
+                    if state == "frozen":
+                        touched[k] = (seq + int(group[-1]) + 1, int(ts[group[-1]]))
+            if stop == len(due):
+                break
+            kind, mark = kinds[stop], (seq + stop + 1, int(ts[stop]))
             if kind == "start":
                 state, cycle = "collecting", cycle + 1
                 self.operations.clear()
@@ -101,21 +129,14 @@ class LifeCycle(StatefulProcessor):
                     v = get(k)
                     log = np.log1p(v[0])
                     held[k] = [[], [], len(v[0]), sum(v[1]), _median(log), max(A.LEAST_SCALE, 1.4826 * _median(np.abs(log - _median(log))))]
-                    touched[k] = (seq, ts)
+                    touched[k] = mark
             elif kind == "reset":
                 for k in every() if state == "frozen" else []:
                     v = get(k)
                     v[0], v[1] = [], []
-                    touched[k] = (seq, ts)
-            elif kind == "sample" and state != "empty":
-                k = ((service or "").strip(), (operation or "").strip())
-                if not all(k) or latency is None or latency < 0:
-                    continue
-                v, most = get(k), A.KEEP_CURRENT if state == "frozen" else A.KEEP_BASELINE
-                v[0], v[1] = [*v[0], latency][-most:], [*v[1], bool(failed)][-most:]
-                if state == "frozen":
-                    touched[k] = (seq, ts)
-        self.phase.update((state, cycle, seq))
+                    touched[k] = mark
+            start = stop + 1
+        self.phase.update((state, cycle, seq + len(due)))
         for k, v in held.items():
             self.operations.updateValue(k, tuple(v))
         out = [(*k, *touched[k], cycle, *self._result(get(k))) for k in touched] if state == "frozen" else []
