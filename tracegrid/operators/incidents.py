@@ -35,18 +35,22 @@ def aliased(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     return j.withColumn(column, F.col("__service")).withColumn("unmapped", F.col("__known").isNull()).drop("__service", "__known")
 
 
-def matched_entities(entities: DataFrame, observed: DataFrame, resolve: bool = False, keys: list[str] = INCIDENT) -> DataFrame:
-    """keys, entity, service: the only observed service with the entity's key. Infrastructure has none. Without exactly one it is
-    null or, with `resolve` or where nothing at all is observed, the normalised entity. entities: keys, entity; observed: keys,
-    service."""
+def entity_services(entities: DataFrame, observed: DataFrame, keys: list[str] = INCIDENT) -> DataFrame:
+    """keys, entity and its service in both ways, strict and resolved: the only observed service with the entity's key.
+    Infrastructure has none. Without exactly one, strict is null unless nothing at all is observed; resolved is the normalised
+    entity. entities: keys, entity; observed: keys, service."""
     o = observed.select(*keys, "service").distinct()
     one = o.withColumn("__key", service_key(F.col("service"))).groupBy(*keys, "__key").agg(F.count("*").alias("__n"), F.min("service").alias("__only"))
     some = o.select(*keys).distinct().withColumn("__some", F.lit(True))
     e = entities.select(*keys, "entity").distinct().withColumn("__key", service_key(F.col("entity")))
     j = e.join(one, [*keys, "__key"], "left").join(some, keys, "left")
-    free = F.lit(resolve) | F.col("__some").isNull()
-    service = F.when(infrastructure(F.col("entity")), None).when(F.col("__n") == 1, F.col("__only")).when(free, normalized(F.col("entity")))
-    return j.select(*keys, "entity", service.alias("service"))
+    service = lambda free: F.when(infrastructure(F.col("entity")), None).when(F.col("__n") == 1, F.col("__only")).when(free, normalized(F.col("entity")))
+    return j.select(*keys, "entity", service(F.col("__some").isNull()).alias("strict"), service(F.lit(True)).alias("resolved"))
+
+
+def matched_entities(entities: DataFrame, observed: DataFrame, resolve: bool = False, keys: list[str] = INCIDENT) -> DataFrame:
+    """keys, entity, service: entity_services() in one of its ways."""
+    return entity_services(entities, observed, keys).select(*keys, "entity", F.col("resolved" if resolve else "strict").alias("service"))
 
 
 def candidate_universe(metrics: DataFrame, traces: DataFrame, topology: DataFrame, keys: list[str] = INCIDENT) -> DataFrame:

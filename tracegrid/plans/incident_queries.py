@@ -52,15 +52,16 @@ def entities(spark, d):
     """Metric entities of the incidents, and their services, of which one may stand for two names of one key."""
     line, supp = F.col("l_linenumber") % 4, F.col("l_suppkey")
     entity = F.when(line == 0, F.concat(F.lit("SVC__"), supp % 10, F.lit("_Service"))).when(line == 1, F.concat(F.lit("svc-"), (supp + 1) % 10)).when(line == 2, "Redis").otherwise("orders_db")
-    seen = B.cand(spark, d).select("incident_id", "service")
-    return B.read(spark, d, "lineitem").select(F.concat(F.lit("o-"), "l_orderkey").alias("incident_id"), entity.alias("entity")), seen.union(seen.filter("service = 'svc-4'").select("incident_id", F.lit("Svc4")))
+    lines = B.read(spark, d, "lineitem")
+    named = lines.select(F.concat(F.lit("o-"), "l_orderkey").alias("incident_id"), entity.alias("entity")).repartition(B.parts(lines), "incident_id")
+    twice = F.when(F.col("service") == "svc-4", F.array("service", F.lit("Svc4"))).otherwise(F.array("service"))
+    return named, B.cand(spark, d).select("incident_id", F.explode(twice).alias("service"))
 
 
 @query("jon11_matched_entities", f"{C}, {ENTITIES} SELECT incident_id, entity, {MATCH.format('false')} AS strict, {MATCH.format('true')} AS resolved {FROM}")
 def jon11(spark, d):
     e, seen = entities(spark, d)
-    strict = I.matched_entities(e, seen).withColumnRenamed("service", "strict")
-    return strict.join(I.matched_entities(e, seen, resolve=True).withColumnRenamed("service", "resolved"), ["incident_id", "entity"])
+    return I.entity_services(e, seen)
 
 
 @query("jon12_candidate_universe", f"""{C}, {ENTITIES}, m AS (SELECT DISTINCT incident_id, {MATCH.format('true')} AS service {FROM}), mm AS (SELECT *, true AS m FROM m WHERE service IS NOT NULL), tt AS (SELECT *, true AS t FROM ob), gg AS (SELECT DISTINCT incident_id, service, true AS g FROM cand WHERE score_b >= 20)
