@@ -250,7 +250,7 @@ class _Index:
     def __init__(self, keys: np.ndarray, numbers: np.ndarray):
         bits = max(10, int(len(keys)).bit_length() + 3)
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.numbers, self.turns = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1), 0
+        self.keys, self.numbers, self.turns = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
         at, left = self._place(keys), np.arange(len(keys))
         while len(left):
             self.turns += 1
@@ -353,6 +353,13 @@ def estimated(e: np.ndarray, before: np.ndarray, path: str, weight: float = 0.02
     return normal(np.where(np.isfinite(before), new, -np.inf), path, stop)
 
 
+def pieces(f: pd.DataFrame, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """The rows of a frame in turn, in pieces of about `most` characters of text: what is counted of a piece is held at once."""
+    before = f["text"].str.len().cumsum().shift(fill_value=0) // most
+    for i in before.unique():
+        yield f[before == i]
+
+
 def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
@@ -423,8 +430,8 @@ def score(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each text: a row with its own columns and the sums over its common words, and a row for each other word."""
         keys, values = shared.value
-        index, words = _Index(keys, np.arange(len(keys))), _Keys()
-        for f in frames:
+        index, words = _Index(keys, np.arange(len(keys), dtype=np.int32)), _Keys()
+        for f in (part for frame in frames for part in pieces(frame)):
             counted = [Counter(text.encode("utf-8", "surrogatepass").lower().split()) for text in f["text"]]
             for c in counted:
                 c[b""] = 1
