@@ -5,15 +5,18 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrid.functions import stats
+from tracegrid.functions import hashing, stats
 from tracegrid.functions.lineage import cut
 
 CUTS = (1, 2, 3, 5, 10)
+#: Draws of the paired bootstrap in one row of sums, and in one task.
+BLOCK_DRAWS, TASK_DRAWS = 100_000, 4_000_000
 
 
 def truth_ranks(ranking: DataFrame, truth: DataFrame) -> DataFrame:
@@ -89,30 +92,39 @@ def paired_bootstrap(pairs: DataFrame, replicates: int, seed: int = 7, level: fl
     low and high, the ends of the central interval of the replicates' differences.
 
     pairs: incident_id, rank_a, rank_b (null or below 1: a miss), a row an incident. Draw j of replicate b is the incident at a
-    hash of (seed, b, j), incidents being in the order of their ranks. Only the distinct pairs of ranks are put in order, not
-    the incidents: a pair owns as many places as it has incidents, and a draw finds the pair that owns its place in the one of
-    equal ranges of places it falls into. The cost is replicates * incidents rows, summed up in tasks before they are shuffled.
-    Without incidents there are no rows.
+    hash of (seed, b, j), incidents being in the order of their ranks. Only the distinct pairs of ranks (at most the square of an
+    incident's candidates) are put in order and known to all tasks, not the incidents: a pair owns as many places as it has
+    incidents. Replicates times incidents draws are hashed, in numpy, in tasks of about TASK_DRAWS draws; a task returns a row for
+    each BLOCK_DRAWS of them. Without incidents there are no rows.
     """
     hit = lambda c: F.when(F.col(c) == 1, 1.0).otherwise(0.0)
     inverse = lambda c: F.when(F.col(c) > 0, 1 / F.col(c)).otherwise(0.0)
-    own = cut(pairs.groupBy("rank_a", "rank_b").agg(F.count("*").alias("__c")))
-    n, distinct = own.agg(F.sum("__c"), F.count("*")).first()
-    if not n:
-        return pairs.sparkSession.createDataFrame([], "metric string, difference double, low double, high double")
-    upto = Window.orderBy(F.col("rank_a").asc_nulls_last(), F.col("rank_b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # distinct pairs of ranks
-    own = own.select((F.sum("__c").over(upto) - F.col("__c")).alias("__from"), "__c", (hit("rank_a") - hit("rank_b")).alias("ac1"), (inverse("rank_a") - inverse("rank_b")).alias("mrr"))
-    wide = -(-n // max(4096, 4 * distinct))
-    own = own.withColumn("__to", F.col("__from") + F.col("__c")).withColumn("__at", F.explode(F.sequence(F.floor(F.col("__from") / wide), F.floor((F.col("__to") - 1) / wide))))
-    b, j = F.floor(F.col("id") / n), F.col("id") % n
-    draws = pairs.sparkSession.range(replicates * n).select(b.alias("replicate"), F.floor(stats.hash_fraction(F.lit(str(seed)), b.cast("string"), j.cast("string")) * n).alias("__k"))
-    # how often each place is drawn doesn't matter, only how often a replicate draws a pair
-    drawn = draws.withColumn("__at", F.floor(F.col("__k") / wide)).join(own, "__at").filter((F.col("__k") >= F.col("__from")) & (F.col("__k") < F.col("__to")))
-    means = cut(drawn.groupBy("replicate").agg(F.avg("ac1").alias("ac1"), F.avg("mrr").alias("mrr")))
+    spark = pairs.sparkSession
+    own = pairs.groupBy("rank_a", "rank_b").agg(F.count("*").alias("c")).orderBy(F.col("rank_a").asc_nulls_last(), F.col("rank_b").asc_nulls_last())
+    own = own.select("c", (hit("rank_a") - hit("rank_b")).alias("ac1"), (inverse("rank_a") - inverse("rank_b")).alias("mrr")).toPandas()
+    upto, values = own["c"].to_numpy().cumsum(), own[["ac1", "mrr"]].to_numpy()
+    if not len(own):
+        return spark.createDataFrame([], "metric string, difference double, low double, high double")
+    n = int(upto[-1])
+
+    def sums(blocks):
+        for block in blocks:
+            for b, start, end in block.itertuples(index=False):
+                times = np.zeros(len(upto), dtype=np.int64)
+                for x in hashing.fractions(f"{seed}:{b}:", start, end):
+                    times += np.bincount(np.searchsorted(upto, np.floor(x * n), side="right"), minlength=len(upto))
+                yield pd.DataFrame([[b, *(times @ values)]], columns=["replicate", "ac1", "mrr"])
+
+    many = -(-n // BLOCK_DRAWS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-replicates * n // TASK_DRAWS))
+    at = F.col("id") % many * BLOCK_DRAWS
+    blocks = spark.range(0, replicates * many, 1, min(tasks, replicates * many)).select(F.floor(F.col("id") / many).alias("replicate"), at.alias("start"), F.least(at + BLOCK_DRAWS, F.lit(n)).alias("end"))
+    drawn = blocks.mapInPandas(sums, "replicate long, ac1 double, mrr double")
+    means = cut(drawn.groupBy("replicate").agg((F.sum("ac1") / n).alias("ac1"), (F.sum("mrr") / n).alias("mrr")))
     out = None
-    for metric in ("ac1", "mrr"):
-        whole = own.dropDuplicates(["__from"]).agg((F.sum(F.col(metric) * F.col("__c")) / F.sum("__c")).alias("difference"))
-        one = interval(means.select(metric), metric, level).crossJoin(F.broadcast(whole)).select(F.lit(metric).alias("metric"), "difference", "low", "high")  # one row each
+    for k, metric in enumerate(("ac1", "mrr")):
+        whole = float((own["c"].to_numpy() @ values)[k]) / n
+        one = interval(means.select(metric), metric, level).select(F.lit(metric).alias("metric"), F.lit(whole).alias("difference"), "low", "high")
         out = one if out is None else out.unionByName(one)
     return out
 
