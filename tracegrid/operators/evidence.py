@@ -72,7 +72,11 @@ def trace_facts(spans: DataFrame, services: DataFrame, windows: DataFrame, ident
 def dependency_facts(spans: DataFrame, services: DataFrame, windows: DataFrame) -> DataFrame:
     """A fact for each service: calls between it and other candidates whose callee starts in the window, and how many calls it has
     with services that are no candidates."""
-    linked = _in_window(S.with_parent(spans, ("service",)).filter("parent_service is not null"), windows)
+    keys = S.trace_keys(spans)[::-1]
+    up = spans.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("span_id").alias("__s"), F.col("service").alias("parent_service"))
+    # callees of the window first, so only these are sorted
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) if k != "trace_id" else F.col(k) == F.col("__trace_id") for k in keys]
+    linked = _in_window(spans, windows).join(up, [*same, F.col("parent_span_id") == F.col("__s")])
     e = linked.groupBy("incident_id", F.col("parent_service").alias("source"), F.col("service").alias("target")).agg(F.count("*").alias("calls")).filter("source <> target")
     known = lambda c: services.select("incident_id", F.col("service").alias(c)).distinct().withColumn(f"__{c}", F.lit(True))
     e = e.join(known("source"), ["incident_id", "source"], "left").join(known("target"), ["incident_id", "target"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracegrid.functions.lineage import cut
 from tracegrid.operators import diagnosis as D
 from tracegrid.operators import evidence as E
 from tracegrid.plans.registry import query
@@ -35,13 +36,15 @@ UNION ALL SELECT incident_id, service, 'dependencies', NULL, state, NULL, NULL,
 
 
 def facts(spark, d):
-    s = B.spans(spark, d)
+    # what several kinds of facts read is computed once: the spans, the points of days, the services and their incidents
+    s = cut(B.spans(spark, d).drop("operation"))
     day = F.floor(F.col("start_us") / (DAY * 1_000_000)) * DAY
-    g = s.filter("kind = 'SERVER'").groupBy("incident_id", "service", "phase", day.alias("ts")).agg(F.avg("duration_us").alias("cpu"), F.count("*").cast("double").alias("traffic_rate"))
+    g = cut(s.filter("kind = 'SERVER'").groupBy("incident_id", "service", "phase", day.alias("ts")).agg(F.avg("duration_us").alias("cpu"), F.count("*").cast("double").alias("traffic_rate")))
     points = g.unpivot(["incident_id", "service", "phase", "ts"], ["cpu", "traffic_rate"], "family", "value")
     base = D.workload_baseline(points.filter("phase = 'baseline'").withColumn("x", F.lit(1.0)), ["incident_id", "service", "family"])
-    services = s.filter("service not in ('n-3', 'n-7')").select("incident_id", "service").distinct()
-    windows = s.select("incident_id").distinct().select("incident_id", F.lit(START).cast("long").alias("start"), F.lit(END).cast("long").alias("end"), F.lit(1.0).alias("load"), (F.col("incident_id") != "inc-3").alias("traces_collected"))
+    every = cut(s.select("incident_id", "service").distinct())
+    services = every.filter("service not in ('n-3', 'n-7')")
+    windows = every.select("incident_id").distinct().select("incident_id", F.lit(START).cast("long").alias("start"), F.lit(END).cast("long").alias("end"), F.lit(1.0).alias("load"), (F.col("incident_id") != "inc-3").alias("traces_collected"))
     return E.catalog(points, base, s, services, windows, FAMILIES)
 
 
@@ -59,6 +62,6 @@ def met28(spark, d):
 @query("met29_checks", f"""{FACTS}, c AS (SELECT incident_id, service, family, unnest([CASE WHEN kind = 'metric' AND samples = 0 THEN 'CHECK_METRIC_COVERAGE' END, CASE WHEN kind = 'metric' AND residual_p90 >= 3 THEN 'CHECK_METRIC_DEVIATION' END, CASE WHEN kind = 'traces' AND state <> 'OBSERVED' THEN 'CHECK_TRACE_AVAILABILITY' END,
 CASE WHEN kind = 'traces' AND state = 'OBSERVED' AND errors > 0 THEN 'INSPECT_ERROR_TRACES' END, CASE WHEN kind = 'dependencies' AND external > 0 THEN 'CHECK_CANDIDATE_INVENTORY' END]) AS code FROM facts) SELECT incident_id, service, code, family FROM c WHERE code IS NOT NULL""")
 def met29(spark, d):
-    f = facts(spark, d)
+    f = cut(facts(spark, d))  # a row for each service and kind or family
     known = f.select(F.col("id").alias("evidence"), "family")
     return E.checks(f).join(known, "evidence").select("incident_id", "service", "code", "family")
