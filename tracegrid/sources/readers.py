@@ -23,9 +23,9 @@ HTTP = {"method": ("http.request.method", "http.method"), "route": ("http.route"
 
 def _value(attributes: Column, *keys: str) -> Column:
     """The last attribute in the list that has one of the keys, as text."""
+    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
     hits = F.filter(attributes, lambda a: a["key"].isin(*keys))
-    v = F.try_element_at(hits, F.lit(-1))["value"]
-    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    return F.try_element_at(F.transform(hits, lambda a: text(a["value"])), F.lit(-1))
 
 
 def http_attributes(attributes: Column) -> dict[str, Column]:
@@ -38,11 +38,14 @@ def otlp_spans(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Data
 
     The service is the resource's; ids of other than 16 and 8 bytes, or zero, and negative durations go to rejects with a
     reason, as do lines that do not parse.
+
+    Rows are laid out by outer generators, below which Spark pushes no filter: it would parse each line once more for each use.
     """
+    rows_of = lambda df, c, name, *keep: df.select(*keep, F.posexplode_outer(c).alias("__i", name)).filter("__i is not null").drop("__i")
     parsed = lines.withColumn("__e", F.from_json(F.col(column), f"{OTLP}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     bad = parsed.filter("__e is null or __e._corrupt is not null or __e.resourceSpans is null").select(F.lit("json").alias("reason"), F.col(column).alias("detail"))
-    r = parsed.select(F.explode("__e.resourceSpans").alias("r")).withColumn("service", _value(F.col("r.resource.attributes"), "service.name"))
-    s = r.select("service", F.explode("r.scopeSpans").alias("c")).select("service", F.explode("c.spans").alias("s"))
+    r = rows_of(parsed, "__e.resourceSpans", "r").withColumn("service", _value(F.col("r.resource.attributes"), "service.name"))
+    s = rows_of(rows_of(r, "r.scopeSpans", "c", "service"), "c.spans", "s", "service")
     http = http_attributes(F.col("s.attributes"))
     status = http["status"].try_cast("int")
     rows = s.select(
@@ -53,7 +56,8 @@ def otlp_spans(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Data
     ).withColumn("duration_us", F.col("end_us") - F.col("start_us"))
     hexed = lambda c, n: F.coalesce(F.col(c).rlike(f"^[0-9a-f]{{{n}}}$") & ~F.col(c).rlike("^0+$"), F.lit(False))
     reason = F.when(~hexed("trace_id", 32), "trace_id").when(~hexed("span_id", 16), "span_id").when(F.coalesce("service", F.lit("")) == "", "service").when(F.col("start_us").isNull() | F.col("end_us").isNull(), "time").when(F.col("duration_us") < 0, "duration")
-    tagged = rows.withColumn("reason", reason)
+    rows = rows.withColumn("reason", reason)
+    tagged = rows.select(F.inline_outer(F.array(F.struct(*rows.columns))))
     rejects = tagged.filter("reason is not null").select("reason", F.col("span_id").alias("detail")).unionByName(bad)
     return tagged.filter("reason is null").drop("reason", "end_us"), rejects
 
