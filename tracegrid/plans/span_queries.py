@@ -14,6 +14,12 @@ LINK = "spans c LEFT JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_i
 
 
 OVERLAP_COLUMNS = ["incident_id", "trace_id", "span_id", "parent_span_id", "service", "start_us", "duration_us"]
+TIMED_COLUMNS = [*OVERLAP_COLUMNS, "kind"]
+
+
+def derived(spark, d, *columns):
+    """These columns of the spans, derived once and written: for what reads them several times."""
+    return cut(B.spans(spark, d).select(*columns))
 
 
 def r(c, n: int = 6):
@@ -102,14 +108,14 @@ timed AS (SELECT s.*, CAST(coalesce(u.union_us, 0) AS BIGINT) AS wait_us, greate
 
 @query("agg06_exclusive_time", f"{WITH}, {TIMED} SELECT incident_id, service, count(*) AS n, CAST(sum(wait_us) AS BIGINT) AS wait_us, CAST(sum(exclusive_us) AS BIGINT) AS exclusive_us, round(avg(exclusive_ratio), 6) AS ratio FROM timed GROUP BY 1, 2")
 def agg06(spark, d):
-    return S.exclusive_time(B.spans(spark, d)).groupBy("incident_id", "service").agg(F.count("*").alias("n"), F.sum("wait_us").alias("wait_us"), F.sum("exclusive_us").alias("exclusive_us"), r(F.avg("exclusive_ratio")).alias("ratio"))
+    return S.exclusive_time(derived(spark, d, *TIMED_COLUMNS)).groupBy("incident_id", "service").agg(F.count("*").alias("n"), F.sum("wait_us").alias("wait_us"), F.sum("exclusive_us").alias("exclusive_us"), r(F.avg("exclusive_ratio")).alias("ratio"))
 
 
 REFS = "refs AS (SELECT incident_id, service, operation, trace_id, CASE WHEN duration_us % 5 = 0 THEN 'gone' ELSE span_id END AS span_id FROM spans WHERE kind = 'SERVER' AND phase = 'current')"
 
 
-def refs(spark, d):
-    s = B.spans(spark, d).filter("kind = 'SERVER' and phase = 'current'")
+def refs(spans):
+    s = spans.filter("kind = 'SERVER' and phase = 'current'")
     return s.select("incident_id", "service", "operation", "trace_id", F.when(F.col("duration_us") % 5 == 0, "gone").otherwise(F.col("span_id")).alias("span_id"))
 
 
@@ -117,7 +123,8 @@ def refs(spark, d):
 round(coalesce(quantile_cont(t.exclusive_ratio, 0.5), 0), 6) AS median_exclusive_ratio, round(coalesce(quantile_cont(CAST(t.duration_us AS DOUBLE), 0.5), 0), 3) AS median_duration_us, round(coalesce(quantile_cont(CAST(t.wait_us AS DOUBLE), 0.5), 0), 3) AS median_wait_us
 FROM refs q LEFT JOIN timed t ON t.trace_id = q.trace_id AND t.span_id = q.span_id GROUP BY 1, 2, 3""")
 def agg07(spark, d):
-    e = S.operation_evidence(S.exclusive_time(B.spans(spark, d)), refs(spark, d))
+    s = derived(spark, d, *TIMED_COLUMNS, "operation", "phase")
+    e = S.operation_evidence(S.exclusive_time(s), refs(s))
     return e.withColumns({"coverage": r("coverage"), "median_exclusive_ratio": r("median_exclusive_ratio"), "median_duration_us": r("median_duration_us", 3), "median_wait_us": r("median_wait_us", 3)})
 
 
@@ -135,7 +142,7 @@ round(coalesce(CASE WHEN k > 0 THEN qr[1] ELSE qa[1] END, 0), 3) AS latency_medi
 round(coalesce(e, 0), 3) AS exclusive_median_us, round(coalesce(w, 0), 6) AS downstream_wait_ratio, round((window_us + {MONTH}000000 - coalesce(last, window_us)) / 1000000.0::DOUBLE, 3) AS last_seen_delta_s, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS trace_coverage,
 coalesce(n, 0) AS span_count, coalesce(k, 0) AS request_count FROM grid LEFT JOIN g USING (incident_id, window_us, service) LEFT JOIN x USING (incident_id, window_us, service)""")
 def agg08(spark, d):
-    s = S.window_summary(B.spans(spark, d), ["incident_id"], MONTH)
+    s = S.window_summary(derived(spark, d, *TIMED_COLUMNS, "error"), ["incident_id"], MONTH)
     fine = {c: r(c, 3) for c in ("latency_median_us", "latency_p90_us", "latency_p99_us", "exclusive_median_us", "last_seen_delta_s")}
     return s.withColumns(fine | {c: r(c, 12) for c in ("span_rate", "request_rate")} | {c: r(c) for c in ("error_rate", "downstream_wait_ratio")})
 
@@ -148,7 +155,7 @@ def agg08_edges(spark, d):
 @query("agg09_timing_projection", f"""{WITH}, {TIMED}, a AS (SELECT incident_id, service, round(quantile_cont(CAST(duration_us AS DOUBLE), 0.5), 3) AS duration_median, round(quantile_cont(CAST(duration_us AS DOUBLE), 0.9), 3) AS duration_p90, max(duration_us) AS duration_max, round(quantile_cont(CAST(wait_us AS DOUBLE), 0.5), 3) AS wait_median, round(quantile_cont(CAST(exclusive_us AS DOUBLE), 0.5), 3) AS exclusive_median FROM timed GROUP BY 1, 2),
 b AS (SELECT c.incident_id, c.service, count(*) AS spans, count(*) FILTER (c.parent_span_id <> '' AND p.span_id IS NULL) AS lost_parents FROM {LINK} GROUP BY 1, 2) SELECT b.*, a.* EXCLUDE (incident_id, service) FROM b LEFT JOIN a USING (incident_id, service)""")
 def agg09(spark, d):
-    t = S.timing_projection(B.spans(spark, d), ["incident_id"])
+    t = S.timing_projection(derived(spark, d, *TIMED_COLUMNS), ["incident_id"])
     return t.withColumns({c: r(c, 3) for c in ("duration_median", "duration_p90", "wait_median", "exclusive_median")})
 
 
@@ -199,10 +206,11 @@ g AS (SELECT DISTINCT c.incident_id, p.service AS source, c.service AS target, c
 SELECT DISTINCT g.incident_id, source, target, 'active' AS topology FROM g JOIN cov USING (incident_id) WHERE active AND EXISTS (SELECT 1 FROM hit h WHERE h.ok AND h.trace_id = g.trace_id AND h.incident_id = g.incident_id)
 UNION ALL SELECT DISTINCT g.incident_id, source, target, 'global' FROM g JOIN cov USING (incident_id) WHERE NOT active""")
 def agg12(spark, d):
-    s = B.spans(spark, d)
-    timed = S.exclusive_time(s)
-    e = S.operation_evidence(timed, refs(spark, d))
-    here = refs(spark, d).join(timed.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi").select("trace_id").distinct()
+    s = derived(spark, d, *TIMED_COLUMNS, "operation", "phase")
+    # computed once: evidence and sampled traces both look at it
+    timed = cut(S.exclusive_time(s).select("incident_id", "trace_id", "span_id", "duration_us", "wait_us", "exclusive_ratio"))
+    e = S.operation_evidence(timed, refs(s))
+    here = refs(s).join(timed.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi").select("trace_id").distinct()
     sampled = S.service_graph(s.join(here, "trace_id", "left_semi"), ["incident_id"])
     return S.active_topology(S.service_graph(s, ["incident_id"]), sampled, e, least=0.8)
 
