@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracegrid.functions.lineage import cut
 from tracegrid.operators import anomaly as A
 from tracegrid.operators import evaluation as E
 from tracegrid.operators import ranking as R
@@ -143,11 +144,12 @@ def rnk02(spark, d):
     from tracegrid.operators import graph as G
     from tracegrid.operators import spans as S
 
-    s = B.spans(spark, d)
+    s = cut(B.spans(spark, d))
     o = s.filter("kind = 'SERVER'").select("incident_id", F.concat_ws("/", "trace_id", "span_id").alias("sample_id"), "service", "operation", "trace_id", "span_id", F.col("start_us").alias("ts_us"), (F.col("duration_us") / 1000).alias("latency_ms"), F.col("error").alias("failed"), "phase")
     ops = A.operation_anomalies(o, latency_z=2.0)
     refs = A.last_n(o.filter("phase = 'current'"), A.OPERATION, A.KEEP_CURRENT).select(*A.OPERATION, "trace_id", "span_id")
-    evidence = S.operation_evidence(S.exclusive_time(s.join(refs.select("trace_id").distinct(), "trace_id", "left_semi")), refs)
+    refs = cut(refs)  # some for each operation
+    evidence = S.operation_evidence(S.exclusive_time(cut(s.join(refs.select("trace_id").distinct(), "trace_id", "left_semi"))), refs)
     edges = S.service_graph(s, ["incident_id"]).select("incident_id", "source", "target")
     fits = G.topology_fit(edges, R.observed_services(ops), ["incident_id"])
     return R.evidence_rankings(R.service_features(ops, fits, evidence, 2.0, A.ERROR_Z)).withColumn("score", r("score"))
