@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions import stats
+from tracegrid.functions.lineage import cut
 
 OPERATION = ["incident_id", "service", "operation"]
 ORDER = ["ts_us", "sample_id"]
@@ -32,8 +33,9 @@ def latency_stats(obs: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
 
 
 def baseline(obs: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
-    """latency_stats() of the last 1000 baseline samples, and whether they are enough."""
-    b = latency_stats(last_n(obs.filter("phase = 'baseline'"), keys, KEEP_BASELINE), keys)
+    """latency_stats() of the last 1000 baseline samples, which are written once, and whether they are enough."""
+    last = last_n(obs.filter("phase = 'baseline'"), keys, KEEP_BASELINE).select(*keys, "latency_ms", "failed")
+    b = latency_stats(cut(last), keys)
     return b.withColumn("sufficient", F.col("samples") >= LEAST_BASELINE)
 
 
@@ -70,27 +72,36 @@ def residuals(obs: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
     return c.withColumn("residual", r).withColumn("idx", F.row_number().over(w) - 1)
 
 
-def sliding_quantile(df: DataFrame, keys: list[str], order: str, value: str, wide: int, q: float) -> Column:
+def sliding_quantile(df: DataFrame, keys: list[str], order: str | list[str], value: str, wide: int, q: float) -> Column:
     """Quantile over the last `wide` rows, null until there are so many."""
     w = Window.partitionBy(*keys).orderBy(order)
     return F.when(F.row_number().over(w) >= wide, F.percentile(value, q).over(w.rowsBetween(1 - wide, 0)))
 
 
+def array_quantile(a: Column, q: float) -> Column:
+    """percentile(q) of the elements of a sorted array without nulls: interpolated; null of nothing."""
+    at = (F.size(a) - 1) * F.lit(q)
+    low, high = F.get(a, F.floor(at).cast("int")), F.get(a, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 CHANNELS = [f"{k}_{n}" for n in SCALES for k in ("loc", "tail", "err")]
 
 
-def rolling_features(res: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
-    """Adds for each window length, where the window is full: the median and the 90 % quantile of the window's residuals, and
-    the z of its known failures against the baseline's."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    out = res
+def rolling_features(res: DataFrame, keys: list[str] = OPERATION, order: str | list[str] = "idx") -> DataFrame:
+    """Adds for each window length, where the window is full: the median and the 90 % quantile of the window's residuals (which
+    residuals() never leaves null), and the z of its known failures against the baseline's. The residuals of the longest window
+    are gathered in a row's array, and sorted once for each length."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    known, bad = F.col("failed").isNotNull().cast("int"), F.coalesce(F.col("failed").cast("int"), F.lit(0))
+    frames = {f"__{c}_{n}": F.sum(x).over(w.rowsBetween(1 - n, 0)) for n in SCALES for c, x in (("k", known), ("b", bad))}
+    out = res.withColumns({"__last": F.collect_list("residual").over(w.rowsBetween(1 - max(SCALES), 0)), **frames})
     for n in SCALES:
-        out = out.withColumn(f"loc_{n}", sliding_quantile(out, keys, "idx", "residual", n, 0.5)).withColumn(f"tail_{n}", sliding_quantile(out, keys, "idx", "residual", n, 0.9))
-        f = w.rowsBetween(1 - n, 0)
-        known, bad = F.count("failed").over(f), F.sum(F.col("failed").cast("int")).over(f)
-        out = out.withColumn("__k", known).withColumn("__b", bad).withColumn("__full", F.row_number().over(w) >= n)
-        out = out.withColumn(f"err_{n}", F.when(F.col("__full") & (F.col("__k") > 0), stats.two_proportion_z("base_errors", "base_samples", "__b", "__k"))).drop("__k", "__b", "__full")
-    return out
+        full = F.size("__last") >= n
+        out = out.withColumn("__s", F.when(full, F.sort_array(F.slice("__last", -n, n))))
+        z = stats.two_proportion_z("base_errors", "base_samples", f"__b_{n}", f"__k_{n}")
+        out = out.withColumns({f"loc_{n}": array_quantile(F.col("__s"), 0.5), f"tail_{n}": array_quantile(F.col("__s"), 0.9), f"err_{n}": F.when(full & (F.col(f"__k_{n}") > 0), z)}).drop("__s")
+    return out.drop("__last", *frames)
 
 
 def scale_features(res: DataFrame, keys: list[str] = OPERATION) -> DataFrame:
@@ -105,19 +116,23 @@ def cusum_peak(res: DataFrame, keys: list[str] = OPERATION, slack: float = SLACK
 def verdicts(obs: DataFrame, keys: list[str] = OPERATION, location: float = 2.0, tail: float = 4.0, error: float = 3.0, cusum: float = 8.0) -> DataFrame:
     """The second detector for each operation: channels over their thresholds, the largest as score, its name (of equal
     ones the last by name), whether it fires, and persistence and longest run of residuals above `location`. The onset is the
-    first place at which any channel reaches its threshold, also as a fraction of the last place."""
-    res = residuals(obs, keys)
+    first place at which any channel reaches its threshold, also as a fraction of the last place. obs is read twice; the current
+    samples are shuffled and sorted once."""
+    res = residuals(obs, keys).select(*keys, *ORDER, "failed", "residual", "idx", "base_samples", "base_errors")
     limits = {"loc": location, "tail": tail, "err": error}
     channels = [F.struct((F.coalesce(F.col(f"{k}_{n}"), F.lit(0.0)) / limits[k]).alias("v"), F.lit(f"{k}_{n}").alias("name")) for k in limits for n in SCALES]
     channels.append(F.struct((F.col("cusum") / cusum).alias("v"), F.lit("cusum").alias("name")))
     best = F.array_max(F.array(*channels))
-    rows = stats.cusum(rolling_features(res, keys), keys, "idx", "residual", SLACK).withColumn("__on", F.col("residual") >= location)
+    rows = stats.cusum(rolling_features(res, keys, ORDER), keys, ORDER, "residual", SLACK).withColumn("__on", F.col("residual") >= location)
+    # in a run: how far the last place that is not in it lies back
+    off = F.max(F.when(F.col("__on"), None).otherwise(F.col("idx"))).over(Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__run", F.col("idx") - F.coalesce(off, F.lit(-1)))
     reached = F.greatest(*(F.coalesce(F.col(f"{k}_{n}") / limits[k], F.lit(0.0)) for k in limits for n in SCALES), F.col("cusum") / cusum) >= 1
     f = rows.groupBy(*keys).agg(
-        *(F.max(c).alias(c) for c in [*CHANNELS, "cusum"]), F.count("*").alias("n"), F.min(F.when(reached, F.col("idx"))).alias("onset"), F.avg(F.col("__on").cast("int")).alias("persistence"), F.max("base_samples").alias("base_samples")
+        *(F.max(c).alias(c) for c in [*CHANNELS, "cusum"]), F.count("*").alias("n"), F.min(F.when(reached, F.col("idx"))).alias("onset"), F.avg(F.col("__on").cast("int")).alias("persistence"), F.max("base_samples").alias("base_samples"),
+        F.max("__run").cast("long").alias("longest_run"),
     )
-    runs = stats.longest_run(res.withColumn("__on", F.col("residual") >= location), keys, "idx", "__on")
-    out = f.withColumn("__best", best).join(runs, keys)
+    out = f.withColumn("__best", best)
     fit = (F.col("base_samples") >= LEAST_BASELINE) & (F.col("n") >= LEAST_CURRENT)
     return out.select(*keys, "n", F.when(fit, F.col("__best.v")).otherwise(0.0).alias("score"), F.col("__best.name").alias("channel"), (fit & (F.col("__best.v") >= 1)).alias("anomalous"), "onset", (F.col("onset") / F.greatest(F.lit(1), F.col("n") - 1)).alias("onset_fraction"), "persistence", "longest_run")
 
@@ -138,6 +153,6 @@ def grid(features: DataFrame, configs: DataFrame, truth: str = "truth") -> DataF
 
 
 def window_detection(spans: DataFrame) -> DataFrame:
-    """Both phases of a trace table through the second detector: server spans become observations."""
+    """Both phases of a trace table through the second detector: server spans become observations, which are written once."""
     o = spans.filter("kind = 'SERVER'").select("incident_id", F.xxhash64("trace_id", "span_id").alias("sample_id"), "service", "operation", F.col("start_us").alias("ts_us"), (F.col("duration_us") / 1000).alias("latency_ms"), F.col("error").alias("failed"), "phase")
-    return service_winner(verdicts(o))
+    return service_winner(verdicts(cut(o)))
