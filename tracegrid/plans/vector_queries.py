@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.functions.lineage import cut
+from tracegrid.functions.lineage import cut, cut_by, joins_in_place
 from tracegrid.operators import diagnosis as D
 from tracegrid.operators import spans as S
 from tracegrid.operators import vectors as V
@@ -25,7 +25,6 @@ class Months(NamedTuple):
     summary: DataFrame
     edges: DataFrame
     points: DataFrame
-    spans: DataFrame
 
 
 def month(micros) -> F.Column:
@@ -33,19 +32,26 @@ def month(micros) -> F.Column:
 
 
 def months(spark, d) -> Months:
-    s = cut(B.spans(spark, d).withColumn("environment", F.lit(HEALTHY)).withColumn("window_us", month(F.col("start_us"))))
+    n = B.parts(B.read(spark, d, "lineitem"))
+    s = B.spans(spark, d, n).select(S.PLACE, *B.SPAN_COLUMNS[:5], "kind", "start_us", "duration_us", "error", "phase")
+    # in buckets by their trace: links, climbs and their sums need no other shuffle
+    s = cut_by(s.withColumn("environment", F.lit(HEALTHY)).withColumn("window_us", month(F.col("start_us"))), S.PLACE, n)
     root = (F.col("span_id") == "r").cast("int")
     windows = cut(s.groupBy("environment", "window_us").agg((F.sum(root) / MONTH).alias("load"), (F.max("phase") == "current").alias("late")))
     line = B.read(spark, d, "lineitem").join(B.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     points = line.groupBy(F.concat(F.lit("n-"), F.col("s_nationkey") % 12).alias("service"), F.element_at(F.array(*map(F.lit, V.FAMILIES)), F.col("l_linenumber") % 4 + 1).alias("family"), B.micros("l_shipdate").alias("ts"))
     points = points.agg(F.avg(F.col("l_quantity").cast("double")).alias("value")).withColumn("window_us", month(F.col("ts")))
-    return Months(windows, cut(S.window_summary(s, ["environment"], MONTH)), cut(S.window_edges(s, ["environment"], MONTH)), cut(points), s)
+    with joins_in_place(spark):
+        summary, edges = cut(S.window_summary(s, ["environment"], MONTH, n)), cut(S.window_edges(s, ["environment"], MONTH))
+    return Months(windows, summary, edges, cut(points))
 
 
 def healthy(m: Months) -> V.Healthy:
     before = m.windows.filter("not late").select("window_us", F.col("load").alias("x"))
     lines = lambda df, kind: D.workload_baseline(df.join(before, "window_us").select("service", kind, "x", "value"), ["service", kind]).withColumn("environment", F.lit(HEALTHY))
-    edges = cut(S.expected_edges(m.spans.join(before, "window_us", "left_semi"), ["environment"], MONTH))
+    # a parent starts no later than its child, so it is in a healthy month, too
+    early = m.windows.filter("not late")
+    edges = cut(S.expected_of_windows(m.edges.join(early, ["environment", "window_us"], "left_semi"), early, ["environment"]))
     return V.Healthy(cut(lines(m.points, "family")), cut(lines(V.melted(m.summary, ["window_us", "service"]), "signal")), edges)
 
 
