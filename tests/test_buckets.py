@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracegrid.functions.lineage import cut_by, joins_in_place
 from tracegrid.operators import spans as S
+from tracegrid.plans import registry
 
 SCHEMA = "incident_id string, trace_id string, span_id string, parent_span_id string, service string, operation string, kind string, start_us long, duration_us long, error boolean"
 
@@ -56,3 +58,30 @@ def test_expected_edges_come_from_windows(spark):
     windows = df.select("environment", (F.floor(F.col("start_us") / 2_000_000) * 2_000_000).alias("window_us"))
     for least in (0.4, 0.5, 1.0):
         assert bag(S.expected_of_windows(edges, windows, ["environment"], least)) == bag(S.expected_edges(df, ["environment"], 2, least))
+
+
+def test_overlap_shuffles_no_spans(spark):
+    df = made(spark)
+    chain = [("i", "deep", f"s{k}", f"s{k - 1}" if k else None, "a" if k < 18 else "b", "o", "SERVER", k, 50, False) for k in range(19)]  # found levels are gathered in between
+    df = df.unionByName(spark.createDataFrame(chain, SCHEMA))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with joins_in_place(spark):
+            got = S.dependency_overlap(placed(df), ["incident_id"], buckets=3)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert bag(got) == bag(S.dependency_overlap(df, ["incident_id"]))
+            once = S.dependency_overlap(placed(df.filter("trace_id <> 'deep'")), ["incident_id"], buckets=3)
+            assert bag(once) == bag(S.dependency_overlap(df.filter("trace_id <> 'deep'"), ["incident_id"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and [x.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for x in plan.splitlines() if "Exchange" in x] == ["incident_id"]
+
+
+@pytest.mark.parametrize("name", ["agg11_overlap_deviation"])
+def test_overlap_queries_lay_spans_in_buckets(spark, monkeypatch, name):
+    seen = []
+    whole = S.dependency_overlap
+    monkeypatch.setattr(S, "dependency_overlap", lambda spans, *a, **k: seen.append((spans.columns, a, k)) or whole(spans, *a, **k))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    ((columns, a, k),) = seen
+    assert S.PLACE in columns and (k.get("buckets") or a[-1]) == 4

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracegrid.functions.lineage import cut
+from tracegrid.functions.lineage import cut, cut_by, joins_in_place
 from tracegrid.operators import spans as S
 from tracegrid.plans.registry import query
 from tracegrid.sources import bindings as B
@@ -22,6 +22,12 @@ def derived(spark, d, *columns):
     return cut(B.spans(spark, d).select(*columns))
 
 
+def placed(spark, d, *columns):
+    """derived() in buckets by the trace, and how many: what links and climbs by trace shuffles none of them."""
+    n = B.parts(B.read(spark, d, "lineitem"))
+    return cut_by(B.spans(spark, d, n).select(S.PLACE, *columns), S.PLACE, n), n
+
+
 def r(c, n: int = 6):
     return F.round(c, n)
 
@@ -190,11 +196,11 @@ j AS (SELECT x.incident_id, x.service, c.n > 0 AS seen, h.n > 0 AS normal, c.n,
 SELECT incident_id, service, coalesce(seen AND normal, false) AS comparable, round(coalesce(o[2], 0), 6) AS overlap_median, round(coalesce((o[2] - ho[2]) / sc, 0), 6) AS overlap_shift, round(coalesce((o[4] - ho[4]) / sc, 0), 6) AS overlap_p90_shift, round(coalesce(ln(1 + w[1]) - ln(1 + hw[1]), 0), 6) AS residual_log_ratio,
 round(coalesce(ln(1 + w[2]) - ln(1 + hw[2]), 0), 6) AS residual_p90_log_ratio, round(coalesce(bo / CAST(n AS DOUBLE), 0), 6) AS boundary_support, coalesce(seen, false) AS entry_observed, round(coalesce(mp / CAST(n AS DOUBLE), 0), 6) AS missing_parent_ratio, coalesce(normal, false) AS healthy_observed FROM j""")
 def agg11(spark, d):
-    every = cut(B.spans(spark, d).select(*OVERLAP_COLUMNS, "kind", "phase"))
+    every, n = placed(spark, d, *OVERLAP_COLUMNS, "kind", "phase")
     services = every.select("incident_id", "service").distinct().withColumn("phase", F.explode(F.array(F.lit("current"), F.lit("baseline"))))
     # both phases in one walk, a trace of each phase alone
-    both = S.dependency_overlap(thinned(every).withColumn("trace_id", F.concat_ws("@", "trace_id", "phase")), ["incident_id", "phase"], services)
-    both = cut(both)
+    with joins_in_place(spark):
+        both = cut(S.dependency_overlap(thinned(every).withColumn("trace_id", F.concat_ws("@", "trace_id", "phase")), ["incident_id", "phase"], services, n))
     o = [both.filter(F.col("phase") == p).drop("phase") for p in ("current", "baseline")]
     v = S.overlap_deviation(*o, ["incident_id"])
     return v.withColumns({c: r(c) for c in ("overlap_median", "overlap_shift", "overlap_p90_shift", "residual_log_ratio", "residual_p90_log_ratio", "boundary_support", "missing_parent_ratio")})
