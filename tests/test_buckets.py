@@ -77,7 +77,7 @@ def test_overlap_shuffles_no_spans(spark):
     assert "SortMergeJoin" in plan and [x.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for x in plan.splitlines() if "Exchange" in x] == ["incident_id"]
 
 
-@pytest.mark.parametrize("name", ["agg11_overlap_deviation"])
+@pytest.mark.parametrize("name", ["agg10_dependency_overlap", "agg11_overlap_deviation"])
 def test_overlap_queries_lay_spans_in_buckets(spark, monkeypatch, name):
     seen = []
     whole = S.dependency_overlap

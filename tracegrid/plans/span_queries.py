@@ -177,7 +177,9 @@ OVERLAP_OF = "count(*) AS n, count(clipped) AS bo, count(*) FILTER (lost) AS mp,
 @query("agg10_dependency_overlap", f"""{WITH}, {OVERLAP}, {UNION}, {OVERLAP_BY}, g AS (SELECT incident_id, own AS service, {OVERLAP_OF} FROM per GROUP BY 1, 2)
 SELECT incident_id, service, n AS entries, bo AS boundaries, mp AS missing_parents, cl AS clipped, round(o[2], 6) AS overlap_median, round(o[4], 6) AS overlap_p90, round(o[3] - o[1], 6) AS overlap_iqr, round(w[1], 3) AS residual_median, round(w[2], 3) AS residual_p90 FROM g""")
 def agg10(spark, d):
-    o = S.dependency_overlap(cut(B.spans(spark, d).select(*OVERLAP_COLUMNS)), ["incident_id"])
+    every, n = placed(spark, d, *OVERLAP_COLUMNS)
+    with joins_in_place(spark):
+        o = cut(S.dependency_overlap(every, ["incident_id"], buckets=n))
     return o.withColumns({c: r(c) for c in ("overlap_median", "overlap_p90", "overlap_iqr")} | {c: r(c, 3) for c in ("residual_median", "residual_p90")})
 
 
