@@ -20,11 +20,25 @@ CONTROLS = ("start", "freeze", "reset")
 RESULT = "service string, operation string, seq long, at long, cycle int, state string, baseline_samples long, current_samples long, latency_z double, error_z double, latency_anomalous boolean, error_anomalous boolean, severity double"
 _ARROW = pa.schema([("ts", pa.int64()), ("kind", pa.string()), ("id", pa.string()), ("service", pa.string()), ("operation", pa.string()), ("latency_ms", pa.float64()), ("failed", pa.bool_())])
 _NAMES = _ARROW.names
+_LINK = pa.schema([("trace_id", pa.string()), ("span_id", pa.string()), ("parent_span_id", pa.string()), ("service", pa.string()), ("ts", pa.int64()), ("is_span", pa.bool_()), ("until", pa.int64())])
+_LINK_NAMES = _LINK.names
 #: Rows of a piece that waits on.
 _PIECE = 50_000
 _OPERATION = "latency array<double>, failed array<boolean>, samples long, errors long, log_median double, scale double"
 
 
+def _packed(f: pd.DataFrame, schema: pa.Schema) -> bytes:
+    table = pa.Table.from_pandas(f, schema, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(pieces: list[bytes]) -> pd.DataFrame:
+    return pa.concat_tables([pa.ipc.open_stream(bytes(p)).read_all() for p in pieces]).to_pandas()
+
+
 def _median(x: list[float] | np.ndarray) -> float:
     return float(np.median(x))
 
@@ -62,11 +76,7 @@ class LifeCycle(StatefulProcessor):
         pass
 
     def _wait(self, f: pd.DataFrame) -> None:
-        table = pa.Table.from_pandas(f, _ARROW, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as w:
-            w.write_table(table)
-        self.waiting.appendValue((int(f["ts"].min()), sink.getvalue().to_pybytes()))
+        self.waiting.appendValue((int(f["ts"].min()), _packed(f, _ARROW)))
 
     def _take(self, now: int) -> Iterator[pd.DataFrame]:
         if not self.waiting.exists():
@@ -74,7 +84,7 @@ class LifeCycle(StatefulProcessor):
         pieces = [(int(p[0]), p[1]) for p in self.waiting.get()]
         if min(p[0] for p in pieces) > now:
             return
-        rows = pa.concat_tables([pa.ipc.open_stream(bytes(p[1])).read_all() for p in pieces]).to_pandas()
+        rows = _unpacked([p[1] for p in pieces])
         rest, due = rows[rows["ts"] > now], rows[rows["ts"] <= now]
         self.waiting.clear()
         for i in range(0, len(rest), _PIECE):
@@ -198,61 +208,105 @@ def phase(ts: Column) -> Column:
 
 
 class Links(StatefulProcessor):
-    """Per trace: the services of its spans and the children that wait for each missing parent, an entry a span, so that a batch
-    writes what is new in it and not the whole trace. All goes once nothing has come for `keep_ms`."""
+    """Per bucket of traces: pieces of rows, each what a batch has brought that was not known. A batch reads the buckets of its traces,
+    takes all their rows in one go and writes what is new in it, not the whole trace. A trace goes once nothing has come for
+    `keep_ms`: it counts no longer, and its rows are dropped with others when they are half of the bucket."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getMapState("spans", "span string", "service string")
-        self.waiting = handle.getMapState("waiting", "parent string", "services array<string>, at array<long>")
-        self.deadline = handle.getValueState("deadline", "at long")
+        self.pieces = handle.getListState("pieces", "rows binary")
+        self.past = handle.getValueState("past", "at long")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out, last = [], timerValues.getCurrentWatermarkInMs()
-        for f in rows:
-            for s, p, v, ts in zip(f["span_id"], f["parent_span_id"], f["service"], f["ts"], strict=True):
-                last = max(last, ts.value // 1_000_000)
-                if self.spans.containsKey((s,)):
-                    continue
-                self.spans.updateValue((s,), (v,))
-                if self.waiting.containsKey((s,)):
-                    services, at = self.waiting.getValue((s,))
-                    out += [(v, c, t) for c, t in zip(services, at, strict=True) if c != v]
-                    self.waiting.removeKey((s,))
-                if not isinstance(p, str) or not p:
-                    continue
-                if p == s or self.spans.containsKey((p,)):
-                    parent = v if p == s else self.spans.getValue((p,))[0]
-                    if parent != v:
-                        out.append((parent, v, ts.value // 1000))
-                else:
-                    services, at = self.waiting.getValue((p,)) if self.waiting.containsKey((p,)) else ([], [])
-                    self.waiting.updateValue((p,), ([*services, v], [*at, ts.value // 1000]))
-        if self.deadline.exists():
-            self.handle.deleteTimer(self.deadline.get()[0])
-        self.deadline.update((last + self.keep_ms,))
-        self.handle.registerTimer(last + self.keep_ms)
-        if out:
-            yield pd.DataFrame({"trace_id": [key[0]] * len(out), "source": [o[0] for o in out], "target": [o[1] for o in out], "ts": pd.to_datetime([o[2] for o in out], unit="us")})
+        now, new = timerValues.getCurrentWatermarkInMs(), pd.concat(list(rows), ignore_index=True)
+        if new.empty:
+            return
+        new = new.assign(ts=new["ts"].astype("datetime64[us]").astype("int64"), is_span=True)[_LINK_NAMES[:-1]]
+        new["until"] = np.maximum(new["ts"] // 1000, now) + self.keep_ms
+        old, gone = self._read()
+        if gone.any():
+            if old["trace_id"][gone].isin(new["trace_id"]).any():  # a trace that starts anew
+                self.pieces.clear()
+                self._write(old[~gone])
+            old = old[~gone]
+        every = pd.concat([old, new], ignore_index=True) if len(old) else new
+        fresh = np.arange(len(every)) >= len(old)
+        trace = pd.factorize(every["trace_id"], use_na_sentinel=False)[0].astype("int64")
+        ids = pd.factorize(pd.concat([every["span_id"], every["parent_span_id"]], ignore_index=True), use_na_sentinel=False)[0].astype("int64")
+        span, parent = trace * len(ids) + ids[: len(every)], trace * len(ids) + ids[len(every) :]
+        named = (every["parent_span_id"].notna() & (every["parent_span_id"] != "")).to_numpy(dtype=bool)
+        # a span counts as it came first
+        first = np.flatnonzero(every["is_span"].to_numpy(dtype=bool))
+        first = first[~pd.Series(span[first]).duplicated().to_numpy()]
+        children = first[named[first]]
+        at = pd.Index(span[first]).get_indexer(parent[children])
+        children, parents = children[at >= 0], first[at[at >= 0]]
+        service = every["service"].astype(object).where(every["service"].notna(), None).to_numpy()
+        out = (fresh[children] | fresh[parents]) & (service[children] != service[parents]).astype(bool)
+        children, parents = children[out], parents[out]
+        # what stays: new spans, and for a trace without one a row that tells until when it is kept
+        until = pd.Series(every["until"].to_numpy()).groupby(trace).transform("max").to_numpy()
+        had = pd.Series(np.where(fresh, -1, every["until"])).groupby(trace).transform("max").to_numpy()
+        keep = np.zeros(len(every), dtype=bool)
+        keep[first] = fresh[first]
+        longer = np.flatnonzero(fresh & (until > had) & ~np.isin(trace, trace[keep]))
+        longer = longer[~pd.Series(trace[longer]).duplicated().to_numpy()]
+        is_span = keep.copy()
+        keep[longer] = True
+        self._write(every.assign(until=until, is_span=is_span)[keep])
+        self._wake(int(until.min()))
+        if len(children):
+            yield pd.DataFrame({"trace_id": every["trace_id"].to_numpy()[children], "source": service[parents], "target": service[children], "ts": pd.to_datetime(every["ts"].to_numpy()[children], unit="us")})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.spans.clear()
-        self.waiting.clear()
-        self.deadline.clear()
+        self.past.update((timerValues.getCurrentWatermarkInMs(),))
+        self.timer.clear()
+        rows, gone = self._read()
+        if 2 * gone.sum() >= len(rows):
+            self.pieces.clear()
+            self._write(rows[~gone])
+        if gone.all():
+            self.past.clear()
+        else:
+            self._wake(int(rows[~gone].groupby("trace_id", dropna=False)["until"].max().min()))
         return iter(())
 
     def close(self) -> None:
         pass
 
-
-def kept_links(spans: DataFrame, delay: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
+    def _read(self) -> tuple[pd.DataFrame, np.ndarray]:
+        """All rows, and which of them are of traces that are gone."""
+        pieces = [p[0] for p in self.pieces.get()] if self.pieces.exists() else []
+        rows = _unpacked(pieces) if pieces else _LINK.empty_table().to_pandas()
+        past = self.past.get()[0] if len(rows) and self.past.exists() else None
+        gone = rows.groupby("trace_id", dropna=False)["until"].transform("max") < past if past is not None else np.zeros(len(rows), dtype=bool)
+        return rows, np.asarray(gone, dtype=bool)
+
+    def _write(self, rows: pd.DataFrame) -> None:
+        for i in range(0, len(rows), _PIECE):
+            self.pieces.appendValue((_packed(rows.iloc[i : i + _PIECE], _LINK),))
+
+    def _wake(self, due: int) -> None:
+        """Timers fire no later than the first trace goes; one that fires too early is set again."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or due < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+
+def kept_links(spans: DataFrame, delay: str = "10 minutes", keep_ms: int = 600_000, buckets: int = 1024) -> DataFrame:
     """(trace_id, source, target, ts) of calls between services, each child once, whichever of child and parent comes first.
 
     A trace is kept until the watermark is `keep_ms` past its last update (the latest time that has come for it): a span that
-    comes later starts the trace anew. spans: trace_id, span_id, parent_span_id, service, ts. Needs the RocksDB state store.
+    comes later starts the trace anew. Traces are dealt out to buckets, each of which is read as a whole by a batch that brings
+    something for it. spans: trace_id, span_id, parent_span_id, service, ts. Needs the RocksDB state store.
     """
-    s = spans.select("trace_id", "span_id", "parent_span_id", "service", "ts").withWatermark("ts", delay)
-    return s.groupBy("trace_id").transformWithStateInPandas(Links(keep_ms), "trace_id string, source string, target string, ts timestamp", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("trace_id"), F.lit(buckets)).cast("int").alias("bucket")
+    s = spans.select(bucket, "trace_id", "span_id", "parent_span_id", "service", "ts").withWatermark("ts", delay)
+    return s.groupBy("bucket").transformWithStateInPandas(Links(keep_ms), "trace_id string, source string, target string, ts timestamp", "Append", "EventTime")
