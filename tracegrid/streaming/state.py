@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,21 +23,44 @@ _ARROW = pa.schema([("ts", pa.int64()), ("kind", pa.string()), ("id", pa.string(
 _NAMES = _ARROW.names
 _LINK = pa.schema([("trace_id", pa.string()), ("span_id", pa.string()), ("parent_span_id", pa.string()), ("service", pa.string()), ("ts", pa.int64()), ("is_span", pa.bool_()), ("until", pa.int64())])
 _LINK_NAMES = _LINK.names
-#: Rows of a piece that waits on.
-_PIECE = 50_000
+#: Rows of a piece that waits on, and rows that are sorted at once before they are cut into pieces.
+_PIECE, _SORTED = 50_000, 1_000_000
+#: Controls of one time go in this order, then other kinds, then samples.
+_SAMPLE = len(CONTROLS) + 1
 _OPERATION = "latency array<double>, failed array<boolean>, samples long, errors long, log_median double, scale double"
 
 
-def _packed(f: pd.DataFrame, schema: pa.Schema) -> bytes:
-    table = pa.Table.from_pandas(f, schema, preserve_index=False)
+def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(pieces: list[bytes]) -> pd.DataFrame:
-    return pa.concat_tables([pa.ipc.open_stream(bytes(p)).read_all() for p in pieces]).to_pandas()
+def _unpacked(pieces: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(bytes(p)).read_all() for p in pieces])
+
+
+def _numbered(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """The distinct texts, and each row's place among them; null is as empty."""
+    coded = pc.fill_null(texts, "").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def _effective(state: str, controls: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], int]:
+    """Of controls (place, kind) in order, those that make what a state becomes, and the number of starts: the last start, the freeze
+    after it and the last reset after that."""
+    out: list[tuple[int, str]] = []
+    starts = 0
+    for c in controls:
+        if c[1] == "start":
+            out, state, starts = [c], "collecting", starts + 1
+        elif c[1] == "freeze" and state == "collecting":
+            out, state = [*out, c], "frozen"
+        elif c[1] == "reset" and state == "frozen":
+            out = [*(x for x in out if x[1] != "reset"), c]
+    return out, starts
 
 
 def _median(x: list[float] | np.ndarray) -> float:
@@ -46,52 +70,73 @@ def _median(x: list[float] | np.ndarray) -> float:
 class LifeCycle(StatefulProcessor):
     """Per shard: the state of the detector, and samples and baselines of the shard's operations.
 
-    Rows wait, a frame in a piece, until the watermark has passed them and are then taken in order of time (controls before samples
-    of the same time, then by id), so the order of arrival makes no difference. Between two controls of the life cycle an
-    operation's samples are taken in one go: only its last ones stay, and a sample costs the same however many are kept.
+    Rows wait in pieces until the watermark has passed them and are then taken in order of time (controls before samples of the
+    same time, then by id), so the order of arrival makes no difference. A piece is an entry of its own and covers a short time:
+    writing one reads no other, and only those that are due are read. Of the controls that are due only those of the last cycle
+    have an effect; between two of them an operation's samples are taken in one go: only its last ones stay, and a sample costs the
+    same however many are kept.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "least long, rows binary")
+        self.waiting = handle.getMapState("waiting", "least long, piece long", "rows binary")
         self.phase = handle.getValueState("phase", "state string, cycle int, seq long")
         self.operations = handle.getMapState("operations", "service string, operation string", _OPERATION)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        now, first, tables, keys = timerValues.getCurrentWatermarkInMs() * 1000, None, [], self._keys()
         for f in rows:
             f = f[_NAMES].assign(ts=(f["ts"].astype("datetime64[us]").astype("int64")))
             f = f[f["ts"] > now]  # later than the watermark allows
             if len(f):
-                self._wait(f)
                 first = min(first or int(f["ts"].min()), int(f["ts"].min()))
+                tables.append(pa.Table.from_pandas(f, _ARROW, preserve_index=False))
+                if sum(map(len, tables)) >= _SORTED:
+                    keys, tables = self._wait(pa.concat_tables(tables), keys), []
+        if tables:
+            keys = self._wait(pa.concat_tables(tables), keys)
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
-        yield from self._take(now)
+        yield from self._take(now, keys)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._take(timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._take(timerValues.getCurrentWatermarkInMs() * 1000, self._keys())
 
     def close(self) -> None:
         pass
 
-    def _wait(self, f: pd.DataFrame) -> None:
-        self.waiting.appendValue((int(f["ts"].min()), _packed(f, _ARROW)))
-
-    def _take(self, now: int) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
-            return
-        pieces = [(int(p[0]), p[1]) for p in self.waiting.get()]
-        if min(p[0] for p in pieces) > now:
+    def _keys(self) -> list[tuple]:
+        return [tuple(k) for k in self.waiting.keys()]
+
+    def _wait(self, table: pa.Table, keys: list[tuple]) -> list[tuple]:
+        """Writes the rows in pieces by time; the keys of all pieces."""
+        table, n, out = table.sort_by("ts"), 1 + max((k[1] for k in keys), default=0), list(keys)
+        for i in range(0, len(table), _PIECE):
+            piece = table.slice(i, _PIECE)
+            out.append((piece["ts"][0].as_py(), n + i // _PIECE))
+            self.waiting.updateValue(out[-1], (_packed(piece),))
+        return out
+
+    def _take(self, now: int, keys: list[tuple]) -> Iterator[pd.DataFrame]:
+        read, left = [k for k in keys if k[0] <= now], [k for k in keys if k[0] > now]
+        if not read:
             return
-        rows = _unpacked([p[1] for p in pieces])
-        rest, due = rows[rows["ts"] > now], rows[rows["ts"] <= now]
-        self.waiting.clear()
-        for i in range(0, len(rest), _PIECE):
-            self._wait(rest.iloc[i : i + _PIECE])
+        rows = _unpacked([self.waiting.getValue(k)[0] for k in read])
+        if left:
+            for k in read:
+                self.waiting.removeKey(k)
+        else:
+            self.waiting.clear()
+        rest, due = rows.filter(pc.greater(rows["ts"], now)), rows.filter(pc.less_equal(rows["ts"], now))
         if len(rest):
-            self.handle.registerTimer(int(rest["ts"].min()) // 1000 + 1)
-        due = due.assign(later=due["kind"] == "sample", id=due["id"].fillna("")).sort_values(["ts", "later", "id"], kind="stable")
+            left = self._wait(rest, left)
+        if left:
+            self.handle.registerTimer(min(k[0] for k in left) // 1000 + 1)
+        # text columns as numbers into their distinct values
+        kind, kind_of = _numbered(due["kind"])
+        rank = np.array([CONTROLS.index(k) if k in CONTROLS else _SAMPLE if k == "sample" else _SAMPLE - 1 for k in kind], dtype="int8")[kind_of]
+        order = pc.sort_indices(pa.table({"ts": due["ts"], "rank": rank, "id": pc.fill_null(due["id"], "")}), sort_keys=[(c, "ascending") for c in ("ts", "rank", "id")])
+        due, rank = due.select(["ts", "service", "operation", "latency_ms", "failed"]).take(order), rank[order.to_numpy()]
         state, cycle, seq = self.phase.get() if self.phase.exists() else ("empty", 0, 0)
         held: dict[tuple, list] = {}
         touched: dict[tuple, tuple[int, int]] = {}
@@ -105,35 +150,39 @@ class LifeCycle(StatefulProcessor):
                 held[k] = [list(v[0]), list(v[1]), *v[2:]] if v is not None else [[], [], None, None, None, None]
             return held[k]
 
-        ts, latency = due["ts"].to_numpy(), due["latency_ms"].to_numpy(dtype=float)
-        failed = (due["failed"] == True).to_numpy(dtype=bool)  # noqa: E712  (null is not failed)
-        names = pd.MultiIndex.from_arrays([due["service"].fillna("").str.strip(), due["operation"].fillna("").str.strip()])
-        codes, operations = pd.factorize(names)
+        ts, latency = due["ts"].to_numpy(), due["latency_ms"].to_numpy().astype(float)
+        failed = pc.fill_null(due["failed"], False).to_numpy().astype(bool)  # null is not failed
+        services, codes = _numbered(due["service"])
+        names, more = _numbered(due["operation"])
+        used, codes = np.unique(codes.astype("int64") * len(names) + more, return_inverse=True)
+        numbers: dict[tuple[str, str], int] = {}
+        codes = np.array([numbers.setdefault((services[u // len(names)].strip(), names[u % len(names)].strip()), len(numbers)) for u in used.tolist()], dtype=int)[codes]
+        operations = list(numbers)
         named = np.array([bool(k[0]) and bool(k[1]) for k in operations], dtype=bool)
-        counts = due["later"].to_numpy(dtype=bool) & named[codes] & (latency >= 0)
-        kinds, at = due["kind"].to_numpy(), np.flatnonzero(due["kind"].isin(CONTROLS).to_numpy())
-        start = 0
-        for stop in [*at.tolist(), len(due)]:
+        counts = (rank == _SAMPLE) & named[codes] & (latency >= 0)
+        at, starts = _effective(state, [(i, CONTROLS[rank[i]]) for i in np.flatnonzero(rank < len(CONTROLS)).tolist()])
+        start = at[0][0] if starts else 0  # a start clears all that was before it
+        for stop, kind in [*at, (len(due), None)]:
             take = start + np.flatnonzero(counts[start:stop]) if state != "empty" else np.empty(0, dtype=int)
             if len(take):
                 most = A.KEEP_CURRENT if state == "frozen" else A.KEEP_BASELINE
                 take = take[np.argsort(codes[take], kind="stable")]
                 cuts = np.flatnonzero(np.diff(codes[take])) + 1
                 for group in np.split(take, cuts):
-                    k, last = tuple(operations[codes[group[0]]]), group[-most:]
+                    k, last = operations[codes[group[0]]], group[-most:]
                     v = get(k)
                     v[0], v[1] = [*v[0], *latency[last].tolist()][-most:], [*v[1], *failed[last].tolist()][-most:]
                     if state == "frozen":
                         touched[k] = (seq + int(group[-1]) + 1, int(ts[group[-1]]))
-            if stop == len(due):
+            if kind is None:
                 break
-            kind, mark = kinds[stop], (seq + stop + 1, int(ts[stop]))
+            mark = (seq + stop + 1, int(ts[stop]))
             if kind == "start":
-                state, cycle = "collecting", cycle + 1
+                state, cycle = "collecting", cycle + starts
                 self.operations.clear()
                 held.clear()
                 touched.clear()
-            elif kind == "freeze" and state == "collecting":
+            elif kind == "freeze":
                 state = "frozen"
                 for k in every():
                     v = get(k)
@@ -141,7 +190,7 @@ class LifeCycle(StatefulProcessor):
                     held[k] = [[], [], len(v[0]), sum(v[1]), _median(log), max(A.LEAST_SCALE, 1.4826 * _median(np.abs(log - _median(log))))]
                     touched[k] = mark
             elif kind == "reset":
-                for k in every() if state == "frozen" else []:
+                for k in every():
                     v = get(k)
                     v[0], v[1] = [], []
                     touched[k] = mark
@@ -181,7 +230,10 @@ def life_cycle(samples: DataFrame, controls: DataFrame, delay: str = "1 minute",
     The session needs the RocksDB state store (STORE). Output mode update.
     """
     shard = F.pmod(F.xxhash64(F.trim("service"), F.trim("operation")), F.lit(shards)).cast("int")
-    s = samples.select(shard.alias("shard"), "ts", F.lit("sample").alias("kind"), F.col("id").cast("string").alias("id"), "service", "operation", F.col("latency_ms").cast("double").alias("latency_ms"), "failed")
+    # numbers in texts of the same order
+    number = samples.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    i = F.lpad(F.hex(F.col("id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0") if number else F.col("id").cast("string")
+    s = samples.select(shard.alias("shard"), "ts", F.lit("sample").alias("kind"), i.alias("id"), "service", "operation", F.col("latency_ms").cast("double").alias("latency_ms"), "failed")
     c = controls.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ts", "kind", F.lit("").alias("id"), F.lit("").alias("service"), F.lit("").alias("operation"), F.lit(0.0).alias("latency_ms"), F.lit(False).alias("failed"),
     )
@@ -281,14 +333,14 @@ class Links(StatefulProcessor):
     def _read(self) -> tuple[pd.DataFrame, np.ndarray]:
         """All rows, and which of them are of traces that are gone."""
         pieces = [p[0] for p in self.pieces.get()] if self.pieces.exists() else []
-        rows = _unpacked(pieces) if pieces else _LINK.empty_table().to_pandas()
+        rows = (_unpacked(pieces) if pieces else _LINK.empty_table()).to_pandas()
         past = self.past.get()[0] if len(rows) and self.past.exists() else None
         gone = rows.groupby("trace_id", dropna=False)["until"].transform("max") < past if past is not None else np.zeros(len(rows), dtype=bool)
         return rows, np.asarray(gone, dtype=bool)
 
     def _write(self, rows: pd.DataFrame) -> None:
         for i in range(0, len(rows), _PIECE):
-            self.pieces.appendValue((_packed(rows.iloc[i : i + _PIECE], _LINK),))
+            self.pieces.appendValue((_packed(pa.Table.from_pandas(rows.iloc[i : i + _PIECE], _LINK, preserve_index=False)),))
 
     def _wake(self, due: int) -> None:
         """Timers fire no later than the first trace goes; one that fires too early is set again."""
